@@ -700,6 +700,89 @@ ORACLES["registry_conflicts"] = query(
     + " UNION ALL "
     + conflicts("account", "account_posts", "users", _ACCOUNT_FIELDS))
 
+
+
+def registrations(posts: str, stored: str, fields: list[str], rules: list[tuple[str, str, int]],
+                  ctes: list[str], rounds: int = 12) -> str:
+    """Registrations taken one by one, as a fixed number of settling rounds.
+
+    Should any registration still be open after the last round, it shows as unsettled.
+    """
+    def cases(pick) -> str:
+        return "CASE " + " ".join(f"WHEN {r[0]} THEN {pick(r)}" for r in rules) + " END"
+
+    def taken(held: str) -> str:
+        return ", ".join(
+            f"EXISTS (SELECT 1 FROM {held} h WHERE h.field = '{f}' AND h.value = p.{f} "
+            f"AND h.arrival < p.arrival) AS taken_{f}" for f in fields
+        )
+
+    named = [(n, CTES[n]) for n in ctes]
+    named += [
+        ("stored_values", " UNION ALL ".join(
+            f"SELECT -1 AS arrival, '{f}' AS field, {f} AS value FROM {stored}" for f in fields)),
+        ("static_check", f"SELECT *, {cases(lambda r: r[1])} AS err FROM "
+                         f"(SELECT p.*, {taken('stored_values')} FROM {posts} p)"),
+        ("open_0", unpivot("(SELECT * FROM static_check WHERE err IS NULL)", "arrival", fields)),
+    ]
+    for i in range(rounds):
+        named += [
+            (f"win_{i}", f"SELECT arrival FROM (SELECT arrival, arrival = min(arrival) OVER "
+                         f"(PARTITION BY field, value) AS f FROM open_{i}) GROUP BY arrival "
+                         f"HAVING bool_and(f)"),
+            (f"open_{i + 1}", f"SELECT * FROM open_{i} WHERE arrival NOT IN (SELECT arrival FROM "
+                              f"open_{i} WHERE (field, value) IN (SELECT (field, value) FROM "
+                              f"open_{i} WHERE arrival IN (SELECT arrival FROM win_{i})))"),
+        ]
+    winners = " UNION ALL ".join(f"SELECT arrival FROM win_{i}" for i in range(rounds))
+    named += [
+        ("held", f"SELECT * FROM stored_values UNION ALL SELECT * FROM open_0 WHERE arrival IN "
+                 f"({winners})"),
+        ("flagged", f"SELECT p.*, {taken('held')} FROM {posts} p"),
+    ]
+    body = ",\n".join(f"{n} {'AS MATERIALIZED' if n[:4] in ('open', 'win_') else 'AS'} ({q.strip()})"
+                      for n, q in named)
+    return (
+        f"WITH {body}\nSELECT arrival, CASE WHEN arrival IN (SELECT arrival FROM open_{rounds}) "
+        f"THEN 'unsettled' ELSE {cases(lambda r: r[1])} END AS error_message, "
+        f"{cases(lambda r: str(r[2]))} AS error_status FROM flagged"
+    )
+
+
+def _bad(pattern: str, column: str) -> str:
+    return f"NOT regexp_full_match({column}, '{pattern}')"
+
+
+_PHONE = "[6-9][0-9]{9}"
+ORACLES["company_registrations"] = registrations(
+    "company_posts", "companies", _COMPANY_FIELDS,
+    [
+        ("arrival % 53 = 13", "'website not provided'", 403),
+        (f"{_REQUIRED} <> ''", f"{_REQUIRED} || ' not provided'", 403),
+        ("arrival % 47 = 9", "'Invalid Pincode'", 403),
+        (_bad(_PHONE, "phno1"), "'Invalid mobile number'", 403),
+        ("taken_phno1", "'Mobile number already registered'", 409),
+        ("arrival % 43 = 11", "'Invalid phone number'", 400),
+        (_bad(_EMAIL, "email"), "'Invalid email'", 400),
+        ("taken_email", "'Email already registered'", 409),
+        ("taken_gstin", "'GSTIN already registered'", 409),
+        ("taken_bnkAcno", "'Bank account number already registered'", 409),
+    ],
+    ["places", "companies", "company_posts"])
+
+ORACLES["account_registrations"] = registrations(
+    "account_posts", "users", _ACCOUNT_FIELDS,
+    [
+        ("arrival % 53 = 7", "'phno not provided'", 403),
+        ("length(username) < 5", "'Username must be at least 5 characters'", 403),
+        ("taken_username", "'Username already exists'", 409),
+        (_bad(_EMAIL, "email"), "'Invalid email address'", 403),
+        ("taken_email", "'Email already registered'", 409),
+        (_bad(_PHONE, "phno"), "'Invalid phone number'", 403),
+        ("taken_phno", "'Phone number already registered'", 409),
+    ],
+    ["users", "account_posts"])
+
 ORACLES["company_terms_effective"] = query(["places", "companies"], f"""
 SELECT id, coalesce(terms, custTerms) AS custTerms, 'NET 30' AS default_terms
 FROM companies LEFT JOIN (
@@ -787,3 +870,6 @@ FROM accepted WHERE name <> ''"""), ("parties", CTES["parties"]), ("party_of", C
 SELECT {_RUN_COLUMNS}, p1.party_id AS billed_to, CASE WHEN i.name = '' AND i.phno1 = ''
   THEN NULL END AS shipped_to, t.sum_gst AS total_gst_amount
 FROM accepted i {_RUN_JOINS} LEFT JOIN party_of p1 ON p1.bill_id = i.id""")
+
+# A stream numbers and stores what the batch run does.
+ORACLES["stream_bill_numbers"] = ORACLES["bill_numbers"]

@@ -12,8 +12,11 @@ from ledgerloom.functions import checks, text
 from ledgerloom.functions.text import INVOICE, QUOTATION
 from ledgerloom.operators import dims, numbering, overlay, pricing, registry, validation, views
 from ledgerloom.plans import runs
+from ledgerloom.session import shared_dir
+from ledgerloom.sources import ledger
 from ledgerloom.sources.sample import CUTOFF, ID_BUCKET, SampleLedger
 from ledgerloom.sources.schema import PARTY_FIELDS
+from ledgerloom.streaming import ingest
 
 KINDS = (INVOICE, QUOTATION)
 # Days for which the next numbers are asked: one before April, one after.
@@ -653,6 +656,53 @@ def quotation_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _run_view(run, [])
 
 
+# --- streams ----------------------------------------------------------------------------
+
+
+def _slices(df: DataFrame, date: str) -> list[DataFrame]:
+    """Two deliveries: what is stored at the cut-off day, and the rest."""
+    cutoff = F.lit(CUTOFF).cast("date")
+    return [df.where(F.col(date) < cutoff), df.where(F.col(date) >= cutoff)]
+
+
+def stream_ingest_bills(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Invoices, then quotations, delivered as files and ingested by streams."""
+    m = SampleLedger(spark, sf_dir)
+    folder = shared_dir(spark, "stream-ledger")
+    for kind in KINDS:
+        posted = m.submissions(kind).drop("order_key")
+        for part in _slices(posted, "bill_date"):
+            part.write.mode("append").option("ignoreNullFields", "true").json(
+                f"{folder}/in-{kind}"
+            )
+            ingest.ingest_stream(
+                spark,
+                f"{folder}/in-{kind}",
+                kind,
+                f"{folder}/ledger",
+                f"{folder}/checkpoint-{kind}",
+                m.companies(),
+                id_bucket=ID_BUCKET,
+            ).awaitTermination()
+    history = ledger.read_table(spark, f"{folder}/ledger", "history")
+    return history.select(
+        "id", "company_id", "type", "bill_num", "billed_to", "shipped_to", "eta", "amount"
+    )
+
+
+def stream_bill_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bill headers delivered in two parts and numbered by a stream."""
+    m = SampleLedger(spark, sf_dir)
+    folder = shared_dir(spark, "stream-numbers")
+    headers = m.headers().select("id", "company_id", "type", "bill_timestamp")
+    for part in _slices(headers, "bill_timestamp"):
+        part.write.mode("append").parquet(f"{folder}/in")
+        ingest.number_stream(
+            spark, f"{folder}/in", folder, f"{folder}/checkpoint", ID_BUCKET
+        ).awaitTermination()
+    return spark.read.parquet(f"{folder}/numbered").select("company_id", "type", "id", "bill_num")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -701,5 +751,7 @@ QUERIES = {
         account_company_link,
         invoice_run,
         quotation_run,
+        stream_ingest_bills,
+        stream_bill_numbers,
     )
 }

@@ -30,13 +30,16 @@ class Ledger:
     history_goods: DataFrame
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop_path)
+
+
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """One ledger table; an empty frame while nothing has been appended to it."""
+    """One ledger table with its batch column; empty while nothing has been appended."""
     schema = T.StructType(LEDGER_TABLES[name].fields + [T.StructField(BATCH, T.LongType())])
     path = f"{folder}/{name}"
-    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    files = hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not files.exists(hadoop_path):
+    if not path_exists(spark, path):
         return spark.createDataFrame([], schema)
     return spark.read.schema(schema).parquet(path)
 
@@ -45,11 +48,6 @@ def load_model(spark: SparkSession, folder: str) -> Ledger:
     return Ledger(**{name: read_table(spark, folder, name) for name in LEDGER_TABLES})
 
 
-def before_batch(df: DataFrame, batch_id: int) -> DataFrame:
-    """What earlier batches left; BATCH is a partition column, so this prunes folders."""
-    return df.where(F.col(BATCH) < batch_id).drop(BATCH)
-
-
 def read_submissions(spark: SparkSession, path: str, kind: str, fmt: str = "json") -> DataFrame:
     schema = INVOICE_SUBMISSION if kind == "Invoice" else QUOTATION_SUBMISSION
     return spark.read.schema(schema).format(fmt).load(path)
