@@ -27,13 +27,16 @@ ADDRESS_PARTS = (
 )
 PHONE_PARTS = ("phno1", "phno2")
 
+# Every character that counts as whitespace in Unicode text.
+WHITESPACE = "".join(chr(code) for code in range(0x3001) if chr(code).isspace())
+
 INVOICE = "Invoice"
 QUOTATION = "Quotation"
 
 
 def strip(text: Column) -> Column:
     """Remove leading and trailing whitespace of any kind, not only spaces."""
-    return F.regexp_replace(text, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
+    return F.trim(text, F.lit(WHITESPACE))
 
 
 def blank_to_null(text: Column) -> Column:
@@ -161,26 +164,23 @@ def amount_words(amount: Column) -> Column:
     def named(n: Column, name: str) -> Column:
         return F.when(n > 0, F.concat(small(n), F.lit(" " + name)))
 
-    def with_rest(high: Column, rest: Column) -> Column:
-        """Join a text that may be blank with a number below one hundred."""
-        return (
-            F.when(high == "", small(rest))
-            .when(rest > 0, F.concat(high, F.lit(" And "), small(rest)))
-            .otherwise(high)
-        )
+    def with_rest(number: Column, high: Column) -> Column:
+        """Words of ``number``, given those of its hundreds and above."""
+        rest = (number % 100).cast("int")
+        low = F.when((rest > 0) | (number < 100), small(rest))
+        return F.concat_ws(" And ", F.when(number >= 100, high), low)
 
     crores = part(10**7, 1000)
-    crore_high = F.coalesce(named((crores / 100).cast("int"), "Hundred"), F.lit(""))
-    crore = F.when(crores > 0, F.concat(with_rest(crore_high, crores % 100), F.lit(" Crore")))
+    crore = with_rest(crores, named((crores / 100).cast("int"), "Hundred"))
     high = F.concat_ws(
         ", ",
-        crore,
+        F.when(crores > 0, F.concat(crore, F.lit(" Crore"))),
         named(part(10**5, 100), "Lakh"),
         named(part(10**3, 100), "Thousand"),
         named(part(100, 10), "Hundred"),
     )
     unit = F.when(amount == 1, F.lit(" Rupee")).otherwise(F.lit(" Rupees"))
-    text = F.concat(with_rest(high, part(1, 100)), unit, F.lit(", Zero Paise Only"))
+    text = F.concat(with_rest(amount, high), unit, F.lit(", Zero Paise Only"))
     return F.when((amount >= 0) & (amount < 10**10), text)
 
 

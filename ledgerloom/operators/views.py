@@ -74,7 +74,8 @@ def with_party_names(bills: DataFrame, clients: DataFrame) -> DataFrame:
 
 
 def header_view(bills: DataFrame, clients: DataFrame) -> DataFrame:
-    """Bill headers as both ledger pages show them."""
+    """Bill headers as both ledger pages show them, with the amount if ``bills`` has it."""
+    amount = [c for c in bills.columns if c == "amount"]
     return with_label(with_party_names(bills, clients)).select(
         "company_id",
         "id",
@@ -86,7 +87,7 @@ def header_view(bills: DataFrame, clients: DataFrame) -> DataFrame:
         null_to_blank(F.col("transport")).alias("transport"),
         null_to_blank(F.col("payment")).alias("payment"),
         null_to_blank(F.col("eta")).alias("eta"),
-        "amount",
+        *amount,
     )
 
 
@@ -122,11 +123,9 @@ def goods_lines(
     )
 
 
-def history_lines(bills: DataFrame, clients: DataFrame, items: DataFrame) -> DataFrame:
+def history_lines(headers: DataFrame, items: DataFrame) -> DataFrame:
     """One row per line; a bill without lines has one row without goods."""
-    joined = header_view(bills, clients).join(
-        items, F.col("id") == F.col("history_id"), "left"
-    )
+    joined = headers.join(items, F.col("id") == F.col("history_id"), "left")
     return (
         joined.drop("history_id")
         .withColumn("hsn_sac", null_to_blank(F.col("hsn_sac")))
@@ -137,7 +136,7 @@ def history_lines(bills: DataFrame, clients: DataFrame, items: DataFrame) -> Dat
 LINE_STRUCT = ["line_no", "descp", "hsn_sac", "uom", "rate", "gst", "qty", "good_amount"]
 
 
-def history_nested(bills: DataFrame, clients: DataFrame, items: DataFrame) -> DataFrame:
+def history_nested(headers: DataFrame, items: DataFrame) -> DataFrame:
     """One row per bill with its goods as an array in line order.
 
     Lines are nested before they meet the headers, so header texts are not repeated per
@@ -154,8 +153,7 @@ def history_nested(bills: DataFrame, clients: DataFrame, items: DataFrame) -> Da
         ]
     )
     return (
-        header_view(bills, clients)
-        .join(nested, F.col("id") == F.col("history_id"), "left")
+        headers.join(nested, F.col("id") == F.col("history_id"), "left")
         .drop("history_id")
         .withColumn("list_of_goods", F.coalesce("list_of_goods", F.array(empty)))
     )

@@ -286,17 +286,21 @@ def eta_normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- ledger reports -------------------------------------------------------------------
 
 
+def _headers(m: SampleLedger, numbered: DataFrame, bills: DataFrame) -> DataFrame:
+    """Headers as shown, parties first: amounts and lines then share one shuffle by id."""
+    return pricing.with_amount(views.header_view(numbered, m.clients()), m.lines(bills))
+
+
 def history_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = SampleLedger(spark, sf_dir)
-    headers = _numbered(m)
-    bills = pricing.with_amount(headers, m.lines(m.headers()))
-    return views.history_lines(bills, m.clients(), _items(m, m.headers()))
+    bills = m.headers()
+    return views.history_lines(_headers(m, _numbered(m), bills), _items(m, bills))
 
 
 def history_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = SampleLedger(spark, sf_dir)
-    bills = pricing.with_amount(_numbered(m), m.lines(m.headers()))
-    nested = views.history_nested(bills, m.clients(), _items(m, m.headers()))
+    bills = m.headers()
+    nested = views.history_nested(_headers(m, _numbered(m), bills), _items(m, bills))
     return views.flatten_goods(nested)
 
 
@@ -304,8 +308,7 @@ def latest_bills(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dashboard: the five newest bills of each type for every company."""
     m = SampleLedger(spark, sf_dir)
     newest = views.latest(_numbered(m))
-    bills = pricing.with_amount(newest, m.lines(newest))
-    nested = views.history_nested(bills, m.clients(), _items(m, newest))
+    nested = views.history_nested(_headers(m, newest, newest), _items(m, newest))
     return views.flatten_goods(nested)
 
 
