@@ -33,6 +33,16 @@ def py_round(value: Column, digits: int = 2) -> Column:
     )
 
 
+def to_fixed(value: Column) -> Column:
+    """Two decimals as a browser's ``toFixed(2)`` gives them: exact ties go up.
+
+    A double lies exactly between two cents only when it is an odd number of eighths.
+    """
+    size = F.abs(value)
+    up = F.signum(value) * F.floor(size * 100 + 0.5) / 100
+    return F.when((size * 8) % 2 == 1, up).otherwise(py_round(value, 2))
+
+
 def exact_sum(value: Column, digits: int) -> Column:
     """Order-independent sum of a double column, rounded half-even to ``digits``."""
     return F.bround(F.sum(value.cast(EXACT)), digits)

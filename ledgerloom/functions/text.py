@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ledgerloom.functions.numeric import py_round
+from ledgerloom.functions.numeric import to_fixed
 
 # English number words.
 BELOW_TWENTY = (
@@ -186,4 +186,4 @@ def amount_words(amount: Column) -> Column:
 
 def preview_amount(rate: Column, qty: Column) -> Column:
     """Line amount as the entry form shows it; NULL while rate or quantity is missing."""
-    return py_round(qty * rate, 2)
+    return to_fixed(qty * rate)

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.functions.numeric import exact_sum, money_sum, py_round
+from ledgerloom.functions.numeric import MONEY, exact_sum, money_sum, py_round
+from ledgerloom.functions.text import preview_amount
 
 BILL = ["company_id", "history_id"]
 
@@ -123,7 +124,7 @@ def split_tax(bills: DataFrame) -> DataFrame:
 
 def preview_totals(lines: DataFrame) -> DataFrame:
     """Total the entry form shows, a sum of rounded lines, next to the billed total."""
-    preview = F.sum(py_round(F.col("qty") * F.col("rate")).cast("decimal(18,2)"))
+    preview = F.sum(preview_amount(F.col("rate"), F.col("qty")).cast(MONEY))
     totals = lines.groupBy(*BILL).agg(
         preview.cast("double").alias("preview_total"),
         exact_sum(line_amount(), 2).cast("double").alias("total_amount"),

@@ -630,7 +630,8 @@ ORACLES["preview_vs_billed_total"] = query(["bills", "lines"], f"""
 SELECT company_id, history_id, nullif(preview, 0) AS preview_total, total_amount,
   preview = total_amount AS same_total
 FROM (SELECT company_id, history_id,
-  CAST(sum(CAST({r2('(qty / 8) * rate')} AS DECIMAL(18,2))) AS DOUBLE) AS preview,
+  CAST(sum(CAST(CASE WHEN (qty * rate) % 2 = 1 THEN floor((qty / 8) * rate * 100 + 0.5) / 100
+    ELSE {r2('(qty / 8) * rate')} END AS DECIMAL(18,2))) AS DOUBLE) AS preview,
   CAST(round_even(sum(CAST(rate * (qty / 8) AS DECIMAL(24,6))), 2) AS DOUBLE) AS total_amount
   FROM lines GROUP BY ALL)""")
 
