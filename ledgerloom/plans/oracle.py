@@ -874,3 +874,54 @@ FROM accepted i {_RUN_JOINS} LEFT JOIN party_of p1 ON p1.bill_id = i.id""")
 
 # A stream numbers and stores what the batch run does.
 ORACLES["stream_bill_numbers"] = ORACLES["bill_numbers"]
+
+# Invoices are ingested before quotations, so parties of invoices come first.
+_STREAM_MENTIONS = f"""
+SELECT *, 1 AS phase FROM ({mentions('accepted')})
+UNION ALL
+SELECT id, 1, company_id, user_id, ts, name, nullif(phno1, ''), NULL, NULL, 2
+FROM accepted_quotations WHERE name <> ''"""
+
+_STREAM_PARTIES = """
+SELECT *, row_number() OVER (PARTITION BY company_id ORDER BY phase, late, bill_id, role) AS id
+FROM (
+  SELECT * FROM mentions WHERE phno1 IS NULL
+  UNION ALL
+  SELECT * FROM mentions WHERE phno1 IS NOT NULL
+  QUALIFY row_number() OVER (PARTITION BY company_id, name, phno1
+    ORDER BY phase, late, bill_id, role) = 1)"""
+
+
+def _stream_number(kind: str, source: str) -> str:
+    return CTES["numbers"].replace("FROM bills)", f"FROM (SELECT *, '{kind}' AS type FROM {source}))")
+
+
+_STREAM_PARTS = [
+    *[(n, CTES[n]) for n in _POSTED],
+    ("invoice_errors", CTES["invoice_errors"]),
+    ("quotation_errors", CTES["quotation_errors"]),
+    ("accepted", "SELECT * EXCLUDE (bad_eta) FROM invoice_errors WHERE error_message IS NULL"),
+    ("accepted_quotations", "SELECT * FROM quotation_errors WHERE error_message IS NULL"),
+    ("accepted_all", "SELECT id FROM accepted UNION ALL SELECT id FROM accepted_quotations"),
+    ("mentions", f"SELECT *, ts >= TIMESTAMP '1999-01-01' AS late FROM ({_STREAM_MENTIONS})"),
+    ("parties", _STREAM_PARTIES),
+    ("party_of", CTES["party_of"]),
+    ("bill_numbers", f"SELECT * FROM ({_stream_number('Invoice', 'accepted')}) UNION ALL "
+                     f"SELECT * FROM ({_stream_number('Quotation', 'accepted_quotations')})"),
+    ("bill_amounts", f"""
+SELECT history_id, CAST(round_even(round_even(sum(CAST({number('qty')} * {number('rate')}
+  AS DECIMAL(24,6))), 2), 0) AS BIGINT) AS amount
+FROM posted_lines WHERE history_id IN (SELECT id FROM accepted_all) GROUP BY history_id"""),
+]
+_ETA_STORED = "CASE WHEN i.eta = '' THEN '' ELSE strftime(CAST(i.eta AS DATE), '%d-%m-%Y') END"
+ORACLES["stream_ingest_bills"] = (
+    "WITH " + ",\n".join(f"{n} AS ({q.strip()})" for n, q in _STREAM_PARTS) + f"""
+SELECT i.id, i.company_id, n.type, n.bill_num, p1.party_id AS billed_to, {_SHIP} AS shipped_to,
+  {_ETA_STORED} AS eta, a.amount
+FROM accepted i JOIN bill_numbers n ON n.id = i.id JOIN bill_amounts a ON a.history_id = i.id
+{_ROLES}
+UNION ALL
+SELECT i.id, i.company_id, n.type, n.bill_num, p1.party_id, NULL, {_ETA_STORED}, a.amount
+FROM accepted_quotations i JOIN bill_numbers n ON n.id = i.id
+JOIN bill_amounts a ON a.history_id = i.id
+LEFT JOIN party_of p1 ON p1.bill_id = i.id AND p1.role = 1""")
