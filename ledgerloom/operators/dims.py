@@ -32,9 +32,20 @@ def first_goods(lines: DataFrame) -> DataFrame:
     )
 
 
+def known_rows(stored: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFrame:
+    """Stored rows a batch refers to.
+
+    The batch is the side to broadcast when it is small, so a large stored table is
+    filtered where it lies instead of being shuffled for every batch.
+    """
+    return stored.join(wanted.select(*keys).distinct(), keys, "left_semi")
+
+
 def new_goods(lines: DataFrame, stored: DataFrame) -> DataFrame:
     """Goods of the lines whose exact description the company does not have yet."""
-    return first_goods(lines).join(stored.select(*GOODS_KEY), GOODS_KEY, "left_anti")
+    first = first_goods(lines)
+    known = known_rows(stored.select(*GOODS_KEY), first, GOODS_KEY)
+    return first.join(known, GOODS_KEY, "left_anti")
 
 
 def with_ids(
@@ -82,6 +93,9 @@ PARTY_COLUMNS = (
 ).split()
 
 
+IDENTITY = ["company_id", "name", "_phone", "_bill", "_role"]
+
+
 def party_mentions(bills: DataFrame, attributes: list[str]) -> DataFrame:
     """One row per bill and named party, billing before shipping.
 
@@ -123,41 +137,49 @@ def same_party() -> Column:
     return (F.col("bname") == F.col("sname")) & (F.col("bphno1") == F.col("sphno1"))
 
 
-def first_parties(mentions: DataFrame) -> DataFrame:
-    """Parties to insert: the first mention of each name and phone.
+def with_identity(mentions: DataFrame) -> DataFrame:
+    """Add what makes two mentions the same party: name and phone, never NULL.
 
-    A party without a phone never equals a stored one, so each of its mentions is a
-    party of its own; those rows need no grouping at all.
+    A party without a phone equals no other one, so its own bill and role stand in for
+    the phone.
     """
+    no_phone = F.col("phno1").isNull()
+    return (
+        mentions.withColumn("_phone", F.coalesce("phno1", F.lit("")))
+        .withColumn("_bill", F.when(no_phone, F.col("bill_id")).otherwise(F.lit(-1)))
+        .withColumn("_role", F.when(no_phone, F.col("role")).otherwise(F.lit(0)))
+    )
+
+
+def first_parties(mentions: DataFrame) -> DataFrame:
+    """Parties to insert: the first mention of each, combined before any shuffle."""
     attributes = [c for c in mentions.columns if c in PARTY_COLUMNS]
     others = [a for a in attributes if a not in ("name", "phno1")]
-    with_phone = mentions.where(F.col("phno1").isNotNull())
-    first = F.min(F.struct("bill_id", "role", "user_id", *others)).alias("_first")
-    grouped = (
-        with_phone.groupBy(*CLIENT_KEY)
+    first = F.min(F.struct("bill_id", "role", "user_id", "phno1", *others)).alias("_first")
+    return (
+        with_identity(mentions)
+        .groupBy(*IDENTITY)
         .agg(first)
         .select(
-            *CLIENT_KEY,
+            "company_id",
+            "name",
+            F.col("_first.phno1").alias("phno1"),
             F.col("_first.bill_id").alias("first_bill"),
             F.col("_first.role").alias("first_role"),
             F.col("_first.user_id").alias("added_by"),
             *[F.col("_first." + a).alias(a) for a in others],
         )
     )
-    single = mentions.where(F.col("phno1").isNull()).select(
-        *CLIENT_KEY,
-        F.col("bill_id").alias("first_bill"),
-        F.col("role").alias("first_role"),
-        F.col("user_id").alias("added_by"),
-        *others,
-    )
-    return grouped.unionByName(single)
 
 
 def new_clients(mentions: DataFrame, stored: DataFrame) -> DataFrame:
     """Parties not stored yet.  NULL phones match nothing, as with SQL equality."""
-    known = stored.where(F.col("phno1").isNotNull()).select(*CLIENT_KEY)
-    return first_parties(mentions).join(known, CLIENT_KEY, "left_anti")
+    first = first_parties(mentions)
+    return first.join(known_clients(mentions, stored), CLIENT_KEY, "left_anti")
+
+
+def known_clients(mentions: DataFrame, stored: DataFrame) -> DataFrame:
+    return known_rows(stored.select(*CLIENT_KEY, "id"), mentions, CLIENT_KEY)
 
 
 def client_master(mentions: DataFrame, id_bucket: int = DEFAULT_BUCKET) -> DataFrame:
@@ -168,21 +190,21 @@ def party_ids(
     mentions: DataFrame, stored: DataFrame | None, inserted: DataFrame
 ) -> DataFrame:
     """Id of every mention: the stored party with the smallest id, else the inserted one."""
-    keyed = mentions.select("bill_id", "role", *CLIENT_KEY)
-    phone_known = keyed.where(F.col("phno1").isNotNull())
-    candidates = inserted.where(F.col("phno1").isNotNull()).select(*CLIENT_KEY, "id")
+    parties = inserted.select(
+        *CLIENT_KEY, "id", F.col("first_bill").alias("bill_id"), F.col("first_role").alias("role")
+    )
     if stored is not None:
-        candidates = candidates.unionByName(
-            stored.where(F.col("phno1").isNotNull()).select(*CLIENT_KEY, "id")
+        parties = parties.unionByName(
+            known_clients(mentions, stored).select(
+                *CLIENT_KEY,
+                "id",
+                F.lit(-1).cast("bigint").alias("bill_id"),
+                F.lit(0).alias("role"),
+            )
         )
-    by_key = candidates.groupBy(*CLIENT_KEY).agg(F.min("id").alias("party_id"))
-    found = phone_known.join(by_key, CLIENT_KEY, "left").select("bill_id", "role", "party_id")
-    own = inserted.where(F.col("phno1").isNull()).select(
-        F.col("first_bill").alias("bill_id"),
-        F.col("first_role").alias("role"),
-        F.col("id").alias("party_id"),
-    )
-    return found.unionByName(own)
+    by_identity = with_identity(parties).groupBy(*IDENTITY).agg(F.min("id").alias("party_id"))
+    keyed = with_identity(mentions.select("bill_id", "role", *CLIENT_KEY))
+    return keyed.join(by_identity, IDENTITY, "left").select("bill_id", "role", "party_id")
 
 
 def bill_parties(ids: DataFrame) -> DataFrame:

@@ -26,15 +26,13 @@ def overlay(base: DataFrame, updates: DataFrame, key: str, value: str, order: st
     )
 
 
-def default_terms(defaults: DataFrame) -> DataFrame:
-    """The first row of the one-row table."""
-    return defaults.select(F.col("custTerms").alias("default_terms")).limit(1)
-
-
 def effective_terms(companies: DataFrame, updates: DataFrame, defaults: DataFrame) -> DataFrame:
-    """Terms per company after all updates, beside the default offered to new ones."""
+    """Terms per company after all updates, beside the default offered to new ones.
+
+    The default is the first row of a one-row table.
+    """
     changed = overlay(companies.select("id", "custTerms"), updates, "id", "custTerms", "seq")
-    return changed.crossJoin(F.broadcast(default_terms(defaults)))
+    return changed.withColumn("default_terms", defaults.select("custTerms").limit(1).scalar())
 
 
 def link_accounts(users: DataFrame, companies: DataFrame) -> DataFrame:

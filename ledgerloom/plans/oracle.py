@@ -784,6 +784,23 @@ ORACLES["account_registrations"] = registrations(
     ],
     ["users", "account_posts"])
 
+def _appended(name: str, posts: str, select: str) -> str:
+    """Accepted registrations with ids following the stored ones."""
+    body, result = ORACLES[name].rsplit("\nSELECT arrival, CASE", 1)
+    return (
+        f"{body},\nresult AS (SELECT arrival, CASE{result})\n"
+        f"SELECT (SELECT max(s_suppkey) FROM supplier) + row_number() OVER (ORDER BY arrival) AS id, "
+        f"{select} FROM result JOIN {posts} USING (arrival) WHERE error_message IS NULL"
+    )
+
+
+ORACLES["company_registry"] = _appended(
+    "company_registrations", "company_posts",
+    "company_name AS name, phno1, email, gstin, bnkAcno, arrival AS created_by")
+ORACLES["account_registry"] = _appended(
+    "account_registrations", "account_posts",
+    "username, email, phno, 'admin' AS type, CAST(NULL AS BIGINT) AS company_id")
+
 ORACLES["company_terms_effective"] = query(["places", "companies"], f"""
 SELECT id, coalesce(terms, custTerms) AS custTerms, 'NET 30' AS default_terms
 FROM companies LEFT JOIN (

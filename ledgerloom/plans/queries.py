@@ -599,6 +599,22 @@ def account_registrations(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def company_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Companies to append, with their ids, and the account each one is linked to."""
+    m = SampleLedger(spark, sf_dir)
+    stored = m.companies()
+    registered = registry.register_companies(m.company_registrations(), stored)
+    rows = registry.company_rows(registered, stored)
+    return rows.select("id", "name", "phno1", "email", "gstin", "bnkAcno", "created_by")
+
+
+def account_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = SampleLedger(spark, sf_dir)
+    stored = m.users()
+    registered = registry.register_accounts(m.account_registrations(), stored)
+    return registry.account_rows(registered, stored)
+
+
 def company_terms_effective(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = SampleLedger(spark, sf_dir)
     return overlay.effective_terms(m.companies(), m.terms_updates(), m.defaults())
@@ -750,6 +766,8 @@ QUERIES = {
         registry_conflicts,
         company_registrations,
         account_registrations,
+        company_registry,
+        account_registry,
         company_terms_effective,
         account_company_link,
         invoice_run,

@@ -25,17 +25,18 @@ class Run:
     clients: DataFrame
     goods: DataFrame
     rejects: DataFrame
+    scratch: str
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
+def materialise(df: DataFrame, folder: str, name: str) -> DataFrame:
     """Write once and read back, so that several consumers share one computation."""
-    path = shared_dir(df.sparkSession, name)
-    df.write.parquet(path)
+    path = f"{folder}/{name}"
+    df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def checked_submissions(submissions: DataFrame, kind: str) -> DataFrame:
-    """Validated documents with unified party columns, computed once.
+    """Validated documents with unified party columns.
 
     Submission ids are unique and follow arrival; they become the bill ids.
     """
@@ -56,7 +57,7 @@ def checked_submissions(submissions: DataFrame, kind: str) -> DataFrame:
         "error_message",
         "error_status",
     ]
-    return materialise(checked.select(*keep), "submissions")
+    return checked.select(*keep)
 
 
 def price_bills(valid: DataFrame, priced: DataFrame, companies: DataFrame, kind: str) -> DataFrame:
@@ -95,7 +96,8 @@ def run_batch(
     id_bucket: int = DEFAULT_BUCKET,
 ) -> Run:
     """Validate, price, number and resolve a batch against the stored ledger, if any."""
-    checked = checked_submissions(submissions, kind)
+    scratch = shared_dir(submissions.sparkSession, "run")
+    checked = materialise(checked_submissions(submissions, kind), scratch, "submissions")
     valid = (
         validation.accepted(checked)
         .withColumn("id", F.col("submission_id"))
@@ -114,23 +116,31 @@ def run_batch(
     new_parties = (
         dims.first_parties(mentions) if clients is None else dims.new_clients(mentions, clients)
     )
-    new_parties = dims.with_ids(
-        new_parties, ["first_bill", "first_role"], clients, id_bucket
-    )
+    new_parties = dims.with_ids(new_parties, ["first_bill", "first_role"], clients, id_bucket)
+    new_parties = materialise(new_parties, scratch, "clients")
     parties = dims.party_ids(mentions, clients, new_parties)
     bills = dims.with_parties(priced_bills.join(numbers, "id"), parties)
 
     fresh = dims.first_goods(priced) if goods is None else dims.new_goods(priced, goods)
     fresh = dims.with_ids(fresh, ["first_bill", "first_line"], goods, id_bucket)
-    known = fresh.select("company_id", "descp", "id")
+    fresh = materialise(fresh, scratch, "goods")
+    known = fresh.select(*dims.GOODS_KEY, "id")
     if goods is not None:
-        known = known.unionByName(goods.select("company_id", "descp", "id"))
+        stored = goods.select(*dims.GOODS_KEY, "id")
+        known = known.unionByName(dims.known_rows(stored, priced, dims.GOODS_KEY))
     linked = dims.link_goods(priced, known)
 
     printed = views.print_columns(bills).withColumn(
         "amount", F.col("grand_total")
     )
-    return Run(views.with_label(printed), linked, new_parties, fresh, validation.rejects(checked))
+    return Run(
+        views.with_label(printed), linked, new_parties, fresh, validation.rejects(checked), scratch
+    )
+
+
+def release(run: Run) -> None:
+    """Remove the intermediate tables of a run whose results have been written."""
+    ledger.delete_path(run.bills.sparkSession, run.scratch)
 
 
 def documents(run: Run, companies: DataFrame, users: DataFrame) -> DataFrame:

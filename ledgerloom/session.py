@@ -26,6 +26,20 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
+# Input bytes one shuffle partition should stand for.  At 100 TB this makes about fifty
+# thousand partitions; queries read a few columns only, so each stays well below it.
+BYTES_PER_PARTITION = 2 * 1024**3
+
+
+def size_shuffles(spark: SparkSession, folder: str) -> None:
+    """Raise the number of shuffle partitions for large inputs, never lower it."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    wanted = files.getContentSummary(path).getLength() // BYTES_PER_PARTITION
+    if wanted > int(spark.conf.get("spark.sql.shuffle.partitions")):
+        spark.conf.set("spark.sql.shuffle.partitions", str(wanted))
+
+
 def local_session(cores: str | int = "*", shuffle_partitions: int = 8) -> SparkSession:
     """A single-JVM session for tests and benchmarks."""
     spark = (

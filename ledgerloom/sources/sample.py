@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions.numeric import py_round
 from ledgerloom.functions.text import INVOICE, QUOTATION
-from ledgerloom.session import configure
+from ledgerloom.session import configure, size_shuffles
 
 # Bill ids are time-ordered: the day, then the order key.
 ID_DAY = 10**12
@@ -57,6 +57,7 @@ class SampleLedger:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = configure(spark)
         self.sf_dir = sf_dir
+        size_shuffles(spark, sf_dir)
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")

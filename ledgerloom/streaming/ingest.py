@@ -98,6 +98,7 @@ def ingest_batch(
     runs.append_run(run, folder, own, companies, users)
     written = ledger.read_table(spark, folder, "history").where(F.col(BATCH) == own)
     _store_last_bills(written, folder, own)
+    runs.release(run)
 
 
 def ingest_stream(
