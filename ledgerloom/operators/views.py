@@ -24,6 +24,11 @@ def of_type(bills: DataFrame, bill_type: str) -> DataFrame:
     return bills.where(F.col("type") == bill_type)
 
 
+def newest_first(df: DataFrame) -> DataFrame:
+    """Order of the ledger and inventory pages; a range-partitioned sort, not one task."""
+    return df.orderBy(F.desc("id"))
+
+
 def lookup(df: DataFrame, keys: DataFrame, key: str, columns: list[str]) -> DataFrame:
     """Columns of the entities named by ``keys``, for all keys in one join."""
     return keys.join(df.select(key, *columns), key, "left")

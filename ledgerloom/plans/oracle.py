@@ -660,6 +660,13 @@ SELECT id, {label('type', 'ts', 'bill_num')} AS bill_label,
   {issue_label('type', 'ts', 'bill_num')} AS issue_label, {issue_date('type', 'ts')} AS issue_date
 FROM numbers""")
 
+ORACLES["sql_functions"] = query(["places", "clients", "bills", "numbers"], f"""
+SELECT 'bill' AS source, id, {label('type', 'ts', 'bill_num')} AS text_value,
+  {inr('bill_num * 1.5')} AS amount_text, CAST(NULL AS BOOLEAN) AS phone_ok,
+  CAST(NULL AS BOOLEAN) AS pin_ok FROM numbers
+UNION ALL SELECT 'client', id, name, NULL, regexp_full_match(phno1, '[6-9][0-9]{{9}}'),
+  regexp_full_match(addrPncd, '[1-9][0-9]{{5}}') FROM clients""")
+
 _AMOUNTS = ["bills", "lines", "priced", "totals", "amounts"]
 ORACLES["bill_amount_text"] = query(
     _AMOUNTS, f"SELECT id, amount, {inr('amount')} AS amount_text FROM amounts")
@@ -885,8 +892,7 @@ ORACLES["quotation_run"] = run_query(
 SELECT id AS bill_id, 1 AS role, company_id, user_id, ts, name, nullif(phno1, '') AS phno1
 FROM accepted WHERE name <> ''"""), ("parties", CTES["parties"]), ("party_of", CTES["party_of"])],
     f"""
-SELECT {_RUN_COLUMNS}, p1.party_id AS billed_to, CASE WHEN i.name = '' AND i.phno1 = ''
-  THEN NULL END AS shipped_to, t.sum_gst AS total_gst_amount
+SELECT {_RUN_COLUMNS}, p1.party_id AS billed_to, CAST(NULL AS BIGINT) AS shipped_to, t.sum_gst AS total_gst_amount
 FROM accepted i {_RUN_JOINS} LEFT JOIN party_of p1 ON p1.bill_id = i.id""")
 
 # A stream numbers and stores what the batch run does.

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import checks, text
+from ledgerloom.functions.sql import register_sql_functions
 from ledgerloom.functions.text import INVOICE, QUOTATION
 from ledgerloom.operators import dims, numbering, overlay, pricing, registry, validation, views
 from ledgerloom.plans import runs
@@ -482,6 +483,29 @@ def bill_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def sql_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The helpers registered as SQL functions, over all bills and clients."""
+    m = SampleLedger(spark, sf_dir)
+    register_sql_functions(spark)
+    bills = _numbered(m).selectExpr(
+        "'bill' AS source",
+        "id",
+        "bill_label(type, bill_timestamp, bill_num) AS text_value",
+        "inr(bill_num * 1.5D) AS amount_text",
+        "CAST(NULL AS BOOLEAN) AS phone_ok",
+        "CAST(NULL AS BOOLEAN) AS pin_ok",
+    )
+    clients = m.clients().selectExpr(
+        "'client' AS source",
+        "id",
+        "name AS text_value",
+        "CAST(NULL AS STRING) AS amount_text",
+        "is_valid_phno(phno1) AS phone_ok",
+        "is_valid_pncd(addrPncd) AS pin_ok",
+    )
+    return bills.unionByName(clients)
+
+
 def _amounts(m: SampleLedger) -> DataFrame:
     return pricing.with_amount(m.headers().select("id"), m.lines(m.headers()))
 
@@ -755,6 +779,7 @@ QUERIES = {
         bill_numbers_incremental,
         bill_numbers_fiscal_year,
         bill_labels,
+        sql_functions,
         bill_amount_text,
         bill_amount_words,
         goods_master,

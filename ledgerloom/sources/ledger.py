@@ -45,6 +45,15 @@ def delete_path(spark: SparkSession, path: str) -> None:
     files.delete(hadoop_path, True)
 
 
+def batch_ids(spark: SparkSession, path: str) -> list[int]:
+    """Batches that wrote to a table, from the names of its folders."""
+    files, hadoop_path = _file_system(spark, path)
+    if not files.exists(hadoop_path):
+        return []
+    names = [status.getPath().getName() for status in files.listStatus(hadoop_path)]
+    return sorted(int(n.split("=")[1]) for n in names if n.startswith(f"{BATCH}="))
+
+
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """One ledger table with its batch column; empty while nothing has been appended."""
     schema = T.StructType(LEDGER_TABLES[name].fields + [T.StructField(BATCH, T.LongType())])

@@ -30,7 +30,6 @@ LAST_BILLS = T.StructType(
         T.StructField("type", T.StringType()),
         T.StructField("bill_num", T.LongType()),
         T.StructField("bill_timestamp", T.TimestampType()),
-        T.StructField(BATCH, T.LongType()),
     ]
 )
 BILL_HEADER = T.StructType(
@@ -48,30 +47,26 @@ def _other_batches(df: DataFrame, batch_id: int) -> DataFrame:
     return df.where(F.col(BATCH) != batch_id).drop(BATCH)
 
 
-def last_bills(spark: SparkSession, folder: str, batch_id: int) -> DataFrame:
+def last_bills(spark: SparkSession, path: str, batch_id: int) -> DataFrame:
     """Last bill per series before a batch.
 
-    Every batch stores the last bills of the series it touched, so this reads a few
-    rows per batch instead of the ledger.
+    Every batch leaves a snapshot with one row per series, so this never reads the
+    ledger, whatever its size.
     """
-    path = f"{folder}/last_bills"
-    if not ledger.path_exists(spark, path):
-        stored = spark.createDataFrame([], LAST_BILLS)
-    else:
-        stored = spark.read.schema(LAST_BILLS).parquet(path)
-    newest = F.max_by(F.struct("bill_num", "bill_timestamp"), BATCH).alias("_last")
-    return (
-        stored.where(F.col(BATCH) != batch_id)
-        .groupBy(*numbering.SERIES)
-        .agg(newest)
-        .select(*numbering.SERIES, "_last.*")
-    )
+    earlier = [b for b in ledger.batch_ids(spark, path) if b < batch_id]
+    if not earlier:
+        return spark.createDataFrame([], LAST_BILLS)
+    return spark.read.schema(LAST_BILLS).parquet(f"{path}/{BATCH}={earlier[-1]}")
 
 
-def _store_last_bills(bills: DataFrame, folder: str, batch_id: int) -> None:
-    numbering.last_bill(bills).write.mode("overwrite").parquet(
-        f"{folder}/last_bills/{BATCH}={batch_id}"
-    )
+def _store_last_bills(bills: DataFrame, seeds: DataFrame, path: str, batch_id: int) -> None:
+    """Write the snapshot after a batch and drop those no repeated batch can ask for."""
+    spark = bills.sparkSession
+    touched = numbering.last_bill(bills)
+    kept = seeds.join(touched, numbering.SERIES, "left_anti")
+    kept.unionByName(touched).write.mode("overwrite").parquet(f"{path}/{BATCH}={batch_id}")
+    for old in [b for b in ledger.batch_ids(spark, path) if b < batch_id][:-1]:
+        ledger.delete_path(spark, f"{path}/{BATCH}={old}")
 
 
 def ingest_batch(
@@ -86,18 +81,20 @@ def ingest_batch(
     """Run one batch of documents against the ledger in ``folder`` and append it."""
     spark = submissions.sparkSession
     own = KIND_START[kind] + batch_id
+    snapshots = f"{folder}/last_bills/{kind}"
+    seeds = last_bills(spark, snapshots, own)
     run = runs.run_batch(
         submissions,
         kind,
         companies,
         clients=_other_batches(ledger.read_table(spark, folder, "beneficiaries"), own),
         goods=_other_batches(ledger.read_table(spark, folder, "goods"), own),
-        seeds=last_bills(spark, folder, own),
+        seeds=seeds,
         id_bucket=id_bucket,
     )
     runs.append_run(run, folder, own, companies, users)
     written = ledger.read_table(spark, folder, "history").where(F.col(BATCH) == own)
-    _store_last_bills(written, folder, own)
+    _store_last_bills(written, seeds, snapshots, own)
     runs.release(run)
 
 
@@ -144,10 +141,11 @@ def number_stream(
         reader = reader.option("maxFilesPerTrigger", max_files)
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        seeds = last_bills(spark, folder, batch_id)
+        snapshots = f"{folder}/last_bills"
+        seeds = last_bills(spark, snapshots, batch_id)
         target = f"{folder}/numbered/{BATCH}={batch_id}"
         numbering.number_bills(batch, seeds, id_bucket).write.mode("overwrite").parquet(target)
-        _store_last_bills(spark.read.parquet(target), folder, batch_id)
+        _store_last_bills(spark.read.parquet(target), seeds, snapshots, batch_id)
 
     return (
         reader.parquet(source)

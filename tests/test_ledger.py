@@ -142,6 +142,17 @@ def test_document_lookup(spark, stored):
     assert views.bill_document(model.history, 5, 2).isEmpty()
 
 
+def test_pages_are_ordered_newest_first(spark, stored):
+    model = ledger.load_model(spark, stored[0])
+    assert [r.id for r in views.newest_first(model.history).collect()] == [8, 7, 6, 5, 3, 2, 1]
+
+
+def test_one_snapshot_of_last_bills_per_batch_in_use(spark, stored):
+    assert ledger.batch_ids(spark, f"{stored[0]}/last_bills/Invoice") == [0, 1]
+    last = spark.read.parquet(f"{stored[0]}/last_bills/Invoice/batch_id=1")
+    assert sorted((r.company_id, r.bill_num) for r in last.collect()) == [(1, 2), (2, 1)]
+
+
 def test_keyed_lookup(spark, stored):
     keys = spark.createDataFrame([(1,), (9,)], "id long")
     got = views.lookup(posts.companies(spark), keys, "id", ["custTerms"]).collect()

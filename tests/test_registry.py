@@ -5,6 +5,8 @@ import random
 import pytest
 
 from ledgerloom.operators import overlay, registry
+from ledgerloom.session import shared_dir
+from ledgerloom.sources import ledger
 from ledgerloom.sources.schema import COMPANY_REGISTRATION
 
 ACCOUNT = "arrival long, username string, email string, phno string"
@@ -152,3 +154,36 @@ def test_account_is_linked_to_its_company(spark):
     companies = spark.createDataFrame([(10, 1), (11, 7)], "id long, created_by long")
     got = overlay.link_accounts(users, companies).collect()
     assert {r.id: r.company_id for r in got} == {1: 10, 2: 5}
+
+
+def test_accepted_registrations_are_appended(spark, sample):
+    folder = shared_dir(spark, "test-registry")
+    ledger.append_registry(sample.companies(), folder, "companies", 0)
+    stored = ledger.read_table(spark, folder, "companies").drop("batch_id")
+    batch = spark.createDataFrame(
+        [company(30), company(10), company(20, email="bad"), company(11, phno1=f"6{10:09d}")],
+        COMPANY_REGISTRATION,
+    )
+    rows = registry.company_rows(registry.register_companies(batch, stored), stored)
+    ledger.append_registry(rows, folder, "companies", 1)
+    got = ledger.read_table(spark, folder, "companies").where("batch_id = 1")
+    highest = sample.companies().agg({"id": "max"}).first()[0]
+    assert sorted((r.id, r.name, r.created_by) for r in got.collect()) == [
+        (highest + 1, "Firm 10", 10), (highest + 2, "Firm 30", 30),
+    ]
+    # The second batch meets the first one's values in the store.
+    stored = ledger.read_table(spark, folder, "companies").drop("batch_id")
+    again = registry.register_companies(batch.where("arrival = 30"), stored).first()
+    assert again.error_message == "Mobile number already registered"
+
+
+def test_accepted_accounts(spark):
+    users = spark.createDataFrame([(7, "zelda", None, None)], USERS)
+    batch = spark.createDataFrame(
+        [(1, "alice", " a@x.co ", ""), (2, "abc", "", ""), (3, "bobby", "", "6000000001")], ACCOUNT
+    )
+    rows = registry.account_rows(registry.register_accounts(batch, users), users)
+    assert sorted(tuple(r) for r in rows.collect()) == [
+        (8, "alice", "a@x.co", None, "admin", None),
+        (9, "bobby", None, "6000000001", "admin", None),
+    ]
