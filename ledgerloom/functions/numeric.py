@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-MONEY = "decimal(18,2)"
-EXACT = "decimal(24,6)"
+# Decimals kept of each unrounded amount or quantity when they are summed.
+SUM_DIGITS = 6
 
 # What a form may send as a number: optional sign, digits with single underscores
 # between them, optional fraction and exponent.
@@ -43,14 +45,24 @@ def to_fixed(value: Column) -> Column:
     return F.when((size * 8) % 2 == 1, up).otherwise(py_round(value, 2))
 
 
-def exact_sum(value: Column, digits: int) -> Column:
-    """Order-independent sum of a double column, rounded half-even to ``digits``."""
-    return F.bround(F.sum(value.cast(EXACT)), digits)
+def exact_sum(value: Column, digits: int, unit: int = SUM_DIGITS) -> Column:
+    """Sum of a double column, rounded half-even to ``digits``, whatever the row order.
+
+    Rows are added as whole units of ten to the minus ``unit``, in plain 64-bit integers.
+    Only when a value or the sum is too large for that are the doubles added as they are.
+    """
+    scaled = value * 10.0**unit
+    units = F.when(F.abs(scaled) < 9e15, F.rint(scaled).cast("bigint"))
+    total = F.try_sum(units)
+    step = F.lit(Decimal(1).scaleb(-unit))
+    exact = F.bround(total.cast("decimal(19,0)") * step, digits).cast("double")
+    complete = (F.count(value) == F.count(units)) & total.isNotNull()
+    return F.when(complete, exact).otherwise(py_round(F.sum(value), digits))
 
 
 def money_sum(value: Column) -> Column:
     """Sum of amounts that already have two decimals."""
-    return F.sum(value.cast(MONEY))
+    return exact_sum(value, 2, unit=2)
 
 
 def parse_number(text: Column) -> Column:

@@ -35,8 +35,13 @@ QUOTATION = "Quotation"
 
 
 def strip(text: Column) -> Column:
-    """Remove leading and trailing whitespace of any kind, not only spaces."""
-    return F.trim(text, F.lit(WHITESPACE))
+    """Remove leading and trailing whitespace of any kind, not only spaces.
+
+    Most values begin and end with a printable ASCII character and stay as they are.
+    """
+    first, last = F.ascii(text), F.ascii(F.right(text, F.lit(1)))
+    plain = (first > 32) & (first < 128) & (last > 32) & (last < 128)
+    return F.when(plain, text).otherwise(F.trim(text, F.lit(WHITESPACE)))
 
 
 def blank_to_null(text: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.functions.numeric import MONEY, exact_sum, money_sum, py_round
+from ledgerloom.functions.numeric import exact_sum, money_sum, py_round
 from ledgerloom.functions.text import preview_amount
 
 BILL = ["company_id", "history_id"]
@@ -42,39 +42,34 @@ def price_lines(lines: DataFrame) -> DataFrame:
     )
 
 
-def round_off_columns(total: Column) -> tuple[Column, Column]:
-    """Grand total as whole rupees and the signed difference to the total."""
-    grand = F.bround(total, 0).cast("bigint")
-    return grand, F.bround(grand.cast("decimal(24,2)") - total, 2).cast("double")
+def whole_rupees(total: Column) -> Column:
+    """Grand total: nearest whole number, a half goes to the even one."""
+    return F.rint(total).try_cast("bigint")
 
 
 def sum_lines(priced: DataFrame, by: list[str] = BILL, extra: tuple[Column, ...] = ()) -> DataFrame:
-    """Totals per bill in one aggregation.
+    """Totals per bill in one aggregation; ``round_off`` may be negative.
 
     The tax is summed for both kinds of bill; which sum counts is decided per bill, so
     the place of supply never has to be joined to the lines.
     """
     sums = priced.groupBy(*by).agg(
-        exact_sum(F.col("qty"), 3).cast("double").alias("total_qty"),
-        exact_sum(F.col("amount"), 2).alias("_total"),
-        money_sum(F.col("amount_wo_gst")).cast("double").alias("total_amount_wo_gst"),
-        money_sum(F.col("gst_amount")).cast("double").alias("sum_gst"),
-        money_sum(F.col("cgst_amount")).cast("double").alias("sum_cgst"),
+        exact_sum(F.col("qty"), 3).alias("total_qty"),
+        exact_sum(F.col("amount"), 2).alias("total_amount"),
+        money_sum(F.col("amount_wo_gst")).alias("total_amount_wo_gst"),
+        money_sum(F.col("gst_amount")).alias("sum_gst"),
+        money_sum(F.col("cgst_amount")).alias("sum_cgst"),
         *extra,
     )
-    grand, round_off = round_off_columns(F.col("_total"))
-    return (
-        sums.withColumn("total_amount", F.col("_total").cast("double"))
-        .withColumn("grand_total", grand)
-        .withColumn("round_off", round_off)
-        .drop("_total")
+    total, grand = F.col("total_amount"), F.col("grand_total")
+    return sums.withColumn("grand_total", whole_rupees(total)).withColumn(
+        "round_off", py_round(grand - total)
     )
 
 
 def grand_totals(lines: DataFrame, by: list[str] = BILL) -> DataFrame:
     """Only the stored amount of each bill; reads rate and quantity, nothing else."""
-    total = lines.groupBy(*by).agg(exact_sum(line_amount(), 2).alias("_total"))
-    return total.select(*by, round_off_columns(F.col("_total"))[0].alias("amount"))
+    return lines.groupBy(*by).agg(whole_rupees(exact_sum(line_amount(), 2)).alias("amount"))
 
 
 def with_amount(headers: DataFrame, lines: DataFrame) -> DataFrame:
@@ -99,7 +94,7 @@ def place_of_supply(headers: DataFrame, companies: DataFrame, clients: DataFrame
         F.col("id").alias("billed_to"), F.col("addrState").alias("client_state")
     )
     return (
-        headers.join(sellers, "company_id")
+        headers.join(sellers, "company_id", "left")
         .join(buyers, "billed_to", "left")
         .withColumn("inter_state", crosses_states("company_state", "client_state"))
     )
@@ -124,10 +119,9 @@ def split_tax(bills: DataFrame) -> DataFrame:
 
 def preview_totals(lines: DataFrame) -> DataFrame:
     """Total the entry form shows, a sum of rounded lines, next to the billed total."""
-    preview = F.sum(preview_amount(F.col("rate"), F.col("qty")).cast(MONEY))
     totals = lines.groupBy(*BILL).agg(
-        preview.cast("double").alias("preview_total"),
-        exact_sum(line_amount(), 2).cast("double").alias("total_amount"),
+        money_sum(preview_amount(F.col("rate"), F.col("qty"))).alias("preview_total"),
+        exact_sum(line_amount(), 2).alias("total_amount"),
     )
     # The form leaves the field blank when the sum is zero.
     shown = F.when(F.col("preview_total") != 0, F.col("preview_total"))

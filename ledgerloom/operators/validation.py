@@ -31,6 +31,11 @@ BAD_PHONE = "Invalid Phone Number"
 BAD_MOBILE = "Invalid mobile number"
 BAD_ETA = "Invalid values in ETA"
 REFUSED = 403
+# Totals that would round to 10^10 or more cannot be put into words, so no bill can be
+# issued for them.
+TOO_LARGE = "Total amount out of range"
+LARGEST_TOTAL = 9999999999.5
+FAILED = 500
 
 # Browser-side limits of the entry forms: reported as warnings, never refused.
 STEPS = {"qty": (3, None), "rate": (2, None), "gst": (2, 100.0)}
@@ -81,25 +86,33 @@ def _passes(minimum: float):
     return lambda x: at_least(x, minimum)
 
 
+def numbers_of(field: str) -> str:
+    """Column with the parsed numbers of a repeated field."""
+    return f"{field}_numbers"
+
+
 def line_checks(df: DataFrame) -> DataFrame:
-    """Add the outcome of the rules on the repeated goods fields (already stripped).
+    """Parse the repeated goods fields (already stripped) and add the outcome of their rules.
 
     A number below its minimum is dropped from its array, which then differs in length
     from the others: one bad line refuses the whole document.
     """
-    numbers = {f: F.transform(f, parse_number) for f in LINE_MINIMA}
+    parsed = df.withColumns({numbers_of(f): F.transform(f, parse_number) for f in LINE_MINIMA})
     unreadable = F.lit(False)
     lengths = [F.size(f) for f in GOODS_FIELDS if f not in LINE_MINIMA]
     for field, minimum in LINE_MINIMA.items():
-        unreadable = unreadable | F.exists(numbers[field], lambda x: x.isNull())
-        lengths.append(F.size(F.filter(numbers[field], _passes(minimum))))
-    return df.withColumns(
+        unreadable = unreadable | F.exists(numbers_of(field), lambda x: x.isNull())
+        lengths.append(F.size(F.filter(numbers_of(field), _passes(minimum))))
+    amounts = F.zip_with(numbers_of("rate"), numbers_of("qty"), lambda rate, qty: rate * qty)
+    total = F.aggregate(amounts, F.lit(0.0), lambda sum_, x: sum_ + x)
+    return parsed.withColumns(
         {
             "blank_line_fields": checks.blank_line_fields(
                 {f: F.col(f) for f in REQUIRED_LINE_FIELDS}
             ),
             "bad_number": F.coalesce(unreadable, F.lit(False)),
             "bad_length": F.size(F.array_distinct(F.array(*lengths))) != 1,
+            "too_large": F.coalesce(total >= LARGEST_TOTAL, F.lit(False)),
         }
     )
 
@@ -146,6 +159,7 @@ def validate(df: DataFrame, kind: str) -> DataFrame:
             (F.col("bad_pincode"), BAD_PINCODE, REFUSED),
             (F.col("bad_phone"), BAD_PHONE if kind == INVOICE else BAD_MOBILE, REFUSED),
             (F.col("bad_eta"), BAD_ETA, REFUSED),
+            (F.col("too_large"), TOO_LARGE, FAILED),
         ]
     )
     return flagged.withColumn("error_message", message).withColumn("error_status", status)
@@ -162,8 +176,10 @@ def rejects(validated: DataFrame) -> DataFrame:
 
 
 def explode_lines(valid: DataFrame) -> DataFrame:
-    """Accepted documents as lines: parallel arrays become rows, strings numbers."""
-    zipped = F.arrays_zip(*[F.col(f) for f in GOODS_FIELDS if f != "serialNumber"])
+    """Validated documents as lines: parallel arrays become rows."""
+    zipped = F.arrays_zip(
+        "descp", "hsn_sac", "uom", "amount", *[numbers_of(f) for f in LINE_MINIMA]
+    )
     lines = valid.select(
         "company_id",
         "user_id",
@@ -179,7 +195,7 @@ def explode_lines(valid: DataFrame) -> DataFrame:
         blank_to_null(F.col("line.hsn_sac")).alias("hsn_sac"),
         blank_to_null(F.col("line.uom")).alias("uom"),
         F.col("line.amount").alias("posted_amount"),
-        *[parse_number(F.col("line." + f)).alias(f) for f in LINE_MINIMA],
+        *[F.col("line." + numbers_of(f)).alias(f) for f in LINE_MINIMA],
     )
 
 

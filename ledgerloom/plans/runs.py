@@ -16,6 +16,16 @@ from ledgerloom.sources import ledger
 from ledgerloom.sources.schema import PARTY_FIELDS
 
 
+# Repeated fields a run needs after validation; numbers are kept parsed.
+LINE_ARRAYS = (
+    "descp",
+    "hsn_sac",
+    "uom",
+    "amount",
+    *(validation.numbers_of(f) for f in validation.LINE_MINIMA),
+)
+
+
 @dataclass(frozen=True)
 class Run:
     """Everything a batch of one kind of document adds to the ledger."""
@@ -53,7 +63,7 @@ def checked_submissions(submissions: DataFrame, kind: str) -> DataFrame:
         "transport_mode",
         "payment_mode",
         "eta",
-        *validation.GOODS_FIELDS,
+        *LINE_ARRAYS,
         "error_message",
         "error_status",
     ]
@@ -74,8 +84,8 @@ def price_bills(valid: DataFrame, priced: DataFrame, companies: DataFrame, kind:
         F.col("id").alias("company_id"), F.col("addrState").alias("company_state")
     )
     bills = (
-        valid.drop(*validation.GOODS_FIELDS)
-        .join(sellers, "company_id")
+        valid.drop(*LINE_ARRAYS)
+        .join(sellers, "company_id", "left")
         .join(totals, F.col("id") == F.col("history_id"))
         .drop("history_id")
     )

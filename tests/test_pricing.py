@@ -74,6 +74,13 @@ def test_preview_rounds_each_line_and_ties_up(spark):
         assert (row.preview_total, row.total_amount, row.same_total) == (0.26, 0.25, False)
 
 
+def test_absurd_tax_rate_does_not_stop_a_batch(spark):
+    rows = [(1, 1, 10.0, 1.0, 1e300), (1, 2, 10.0, 1.0, 18.0)]
+    got = {r.history_id: r for r in pricing.sum_lines(priced(spark, rows)).collect()}
+    assert got[1].total_amount == 10.0 and got[1].sum_gst > 1e298
+    assert got[2].sum_gst == 1.8
+
+
 def test_tax_is_split_one_way_only(spark, sample):
     invoices = sample.headers().where("type = 'Invoice'")
     totals = pricing.sum_lines(pricing.price_lines(sample.lines(invoices)))
