@@ -709,12 +709,13 @@ def _slices(df: DataFrame, date: str) -> list[DataFrame]:
 
 
 def stream_ingest_bills(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Invoices, then quotations, delivered as files and ingested by streams."""
+    """Invoices in two deliveries, then quotations, ingested as files by streams."""
     m = SampleLedger(spark, sf_dir)
     folder = shared_dir(spark, "stream-ledger")
     for kind in KINDS:
         posted = m.submissions(kind).drop("order_key")
-        for part in _slices(posted, "bill_date"):
+        parts = _slices(posted, "bill_date") if kind == INVOICE else [posted]
+        for part in parts:
             part.write.mode("append").option("ignoreNullFields", "true").json(
                 f"{folder}/in-{kind}"
             )
