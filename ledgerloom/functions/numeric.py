@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from decimal import Decimal
 
-from pyspark.sql import Column
+from pyspark.sql import Column, WindowSpec
 from pyspark.sql import functions as F
 
 # Decimals kept of each unrounded amount or quantity when they are summed.
@@ -45,19 +45,25 @@ def to_fixed(value: Column) -> Column:
     return F.when((size * 8) % 2 == 1, up).otherwise(py_round(value, 2))
 
 
-def exact_sum(value: Column, digits: int, unit: int = SUM_DIGITS) -> Column:
+def exact_sum(
+    value: Column, digits: int, unit: int = SUM_DIGITS, window: WindowSpec | None = None
+) -> Column:
     """Sum of a double column, rounded half-even to ``digits``, whatever the row order.
 
     Rows are added as whole units of ten to the minus ``unit``, in plain 64-bit integers.
     Only when a value or the sum is too large for that are the doubles added as they are.
+    With a ``window`` the sum is taken over it instead of a group.
     """
+    def total_of(aggregate: Column) -> Column:
+        return aggregate if window is None else aggregate.over(window)
+
     scaled = value * 10.0**unit
     units = F.when(F.abs(scaled) < 9e15, F.rint(scaled).cast("bigint"))
-    total = F.try_sum(units)
+    total = total_of(F.try_sum(units))
     step = F.lit(Decimal(1).scaleb(-unit))
     exact = F.bround(total.cast("decimal(19,0)") * step, digits).cast("double")
-    complete = (F.count(value) == F.count(units)) & total.isNotNull()
-    return F.when(complete, exact).otherwise(py_round(F.sum(value), digits))
+    complete = (total_of(F.count(value)) == total_of(F.count(units))) & total.isNotNull()
+    return F.when(complete, exact).otherwise(py_round(total_of(F.sum(value)), digits))
 
 
 def money_sum(value: Column) -> Column:

@@ -141,14 +141,17 @@ def history_lines(headers: DataFrame, items: DataFrame) -> DataFrame:
 LINE_STRUCT = ["line_no", "descp", "hsn_sac", "uom", "rate", "gst", "qty", "good_amount"]
 
 
-def history_nested(headers: DataFrame, items: DataFrame) -> DataFrame:
+def history_nested(
+    headers: DataFrame, items: DataFrame, extra: tuple[Column, ...] = ()
+) -> DataFrame:
     """One row per bill with its goods as an array in line order.
 
     Lines are nested before they meet the headers, so header texts are not repeated per
-    line.  A bill without lines lists one entry with no values.
+    line.  A bill without lines lists one entry with no values.  ``extra`` aggregates of
+    the lines are computed on the way.
     """
     nested = items.groupBy("history_id").agg(
-        F.array_sort(F.collect_list(F.struct(*LINE_STRUCT))).alias("list_of_goods")
+        F.array_sort(F.collect_list(F.struct(*LINE_STRUCT))).alias("list_of_goods"), *extra
     )
     kinds = dict(items.dtypes)
     empty = F.struct(
@@ -265,6 +268,25 @@ def document_lines(priced: DataFrame) -> Column:
     )
 
 
+def printed_line(line: Column, whole: Column) -> Column:
+    """A document line with the taxes that apply: the whole one or two halves."""
+    half = F.when(~whole, line["cgst_amount"])
+    half_percent = F.when(~whole, line["cgst_percent"])
+    return F.struct(
+        *[
+            line[c].alias(c)
+            for c in (
+                "line_no", "descp", "hsn_sac", "qty", "uom", "rate_wo_gst", "amount_wo_gst", "gst"
+            )
+        ],
+        F.when(whole, line["gst_amount"]).alias("gst_amount"),
+        half_percent.alias("cgst_percent"),
+        half.alias("cgst_amount"),
+        half_percent.alias("sgst_percent"),
+        half.alias("sgst_amount"),
+    )
+
+
 # Company columns printed on a document, as document column: company column.
 COMPANY_PRINT = {
     "company_email": "email",

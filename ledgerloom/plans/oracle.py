@@ -485,8 +485,13 @@ FROM (SELECT id, company_id + CASE WHEN k % 5 = 0 THEN 1 ELSE 0 END AS company_i
 LEFT JOIN numbers n ON r.id = n.id AND r.company_id = n.company_id""")
 
 _PRINT = """SELECT history_id, count(*) AS n_lines, string_agg(concat_ws(':', line_no, descp,
-    hsn_sac, uom, format('{:.2f}', rate_wo_gst), format('{:.2f}', amount_wo_gst)), ';'
-    ORDER BY line_no) AS lines_text FROM priced GROUP BY history_id"""
+    hsn_sac, uom, format('{:.2f}', rate_wo_gst), format('{:.2f}', amount_wo_gst),
+    CASE WHEN p.type = 'Quotation' OR c.addrState <> coalesce(x.addrState, '')
+      THEN format('{:.2f}', gst_amount)
+      ELSE format('{:.2f}:{:.2f}', cgst_amount, cgst_amount) END), ';'
+    ORDER BY line_no) AS lines_text
+  FROM priced p JOIN bills b ON b.id = p.history_id JOIN companies c ON c.id = p.company_id
+  LEFT JOIN clients x ON x.id = b.billed_to GROUP BY history_id"""
 ORACLES["bill_document_flat"] = query(
     ["places", "companies", "users", "clients", "bills", "lines", "priced", "totals", "numbers"],
     f"""

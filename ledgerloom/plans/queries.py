@@ -5,10 +5,12 @@ from __future__ import annotations
 import datetime
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import checks, text
+from ledgerloom.functions.numeric import exact_sum
 from ledgerloom.functions.sql import register_sql_functions
 from ledgerloom.functions.text import INVOICE, QUOTATION
 from ledgerloom.operators import dims, numbering, overlay, pricing, registry, validation, views
@@ -91,16 +93,19 @@ def bill_document_flat(spark: SparkSession, sf_dir: str) -> DataFrame:
         .withColumn("inter_state", pricing.crosses_states("company_state", "buyer_state"))
     )
     printed = views.print_columns(pricing.split_tax(bills))
-    line = lambda x: F.concat_ws(
-        ":",
-        x["line_no"].cast("string"),
-        x["descp"],
-        x["hsn_sac"],
-        x["uom"],
-        F.format_string("%.2f", x["rate_wo_gst"]),
-        F.format_string("%.2f", x["amount_wo_gst"]),
-    )
     quotation = F.col("type") == QUOTATION
+    whole = quotation | F.col("inter_state")
+
+    def line_text(line: Column) -> Column:
+        shown = views.printed_line(line, whole)
+        numbers = ("rate_wo_gst", "amount_wo_gst", "gst_amount", "cgst_amount", "sgst_amount")
+        return F.concat_ws(
+            ":",
+            shown["line_no"].cast("string"),
+            *[shown[c] for c in ("descp", "hsn_sac", "uom")],
+            *[F.when(shown[c].isNotNull(), F.format_string("%.2f", shown[c])) for c in numbers],
+        )
+
     return printed.select(
         "bill_id",
         "company_name",
@@ -120,7 +125,7 @@ def bill_document_flat(spark: SparkSession, sf_dir: str) -> DataFrame:
         text.null_to_blank(F.col("payment")).alias("payment"),
         "eta",
         F.size("lines").cast("bigint").alias("n_lines"),
-        F.array_join(F.transform("lines", line), ";").alias("lines_text"),
+        F.array_join(F.transform("lines", line_text), ";").alias("lines_text"),
         "total_qty",
         "total_amount_wo_gst",
         F.when(quotation, F.col("sum_gst")).otherwise(F.col("total_gst_amount")).alias(
@@ -287,30 +292,40 @@ def eta_normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- ledger reports -------------------------------------------------------------------
 
 
-def _headers(m: SampleLedger, numbered: DataFrame, bills: DataFrame) -> DataFrame:
-    """Headers as shown, parties first: amounts and lines then share one shuffle by id."""
-    return pricing.with_amount(views.header_view(numbered, m.clients()), m.lines(bills))
+# The sample has no stored bill amounts; the reports below add up the lines they read
+# anyway, so the lines are not scanned again for the amounts.
+
+
+def _amount_of(total: Column) -> Column:
+    return F.coalesce(pricing.whole_rupees(total), F.lit(0).cast("bigint"))
 
 
 def history_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = SampleLedger(spark, sf_dir)
-    bills = m.headers()
-    return views.history_lines(_headers(m, _numbered(m), bills), _items(m, bills))
+    headers = views.header_view(_numbered(m), m.clients())
+    bill = W.partitionBy("id")
+    total = exact_sum(F.col("good_amount"), 2, window=bill)
+    rows = views.history_lines(headers, _items(m, m.headers()))
+    return rows.withColumn("amount", _amount_of(total))
+
+
+def _nested(m: SampleLedger, numbered: DataFrame, items: DataFrame) -> DataFrame:
+    headers = views.header_view(numbered, m.clients())
+    total = exact_sum(F.col("good_amount"), 2).alias("amount")
+    nested = views.history_nested(headers, items, (total,))
+    return views.flatten_goods(nested.withColumn("amount", _amount_of(F.col("amount"))))
 
 
 def history_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = SampleLedger(spark, sf_dir)
-    bills = m.headers()
-    nested = views.history_nested(_headers(m, _numbered(m), bills), _items(m, bills))
-    return views.flatten_goods(nested)
+    return _nested(m, _numbered(m), _items(m, m.headers()))
 
 
 def latest_bills(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dashboard: the five newest bills of each type for every company."""
     m = SampleLedger(spark, sf_dir)
     newest = views.latest(_numbered(m))
-    nested = views.history_nested(_headers(m, newest, newest), _items(m, newest))
-    return views.flatten_goods(nested)
+    return _nested(m, newest, _items(m, newest))
 
 
 def bills_by_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -389,7 +404,7 @@ def bill_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def bill_tax_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = SampleLedger(spark, sf_dir)
-    invoices = views.of_type(m.headers(), INVOICE)
+    invoices = m.headers(INVOICE)
     placed = pricing.place_of_supply(
         invoices.select("id", "company_id", "billed_to"), m.companies(), m.clients()
     ).drop("company_id")
@@ -405,7 +420,7 @@ def bill_tax_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def quotation_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = SampleLedger(spark, sf_dir)
-    return _totals(m, views.of_type(m.headers(), QUOTATION)).select(
+    return _totals(m, m.headers(QUOTATION)).select(
         "history_id",
         "total_qty",
         "total_amount",

@@ -154,12 +154,17 @@ def release(run: Run) -> None:
 
 
 def documents(run: Run, companies: DataFrame, users: DataFrame) -> DataFrame:
-    """What is printed on each document of a run, with its lines as an array."""
+    """What is printed on each document of a run, with its lines as an array.
+
+    Lines of a bill inside one state show both half taxes, all others the whole tax.
+    """
+    whole = F.col("inter_state") if "inter_state" in run.bills.columns else F.lit(True)
     lines = run.lines.groupBy("history_id").agg(views.document_lines(run.lines).alias("lines"))
     return (
         run.bills.join(views.company_print(companies).drop("company_state"), "company_id")
         .join(views.issuer_print(users), "user_id", "left")
         .join(lines, F.col("id") == F.col("history_id"))
+        .withColumn("lines", F.transform("lines", lambda x: views.printed_line(x, whole)))
         .withColumn("buyer_addr", text.address("b"))
         .withColumn("buyer_phno", text.phones("b"))
         .withColumn("ship_addr", text.address("s"))

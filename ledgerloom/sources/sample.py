@@ -159,8 +159,8 @@ class SampleLedger:
             )
         )
 
-    def headers(self) -> DataFrame:
-        """Bills without number and amount.
+    def headers(self, kind: str | None = None) -> DataFrame:
+        """Bills, of one kind if asked for, without number and amount.
 
         ``order_key`` and ``custkey`` belong to this mapping, not to the ledger: they
         link a bill to its lines and to the customer who caused it.
@@ -169,7 +169,12 @@ class SampleLedger:
         is_invoice = F.col("o_orderstatus").isin("F", "O")
         day = F.col("o_orderdate").cast("date")
         blank = F.lit("")
-        return self.table("orders").select(
+        orders = self.table("orders")
+        if kind == INVOICE:
+            orders = orders.where(is_invoice)
+        elif kind == QUOTATION:
+            orders = orders.where(~is_invoice | F.col("o_orderstatus").isNull())
+        return orders.select(
             (F.datediff(day, F.lit("1990-01-01").cast("date")) * F.lit(ID_DAY) + k).alias("id"),
             k.alias("order_key"),
             c.alias("custkey"),
@@ -257,8 +262,7 @@ class SampleLedger:
             .otherwise(F.date_format(F.date_add("bill_date", 7), "yyyy-MM-dd"))
         )
         documents = (
-            self.headers()
-            .where(F.col("type") == kind)
+            self.headers(kind)
             .drop("eta", "billed_to", "shipped_to")
             .withColumn("bill_date", F.col("bill_timestamp").cast("date"))
             .join(clients.withColumnRenamed("id", "custkey"), "custkey")
@@ -293,7 +297,7 @@ class SampleLedger:
 
     def submissions(self, kind: str) -> DataFrame:
         """Posted documents with their repeated goods fields as parallel arrays."""
-        headers = self.headers().where(F.col("type") == kind)
+        headers = self.headers(kind)
         d = F.col("order_key") % 97
         first = F.col("line_no") == 1
 

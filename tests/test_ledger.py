@@ -97,6 +97,9 @@ def test_documents(spark, stored):
     assert [(l.line_no, l.descp, l.amount_wo_gst) for l in one.lines] == [
         (1, "bolt", 164.0), (2, "nut", 15.0)
     ]
+    assert [(l.gst_amount, l.cgst_amount, l.sgst_percent) for l in one.lines][0] == (None, 18.0, 9.0)
+    assert [(l.gst_amount, l.cgst_amount) for l in three.lines][0] == (36.0, None)
+    assert docs[7].lines[0].gst_amount == 36.0 and docs[7].total_gst_amount == 36.0
     assert docs[7].issue_date == "01/05/2024"
 
 

@@ -57,7 +57,17 @@ def test_only_needed_columns_are_read(spark):
 
 def test_type_filter_reaches_the_scan(spark):
     plan = plan_of(queries()["quotation_totals"](spark, SF_SMALL))
-    assert any("o_orderstatus" in f for f in re.findall(r"DataFilters: \[([^\]]*)\]", plan))
+    assert "Not(In(o_orderstatus, [F,O]))" in plan
+    assert "In(o_orderstatus, [F,O])" in plan_of(queries()["bill_tax_split"](spark, SF_SMALL))
+
+
+def test_history_reads_the_lines_twice_only(no_broadcast):
+    """Once for the goods table, once for the lines; their sums need no third scan."""
+    plan = plan_of(queries()["history_lines"](no_broadcast, SF_SMALL))
+    assert sum(s[0] == "l_orderkey" for s in scans(plan)) == 2
+    # The window over a bill reuses the shuffle of the join by bill id.
+    top = plan[: plan.index("LeftOuter")]
+    assert "Window" in top and "Exchange" not in top
 
 
 def test_latest_bills_are_limited_before_the_shuffle(spark, sample):
