@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ledgerloom.operators.ranking import DEFAULT_BUCKET, bucket_of
+from ledgerloom.operators.ranking import DEFAULT_BUCKET, bucket_of, numbered
 
 SERIES = ["company_id", "type"]
 
@@ -45,73 +45,147 @@ def _month_index(at: Column) -> Column:
     return F.year(at) * 12 + F.month(at) - 1
 
 
+def _restarts(month: Column, previous: Column) -> Column:
+    """Whether a bill of one month index starts again after one of another; a first one
+    does not."""
+    return F.coalesce((month % 12 >= 3) & (previous % 12 < 3), F.lit(False))
+
+
+def _with_seeds(per_series: DataFrame, seeds: DataFrame | None) -> DataFrame:
+    """Add number and month index of the last stored bill, NULL where there is none."""
+    if seeds is None:
+        return per_series.withColumn("_seed_num", F.lit(None).cast("bigint")).withColumn(
+            "_seed_month", F.lit(None).cast("int")
+        )
+    start = seeds.select(
+        *SERIES,
+        F.col("bill_num").alias("_seed_num"),
+        _month_index(F.col("bill_timestamp")).alias("_seed_month"),
+    )
+    return per_series.join(start, SERIES, "left")
+
+
 def number_bills(
     bills: DataFrame,
     seeds: DataFrame | None = None,
     id_bucket: int = DEFAULT_BUCKET,
     mode: str = "month_rule",
+    in_order: bool = False,
 ) -> DataFrame:
-    """Add ``bill_num`` to bills ordered by month and id.
+    """Add ``bill_num`` to bills taken in order of their ids.
 
-    Ids and timestamps are handed out together, so this is the order of ids.  ``seeds``
-    (columns company_id, type, bill_num, bill_timestamp) holds the last stored bill of
-    series that continue.  ``mode='fiscal_year'`` restarts with every fiscal year
-    instead of following the month rule.
+    ``seeds`` (columns company_id, type, bill_num, bill_timestamp) holds the last stored
+    bill of series that continue.  ``mode='fiscal_year'`` counts inside each fiscal year
+    instead of following the month rule.  ``in_order`` promises that a larger id never
+    has an earlier month, which saves a shuffle.
 
-    Each sort covers one series, month and id bucket, at most ``id_bucket`` rows.  What
-    spans the series - restarts and running counts - is computed on one row per such
-    slot, after a map-side count, so a tenant with a third of all bills is no hot key.
+    Each sort covers at most the ``id_bucket`` ids of one bucket.  What spans a series -
+    restarts and running counts - is computed on one row per bucket, so a tenant with a
+    third of all bills is no hot key.
     """
-    month = "_month"
-    at = F.col("bill_timestamp")
-    rows = bills.withColumn(month, _month_index(at)).withColumn(
+    rows = bills.withColumn("_month", _month_index(F.col("bill_timestamp"))).withColumn(
         "_bucket", bucket_of(F.col("id"), id_bucket)
     )
-    slot = [*SERIES, month, "_bucket"]
-    slots = rows.groupBy(*slot).agg(F.count("*").alias("_rows"))
-
-    if seeds is not None:
-        start = seeds.select(
-            *SERIES,
-            F.col("bill_num").alias("_seed_num"),
-            _month_index(F.col("bill_timestamp")).alias("_seed_month"),
-        )
-        slots = slots.join(start, SERIES, "left")
-    else:
-        slots = slots.withColumn("_seed_num", F.lit(None).cast("bigint")).withColumn(
-            "_seed_month", F.lit(None).cast("int")
-        )
-
-    series = W.partitionBy(*SERIES).orderBy(month, "_bucket")
-    previous = F.coalesce(F.lag(month).over(series), F.col("_seed_month"))
     if mode == "fiscal_year":
-        # Months counted from April: a new fiscal year is a new multiple of twelve.
-        restart = F.floor((F.col(month) - 3) / 12) != F.floor((previous - 3) / 12)
-    elif mode == "month_rule":
-        restart = (F.col(month) % 12 >= 3) & (previous % 12 < 3)
-    else:
+        numbers = _count_in_fiscal_years(rows, seeds, id_bucket)
+    elif mode != "month_rule":
         raise ValueError(f"unknown mode {mode!r}")
-    segments = slots.withColumn(
-        "_restart", F.when(F.coalesce(restart, F.lit(False)), 1).otherwise(0)
+    elif in_order:
+        numbers = _number_by_month(rows, seeds)
+    else:
+        numbers = _number_by_id(rows, seeds)
+    return numbers.select(*bills.columns, F.col("bill_num").cast("bigint").alias("bill_num"))
+
+
+def _count_in_fiscal_years(
+    rows: DataFrame, seeds: DataFrame | None, id_bucket: int
+) -> DataFrame:
+    # Months counted from April: a fiscal year is a run of twelve.
+    years = rows.withColumn("_year", F.floor((F.col("_month") - 3) / 12))
+    ranked = numbered(
+        years, [*SERIES, "_year"], ["id"], bucket_of(F.col("id"), id_bucket), "_rank"
+    )
+    same_year = F.floor((F.col("_seed_month") - 3) / 12) == F.col("_year")
+    start = F.when(same_year, F.col("_seed_num")).otherwise(0)
+    return _with_seeds(ranked, seeds).withColumn("bill_num", F.col("_rank") + start)
+
+
+def _number_by_month(rows: DataFrame, seeds: DataFrame | None) -> DataFrame:
+    """Numbers when months follow ids: every bucket is split by month, so restarts fall on
+    the first bill of such a slot, and a map-side count of the slots is all it takes."""
+    slot = [*SERIES, "_month", "_bucket"]
+    counts = _with_seeds(rows.groupBy(*slot).agg(F.count("*").alias("_rows")), seeds)
+    series = W.partitionBy(*SERIES).orderBy("_month", "_bucket")
+    previous = F.coalesce(F.lag("_month").over(series), F.col("_seed_month"))
+    segments = counts.withColumn(
+        "_restart", _restarts(F.col("_month"), previous).cast("int")
     ).withColumn(
         "_segment", F.sum("_restart").over(series.rowsBetween(W.unboundedPreceding, 0))
     )
     earlier = (
         W.partitionBy(*SERIES, "_segment")
-        .orderBy(month, "_bucket")
+        .orderBy("_month", "_bucket")
         .rowsBetween(W.unboundedPreceding, -1)
     )
+    seed = F.when(F.col("_segment") == 0, F.coalesce("_seed_num", F.lit(0))).otherwise(0)
     offsets = segments.select(
-        *slot,
-        (
-            F.coalesce(F.sum("_rows").over(earlier), F.lit(0))
-            + F.when(F.col("_segment") == 0, F.coalesce("_seed_num", F.lit(0))).otherwise(0)
-        ).alias("_offset"),
+        *slot, (F.coalesce(F.sum("_rows").over(earlier), F.lit(0)) + seed).alias("_offset")
     )
     local = F.row_number().over(W.partitionBy(*slot).orderBy("id"))
     return (
         rows.withColumn("_local", local)
         .join(offsets, slot)
-        .withColumn("bill_num", (F.col("_offset") + F.col("_local")).cast("bigint"))
-        .select(*bills.columns, "bill_num")
+        .withColumn("bill_num", F.col("_offset") + F.col("_local"))
+    )
+
+
+def _number_by_id(rows: DataFrame, seeds: DataFrame | None) -> DataFrame:
+    """Numbers for any dates: restarts are found inside each bucket, then across buckets."""
+    slot = [*SERIES, "_bucket"]
+    inside = W.partitionBy(*slot).orderBy("id")
+    so_far = inside.rowsBetween(W.unboundedPreceding, 0)
+    local = (
+        rows.withColumn("_local", F.row_number().over(inside))
+        .withColumn("_restart", _restarts(F.col("_month"), F.lag("_month").over(inside)))
+        .withColumn("_since", F.max(F.when(F.col("_restart"), F.col("_local"))).over(so_far))
+    )
+    buckets = _with_seeds(
+        local.groupBy(*slot).agg(
+            F.count("*").alias("_rows"),
+            F.min_by("_month", "id").alias("_first_month"),
+            F.max_by("_month", "id").alias("_last_month"),
+            F.max("_since").alias("_last_restart"),
+        ),
+        seeds,
+    )
+    series = W.partitionBy(*SERIES).orderBy("_bucket")
+    previous = F.coalesce(F.lag("_last_month").over(series), F.col("_seed_month"))
+    # Rows a bucket hands on to the next one, and whether they begin a new segment.
+    handed_on = F.col("_rows") - F.coalesce(F.col("_last_restart") - 1, F.lit(0))
+    segments = (
+        buckets.withColumn("_starts", _restarts(F.col("_first_month"), previous))
+        .withColumn("_handed", handed_on)
+        .withColumn(
+            "_segment",
+            F.sum((F.col("_starts") | F.col("_last_restart").isNotNull()).cast("int")).over(
+                series.rowsBetween(W.unboundedPreceding, 0)
+            ),
+        )
+    )
+    seed = F.coalesce("_seed_num", F.lit(0))
+    in_segment = W.partitionBy(*SERIES, "_segment").orderBy("_bucket")
+    reached = segments.withColumn(
+        "_reached",
+        F.sum("_handed").over(in_segment.rowsBetween(W.unboundedPreceding, 0))
+        + F.when(F.col("_segment") == 0, seed).otherwise(0),
+    )
+    offsets = reached.select(
+        *slot,
+        F.when(F.col("_starts"), F.lit(0))
+        .otherwise(F.coalesce(F.lag("_reached").over(series), seed))
+        .alias("_offset"),
     )
+    number = F.when(
+        F.col("_since").isNull(), F.col("_offset") + F.col("_local")
+    ).otherwise(F.col("_local") - F.col("_since") + 1)
+    return local.join(offsets, slot).withColumn("bill_num", number)

@@ -656,6 +656,10 @@ ORACLES["bill_numbers"] = query(
     ["bills", "numbers"], "SELECT company_id, type, id, bill_num FROM numbers")
 ORACLES["bill_numbers_incremental"] = query(["bills", "numbers"], """
 SELECT company_id, type, id, bill_num FROM numbers WHERE ts >= TIMESTAMP '1999-01-01'""")
+CTES["keyed"] = "SELECT k AS id, company_id, type, ts FROM bills"
+ORACLES["bill_numbers_by_id"] = query(["bills", "keyed"], f"""
+SELECT company_id, type, id, bill_num
+FROM ({CTES["numbers"].strip().replace("FROM bills)", "FROM keyed)")})""")
 ORACLES["bill_numbers_fiscal_year"] = query(["bills"], """
 SELECT company_id, type, id, row_number() OVER (PARTITION BY company_id, type,
   year(ts) - CASE WHEN month(ts) < 4 THEN 1 ELSE 0 END ORDER BY id) AS bill_num FROM bills""")

@@ -28,7 +28,8 @@ AUTUMN = datetime.date(2002, 9, 1)
 
 
 def _numbered(m: SampleLedger) -> DataFrame:
-    return numbering.number_bills(m.headers(), id_bucket=ID_BUCKET)
+    """The whole ledger numbered; its ids begin with the day, so months follow ids."""
+    return numbering.number_bills(m.headers(), id_bucket=ID_BUCKET, in_order=True)
 
 
 def _stored(bills: DataFrame) -> DataFrame:
@@ -481,6 +482,15 @@ def bill_numbers_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def bill_numbers_by_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bills numbered in order of their keys, which do not follow the dates at all."""
+    m = SampleLedger(spark, sf_dir)
+    bills = m.headers().select(
+        "company_id", "type", F.col("order_key").alias("id"), "bill_timestamp"
+    )
+    return numbering.number_bills(bills).select("company_id", "type", "id", "bill_num")
+
+
 def bill_numbers_fiscal_year(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = SampleLedger(spark, sf_dir)
     return numbering.number_bills(
@@ -793,6 +803,7 @@ QUERIES = {
         next_bill_number,
         bill_numbers,
         bill_numbers_incremental,
+        bill_numbers_by_id,
         bill_numbers_fiscal_year,
         bill_labels,
         sql_functions,

@@ -49,7 +49,52 @@ def as_dict(df):
 def test_numbers_equal_the_sequential_rule(spark, seed, bucket):
     rows = make_bills(seed)
     bills = spark.createDataFrame(random.Random(1).sample(rows, len(rows)), SCHEMA)
-    assert as_dict(numbering.number_bills(bills, id_bucket=bucket)) == one_by_one(rows)[0]
+    expected, _ = one_by_one(rows)
+    assert as_dict(numbering.number_bills(bills, id_bucket=bucket)) == expected
+    assert as_dict(numbering.number_bills(bills, id_bucket=bucket, in_order=True)) == expected
+
+
+@pytest.mark.parametrize("seed", range(4))
+@pytest.mark.parametrize("bucket", [5, 60, 10**6])
+def test_late_bills_take_the_next_number(spark, seed, bucket):
+    """Dates in any order: numbers follow the ids, restarts the months."""
+    rng = random.Random(seed)
+    rows = [
+        (
+            3 * i,
+            0 if rng.random() < 0.6 else rng.randrange(1, 4),
+            rng.choice(["Invoice", "Quotation"]),
+            datetime.datetime(2000 + rng.randrange(3), rng.choice([2, 3, 4, 4, 5, 11]), 1),
+        )
+        for i in range(300)
+    ]
+    expected, _ = one_by_one(rows)
+    bills = spark.createDataFrame(rng.sample(rows, len(rows)), SCHEMA)
+    assert as_dict(numbering.number_bills(bills, id_bucket=bucket)) == expected
+
+    first, second = rows[:140], rows[140:]
+    done = numbering.number_bills(spark.createDataFrame(first, SCHEMA), id_bucket=bucket)
+    more = numbering.number_bills(
+        spark.createDataFrame(second, SCHEMA), numbering.last_bill(done), bucket
+    )
+    assert {**as_dict(done), **as_dict(more)} == expected
+
+
+def test_fiscal_years_continue_from_the_last_bill(spark):
+    rows = make_bills(2, 300)
+    whole = numbering.number_bills(
+        spark.createDataFrame(rows, SCHEMA), id_bucket=40, mode="fiscal_year"
+    )
+    done = numbering.number_bills(
+        spark.createDataFrame(rows[:120], SCHEMA), id_bucket=40, mode="fiscal_year"
+    )
+    more = numbering.number_bills(
+        spark.createDataFrame(rows[120:], SCHEMA),
+        numbering.last_bill(done),
+        40,
+        mode="fiscal_year",
+    )
+    assert {**as_dict(done), **as_dict(more)} == as_dict(whole)
 
 
 @pytest.mark.parametrize("seed", range(3))

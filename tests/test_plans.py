@@ -79,11 +79,14 @@ def test_latest_bills_are_limited_before_the_shuffle(spark, sample):
 
 def test_numbering_never_sorts_a_whole_series(spark, sample):
     bills = sample.headers().select("id", "company_id", "type", "bill_timestamp")
-    plan = re.sub(r"#\d+L?", "", plan_of(numbering.number_bills(bills, id_bucket=10**12)))
-    ranks = re.findall(r"Window \[row_number\(\) windowspecdefinition\(([^)]*)", plan)
-    assert ranks and all("_month, _bucket" in r for r in ranks)
-    # The part that spans a series runs above a partial count.
-    assert "partial_count(1)" in plan
+    for in_order in (True, False):
+        numbers = numbering.number_bills(bills, id_bucket=10**12, in_order=in_order)
+        plan = re.sub(r"#\d+L?", "", plan_of(numbers))
+        ranks = re.findall(r"row_number\(\) windowspecdefinition\(([^)]*)", plan)
+        assert ranks and all("_bucket" in r for r in ranks)
+    # With months in order, what spans a series runs above a partial count.
+    numbers = numbering.number_bills(bills, id_bucket=10**12, in_order=True)
+    assert "partial_count(1)" in plan_of(numbers)
 
 
 def test_first_goods_are_combined_before_the_shuffle(spark, sample):
