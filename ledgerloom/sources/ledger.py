@@ -109,3 +109,19 @@ def append_documents(df: DataFrame, folder: str, batch_id: int) -> None:
 
 def append_rejects(df: DataFrame, folder: str, batch_id: int) -> None:
     df.write.mode("overwrite").parquet(f"{folder}/rejects/{BATCH}={batch_id}")
+
+
+def save_bucketed(df: DataFrame, table: str, path: str, key: str, buckets: int) -> DataFrame:
+    """Save a table bucketed and sorted by ``key``.
+
+    History bucketed by bill id and lines bucketed alike meet without a shuffle, which
+    pays off for a ledger that is read more often than it is written.
+    """
+    (
+        df.write.mode("overwrite")
+        .option("path", path)
+        .bucketBy(buckets, key)
+        .sortBy(key)
+        .saveAsTable(table)
+    )
+    return df.sparkSession.table(table)

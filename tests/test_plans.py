@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 
 from __spark_entry__ import queries
 from ledgerloom.functions.text import INVOICE
-from ledgerloom.operators import dims, numbering, views
+from ledgerloom.operators import dims, numbering, pricing, views
+from ledgerloom.session import shared_dir
+from ledgerloom.sources import ledger
 
 # These run jobs while they are built; their parts appear in the other queries.
 EAGER = {
@@ -128,6 +130,25 @@ def test_a_hot_good_is_split_at_run_time(no_broadcast):
                 spark.conf.set(key, value)
 
 
+def test_bucketed_ledger_is_joined_without_a_shuffle(no_broadcast, sample):
+    spark = no_broadcast
+    folder = shared_dir(spark, "test-bucketed")
+    lines = ledger.save_bucketed(
+        sample.lines(sample.headers()), "bucketed_lines", f"{folder}/lines", "history_id", 8
+    )
+    bills = ledger.save_bucketed(
+        sample.headers(), "bucketed_bills", f"{folder}/bills", "id", 8
+    )
+    try:
+        joined = pricing.with_amount(bills, lines)
+        assert "Exchange" not in plan_of(joined)
+        expected = pricing.with_amount(sample.headers(), sample.lines(sample.headers()))
+        assert joined.exceptAll(expected).isEmpty() and joined.count() == expected.count()
+    finally:
+        spark.sql("DROP TABLE bucketed_lines")
+        spark.sql("DROP TABLE bucketed_bills")
+
+
 def test_stored_dimensions_are_not_shuffled_for_a_small_batch(spark, tmp_path):
     """The batch is broadcast to the stored goods, which stay where they are."""
     path = str(tmp_path / "goods")
