@@ -34,14 +34,26 @@ INVOICE = "Invoice"
 QUOTATION = "Quotation"
 
 
-def strip(text: Column) -> Column:
-    """Remove leading and trailing whitespace of any kind, not only spaces.
+def strip_sql(name: str) -> str:
+    """SQL that removes leading and trailing whitespace of any kind, not only spaces.
 
     Most values begin and end with a printable ASCII character and stay as they are.
     """
-    first, last = F.ascii(text), F.ascii(F.right(text, F.lit(1)))
-    plain = (first > 32) & (first < 128) & (last > 32) & (last < 128)
-    return F.when(plain, text).otherwise(F.trim(text, F.lit(WHITESPACE)))
+    whitespace = "".join(f"\\u{ord(c):04x}" for c in WHITESPACE)
+    return (
+        f"CASE WHEN ascii({name}) BETWEEN 33 AND 127 AND ascii(right({name}, 1)) BETWEEN 33 AND 127 "
+        f"THEN {name} ELSE trim(BOTH '{whitespace}' FROM {name}) END"
+    )
+
+
+def strip(name: str) -> Column:
+    """The named text column without whitespace around it."""
+    return F.expr(strip_sql(name))
+
+
+def strip_all(name: str) -> Column:
+    """The named array of texts, each without whitespace around it."""
+    return F.expr(f"transform({name}, x -> {strip_sql('x')})")
 
 
 def blank_to_null(text: Column) -> Column:

@@ -23,7 +23,7 @@ def clean_companies(df: DataFrame) -> DataFrame:
     fields = COMPANY_REQUIRED + COMPANY_OPTIONAL
     absent = checks.absent_fields({f.replace("_", "-"): F.col(f) for f in fields})
     return df.withColumn("missing", absent).withColumns(
-        {f: blank_to_null(strip(F.col(f))) for f in fields}
+        {f: blank_to_null(strip(f)) for f in fields}
     )
 
 
@@ -31,7 +31,7 @@ def clean_accounts(df: DataFrame) -> DataFrame:
     """Only the e-mail is stripped; a blank e-mail or phone is no value."""
     absent = checks.absent_fields({f: F.col(f) for f in ACCOUNT_UNIQUE})
     return df.withColumn("missing", absent).withColumns(
-        {"email": blank_to_null(strip(F.col("email"))), "phno": blank_to_null(F.col("phno"))}
+        {"email": blank_to_null(strip("email")), "phno": blank_to_null(F.col("phno"))}
     )
 
 

@@ -14,6 +14,7 @@ from ledgerloom.functions.text import (
     eta_text,
     null_to_blank,
     strip,
+    strip_all,
 )
 from ledgerloom.sources.schema import GOODS_FIELDS, INVOICE_INFO_FIELDS, PARTY_FIELDS
 
@@ -77,8 +78,8 @@ def missing_fields(kind: str) -> Column:
 
 
 def stripped(df: DataFrame, kind: str) -> DataFrame:
-    scalars = {c: strip(F.col(c)) for c in scalar_fields(kind)}
-    arrays = {c: F.transform(c, strip) for c in GOODS_FIELDS}
+    scalars = {c: strip(c) for c in scalar_fields(kind)}
+    arrays = {c: strip_all(c) for c in GOODS_FIELDS}
     return df.withColumns({**scalars, **arrays})
 
 
@@ -200,20 +201,20 @@ def explode_lines(valid: DataFrame) -> DataFrame:
 
 
 def _off_step(decimals: int, maximum: float | None):
-    return lambda x: ~within_step(parse_number(strip(x)), decimals, maximum)
+    return lambda x: ~within_step(parse_number(x), decimals, maximum)
 
 
 def step_warnings(df: DataFrame) -> DataFrame:
     """Count the numbers outside the browser's step or maximum, per field."""
     counts = {}
     for field, (decimals, maximum) in STEPS.items():
-        off = F.filter(field, _off_step(decimals, maximum))
+        off = F.filter(strip_all(field), _off_step(decimals, maximum))
         counts[f"{field}_off_step"] = F.size(off).cast("bigint")
     return df.withColumns(counts)
 
 
 def normalised_eta(df: DataFrame) -> DataFrame:
-    return df.withColumn("eta_text", eta_text(strip(F.col("eta"))))
+    return df.withColumn("eta_text", eta_text(strip("eta")))
 
 
 def blank_parties(valid: DataFrame, kind: str) -> DataFrame:

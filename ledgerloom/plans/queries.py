@@ -190,7 +190,7 @@ def dq_contact_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contact rules on posted invoices and on the stored clients' contact fields."""
     m = SampleLedger(spark, sf_dir)
     posted = validation.default_ship_to(m.submission_headers(INVOICE))
-    scalars = {c: text.strip(F.col(c)) for c in validation.scalar_fields(INVOICE)}
+    scalars = {c: text.strip(c) for c in validation.scalar_fields(INVOICE)}
     invoices = validation.contact_checks(posted.withColumns(scalars), INVOICE).select(
         F.lit("Invoice").alias("source"),
         F.col("submission_id").alias("id"),
@@ -580,7 +580,7 @@ def line_goods_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _parties(m: SampleLedger) -> DataFrame:
     """Invoices with their stripped parties, as posted."""
     posted = validation.default_ship_to(m.submission_headers(INVOICE))
-    scalars = {c: text.strip(F.col(c)) for c in validation.scalar_fields(INVOICE)}
+    scalars = {c: text.strip(c) for c in validation.scalar_fields(INVOICE)}
     bills = posted.withColumns(scalars).withColumn("id", F.col("submission_id"))
     return bills.withColumn("bill_timestamp", F.col("bill_date").cast("timestamp"))
 
