@@ -10,21 +10,28 @@ PHONE_PATTERN = r"^[6-9][0-9]{9}$"
 PINCODE_PATTERN = r"^[1-9][0-9]{5}$"
 EMAIL_PATTERN = r"^[\w!#$%&'*+/=?^`{|}~\.-]{1,64}@[a-zA-Z0-9.-]{1,255}\.[a-zA-Z]{2,}$"
 
+# The same shapes in Java's syntax: only a line feed counts as a line end, and word
+# characters are letters, numbers and the underscore of any script.
+LINES = "(?d)"
+JAVA_PHONE = LINES + PHONE_PATTERN
+JAVA_PINCODE = LINES + PINCODE_PATTERN
+JAVA_EMAIL = LINES + EMAIL_PATTERN.replace(r"\w", r"\p{L}\p{N}_")
+
 GSTIN_LENGTH = 15
 IFSC_LENGTH = 11
 USERNAME_MIN_LENGTH = 5
 
 
 def is_valid_phno(text: Column) -> Column:
-    return text.rlike(PHONE_PATTERN)
+    return text.rlike(JAVA_PHONE)
 
 
 def is_valid_pncd(text: Column) -> Column:
-    return text.rlike(PINCODE_PATTERN)
+    return text.rlike(JAVA_PINCODE)
 
 
 def is_valid_email(text: Column) -> Column:
-    return text.rlike("(?U)" + EMAIL_PATTERN)
+    return text.rlike(JAVA_EMAIL)
 
 
 def optional(rule, text: Column) -> Column:

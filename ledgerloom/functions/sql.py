@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
-from ledgerloom.functions.checks import EMAIL_PATTERN, PHONE_PATTERN, PINCODE_PATTERN
+from ledgerloom.functions.checks import JAVA_EMAIL, JAVA_PHONE, JAVA_PINCODE
 
 
 def _quoted(pattern: str) -> str:
@@ -13,9 +13,9 @@ def _quoted(pattern: str) -> str:
 
 FUNCTIONS = {
     "inr(x DOUBLE) RETURNS STRING": "CASE WHEN x <> 0 THEN concat('₹', format_number(x, 2)) END",
-    "is_valid_phno(s STRING) RETURNS BOOLEAN": f"s RLIKE {_quoted(PHONE_PATTERN)}",
-    "is_valid_pncd(s STRING) RETURNS BOOLEAN": f"s RLIKE {_quoted(PINCODE_PATTERN)}",
-    "is_valid_email(s STRING) RETURNS BOOLEAN": f"s RLIKE {_quoted('(?U)' + EMAIL_PATTERN)}",
+    "is_valid_phno(s STRING) RETURNS BOOLEAN": f"s RLIKE {_quoted(JAVA_PHONE)}",
+    "is_valid_pncd(s STRING) RETURNS BOOLEAN": f"s RLIKE {_quoted(JAVA_PINCODE)}",
+    "is_valid_email(s STRING) RETURNS BOOLEAN": f"s RLIKE {_quoted(JAVA_EMAIL)}",
     "bill_label(kind STRING, at TIMESTAMP, num BIGINT) RETURNS STRING": (
         "concat(CASE WHEN kind = 'Invoice' THEN 'INV' ELSE 'EST' END, '-', "
         "CASE WHEN month(at) > 3 "

@@ -143,8 +143,12 @@ def short_document_name(label: Column) -> Column:
 
 
 def eta_date(text: Column) -> Column:
-    """Date of a ``YYYY-MM-DD`` field, NULL when it is not a date."""
-    return F.when(text.rlike(r"^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}$"), F.try_to_date(text, "yyyy-M-d"))
+    """Date of a ``YYYY-MM-DD`` field, NULL when it is not a date.
+
+    Month and day may have one digit, the day also a space instead of a zero.
+    """
+    shaped = text.rlike(r"^[0-9]{4}-[0-9]{1,2}-( [1-9]|[0-9]{1,2})$") & ~text.startswith("0000")
+    return F.when(shaped, F.try_to_date(F.translate(text, " ", "0"), "yyyy-M-d"))
 
 
 def eta_invalid(text: Column) -> Column:

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerloom.sources.schema import (
+    ACCOUNT_REGISTRATION,
+    COMPANY_REGISTRATION,
     INVOICE_SUBMISSION,
     LEDGER_TABLES,
     QUOTATION_SUBMISSION,
@@ -72,6 +74,12 @@ def read_submissions(spark: SparkSession, path: str, kind: str, fmt: str = "json
     return spark.read.schema(schema).format(fmt).load(path)
 
 
+def read_registrations(spark: SparkSession, path: str, kind: str, fmt: str = "json") -> DataFrame:
+    """Posted registrations: ``kind`` is ``company`` or ``account``."""
+    schema = {"company": COMPANY_REGISTRATION, "account": ACCOUNT_REGISTRATION}[kind]
+    return spark.read.schema(schema).format(fmt).load(path)
+
+
 def append_table(df: DataFrame, folder: str, name: str, batch_id: int) -> None:
     """Write the rows of one batch.  Doing it again replaces the same rows."""
     schema = LEDGER_TABLES[name]

@@ -2,6 +2,7 @@
 
 import datetime
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -212,6 +213,39 @@ def test_contact_rules(spark):
     assert run(["", None, "1", "6123456789"], blank) == [True, True, False, True]
 
 
+def test_patterns_mean_what_they_mean_in_python(spark):
+    """Line ends and word characters differ between regular expression dialects."""
+    ends = ["", "\n", "\r", "\u0085", "\u2028", " "]
+    phones = ["6123456789" + e for e in ends]
+    pins = ["560001" + e for e in ends]
+    letters = ["é", "e\u0301", "²", "Ⅷ", "‿", "१", "字", "\u200d", "ª", "_", "€", "x"]
+    mails = [f"a{c}b@x.co" for c in letters] + ["a@x.co" + e for e in ends]
+    for rows, rule, pattern in (
+        (phones, checks.is_valid_phno, checks.PHONE_PATTERN),
+        (pins, checks.is_valid_pncd, checks.PINCODE_PATTERN),
+        (mails, checks.is_valid_email, checks.EMAIL_PATTERN),
+    ):
+        got = one(spark, "s string", [(r,) for r in rows], rule(F.col("s")))
+        assert got == [re.match(pattern, r) is not None for r in rows]
+
+
+def test_eta_is_read_like_python_reads_it(spark):
+    rows = [
+        "2024-01- 5", "2024-1-05", "2024-12-31", "2023-02-29", "2024-02-29", "0000-01-01",
+        "2024-00-10", "2024-10-00", "2024-1-", "2024-13-1", "2024-01-32", "20240101", "2024-01-0 ",
+        "1999-9-9", "2024-01-1x", "2024/01/01",
+    ]
+
+    def expected(posted):
+        try:
+            return datetime.datetime.strptime(posted, "%Y-%m-%d").strftime("%d-%m-%Y")
+        except ValueError:
+            return None
+
+    got = one(spark, "e string", [(r,) for r in rows], text.eta_text(F.col("e")))
+    assert got == [expected(r) for r in rows]
+
+
 def test_sql_functions(spark):
     register_sql_functions(spark)
     row = spark.sql(

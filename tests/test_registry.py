@@ -7,9 +7,9 @@ import pytest
 from ledgerloom.operators import overlay, registry
 from ledgerloom.session import shared_dir
 from ledgerloom.sources import ledger
-from ledgerloom.sources.schema import COMPANY_REGISTRATION
+from ledgerloom.sources.schema import ACCOUNT_REGISTRATION, COMPANY_REGISTRATION
 
-ACCOUNT = "arrival long, username string, email string, phno string"
+ACCOUNT = ACCOUNT_REGISTRATION
 USERS = "id long, username string, email string, phno string"
 
 
@@ -136,6 +136,13 @@ def test_companies(spark, sample):
     }
 
 
+def test_posted_registrations_are_read(spark, tmp_path):
+    path = str(tmp_path / "in")
+    spark.createDataFrame([company(1, website=None)], COMPANY_REGISTRATION).write.json(path)
+    row = ledger.read_registrations(spark, path, "company").first()
+    assert (row.arrival, row.company_name, row.website) == (1, "Firm 1", None)
+
+
 def test_last_terms_update_wins_and_blank_is_a_value(spark):
     base = spark.createDataFrame([(1, "old"), (2, "old"), (3, None)], "id long, custTerms string")
     updates = spark.createDataFrame(
