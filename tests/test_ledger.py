@@ -116,6 +116,38 @@ def test_repeating_a_batch_changes_nothing(spark, stored):
     assert {t: rows_of(folder, t, spark, "*") for t in ("history_goods",)} == before
 
 
+def test_a_batch_that_failed_half_way_is_repaired(spark, monkeypatch):
+    """Lost between lines and headers, the batch is run again and leaves no trace."""
+    broken, clean = shared_dir(spark, "test-broken"), shared_dir(spark, "test-clean")
+    first = [posts.invoice(1), posts.invoice(2, bname="Bob", bphno1="", descp=["rod", "nut"])]
+    second = [posts.invoice(3, descp=["cap", "rod"]), posts.invoice(4, bname="Cy", bphno1="")]
+
+    def batch(folder, number, rows):
+        ingest.ingest_batch(
+            posts.frame(spark, INVOICE, rows), INVOICE, folder, number, posts.companies(spark)
+        )
+
+    def lost(*args):
+        raise RuntimeError("executor lost")
+
+    for folder in (broken, clean):
+        batch(folder, 0, first)
+    with monkeypatch.context() as patch:
+        patch.setattr(ledger, "append_history", lost)
+        with pytest.raises(RuntimeError):
+            batch(broken, 1, second)
+    assert rows_of(broken, "history", spark, "id") == [(1,), (2,)]
+    for folder in (broken, clean):
+        batch(folder, 1, second)
+    for table, columns in {
+        "history": ["id", "bill_num", "billed_to", "amount"],
+        "history_goods": ["history_id", "line_no", "goods_id", "amount"],
+        "goods": ["company_id", "id", "descp"],
+        "beneficiaries": ["company_id", "id", "name"],
+    }.items():
+        assert rows_of(broken, table, spark, *columns) == rows_of(clean, table, spark, *columns)
+
+
 def test_views_over_the_stored_ledger(spark, stored):
     """The reports work on stored tables, linked by goods id."""
     model = ledger.load_model(spark, stored[0])
