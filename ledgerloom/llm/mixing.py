@@ -29,6 +29,8 @@ from ledgerloom.llm.common import packed, unpacked, whole_text, words, written
 WEIGHTS = (1, 2, 3)
 BLOCKS = 65_536
 ROWS_PER_BLOCK = 64
+# Documents among which the last ones of a source are chosen by their sizes.
+LAST_CHOICE = 256
 
 
 def targets(sizes: list[int], weights: list[int], most_epochs: int = 3) -> list[Fraction]:
@@ -102,14 +104,39 @@ def _plan(sources, blocks: pd.DataFrame, seed: int, n_shards: int, most_epochs:
     return goal, planned
 
 
+def nearest_subset(sizes: list[int], wanted: int) -> list[int]:
+    """Places of sizes whose sum comes nearest to ``wanted`` from below, by subset sums.
+
+    Sums are kept as bits; large ones in units that cost less than a thousandth.
+    """
+    unit = max(1, wanted // 200_000)
+    scaled = [-(-s // unit) for s in sizes]
+    most = wanted // unit
+    reached, steps = 1, []
+    for s in scaled:
+        steps.append(reached)
+        reached |= (reached << s) & ((1 << (most + 1)) - 1)
+    at, chosen = reached.bit_length() - 1, []
+    for i in range(len(sizes) - 1, -1, -1):
+        if not steps[i] >> at & 1:
+            chosen.append(i)
+            at -= scaled[i]
+    return chosen
+
+
 def _fill(frame: pd.DataFrame) -> pd.DataFrame:
-    """In the block where the target is reached: documents in hashed order while they fit."""
+    """In the block where the target is reached: documents in hashed order, the last few
+    hundred chosen so that their sizes add up."""
     frame = frame.sort_values(["lot", "size"], kind="stable").reset_index(drop=True)
-    left, extra = int(frame["part"].iloc[0]) if len(frame) else 0, []
-    for size in frame["size"].tolist():
-        fits = 0 < size <= left
-        left -= size if fits else 0
-        extra.append(int(fits))
+    extra = np.zeros(len(frame), dtype=np.int32)
+    left, sizes = int(frame["part"].iloc[0]) if len(frame) else 0, frame["size"].tolist()
+    start = 0
+    while len(sizes) - start > LAST_CHOICE and sum(sizes[start : start + LAST_CHOICE]) < left:
+        extra[start] = 1
+        left -= sizes[start]
+        start += 1
+    for i in nearest_subset(sizes[start : start + LAST_CHOICE], left):
+        extra[start + i] = 1
     frame["extra"] = extra
     return frame
 

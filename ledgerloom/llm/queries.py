@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ledgerloom.llm import mixing, quality, secrets, sharding
+from ledgerloom.llm import mixing, pii, quality, secrets, sharding
 from ledgerloom.llm.common import table
 
 
@@ -14,6 +14,7 @@ QUERIES = {
     "op4_histogram_shards": _of_documents(sharding.digest),
     "op6_quality_rules": _of_documents(quality.digest),
     "op7_secret_scan": _of_documents(secrets.digest),
+    "op8_disclosure_sanitiser": _of_documents(pii.digest),
     "op10_source_mix": _of_documents(mixing.digest),
 }
 
