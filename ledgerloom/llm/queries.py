@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ledgerloom.llm import mixing, pii, quality, secrets, sharding
+from ledgerloom.llm import mixing, neardup, pii, quality, secrets, sharding
 from ledgerloom.llm.common import table
 
 
@@ -15,6 +15,7 @@ QUERIES = {
     "op6_quality_rules": _of_documents(quality.digest),
     "op7_secret_scan": _of_documents(secrets.digest),
     "op8_disclosure_sanitiser": _of_documents(pii.digest),
+    "op9_dart_minhash": _of_documents(neardup.digest),
     "op10_source_mix": _of_documents(mixing.digest),
 }
 
