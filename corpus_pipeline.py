@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerloom.llm import mixing, quality, sharding
+from ledgerloom.llm import decontam, mixing, neardup, quality, sharding
 from ledgerloom.llm.common import table, written
 
 
@@ -13,6 +13,16 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality.keep_good(docs)
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near-duplicates."""
+    return neardup.keep_one(docs)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no passage of ``benchmark``."""
+    return decontam.keep_clean(docs, table(spark, sf_dir, "benchmark"))
+
+
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix of sources takes them."""
     return mixing.mix_documents(docs)
@@ -25,11 +35,13 @@ def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("quality rules", rules),
+    ("near duplicates", near_duplicates),
+    ("decontamination", decontaminate),
     ("mixing", mix),
     ("sharding", shard),
 ]
 
-# Gibbs-free but seeded draws and hashed orders have no SQL twin.
+# Signatures, alignments and seeded draws have no SQL twin.
 ORACLE_SQL = None
 
 

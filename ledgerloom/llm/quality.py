@@ -189,7 +189,10 @@ def judged(docs: DataFrame, rules: tuple[Rule, ...] = THRESHOLDS) -> DataFrame:
 
 def keep_good(docs: DataFrame, rules: tuple[Rule, ...] = THRESHOLDS) -> DataFrame:
     """The documents that pass, with the columns they came with."""
-    return unpacked(judged(docs, rules).where("kept"), docs.columns)
+    # The row number keeps the filter above the projections; pushed below them, it would
+    # work out the arrays again inside every expression that uses them.
+    numbered = judged(docs, rules).withColumn("n", F.monotonically_increasing_id())
+    return unpacked(numbered.where(F.col("kept") & (F.col("n") >= 0)), docs.columns)
 
 
 def digest(docs: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ledgerloom.llm import mixing, neardup, pii, quality, secrets, sharding
+from ledgerloom.llm import decontam, mixing, neardup, pii, quality, secrets, sharding
 from ledgerloom.llm.common import table
 
 
@@ -10,7 +10,13 @@ def _of_documents(digest):
     return lambda spark, sf_dir: digest(table(spark, sf_dir, "documents"))
 
 
+def _decontaminated(spark, sf_dir):
+    documents, benchmark = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    return decontam.digest(documents, benchmark)
+
+
 QUERIES = {
+    "op3_seeded_alignment": _decontaminated,
     "op4_histogram_shards": _of_documents(sharding.digest),
     "op6_quality_rules": _of_documents(quality.digest),
     "op7_secret_scan": _of_documents(secrets.digest),

@@ -12,6 +12,9 @@ CHUNK = 1 << 21
 
 _SEPARATOR = np.zeros(256, dtype=bool)
 _SEPARATOR[[9, 10, 11, 12, 13, 32]] = True
+# For comparing prose: ASCII punctuation separates words as well.
+_PLAIN = _SEPARATOR.copy()
+_PLAIN[[b for b in range(33, 127) if not chr(b).isalnum()]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _BASE = 0x9E3779B97F4A7C15  # odd, so that its powers have inverses modulo 2**64
@@ -44,13 +47,14 @@ class Words:
 
     ``raw`` holds the bytes of all texts, ``starts`` and ``ends`` the words in it, ``doc``
     the number of each word's text; ``first`` says where the words of each text begin.
+    With ``plain``, letters A to Z are lowered and punctuation does not belong to words.
     """
 
-    def __init__(self, raw: np.ndarray, offsets: np.ndarray, lower: bool = False) -> None:
-        if lower:
+    def __init__(self, raw: np.ndarray, offsets: np.ndarray, plain: bool = False) -> None:
+        if plain:
             raw = _LOWER[raw]
         self.raw, self.n_docs = raw, len(offsets) - 1
-        inside = ~_SEPARATOR[raw]
+        inside = ~(_PLAIN if plain else _SEPARATOR)[raw]
         # A new text ends a word without a separator.
         edge = np.zeros(len(raw) + 1, dtype=bool)
         edge[offsets] = True
@@ -77,7 +81,7 @@ class Words:
         return self.raw[self.starts[i] : self.ends[i]].tobytes()
 
 
-def chunks(texts: pa.Array, lower: bool = False) -> Iterator[tuple[int, Words]]:
+def chunks(texts: pa.Array, plain: bool = False) -> Iterator[tuple[int, Words]]:
     """Cut a column of texts (null: empty) into chunks of words with their first row."""
     texts = texts.cast(pa.large_string()) if not pa.types.is_large_string(texts.type) else texts
     if texts.null_count:
@@ -92,7 +96,7 @@ def chunks(texts: pa.Array, lower: bool = False) -> Iterator[tuple[int, Words]]:
         upto = int(np.searchsorted(offsets, offsets[at] + CHUNK, side="right")) - 1
         upto = min(max(upto, at + 1), at + 60_000, len(texts))
         mine = offsets[at : upto + 1]
-        yield at, Words(raw[mine[0] : mine[-1]], mine - mine[0], lower)
+        yield at, Words(raw[mine[0] : mine[-1]], mine - mine[0], plain)
         at = upto
 
 
