@@ -2,7 +2,16 @@
 
 from __future__ import annotations
 
-from ledgerloom.llm import decontam, mixing, neardup, pii, quality, secrets, sharding
+from ledgerloom.llm import (
+    decontam,
+    mixing,
+    neardup,
+    pii,
+    pitmanyor,
+    quality,
+    secrets,
+    sharding,
+)
 from ledgerloom.llm.common import table
 
 
@@ -18,6 +27,7 @@ def _decontaminated(spark, sf_dir):
 QUERIES = {
     "op3_seeded_alignment": _decontaminated,
     "op4_histogram_shards": _of_documents(sharding.digest),
+    "op5_pitman_yor": _of_documents(pitmanyor.digest),
     "op6_quality_rules": _of_documents(quality.digest),
     "op7_secret_scan": _of_documents(secrets.digest),
     "op8_disclosure_sanitiser": _of_documents(pii.digest),

@@ -47,11 +47,11 @@ class Words:
 
     ``raw`` holds the bytes of all texts, ``starts`` and ``ends`` the words in it, ``doc``
     the number of each word's text; ``first`` says where the words of each text begin.
-    With ``plain``, letters A to Z are lowered and punctuation does not belong to words.
+    ``lower`` lowers A to Z; ``plain`` does too and takes punctuation out of the words.
     """
 
-    def __init__(self, raw: np.ndarray, offsets: np.ndarray, plain: bool = False) -> None:
-        if plain:
+    def __init__(self, raw: np.ndarray, offsets: np.ndarray, plain: bool = False, lower: bool = False) -> None:
+        if plain or lower:
             raw = _LOWER[raw]
         self.raw, self.n_docs = raw, len(offsets) - 1
         inside = ~(_PLAIN if plain else _SEPARATOR)[raw]
@@ -81,7 +81,9 @@ class Words:
         return self.raw[self.starts[i] : self.ends[i]].tobytes()
 
 
-def chunks(texts: pa.Array, plain: bool = False) -> Iterator[tuple[int, Words]]:
+def chunks(
+    texts: pa.Array, plain: bool = False, lower: bool = False
+) -> Iterator[tuple[int, Words]]:
     """Cut a column of texts (null: empty) into chunks of words with their first row."""
     texts = texts.cast(pa.large_string()) if not pa.types.is_large_string(texts.type) else texts
     if texts.null_count:
@@ -96,7 +98,7 @@ def chunks(texts: pa.Array, plain: bool = False) -> Iterator[tuple[int, Words]]:
         upto = int(np.searchsorted(offsets, offsets[at] + CHUNK, side="right")) - 1
         upto = min(max(upto, at + 1), at + 60_000, len(texts))
         mine = offsets[at : upto + 1]
-        yield at, Words(raw[mine[0] : mine[-1]], mine - mine[0], plain)
+        yield at, Words(raw[mine[0] : mine[-1]], mine - mine[0], plain, lower)
         at = upto
 
 
