@@ -11,6 +11,7 @@ from ledgerloom.llm import (
     quality,
     secrets,
     sharding,
+    substring,
 )
 from ledgerloom.llm.common import table
 
@@ -25,6 +26,7 @@ def _decontaminated(spark, sf_dir):
 
 
 QUERIES = {
+    "op1_fm_substrings": _of_documents(substring.digest),
     "op3_seeded_alignment": _decontaminated,
     "op4_histogram_shards": _of_documents(sharding.digest),
     "op5_pitman_yor": _of_documents(pitmanyor.digest),
