@@ -12,6 +12,7 @@ from ledgerloom.llm import (
     secrets,
     sharding,
     substring,
+    toxicity,
 )
 from ledgerloom.llm.common import table
 
@@ -20,6 +21,10 @@ def _of_documents(digest):
     return lambda spark, sf_dir: digest(table(spark, sf_dir, "documents"))
 
 
+def _toxicity(spark, sf_dir):
+    return toxicity.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def _decontaminated(spark, sf_dir):
     documents, benchmark = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
     return decontam.digest(documents, benchmark)
@@ -27,6 +32,7 @@ def _decontaminated(spark, sf_dir):
 
 QUERIES = {
     "op1_fm_substrings": _of_documents(substring.digest),
+    "op2_gru_toxicity": _toxicity,
     "op3_seeded_alignment": _decontaminated,
     "op4_histogram_shards": _of_documents(sharding.digest),
     "op5_pitman_yor": _of_documents(pitmanyor.digest),
