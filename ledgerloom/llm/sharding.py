@@ -150,10 +150,18 @@ def sharded(
 ) -> DataFrame:
     """``row`` (all columns of ``docs``), size, shard and slot; one exchange of the rows.
 
+    """
+    return placed(_keys(docs), n_shards, tolerance, group_tolerance)
+
+
+def placed(
+    keyed: DataFrame, n_shards: int, tolerance: float = 0.01, group_tolerance: float = 0.05
+) -> DataFrame:
+    """Shard and slot of rows with ``h``, ``id`` and ``size``; their ``row`` travels along.
+
     Slots count inside bins of a shard: 4096 stretches of the hash, and stretches of doc_id
     for a text with more than its share of rows, so no sort holds more than about a bin.
     """
-    keyed = _keys(docs)
     narrow = written(keyed.select("h", "id", "size"), "shard-keys")
     total, n_rows = narrow.agg(F.sum("size"), F.count("*")).first()
     cuts = splitters(narrow, total, n_shards, tolerance, group_tolerance) if n_rows else []
@@ -188,8 +196,8 @@ def sharded(
         (F.sum("n").over(first) - F.col("n")).alias("start"),
     )
     inside = Window.partitionBy("shard", "bin", "part").orderBy("h", "id", "size")
-    placed = binned(keyed).withColumn("nth", F.row_number().over(inside))
-    return placed.join(
+    ranked = binned(keyed).withColumn("nth", F.row_number().over(inside))
+    return ranked.join(
         starts,
         (F.col("shard") == F.col("s_shard"))
         & (F.col("bin") == F.col("s_bin"))
@@ -209,16 +217,18 @@ def shard_documents(docs: DataFrame, n_shards: int = 16) -> DataFrame:
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    narrow = docs.select("doc_id", "text")
-    return sharded(
-        narrow.select(
-            "doc_id",
-            "text",
-        )
-    ).select(
-        F.col("row.doc_id").alias("doc_id"),
+    text = F.coalesce(F.col("row.text"), F.lit(""))
+    keyed = _keys(docs.select("doc_id", "text")).withColumn(
+        "row",
+        F.struct(
+            F.col("row.doc_id").alias("doc_id"),
+            F.crc32(F.encode(text, "utf-8")).alias("text_crc32"),
+        ),
+    )
+    return placed(keyed, 16).select(
+        "row.doc_id",
         "size",
-        F.crc32(F.encode(F.coalesce(F.col("row.text"), F.lit("")), "utf-8")).alias("text_crc32"),
+        "row.text_crc32",
         F.lit("bytes").alias("law"),
         "shard",
         "slot",
