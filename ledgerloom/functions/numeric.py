@@ -45,25 +45,39 @@ def to_fixed(value: Column) -> Column:
     return F.when((size * 8) % 2 == 1, up).otherwise(py_round(value, 2))
 
 
+# Amounts are summed in two whole numbers, thousands and units below a thousand.
+LIMB = 1000
+# Beyond this a double cannot be cut into 64-bit thousands; decimals take over exactly.
+LIMB_END = 9e18
+
+
 def exact_sum(
     value: Column, digits: int, unit: int = SUM_DIGITS, window: WindowSpec | None = None
 ) -> Column:
     """Sum of a double column, rounded half-even to ``digits``, whatever the row order.
 
-    Rows are added as whole units of ten to the minus ``unit``, in plain 64-bit integers.
-    Only when a value or the sum is too large for that are the doubles added as they are.
-    With a ``window`` the sum is taken over it instead of a group.
+    Rows are added as whole thousands and as units of ten to the minus ``unit`` of the
+    rest, both in 64-bit integers; the two sums meet as decimals.  Values of 9e18 and more
+    are added as decimals in a third sum.  Nothing is added as doubles; a sum that has no
+    decimal of 38 digits is NULL.  With a ``window`` the sum is taken over it instead of a
+    group.
     """
     def total_of(aggregate: Column) -> Column:
         return aggregate if window is None else aggregate.over(window)
 
-    scaled = value * 10.0**unit
-    units = F.when(F.abs(scaled) < 9e15, F.rint(scaled).cast("bigint"))
-    total = total_of(F.try_sum(units))
+    plain = F.abs(value) < LIMB_END
+    rest = value % LIMB
+    thousands = F.when(plain, F.rint((value - rest) / LIMB).cast("bigint"))
+    units = F.when(plain, F.rint(rest * 10.0**unit).cast("bigint"))
+    large = F.when(~plain, value.try_cast("decimal(38,6)"))
     step = F.lit(Decimal(1).scaleb(-unit))
-    exact = F.bround(total.cast("decimal(19,0)") * step, digits).cast("double")
-    complete = (total_of(F.count(value)) == total_of(F.count(units))) & total.isNotNull()
-    return F.when(complete, exact).otherwise(py_round(total_of(F.sum(value)), digits))
+    whole = total_of(F.sum(thousands)).cast("decimal(19,0)") * F.lit(Decimal(LIMB))
+    parts = total_of(F.sum(units)).cast("decimal(19,0)") * step
+    small = F.coalesce((whole + parts).cast("decimal(38,6)"), F.lit(Decimal(0)))
+    more = F.coalesce(total_of(F.try_sum(large)), F.lit(Decimal(0)).cast("decimal(38,6)"))
+    added = total_of(F.count(units)) + total_of(F.count(large))
+    fits = (added == total_of(F.count(value))) & (total_of(F.count(value)) > 0)
+    return F.when(fits, F.bround(F.try_add(small, more), digits).cast("double"))
 
 
 def money_sum(value: Column) -> Column:
@@ -85,8 +99,21 @@ def at_least(value: Column, minimum: float) -> Column:
     return (value >= F.lit(minimum)) & ~F.isnan(value)
 
 
-def within_step(value: Column, digits: int, maximum: float | None = None) -> Column:
-    """True when a number has at most ``digits`` decimals and does not exceed ``maximum``."""
-    exact = value.try_cast("decimal(28,10)")
-    fits = exact == F.bround(exact, digits)
-    return fits if maximum is None else fits & (value <= F.lit(float(maximum)))
+def decimals_of(text: Column) -> Column:
+    """Decimals of a posted number as written, trailing zeros not counted."""
+    plain = F.regexp_replace(F.lower(text), "_", "")
+    fraction = F.rtrim(F.regexp_extract(plain, r"\.([0-9]*)", 1), F.lit("0"))
+    whole = F.regexp_extract(plain, r"^[+-]?([0-9]*)", 1)
+    zeros = F.length(whole) - F.length(F.rtrim(whole, F.lit("0")))
+    exponent = F.coalesce(F.regexp_extract(plain, r"e([+-]?[0-9]+)$", 1).try_cast("int"), F.lit(0))
+    places = F.when(F.length(fraction) > 0, F.length(fraction)).otherwise(-zeros) - exponent
+    nothing = F.length(F.translate(F.concat(whole, fraction), "0", "")) == 0
+    return F.when(nothing, 0).otherwise(F.greatest(places, F.lit(0)))
+
+
+def within_step(text: Column, digits: int, maximum: float | None = None) -> Column:
+    """True when a posted number has at most ``digits`` decimals and does not exceed
+    ``maximum``; NULL for what is no number."""
+    number = parse_number(text)
+    fits = F.when(number.isNotNull() & ~F.isnan(number), decimals_of(text) <= digits)
+    return fits if maximum is None else fits & (number <= F.lit(float(maximum)))

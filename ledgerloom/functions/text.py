@@ -168,41 +168,49 @@ def _small_words() -> Column:
     return F.array(*[F.lit(w) for w in words])
 
 
-def amount_words(amount: Column) -> Column:
-    """Whole rupees in words, counted in crore, lakh, thousand and hundred.
+CRORE = 10**7
 
-    Defined from 0 up to, not including, 10^10; NULL outside.
-    """
+
+def _whole_words(number: Column, crore_levels: int) -> Column:
+    """Words of a whole number; the crores are written by the same rules."""
     words = _small_words()
-    amount = amount.cast("bigint")
 
-    def part(divisor: int, modulus: int) -> Column:
-        return (F.floor(amount / divisor) % modulus).cast("int")
+    def div(n: Column, divisor: int) -> Column:
+        return F.call_function("div", n, F.lit(divisor).cast("bigint"))
 
     def small(n: Column) -> Column:
-        return F.element_at(words, n + 1)
+        return F.element_at(words, n.cast("int") + 1)
 
     def named(n: Column, name: str) -> Column:
         return F.when(n > 0, F.concat(small(n), F.lit(" " + name)))
 
-    def with_rest(number: Column, high: Column) -> Column:
-        """Words of ``number``, given those of its hundreds and above."""
-        rest = (number % 100).cast("int")
-        low = F.when((rest > 0) | (number < 100), small(rest))
-        return F.concat_ws(" And ", F.when(number >= 100, high), low)
-
-    crores = part(10**7, 1000)
-    crore = with_rest(crores, named((crores / 100).cast("int"), "Hundred"))
-    high = F.concat_ws(
-        ", ",
-        F.when(crores > 0, F.concat(crore, F.lit(" Crore"))),
-        named(part(10**5, 100), "Lakh"),
-        named(part(10**3, 100), "Thousand"),
-        named(part(100, 10), "Hundred"),
-    )
+    below = number % CRORE
+    groups = [
+        named(div(below, 10**5), "Lakh"),
+        named(div(below, 10**3) % 100, "Thousand"),
+        named(div(below, 100) % 10, "Hundred"),
+    ]
+    if crore_levels:
+        crores = div(number, CRORE)
+        crore = F.concat(_whole_words(crores, crore_levels - 1), F.lit(" Crore"))
+        groups.insert(0, F.when(crores > 0, crore))
+    rest = number % 100
+    low = F.when((rest > 0) | (number < 100), small(rest))
+    high = F.when(number >= 100, F.concat_ws(", ", *groups))
+    return F.concat_ws(" And ", high, low)
+
+
+def amount_words(amount: Column) -> Column:
+    """Whole rupees in words, counted in crore, lakh, thousand and hundred.
+
+    Crores above a thousand are counted like any number, up to the largest 64-bit amount;
+    NULL for negative ones.
+    """
+    amount = amount.cast("bigint")
     unit = F.when(amount == 1, F.lit(" Rupee")).otherwise(F.lit(" Rupees"))
-    text = F.concat(with_rest(amount, high), unit, F.lit(", Zero Paise Only"))
-    return F.when((amount >= 0) & (amount < 10**10), text)
+    # The largest amount has crores of crores, but no third level.
+    text = F.concat(_whole_words(amount, 2), unit, F.lit(", Zero Paise Only"))
+    return F.when(amount >= 0, text)
 
 
 def preview_amount(rate: Column, qty: Column) -> Column:

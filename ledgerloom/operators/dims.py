@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.text import blank_to_null, is_blank
-from ledgerloom.operators.ranking import DEFAULT_BUCKET, bucket_of, numbered
+from ledgerloom.operators.ranking import IdRanges, id_ranges, numbered
+from ledgerloom.sources.schema import PARTY_FIELDS
 
 GOODS_KEY = ["company_id", "descp"]
 CLIENT_KEY = ["company_id", "name", "phno1"]
@@ -52,15 +53,14 @@ def with_ids(
     rows: DataFrame,
     arrival: list[str],
     stored: DataFrame | None = None,
-    id_bucket: int = DEFAULT_BUCKET,
+    ranges: IdRanges | None = None,
 ) -> DataFrame:
     """Give new rows the next ids of their company, in order of arrival.
 
-    ``arrival`` starts with a bill id, whose ranges of ``id_bucket`` bound each sort.
+    ``arrival`` starts with a bill id, whose ``ranges`` bound each sort.
     """
-    ranked = numbered(
-        rows, ["company_id"], arrival, bucket_of(F.col(arrival[0]), id_bucket), "id"
-    )
+    ranges = ranges or id_ranges(rows, arrival[0])
+    ranked = numbered(rows, ["company_id"], arrival, ranges.of(F.col(arrival[0])), "id")
     if stored is None:
         return ranked
     highest = stored.groupBy("company_id").agg(F.max("id").alias("_max_id"))
@@ -71,9 +71,9 @@ def with_ids(
     )
 
 
-def goods_master(lines: DataFrame, id_bucket: int = DEFAULT_BUCKET) -> DataFrame:
+def goods_master(lines: DataFrame, ranges: IdRanges | None = None) -> DataFrame:
     """The whole goods table as built from all lines."""
-    return with_ids(first_goods(lines), ["first_bill", "first_line"], id_bucket=id_bucket)
+    return with_ids(first_goods(lines), ["first_bill", "first_line"], ranges=ranges)
 
 
 def goods_ids(goods: DataFrame) -> DataFrame:
@@ -88,11 +88,6 @@ def link_goods(lines: DataFrame, goods: DataFrame) -> DataFrame:
 
 # --- parties ---------------------------------------------------------------------
 
-PARTY_COLUMNS = (
-    "name phno1 phno2 gstin addrBnm addrBno addrFlno addrSt addrLoc addrDist addrState addrPncd"
-).split()
-
-
 IDENTITY = ["company_id", "name", "_phone", "_bill", "_role"]
 
 
@@ -153,7 +148,7 @@ def with_identity(mentions: DataFrame) -> DataFrame:
 
 def first_parties(mentions: DataFrame) -> DataFrame:
     """Parties to insert: the first mention of each, combined before any shuffle."""
-    attributes = [c for c in mentions.columns if c in PARTY_COLUMNS]
+    attributes = [c for c in mentions.columns if c in PARTY_FIELDS]
     others = [a for a in attributes if a not in ("name", "phno1")]
     first = F.min(F.struct("bill_id", "role", "user_id", "phno1", *others)).alias("_first")
     return (
@@ -182,8 +177,8 @@ def known_clients(mentions: DataFrame, stored: DataFrame) -> DataFrame:
     return known_rows(stored.select(*CLIENT_KEY, "id"), mentions, CLIENT_KEY)
 
 
-def client_master(mentions: DataFrame, id_bucket: int = DEFAULT_BUCKET) -> DataFrame:
-    return with_ids(first_parties(mentions), ["first_bill", "first_role"], id_bucket=id_bucket)
+def client_master(mentions: DataFrame, ranges: IdRanges | None = None) -> DataFrame:
+    return with_ids(first_parties(mentions), ["first_bill", "first_role"], ranges=ranges)
 
 
 def party_ids(

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ledgerloom.operators.ranking import DEFAULT_BUCKET, bucket_of, numbered
+from ledgerloom.operators.ranking import IdRanges, id_ranges, match, numbered
 
 SERIES = ["company_id", "type"]
 
@@ -62,83 +62,52 @@ def _with_seeds(per_series: DataFrame, seeds: DataFrame | None) -> DataFrame:
         F.col("bill_num").alias("_seed_num"),
         _month_index(F.col("bill_timestamp")).alias("_seed_month"),
     )
-    return per_series.join(start, SERIES, "left")
+    start = start.withColumnsRenamed({k: f"_seed_{k}" for k in SERIES})
+    same = F.lit(True)
+    for k in SERIES:
+        same = same & F.col(k).eqNullSafe(F.col(f"_seed_{k}"))
+    return per_series.join(start, same, "left").drop(*[f"_seed_{k}" for k in SERIES])
 
 
 def number_bills(
     bills: DataFrame,
     seeds: DataFrame | None = None,
-    id_bucket: int = DEFAULT_BUCKET,
+    ranges: IdRanges | None = None,
     mode: str = "month_rule",
-    in_order: bool = False,
 ) -> DataFrame:
     """Add ``bill_num`` to bills taken in order of their ids.
 
     ``seeds`` (columns company_id, type, bill_num, bill_timestamp) holds the last stored
     bill of series that continue.  ``mode='fiscal_year'`` counts inside each fiscal year
-    instead of following the month rule.  ``in_order`` promises that a larger id never
-    has an earlier month, which saves a shuffle.
+    instead of following the month rule.
 
-    Each sort covers at most the ``id_bucket`` ids of one bucket.  What spans a series -
-    restarts and running counts - is computed on one row per bucket, so a tenant with a
-    third of all bills is no hot key.
+    Each sort covers one of the ``ranges`` of ids, which are cut by the rows they hold.
+    What spans a series - restarts and running counts - is computed on one row per range,
+    so a tenant with a third of all bills, or one day with most of them, is no hot key.
+    Bills without a company, type or time are numbered too: NULL is a series of its own,
+    and a missing time never restarts it.
     """
     rows = bills.withColumn("_month", _month_index(F.col("bill_timestamp"))).withColumn(
-        "_bucket", bucket_of(F.col("id"), id_bucket)
+        "_bucket", (ranges or id_ranges(bills, "id")).of(F.col("id"))
     )
     if mode == "fiscal_year":
-        numbers = _count_in_fiscal_years(rows, seeds, id_bucket)
+        numbers = _count_in_fiscal_years(rows, seeds)
     elif mode != "month_rule":
         raise ValueError(f"unknown mode {mode!r}")
-    elif in_order:
-        numbers = _number_by_month(rows, seeds)
     else:
         numbers = _number_by_id(rows, seeds)
     return numbers.select(*bills.columns, F.col("bill_num").cast("bigint").alias("bill_num"))
 
 
-def _count_in_fiscal_years(
-    rows: DataFrame, seeds: DataFrame | None, id_bucket: int
-) -> DataFrame:
+def _count_in_fiscal_years(rows: DataFrame, seeds: DataFrame | None) -> DataFrame:
     # Months counted from April: a fiscal year is a run of twelve.
     years = rows.withColumn("_year", F.floor((F.col("_month") - 3) / 12))
-    ranked = numbered(
-        years, [*SERIES, "_year"], ["id"], bucket_of(F.col("id"), id_bucket), "_rank"
-    )
+    ranked = numbered(years, [*SERIES, "_year"], ["id"], F.col("_bucket"), "_rank")
     same_year = F.floor((F.col("_seed_month") - 3) / 12) == F.col("_year")
     start = F.when(same_year, F.col("_seed_num")).otherwise(0)
     return _with_seeds(ranked, seeds).withColumn("bill_num", F.col("_rank") + start)
 
 
-def _number_by_month(rows: DataFrame, seeds: DataFrame | None) -> DataFrame:
-    """Numbers when months follow ids: every bucket is split by month, so restarts fall on
-    the first bill of such a slot, and a map-side count of the slots is all it takes."""
-    slot = [*SERIES, "_month", "_bucket"]
-    counts = _with_seeds(rows.groupBy(*slot).agg(F.count("*").alias("_rows")), seeds)
-    series = W.partitionBy(*SERIES).orderBy("_month", "_bucket")
-    previous = F.coalesce(F.lag("_month").over(series), F.col("_seed_month"))
-    segments = counts.withColumn(
-        "_restart", _restarts(F.col("_month"), previous).cast("int")
-    ).withColumn(
-        "_segment", F.sum("_restart").over(series.rowsBetween(W.unboundedPreceding, 0))
-    )
-    earlier = (
-        W.partitionBy(*SERIES, "_segment")
-        .orderBy("_month", "_bucket")
-        .rowsBetween(W.unboundedPreceding, -1)
-    )
-    seed = F.when(F.col("_segment") == 0, F.coalesce("_seed_num", F.lit(0))).otherwise(0)
-    offsets = segments.select(
-        *slot, (F.coalesce(F.sum("_rows").over(earlier), F.lit(0)) + seed).alias("_offset")
-    )
-    local = F.row_number().over(W.partitionBy(*slot).orderBy("id"))
-    return (
-        rows.withColumn("_local", local)
-        .join(offsets, slot)
-        .withColumn("bill_num", F.col("_offset") + F.col("_local"))
-    )
-
-
 def _number_by_id(rows: DataFrame, seeds: DataFrame | None) -> DataFrame:
     """Numbers for any dates: restarts are found inside each bucket, then across buckets."""
     slot = [*SERIES, "_bucket"]
@@ -188,4 +157,4 @@ def _number_by_id(rows: DataFrame, seeds: DataFrame | None) -> DataFrame:
     number = F.when(
         F.col("_since").isNull(), F.col("_offset") + F.col("_local")
     ).otherwise(F.col("_local") - F.col("_since") + 1)
-    return local.join(offsets, slot).withColumn("bill_num", number)
+    return match(local, offsets, slot).withColumn("bill_num", number)

@@ -82,6 +82,17 @@ def with_amount(headers: DataFrame, lines: DataFrame) -> DataFrame:
     )
 
 
+def with_lineless(headers: DataFrame, totals: DataFrame) -> DataFrame:
+    """Totals of all bills; those of a bill without lines are 0."""
+    bills = headers.select("company_id", F.col("id").alias("history_id"))
+    numbers = {
+        f.name: 0.0 if f.dataType.typeName() == "double" else 0
+        for f in totals.schema.fields
+        if f.name not in BILL
+    }
+    return bills.join(totals.drop("company_id"), "history_id", "left").fillna(numbers)
+
+
 def place_of_supply(headers: DataFrame, companies: DataFrame, clients: DataFrame) -> DataFrame:
     """State of seller and buyer, and whether the bill crosses states.
 

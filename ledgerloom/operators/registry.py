@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions import checks
 from ledgerloom.functions.text import blank_to_null, strip
-from ledgerloom.operators.ranking import DEFAULT_BUCKET, bucket_of, numbered
+from ledgerloom.operators.ranking import id_ranges, numbered
 from ledgerloom.session import ensure_checkpoint_dir
 from ledgerloom.sources.schema import COMPANY_OPTIONAL, COMPANY_REQUIRED
 
@@ -189,16 +189,15 @@ def register_accounts(batch: DataFrame, stored: DataFrame) -> DataFrame:
     return register(clean_accounts(batch), stored, ACCOUNT_UNIQUE, account_rules())
 
 
-def new_rows(registered: DataFrame, stored: DataFrame, id_bucket: int = DEFAULT_BUCKET) -> DataFrame:
+def new_rows(registered: DataFrame, stored: DataFrame) -> DataFrame:
     """Accepted registrations with the next ids, in order of arrival.
 
     The ids run over all rows: each range of arrivals is sorted on its own, and only one
     count per range is brought together.
     """
     accepted = registered.where(F.col("error_message").isNull())
-    ranked = numbered(
-        accepted, [], ["arrival"], bucket_of(F.col("arrival"), id_bucket), "id"
-    )
+    ranges = id_ranges(registered, "arrival")
+    ranked = numbered(accepted, [], ["arrival"], ranges.of(F.col("arrival")), "id")
     highest = stored.agg(F.coalesce(F.max("id"), F.lit(0)).alias("id")).scalar()
     return ranked.withColumn("id", F.col("id") + highest)
 

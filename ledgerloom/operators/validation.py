@@ -32,11 +32,11 @@ BAD_PHONE = "Invalid Phone Number"
 BAD_MOBILE = "Invalid mobile number"
 BAD_ETA = "Invalid values in ETA"
 REFUSED = 403
-# Totals that would round to 10^10 or more cannot be put into words, so no bill can be
-# issued for them.
-TOO_LARGE = "Total amount out of range"
-LARGEST_TOTAL = 9999999999.5
-FAILED = 500
+# Refusals of this library: what arrives without a key cannot be stored, and a submission
+# is handled once.
+NO_KEY = "submission_id, company_id or bill_date not provided"
+REPEATED = "Submission already handled"
+CONFLICT = 409
 
 # Browser-side limits of the entry forms: reported as warnings, never refused.
 STEPS = {"qty": (3, None), "rate": (2, None), "gst": (2, 100.0)}
@@ -104,8 +104,6 @@ def line_checks(df: DataFrame) -> DataFrame:
     for field, minimum in LINE_MINIMA.items():
         unreadable = unreadable | F.exists(numbers_of(field), lambda x: x.isNull())
         lengths.append(F.size(F.filter(numbers_of(field), _passes(minimum))))
-    amounts = F.zip_with(numbers_of("rate"), numbers_of("qty"), lambda rate, qty: rate * qty)
-    total = F.aggregate(amounts, F.lit(0.0), lambda sum_, x: sum_ + x)
     return parsed.withColumns(
         {
             "blank_line_fields": checks.blank_line_fields(
@@ -113,7 +111,6 @@ def line_checks(df: DataFrame) -> DataFrame:
             ),
             "bad_number": F.coalesce(unreadable, F.lit(False)),
             "bad_length": F.size(F.array_distinct(F.array(*lengths))) != 1,
-            "too_large": F.coalesce(total >= LARGEST_TOTAL, F.lit(False)),
         }
     )
 
@@ -160,12 +157,53 @@ def validate(df: DataFrame, kind: str) -> DataFrame:
             (F.col("bad_pincode"), BAD_PINCODE, REFUSED),
             (F.col("bad_phone"), BAD_PHONE if kind == INVOICE else BAD_MOBILE, REFUSED),
             (F.col("bad_eta"), BAD_ETA, REFUSED),
-            (F.col("too_large"), TOO_LARGE, FAILED),
         ]
     )
     return flagged.withColumn("error_message", message).withColumn("error_status", status)
 
 
+def refuse_repeated(
+    validated: DataFrame, row: str, stored_ids: DataFrame | None = None
+) -> DataFrame:
+    """Refuse documents without a key, all but one of those with the same id, and those
+    whose id is stored.
+
+    ``row`` numbers the rows; the lowest of a repeated id stays.  Only ids that occur twice
+    are joined, so the documents themselves are shuffled for them alone.
+    """
+    twice = (
+        validated.groupBy(F.col("submission_id").alias("_id"))
+        .agg(F.count("*").alias("_times"), F.min(row).alias("_first"))
+        .where(F.col("_id").isNotNull() & (F.col("_times") > 1))
+        .drop("_times")
+    )
+    df = validated.join(twice, F.col("submission_id") == F.col("_id"), "left").drop("_id")
+    repeated = F.coalesce(F.col(row) != F.col("_first"), F.lit(False))
+    if stored_ids is not None:
+        known = stored_ids.select(F.col("id").alias("_id")).join(
+            validated.select(F.col("submission_id").alias("_id")).distinct(), "_id", "left_semi"
+        )
+        known = known.distinct().withColumn("_known", F.lit(True))
+        df = df.join(known, F.col("submission_id") == F.col("_id"), "left").drop("_id")
+        repeated = repeated | F.coalesce("_known", F.lit(False))
+    keyless = F.lit(False)
+    for key in ("submission_id", "company_id", "bill_date"):
+        keyless = keyless | F.col(key).isNull()
+    message = (
+        F.when(keyless, F.lit(NO_KEY)).when(repeated, F.lit(REPEATED)).otherwise(
+            F.col("error_message")
+        )
+    )
+    status = (
+        F.when(keyless, F.lit(REFUSED)).when(repeated, F.lit(CONFLICT)).otherwise(
+            F.col("error_status")
+        )
+    )
+    return df.withColumns({"error_message": message, "error_status": status}).drop(
+        "_first", "_known"
+    )
+
+
 def accepted(validated: DataFrame) -> DataFrame:
     return validated.where(F.col("error_message").isNull())
 
@@ -201,7 +239,7 @@ def explode_lines(valid: DataFrame) -> DataFrame:
 
 
 def _off_step(decimals: int, maximum: float | None):
-    return lambda x: ~within_step(parse_number(x), decimals, maximum)
+    return lambda x: ~within_step(x, decimals, maximum)
 
 
 def step_warnings(df: DataFrame) -> DataFrame:
@@ -209,7 +247,8 @@ def step_warnings(df: DataFrame) -> DataFrame:
     counts = {}
     for field, (decimals, maximum) in STEPS.items():
         off = F.filter(strip_all(field), _off_step(decimals, maximum))
-        counts[f"{field}_off_step"] = F.size(off).cast("bigint")
+        # A document without lines has nothing off.
+        counts[f"{field}_off_step"] = F.greatest(F.coalesce(F.size(off), F.lit(0)), F.lit(0)).cast("bigint")
     return df.withColumns(counts)
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ledgerloom.functions import text
 from ledgerloom.functions.text import null_to_blank
 from ledgerloom.operators.numbering import SERIES
-from ledgerloom.operators.ranking import DEFAULT_BUCKET, bucket_of, numbered
+from ledgerloom.operators.ranking import IdRanges, id_ranges, numbered
 
 STAMP = "yyyy-MM-dd HH:mm:ss"
 GOODS_ON = ["company_id", "descp"]
@@ -200,13 +200,14 @@ def bill_document(bills: DataFrame, bill_id: int, company_id: int) -> DataFrame:
 
 
 def inventory_goods(
-    goods: DataFrame, users: DataFrame, id_bucket: int = DEFAULT_BUCKET
+    goods: DataFrame, users: DataFrame, ranges: IdRanges | None = None
 ) -> DataFrame:
     """Goods per company, newest first; goods added by unknown users are left out."""
     by = users.select(F.col("id").alias("added_by"), F.col("username").alias("added_by_name"))
     rows = goods.join(by, "added_by")
+    ranges = ranges or id_ranges(goods, "id")
     ranked = numbered(
-        rows, ["company_id"], ["id"], bucket_of(F.col("id"), id_bucket), "s_no", descending=True
+        rows, ["company_id"], ["id"], ranges.of(F.col("id")), "s_no", descending=True
     )
     return ranked.select(
         "company_id",
@@ -222,15 +223,16 @@ def inventory_goods(
 
 
 def inventory_clients(
-    clients: DataFrame, users: DataFrame, id_bucket: int = DEFAULT_BUCKET
+    clients: DataFrame, users: DataFrame, ranges: IdRanges | None = None
 ) -> DataFrame:
     """Clients per company, newest first, with one-line address and phones."""
     by = users.select(F.col("id").alias("added_by"), F.col("username").alias("added_by_name"))
+    ranges = ranges or id_ranges(clients, "id")
     ranked = numbered(
         clients.join(by, "added_by"),
         ["company_id"],
         ["id"],
-        bucket_of(F.col("id"), id_bucket),
+        ranges.of(F.col("id")),
         "s_no",
         descending=True,
     )

@@ -95,20 +95,24 @@ def words(n: str) -> str:
     def small(x: str) -> str:
         return f"{SMALL}[CAST({x} AS INTEGER) + 1]"
 
-    crore = f"({n} // 10000000)"
-    crore_text = (
-        f"CASE WHEN {crore} >= 100 THEN {small(f'{crore} // 100')} || ' Hundred' || "
-        f"CASE WHEN {crore} % 100 > 0 THEN ' And ' || {small(f'{crore} % 100')} ELSE '' END "
-        f"ELSE {small(crore)} END || ' Crore'"
-    )
-    groups = [f"CASE WHEN {crore} > 0 THEN {crore_text} END"]
-    for size, mod, name in ((100000, 100, "Lakh"), (1000, 100, "Thousand"), (100, 10, "Hundred")):
-        part = f"({n} // {size} % {mod})"
-        groups.append(f"CASE WHEN {part} > 0 THEN {small(part)} || ' {name}' END")
-    high = "concat_ws(', ', " + ", ".join(groups) + ")"
+    def number_words(n: str, crore_levels: int) -> str:
+        groups = []
+        if crore_levels:
+            crore = f"({n} // 10000000)"
+            groups.append(
+                f"CASE WHEN {crore} > 0 THEN {number_words(crore, crore_levels - 1)} || ' Crore' END"
+            )
+        for size, mod, name in ((100000, 100, "Lakh"), (1000, 100, "Thousand"), (100, 10, "Hundred")):
+            part = f"({n} // {size} % {mod})"
+            groups.append(f"CASE WHEN {part} > 0 THEN {small(part)} || ' {name}' END")
+        high = "concat_ws(', ', " + ", ".join(groups) + ")"
+        return (
+            f"(CASE WHEN {n} < 100 THEN {small(f'{n} % 100')} "
+            f"WHEN {n} % 100 > 0 THEN {high} || ' And ' || {small(f'{n} % 100')} ELSE {high} END)"
+        )
+
     return (
-        f"(CASE WHEN {n} < 100 THEN {small(f'{n} % 100')} "
-        f"WHEN {n} % 100 > 0 THEN {high} || ' And ' || {small(f'{n} % 100')} ELSE {high} END "
+        f"({number_words(n, 2)} "
         f"|| CASE WHEN {n} = 1 THEN ' Rupee' ELSE ' Rupees' END || ', Zero Paise Only')"
     )
 
@@ -204,9 +208,14 @@ _GRAND = """
   CAST(CAST(CAST(round_even(total, 0) AS BIGINT) AS DECIMAL(24,2)) - total AS DOUBLE)
     AS round_off"""
 
+# Bills without lines have totals of 0.
 CTES["totals"] = f"""
 SELECT *, {_GRAND} FROM (
-  SELECT company_id, history_id, type, {_SUMS} FROM priced GROUP BY ALL)"""
+  SELECT b.company_id, b.id AS history_id, b.type, coalesce(total_qty, 0) AS total_qty,
+    coalesce(total, 0) AS total, coalesce(total_amount_wo_gst, 0) AS total_amount_wo_gst,
+    coalesce(sum_gst, 0) AS sum_gst, coalesce(sum_cgst, 0) AS sum_cgst
+  FROM bills b LEFT JOIN (SELECT history_id, {_SUMS} FROM priced GROUP BY history_id) s
+    ON b.id = s.history_id)"""
 
 CTES["amounts"] = """
 SELECT id, coalesce(grand_total, 0) AS amount
@@ -384,7 +393,11 @@ SELECT id, 2, company_id, user_id, ts, sname, nullif(sphno1, ''), NULL,
 FROM {source} WHERE sname <> '' AND NOT (bname = sname AND bphno1 = sphno1)"""
 
 
-CTES["mentions"] = mentions("invoices")
+CTES["mentions"] = mentions("invoices") + f"""
+UNION ALL
+SELECT id, 1, company_id, user_id, ts, {strip('name')}, nullif(CASE WHEN d <> 1 THEN phno1 END, ''),
+  NULL, NULL
+FROM posted WHERE type = 'Quotation' AND {strip('name')} <> ''"""
 
 FIRST_PARTIES = """
 SELECT * FROM {0} WHERE phno1 IS NULL
@@ -505,7 +518,8 @@ SELECT b.id AS bill_id, c.name AS company_name, {address('c.')} AS company_addr,
   {phones('x.')} AS buyer_phno, coalesce(x.gstin, '') AS buyer_gstin,
   coalesce(y.name, '') AS ship_name, {address('y.')} AS ship_addr, {phones('y.')} AS ship_phno,
   coalesce(y.gstin, '') AS ship_gstin, coalesce(b.transport, '') AS transport,
-  coalesce(b.payment, '') AS payment, b.eta, p.n_lines, p.lines_text, t.total_qty,
+  coalesce(b.payment, '') AS payment, b.eta, coalesce(p.n_lines, 0) AS n_lines,
+  coalesce(p.lines_text, '') AS lines_text, t.total_qty,
   t.total_amount_wo_gst,
   CASE WHEN b.type = 'Quotation' OR c.addrState <> coalesce(x.addrState, '') THEN t.sum_gst END
     AS total_gst_amount,
@@ -515,7 +529,8 @@ SELECT b.id AS bill_id, c.name AS company_name, {address('c.')} AS company_addr,
     AS total_sgst_amount,
   t.total_amount, t.round_off, {inr('t.grand_total')} AS grand_total_text,
   {words('t.grand_total')} AS total_amount_words
-FROM bills b JOIN totals t ON b.id = t.history_id JOIN ({_PRINT}) p ON b.id = p.history_id
+FROM bills b JOIN totals t ON b.id = t.history_id
+LEFT JOIN ({_PRINT}) p ON b.id = p.history_id
 JOIN numbers n ON b.id = n.id JOIN companies c ON b.company_id = c.id
 LEFT JOIN users u ON b.user_id = u.id LEFT JOIN clients x ON b.billed_to = x.id
 LEFT JOIN clients y ON b.shipped_to = y.id""")
@@ -536,8 +551,13 @@ SELECT id AS submission_id, type AS kind, coalesce(blank_line_fields, '') AS bla
 FROM bills LEFT JOIN line_flags ON id = history_id""")
 
 _EMAIL = "[0-9A-Za-z_!#$%&''*+/=?^`{|}~.-]{1,64}@[a-zA-Z0-9.-]{1,255}\\.[a-zA-Z]{2,}"
-ORACLES["dq_contact_rules"] = query([*_POSTED, "account_posts"], f"""
+ORACLES["dq_contact_rules"] = query([*_POSTED, "company_posts", "account_posts"], f"""
 SELECT 'Invoice' AS source, id, bad_pincode, bad_phone, false AS bad_email FROM checked_invoices
+UNION ALL SELECT 'Quotation', id, false, coalesce(d <> 1 AND bad_phone, false), false
+FROM checked_quotations
+UNION ALL SELECT 'Company', arrival, arrival % 47 = 9,
+  {_BAD_PHONE.format('phno1')} OR arrival % 43 = 11,
+  coalesce(NOT regexp_full_match(email, '{_EMAIL}'), false) FROM company_posts
 UNION ALL SELECT 'Account', arrival, false, {_BAD_PHONE.format('phno')},
   coalesce(NOT regexp_full_match(email, '{_EMAIL}'), false) FROM account_posts""")
 
@@ -547,20 +567,27 @@ SELECT 'Company' AS source, arrival, coalesce(length(gstin) = 15, true) AS gstin
 UNION ALL SELECT 'Account', arrival, true, true, length(username) >= 5 FROM account_posts""")
 
 
-def _off(x: str, factor: int, maximum: str = "") -> str:
-    n = number(x)
-    exact = f"CAST(nullif({n}, CAST('nan' AS DOUBLE)) AS DECIMAL(28,10)) * {factor}"
+def _off(x: str, digits: int, maximum: str = "") -> str:
+    """Numbers with more decimals, as posted, than ``digits``."""
+    n, plain = number(x), f"lower(replace({x}, '_', ''))"
+    fraction = f"rtrim(regexp_extract({plain}, '\\.([0-9]*)', 1), '0')"
+    whole = f"regexp_extract({plain}, '^[+-]?([0-9]*)', 1)"
+    exponent = f"coalesce(TRY_CAST(regexp_extract({plain}, 'e([+-]?[0-9]+)$', 1) AS INTEGER), 0)"
+    places = (
+        f"(CASE WHEN {fraction} <> '' THEN length({fraction}) "
+        f"ELSE length(rtrim({whole}, '0')) - length({whole}) END - {exponent})"
+    )
     over = f" OR {n} > {maximum}" if maximum else ""
     return (
         f"count(*) FILTER (WHERE {n} IS NOT NULL AND NOT isnan({n}) AND "
-        f"({exact} <> floor({exact}){over}))"
+        f"(({n} <> 0 AND {places} > {digits}){over}))"
     )
 
 
 ORACLES["dq_numeric_steps"] = query(["bills", "lines", "posted_lines"], f"""
-SELECT history_id AS submission_id, {_off('qty', 1000)} AS qty_off_step,
-  {_off('rate', 100)} AS rate_off_step, {_off('gst', 100, '100')} AS gst_off_step
-FROM posted_lines GROUP BY history_id""")
+SELECT b.id AS submission_id, {_off('qty', 3)} AS qty_off_step,
+  {_off('rate', 2)} AS rate_off_step, {_off('gst', 2, '100')} AS gst_off_step
+FROM bills b LEFT JOIN posted_lines p ON p.history_id = b.id GROUP BY b.id""")
 
 _ERROR = """error_message, CASE WHEN error_message IS NOT NULL THEN 403 END AS error_status,
   error_message IS NULL AS accepted"""
@@ -634,11 +661,13 @@ SELECT history_id, total_qty, total_amount, grand_total, round_off, total_amount
 ORACLES["preview_vs_billed_total"] = query(["bills", "lines"], f"""
 SELECT company_id, history_id, nullif(preview, 0) AS preview_total, total_amount,
   preview = total_amount AS same_total
-FROM (SELECT company_id, history_id,
+FROM (SELECT company_id, id AS history_id, coalesce(preview, 0) AS preview,
+  coalesce(total_amount, 0) AS total_amount
+FROM bills LEFT JOIN (SELECT history_id,
   CAST(sum(CAST(CASE WHEN (qty * rate) % 2 = 1 THEN floor((qty / 8) * rate * 100 + 0.5) / 100
     ELSE {r2('(qty / 8) * rate')} END AS DECIMAL(18,2))) AS DOUBLE) AS preview,
   CAST(round_even(sum(CAST(rate * (qty / 8) AS DECIMAL(24,6))), 2) AS DOUBLE) AS total_amount
-  FROM lines GROUP BY ALL)""")
+  FROM lines GROUP BY history_id) ON id = history_id)""")
 
 _LAST = """SELECT company_id, type, bill_num, ts FROM numbers
 QUALIFY row_number() OVER (PARTITION BY company_id, type ORDER BY id DESC) = 1"""
@@ -680,7 +709,7 @@ _AMOUNTS = ["bills", "lines", "priced", "totals", "amounts"]
 ORACLES["bill_amount_text"] = query(
     _AMOUNTS, f"SELECT id, amount, {inr('amount')} AS amount_text FROM amounts")
 ORACLES["bill_amount_words"] = query(_AMOUNTS, f"""
-SELECT id, {words('amount')} AS words, {words('(amount * 7919 % 10000000000)')} AS spread_words,
+SELECT id, {words('amount')} AS words, {words('(amount * 7919023757 % 1000000000000000)')} AS spread_words,
   {words('(id % 1200)')} AS small_words FROM amounts""")
 
 _GOODS = ["bills", "lines", "first_goods", "goods"]
@@ -707,7 +736,10 @@ LEFT JOIN party_of p1 ON p1.bill_id = i.id AND p1.role = 1
 LEFT JOIN party_of p2 ON p2.bill_id = i.id AND p2.role = 2"""
 _SHIP = "CASE WHEN bname = sname AND bphno1 = sphno1 THEN p1.party_id ELSE p2.party_id END"
 ORACLES["bill_party_roles"] = query([*_PARTIES, "party_of"], f"""
-SELECT i.id, p1.party_id AS billed_to, {_SHIP} AS shipped_to FROM invoices i {_ROLES}""")
+SELECT i.id, p1.party_id AS billed_to, {_SHIP} AS shipped_to FROM invoices i {_ROLES}
+UNION ALL
+SELECT q.id, p1.party_id, NULL FROM posted q
+LEFT JOIN party_of p1 ON p1.bill_id = q.id AND p1.role = 1 WHERE q.type = 'Quotation'""")
 
 _COMPANY_FIELDS = ["phno1", "email", "gstin", "bnkAcno"]
 _ACCOUNT_FIELDS = ["username", "email", "phno"]
@@ -904,6 +936,55 @@ FROM accepted WHERE name <> ''"""), ("parties", CTES["parties"]), ("party_of", C
 SELECT {_RUN_COLUMNS}, p1.party_id AS billed_to, CAST(NULL AS BIGINT) AS shipped_to, t.sum_gst AS total_gst_amount
 FROM accepted i {_RUN_JOINS} LEFT JOIN party_of p1 ON p1.bill_id = i.id""")
 
+ORACLES["tenant_scan"] = query(["bills", "numbers"], """
+SELECT b.id, b.company_id, b.type, n.bill_num, b.billed_to, b.eta
+FROM bills b JOIN numbers n USING (id) WHERE b.company_id = 0 AND b.type = 'Invoice'""")
+ORACLES["tenant_history"] = query(["bills", "numbers"], """
+SELECT b.id, b.type, n.bill_num, b.shipped_to
+FROM bills b JOIN numbers n USING (id) WHERE b.company_id = 0 ORDER BY b.id DESC""")
+ORACLES["entity_lookup"] = query(["places", "clients", "bills"], """
+SELECT k.id, c.name, c.phno1 FROM (SELECT billed_to AS id FROM bills WHERE billed_to IS NOT NULL
+  UNION SELECT shipped_to FROM bills WHERE shipped_to IS NOT NULL) k
+LEFT JOIN clients c ON c.id = k.id""")
+
+
+def _accounting(kind: str, source: str) -> str:
+    """Outcomes counted from the documents as posted once and the faults added to them."""
+    return f"""
+SELECT '{kind}' AS kind, outcome, documents FROM (
+  SELECT count(*) + sum(again) + sum(keyless) + sum(nameless) AS arrived,
+    count(*) FILTER (WHERE error_message IS NULL) AS accepted,
+    count(*) FILTER (WHERE error_message IS NOT NULL) AS refused,
+    sum(again) AS repeated, sum(keyless) + sum(nameless) AS keyless
+  FROM (SELECT error_message, CAST(k % 53 = 0 AS BIGINT) AS again,
+    CAST(k % 59 = 0 AS BIGINT) AS keyless, CAST(k % 61 = 0 AS BIGINT) AS nameless FROM {source})
+) UNPIVOT (documents FOR outcome IN (arrived, accepted, refused, repeated, keyless))
+WHERE documents > 0"""
+
+
+ORACLES["run_accounting"] = query(
+    [*_POSTED, "invoice_errors", "quotation_errors"],
+    f"""SELECT kind, outcome, CAST(documents AS BIGINT) AS documents FROM (
+{_accounting("Invoice", "invoice_errors")} UNION ALL {_accounting("Quotation", "quotation_errors")})""",
+)
+
+_WHOLE_RUN, _RUN_SELECT = ORACLES["invoice_run"].rsplit("\nSELECT i.id", 1)
+ORACLES["invoice_run_incremental"] = (
+    ORACLES["invoice_run"] + "\nWHERE i.ts >= TIMESTAMP '1999-01-01'"
+)
+ORACLES["ledger_lines"] = _WHOLE_RUN + """
+SELECT l.company_id, l.history_id, l.line_no, g.id AS goods_id, l.descp, l.qty, l.amount,
+  strftime(f.ts, '%Y-%m-%d %H:%M:%S') AS added_at
+FROM run_lines l JOIN run_goods g USING (company_id, descp) JOIN bills f ON f.id = g.history_id"""
+ORACLES["rejects_sink"] = query([*_POSTED, "invoice_errors"], """
+SELECT id AS submission_id, company_id, error_message, 403 AS error_status
+FROM invoice_errors WHERE error_message IS NOT NULL""")
+ORACLES["documents_sink"] = _WHOLE_RUN + f"""
+SELECT i.id, {issue_label('n.type', 'i.ts', 'n.bill_num')} AS issue_label,
+  {address('i.')} AS buyer_addr, {join_blank(', ', 'i.bphno1', 'i.bphno2')} AS buyer_phno,
+  t.grand_total, {words('t.grand_total')} AS total_amount_words, t.n_lines
+FROM accepted i {_RUN_JOINS}"""
+
 # A stream numbers and stores what the batch run does.
 ORACLES["stream_bill_numbers"] = ORACLES["bill_numbers"]
 

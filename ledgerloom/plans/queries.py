@@ -17,19 +17,21 @@ from ledgerloom.operators import dims, numbering, overlay, pricing, registry, va
 from ledgerloom.plans import runs
 from ledgerloom.session import shared_dir
 from ledgerloom.sources import ledger
-from ledgerloom.sources.sample import CUTOFF, ID_BUCKET, SampleLedger
+from ledgerloom.sources.sample import CUTOFF, SampleLedger
 from ledgerloom.sources.schema import PARTY_FIELDS
 from ledgerloom.streaming import ingest
 
 KINDS = (INVOICE, QUOTATION)
+# The company a third of all bills belong to.
+HOT_COMPANY = 0
 # Days for which the next numbers are asked: one before April, one after.
 WINTER = datetime.date(2002, 1, 15)
 AUTUMN = datetime.date(2002, 9, 1)
 
 
 def _numbered(m: SampleLedger) -> DataFrame:
-    """The whole ledger numbered; its ids begin with the day, so months follow ids."""
-    return numbering.number_bills(m.headers(), id_bucket=ID_BUCKET, in_order=True)
+    """The whole ledger numbered."""
+    return numbering.number_bills(m.headers(), ranges=m.ranges())
 
 
 def _stored(bills: DataFrame) -> DataFrame:
@@ -45,7 +47,7 @@ def _goods_lines(m: SampleLedger, headers: DataFrame) -> DataFrame:
 
 
 def _goods_master(m: SampleLedger) -> DataFrame:
-    return dims.goods_master(_goods_lines(m, m.headers()), ID_BUCKET)
+    return dims.goods_master(_goods_lines(m, m.headers()), m.ranges())
 
 
 def _items(m: SampleLedger, headers: DataFrame) -> DataFrame:
@@ -69,13 +71,47 @@ def tenant_bills(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _stored_history(spark: SparkSession, m: SampleLedger) -> DataFrame:
+    """The numbered bills, appended to a ledger on disk and read back."""
+    folder = shared_dir(spark, "history")
+    ledger.append_table(_numbered(m), folder, "history", 0)
+    return ledger.read_table(spark, folder, "history")
+
+
+def tenant_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Invoices of the largest company: both filters reach the scan of the stored ledger."""
+    history = _stored_history(spark, SampleLedger(spark, sf_dir))
+    return views.of_type(views.tenant_scan(history, HOT_COMPANY), INVOICE).select(
+        "id", "company_id", "type", "bill_num", "billed_to", "eta"
+    )
+
+
+def tenant_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All bills of the largest company, newest first."""
+    history = _stored_history(spark, SampleLedger(spark, sf_dir))
+    return views.newest_first(views.tenant_scan(history, HOT_COMPANY)).select(
+        "id", "type", "bill_num", "shipped_to"
+    )
+
+
+def entity_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Name and phone of every party any bill names, known or not."""
+    m = SampleLedger(spark, sf_dir)
+    named = m.headers().select(F.explode(F.array("billed_to", "shipped_to")).alias("id"))
+    keys = named.where(F.col("id").isNotNull()).distinct()
+    return views.lookup(m.clients(), keys, "id", ["name", "phno1"])
+
+
 def document_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = SampleLedger(spark, sf_dir)
     return views.document_lookup(m.document_requests(), _numbered(m))
 
 
 def bill_document_flat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All that is printed on every bill; lines reduced to a count and a text."""
+    """All that is printed on every bill; lines reduced to a count and a text.
+
+    A bill without lines prints zeros.
+    """
     m = SampleLedger(spark, sf_dir)
     headers = _numbered(m)
     priced = pricing.price_lines(_goods_lines(m, headers))
@@ -84,7 +120,15 @@ def bill_document_flat(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     bills = (
         headers.withColumnRenamed("id", "bill_id")
-        .join(totals, F.col("bill_id") == F.col("history_id"))
+        .join(totals.drop("company_id"), F.col("bill_id") == F.col("history_id"), "left")
+        .fillna(
+            {
+                c: 0.0
+                for c in ("total_qty", "total_amount", "total_amount_wo_gst", "sum_gst",
+                          "sum_cgst", "round_off")
+            }
+            | {"grand_total": 0}
+        )
         .join(views.company_print(m.companies()), "company_id")
         .join(views.issuer_print(m.users()), "user_id", "left")
         .join(views.party_print(m.clients(), "buyer_"), F.col("billed_to") == F.col("buyer_id"),
@@ -125,8 +169,10 @@ def bill_document_flat(spark: SparkSession, sf_dir: str) -> DataFrame:
         text.null_to_blank(F.col("transport")).alias("transport"),
         text.null_to_blank(F.col("payment")).alias("payment"),
         "eta",
-        F.size("lines").cast("bigint").alias("n_lines"),
-        F.array_join(F.transform("lines", line_text), ";").alias("lines_text"),
+        F.when(F.col("lines").isNull(), 0).otherwise(F.size("lines")).cast("bigint").alias(
+            "n_lines"
+        ),
+        text.null_to_blank(F.array_join(F.transform("lines", line_text), ";")).alias("lines_text"),
         "total_qty",
         "total_amount_wo_gst",
         F.when(quotation, F.col("sum_gst")).otherwise(F.col("total_gst_amount")).alias(
@@ -187,16 +233,36 @@ def dq_line_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dq_contact_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Contact rules on posted invoices and on the stored clients' contact fields."""
+    """Contact rules on posted documents, companies and accounts."""
     m = SampleLedger(spark, sf_dir)
-    posted = validation.default_ship_to(m.submission_headers(INVOICE))
-    scalars = {c: text.strip(c) for c in validation.scalar_fields(INVOICE)}
-    invoices = validation.contact_checks(posted.withColumns(scalars), INVOICE).select(
-        F.lit("Invoice").alias("source"),
-        F.col("submission_id").alias("id"),
-        F.coalesce("bad_pincode", F.lit(False)).alias("bad_pincode"),
-        F.coalesce("bad_phone", F.lit(False)).alias("bad_phone"),
-        F.lit(False).alias("bad_email"),
+    documents = []
+    for kind in KINDS:
+        posted = m.submission_headers(kind)
+        if kind == INVOICE:
+            posted = validation.default_ship_to(posted)
+        scalars = {c: text.strip(c) for c in validation.scalar_fields(kind)}
+        checked = validation.contact_checks(posted.withColumns(scalars), kind)
+        documents.append(
+            checked.select(
+                F.lit(kind).alias("source"),
+                F.col("submission_id").alias("id"),
+                F.coalesce("bad_pincode", F.lit(False)).alias("bad_pincode"),
+                F.coalesce("bad_phone", F.lit(False)).alias("bad_phone"),
+                F.lit(False).alias("bad_email"),
+            )
+        )
+
+    def broken(rule, column: str) -> Column:
+        return F.coalesce(~checks.optional(rule, F.col(column)), F.lit(False))
+
+    companies = registry.clean_companies(m.company_registrations()).select(
+        F.lit("Company").alias("source"),
+        F.col("arrival").alias("id"),
+        broken(checks.is_valid_pncd, "addrPncd").alias("bad_pincode"),
+        (broken(checks.is_valid_phno, "phno1") | broken(checks.is_valid_phno, "phno2")).alias(
+            "bad_phone"
+        ),
+        broken(checks.is_valid_email, "email").alias("bad_email"),
     )
     accounts = registry.clean_accounts(m.account_registrations()).select(
         F.lit("Account").alias("source"),
@@ -205,7 +271,7 @@ def dq_contact_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         (~checks.optional(checks.is_valid_phno, F.col("phno"))).alias("bad_phone"),
         (~checks.optional(checks.is_valid_email, F.col("email"))).alias("bad_email"),
     )
-    return _union([invoices, accounts])
+    return _union([*documents, companies, accounts])
 
 
 def dq_identifier_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -236,9 +302,9 @@ def dq_numeric_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = SampleLedger(spark, sf_dir)
     return _union(
         [
-            validation.step_warnings(
-                m.submissions(kind).where(F.size("descp") > 0)
-            ).select("submission_id", "qty_off_step", "rate_off_step", "gst_off_step")
+            validation.step_warnings(m.submissions(kind)).select(
+                "submission_id", "qty_off_step", "rate_off_step", "gst_off_step"
+            )
             for kind in KINDS
         ]
     )
@@ -387,7 +453,9 @@ def place_of_supply(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _totals(m: SampleLedger, headers: DataFrame) -> DataFrame:
-    return pricing.sum_lines(pricing.price_lines(m.lines(headers)))
+    return pricing.with_lineless(
+        headers, pricing.sum_lines(pricing.price_lines(m.lines(headers)))
+    )
 
 
 def bill_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -410,8 +478,9 @@ def bill_tax_split(spark: SparkSession, sf_dir: str) -> DataFrame:
         invoices.select("id", "company_id", "billed_to"), m.companies(), m.clients()
     ).drop("company_id")
     totals = _totals(m, invoices)
-    return pricing.split_tax(totals.join(placed, totals.history_id == placed.id)).select(
-        "id",
+    placed = placed.withColumnRenamed("id", "history_id")
+    return pricing.split_tax(totals.join(placed, "history_id")).select(
+        F.col("history_id").alias("id"),
         "inter_state",
         "total_gst_amount",
         "total_cgst_amount",
@@ -436,7 +505,11 @@ def preview_vs_billed_total(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Preview totals on eighths of the quantities, where the two roundings differ."""
     m = SampleLedger(spark, sf_dir)
     lines = m.lines(m.headers()).withColumn("qty", F.col("qty") / 8)
-    return pricing.preview_totals(lines)
+    bills = m.headers().select("company_id", F.col("id").alias("history_id"))
+    totals = pricing.preview_totals(lines).drop("company_id")
+    return bills.join(totals, "history_id", "left").fillna(
+        {"total_amount": 0.0, "same_total": True}
+    )
 
 
 # --- numbering and labels -----------------------------------------------------------
@@ -475,9 +548,9 @@ def bill_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
 def bill_numbers_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Numbers of the arriving bills, continuing the stored ones."""
     m = SampleLedger(spark, sf_dir)
-    stored = numbering.number_bills(_stored(m.headers()), id_bucket=ID_BUCKET)
+    stored = numbering.number_bills(_stored(m.headers()), ranges=m.ranges())
     seeds = numbering.last_bill(stored)
-    return numbering.number_bills(_arriving(m.headers()), seeds, ID_BUCKET).select(
+    return numbering.number_bills(_arriving(m.headers()), seeds, m.ranges()).select(
         "company_id", "type", "id", "bill_num"
     )
 
@@ -494,7 +567,7 @@ def bill_numbers_by_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def bill_numbers_fiscal_year(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = SampleLedger(spark, sf_dir)
     return numbering.number_bills(
-        m.headers(), id_bucket=ID_BUCKET, mode="fiscal_year"
+        m.headers(), ranges=m.ranges(), mode="fiscal_year"
     ).select("company_id", "type", "id", "bill_num")
 
 
@@ -547,7 +620,7 @@ def bill_amount_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return amounts.select(
         "id",
         text.amount_words(F.col("amount")).alias("words"),
-        text.amount_words((F.col("amount") * 7919) % 10**10).alias("spread_words"),
+        text.amount_words((F.col("amount") * (7919 * 1000003)) % 10**15).alias("spread_words"),
         text.amount_words(F.col("id") % 1200).alias("small_words"),
     )
 
@@ -563,9 +636,9 @@ def goods_master(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def new_goods(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = SampleLedger(spark, sf_dir)
-    stored = dims.goods_master(_goods_lines(m, _stored(m.headers())), ID_BUCKET)
+    stored = dims.goods_master(_goods_lines(m, _stored(m.headers())), m.ranges())
     fresh = dims.new_goods(_goods_lines(m, _arriving(m.headers())), stored)
-    return dims.with_ids(fresh, ["first_bill", "first_line"], stored, ID_BUCKET).select(
+    return dims.with_ids(fresh, ["first_bill", "first_line"], stored, m.ranges()).select(
         "company_id", "id", "descp", "rate", "gst", "first_bill", "first_line"
     )
 
@@ -578,11 +651,26 @@ def line_goods_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _parties(m: SampleLedger) -> DataFrame:
-    """Invoices with their stripped parties, as posted."""
-    posted = validation.default_ship_to(m.submission_headers(INVOICE))
-    scalars = {c: text.strip(c) for c in validation.scalar_fields(INVOICE)}
-    bills = posted.withColumns(scalars).withColumn("id", F.col("submission_id"))
-    return bills.withColumn("bill_timestamp", F.col("bill_date").cast("timestamp"))
+    """Bills of both kinds with their stripped parties, as posted."""
+    columns = [p + f for p in "bs" for f in PARTY_FIELDS]
+    both = []
+    for kind in KINDS:
+        posted = m.submission_headers(kind)
+        if kind == INVOICE:
+            posted = validation.default_ship_to(posted)
+        bills = posted.withColumns({c: text.strip(c) for c in validation.scalar_fields(kind)})
+        if kind == QUOTATION:
+            bills = validation.blank_parties(bills, kind)
+        both.append(
+            bills.select(
+                F.col("submission_id").alias("id"),
+                "company_id",
+                "user_id",
+                F.col("bill_date").cast("timestamp").alias("bill_timestamp"),
+                *columns,
+            )
+        )
+    return _union(both)
 
 
 def _mentions(bills: DataFrame) -> DataFrame:
@@ -591,7 +679,7 @@ def _mentions(bills: DataFrame) -> DataFrame:
 
 def client_master(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = SampleLedger(spark, sf_dir)
-    return dims.client_master(_mentions(_parties(m)), ID_BUCKET).select(
+    return dims.client_master(_mentions(_parties(m)), m.ranges()).select(
         "company_id", "id", "name", "phno1", "gstin", "addrState", "added_by",
         "first_bill", "first_role",
     )
@@ -600,9 +688,9 @@ def client_master(spark: SparkSession, sf_dir: str) -> DataFrame:
 def new_clients(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = SampleLedger(spark, sf_dir)
     bills = _parties(m)
-    stored = dims.client_master(_mentions(_stored(bills)), ID_BUCKET)
+    stored = dims.client_master(_mentions(_stored(bills)), m.ranges())
     fresh = dims.new_clients(_mentions(_arriving(bills)), stored)
-    return dims.with_ids(fresh, ["first_bill", "first_role"], stored, ID_BUCKET).select(
+    return dims.with_ids(fresh, ["first_bill", "first_role"], stored, m.ranges()).select(
         "company_id", "id", "name", "phno1", "first_bill", "first_role"
     )
 
@@ -611,7 +699,7 @@ def bill_party_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = SampleLedger(spark, sf_dir)
     bills = _parties(m)
     mentions = _mentions(bills)
-    master = dims.client_master(mentions, ID_BUCKET)
+    master = dims.client_master(mentions, m.ranges())
     ids = dims.party_ids(mentions, None, master)
     parties = bills.select("id", "bname", "sname", "bphno1", "sphno1")
     return dims.with_parties(parties, ids).select("id", "billed_to", "shipped_to")
@@ -711,7 +799,7 @@ def _run_view(run: runs.Run, extra: list[str]) -> DataFrame:
 def invoice_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All posted invoices through validation, pricing, numbering and get-or-insert."""
     m = SampleLedger(spark, sf_dir)
-    run = runs.run_batch(m.submissions(INVOICE), INVOICE, m.companies(), id_bucket=ID_BUCKET)
+    run = runs.run_batch(m.submissions(INVOICE), INVOICE, m.companies())
     return _run_view(
         run,
         ["transport_mode", "payment_mode", "inter_state", "total_cgst_amount", "total_sgst_amount"],
@@ -720,10 +808,111 @@ def invoice_run(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def quotation_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = SampleLedger(spark, sf_dir)
-    run = runs.run_batch(m.submissions(QUOTATION), QUOTATION, m.companies(), id_bucket=ID_BUCKET)
+    run = runs.run_batch(m.submissions(QUOTATION), QUOTATION, m.companies())
     return _run_view(run, [])
 
 
+def run_accounting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Submissions, some of them repeated or without a key, and what became of them."""
+    m = SampleLedger(spark, sf_dir)
+    counts = []
+    for kind in KINDS:
+        posted = m.submissions(kind)
+        again = posted.where(F.col("order_key") % 53 == 0)
+        keyless = posted.where(F.col("order_key") % 59 == 0).withColumn(
+            "company_id", F.lit(None).cast("bigint")
+        )
+        nameless = posted.where(F.col("order_key") % 61 == 0).withColumn(
+            "submission_id", F.lit(None).cast("bigint")
+        )
+        # What lacks its company has an id of its own, so that it repeats nothing.
+        keyless = keyless.withColumn("submission_id", -F.col("submission_id"))
+        arrived = _union([posted, again, keyless, nameless])
+        run = runs.run_batch(arrived, kind, m.companies())
+        outcomes = run.bills.select(F.lit("accepted").alias("outcome")).unionByName(
+            run.rejects.select(
+                F.when(F.col("error_message") == validation.REPEATED, "repeated")
+                .when(F.col("error_message") == validation.NO_KEY, "keyless")
+                .otherwise("refused")
+                .alias("outcome")
+            )
+        )
+        everything = arrived.select(F.lit("arrived").alias("outcome")).unionByName(outcomes)
+        counts.append(everything.groupBy("outcome").agg(F.count("*").alias("documents")).select(
+            F.lit(kind).alias("kind"), "outcome", "documents"
+        ))
+    return _union(counts)
+
+
+def _two_batches(spark: SparkSession, m: SampleLedger) -> tuple[str, runs.Run]:
+    """A ledger that took the early invoices and then the late ones, and the second run."""
+    folder = shared_dir(spark, "ledger")
+    run = None
+    for number, batch in enumerate(_slices(m.submissions(INVOICE), "bill_date")):
+        stored = ledger.load_model(spark, folder)
+        run = runs.run_batch(
+            batch,
+            INVOICE,
+            m.companies(),
+            stored.beneficiaries,
+            stored.goods,
+            numbering.last_bill(stored.history),
+            stored.history,
+        )
+        runs.append_run(run, folder, number, m.companies(), m.users())
+    return folder, run
+
+
+def invoice_run_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Late invoices on the ledger that holds the early ones: goods, parties and numbers
+    go on where those ended."""
+    _, run = _two_batches(spark, SampleLedger(spark, sf_dir))
+    return _run_view(
+        run,
+        ["transport_mode", "payment_mode", "inter_state", "total_cgst_amount", "total_sgst_amount"],
+    )
+
+
+def ledger_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of two batches, read back with the goods they were linked to."""
+    folder, _ = _two_batches(spark, SampleLedger(spark, sf_dir))
+    lines = ledger.read_table(spark, folder, "history_goods")
+    goods = ledger.read_table(spark, folder, "goods").select(
+        "company_id", F.col("id").alias("goods_id"), "descp", "added_at"
+    )
+    return lines.join(goods, ["company_id", "goods_id"]).select(
+        "company_id",
+        "history_id",
+        "line_no",
+        "goods_id",
+        "descp",
+        "qty",
+        "amount",
+        F.date_format("added_at", views.STAMP).alias("added_at"),
+    )
+
+
+def rejects_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Refused invoices of two batches, as stored."""
+    folder, _ = _two_batches(spark, SampleLedger(spark, sf_dir))
+    return spark.read.parquet(f"{folder}/rejects").select(
+        "submission_id", "company_id", "error_message", "error_status"
+    )
+
+
+def documents_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Printed documents of two batches, read back from their JSON files."""
+    folder, _ = _two_batches(spark, SampleLedger(spark, sf_dir))
+    schema = (
+        "id long, issue_label string, buyer_addr string, buyer_phno string, grand_total long, "
+        "total_amount_words string, lines array<struct<line_no:long>>"
+    )
+    documents = spark.read.schema(schema).json(f"{folder}/documents")
+    return documents.withColumn("n_lines", F.size("lines").cast("bigint")).drop(
+        "lines", ledger.BATCH
+    )
+
+
 # --- streams ----------------------------------------------------------------------------
 
 
@@ -751,7 +940,6 @@ def stream_ingest_bills(spark: SparkSession, sf_dir: str) -> DataFrame:
                 f"{folder}/ledger",
                 f"{folder}/checkpoint-{kind}",
                 m.companies(),
-                id_bucket=ID_BUCKET,
             ).awaitTermination()
     history = ledger.read_table(spark, f"{folder}/ledger", "history")
     return history.select(
@@ -767,7 +955,7 @@ def stream_bill_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     for part in _slices(headers, "bill_timestamp"):
         part.write.mode("append").parquet(f"{folder}/in")
         ingest.number_stream(
-            spark, f"{folder}/in", folder, f"{folder}/checkpoint", ID_BUCKET
+            spark, f"{folder}/in", folder, f"{folder}/checkpoint"
         ).awaitTermination()
     return spark.read.parquet(f"{folder}/numbered").select("company_id", "type", "id", "bill_num")
 
@@ -776,6 +964,9 @@ QUERIES = {
     f.__name__: f
     for f in (
         tenant_bills,
+        tenant_scan,
+        tenant_history,
+        entity_lookup,
         document_lookup,
         bill_document_flat,
         dq_missing_fields,
@@ -824,6 +1015,11 @@ QUERIES = {
         account_company_link,
         invoice_run,
         quotation_run,
+        run_accounting,
+        invoice_run_incremental,
+        ledger_lines,
+        rejects_sink,
+        documents_sink,
         stream_ingest_bills,
         stream_bill_numbers,
     )

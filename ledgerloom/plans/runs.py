@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ledgerloom.functions import text
 from ledgerloom.functions.text import INVOICE, QUOTATION
 from ledgerloom.operators import dims, numbering, pricing, validation, views
-from ledgerloom.operators.ranking import DEFAULT_BUCKET
+from ledgerloom.operators.ranking import id_ranges
 from ledgerloom.session import shared_dir
 from ledgerloom.sources import ledger
 from ledgerloom.sources.schema import PARTY_FIELDS
@@ -48,7 +48,8 @@ def materialise(df: DataFrame, folder: str, name: str) -> DataFrame:
 def checked_submissions(submissions: DataFrame, kind: str) -> DataFrame:
     """Validated documents with unified party columns.
 
-    Submission ids are unique and follow arrival; they become the bill ids.
+    Submission ids follow arrival and become the bill ids; ``refuse_repeated`` makes them
+    unique.
     """
     if kind == INVOICE:
         submissions = validation.default_ship_to(submissions)
@@ -84,8 +85,7 @@ def price_bills(valid: DataFrame, priced: DataFrame, companies: DataFrame, kind:
         F.col("id").alias("company_id"), F.col("addrState").alias("company_state")
     )
     bills = (
-        valid.drop(*LINE_ARRAYS)
-        .join(sellers, "company_id", "left")
+        valid.join(sellers, "company_id", "left")
         .join(totals, F.col("id") == F.col("history_id"))
         .drop("history_id")
     )
@@ -103,37 +103,56 @@ def run_batch(
     clients: DataFrame | None = None,
     goods: DataFrame | None = None,
     seeds: DataFrame | None = None,
-    id_bucket: int = DEFAULT_BUCKET,
+    stored_bills: DataFrame | None = None,
 ) -> Run:
-    """Validate, price, number and resolve a batch against the stored ledger, if any."""
+    """Validate, price, number and resolve a batch against the stored ledger, if any.
+
+    Every submission ends up in the bills or in the rejects, once.  The documents are read
+    twice after validation, for their lines and for everything else; both are written
+    narrow, and all that follows is derived from those two.
+    """
     scratch = shared_dir(submissions.sparkSession, "run")
-    checked = materialise(checked_submissions(submissions, kind), scratch, "submissions")
+    arrived = checked_submissions(submissions, kind).withColumn(
+        "_row", F.monotonically_increasing_id()
+    )
+    arrived = materialise(arrived, scratch, "submissions")
+    checked = validation.refuse_repeated(arrived, "_row", stored_bills)
+    documents_ = checked.withColumn("id", F.col("submission_id"))
+    priced = materialise(
+        pricing.price_lines(validation.explode_lines(validation.accepted(documents_))),
+        scratch,
+        "lines",
+    )
+    headers = materialise(documents_.drop(*LINE_ARRAYS, "_row"), scratch, "headers")
     valid = (
-        validation.accepted(checked)
-        .withColumn("id", F.col("submission_id"))
+        validation.accepted(headers)
         .withColumn("type", F.lit(kind))
         .withColumn("bill_timestamp", F.col("bill_date").cast("timestamp"))
         .withColumn("eta", text.eta_text(F.col("eta")))
     )
-    priced = pricing.price_lines(validation.explode_lines(valid))
+    ranges = id_ranges(valid, "id")
     priced_bills = price_bills(valid, priced, companies, kind)
     numbers = numbering.number_bills(
-        valid.select("company_id", "type", "id", "bill_timestamp"), seeds, id_bucket
+        valid.select("company_id", "type", "id", "bill_timestamp"), seeds, ranges
     ).select("id", "bill_num")
+    first_seen = valid.select(
+        F.col("id").alias("first_bill"),
+        F.col("bill_timestamp").alias("added_at"),
+    )
 
     attributes = list(PARTY_FIELDS) if kind == INVOICE else ["name", "phno1"]
     mentions = dims.party_mentions(valid, attributes)
     new_parties = (
         dims.first_parties(mentions) if clients is None else dims.new_clients(mentions, clients)
     )
-    new_parties = dims.with_ids(new_parties, ["first_bill", "first_role"], clients, id_bucket)
-    new_parties = materialise(new_parties, scratch, "clients")
+    new_parties = dims.with_ids(new_parties, ["first_bill", "first_role"], clients, ranges)
+    new_parties = materialise(new_parties.join(first_seen, "first_bill"), scratch, "clients")
     parties = dims.party_ids(mentions, clients, new_parties)
     bills = dims.with_parties(priced_bills.join(numbers, "id"), parties)
 
     fresh = dims.first_goods(priced) if goods is None else dims.new_goods(priced, goods)
-    fresh = dims.with_ids(fresh, ["first_bill", "first_line"], goods, id_bucket)
-    fresh = materialise(fresh, scratch, "goods")
+    fresh = dims.with_ids(fresh, ["first_bill", "first_line"], goods, ranges)
+    fresh = materialise(fresh.join(first_seen, "first_bill"), scratch, "goods")
     known = fresh.select(*dims.GOODS_KEY, "id")
     if goods is not None:
         stored = goods.select(*dims.GOODS_KEY, "id")
@@ -144,7 +163,7 @@ def run_batch(
         "amount", F.col("grand_total")
     )
     return Run(
-        views.with_label(printed), linked, new_parties, fresh, validation.rejects(checked), scratch
+        views.with_label(printed), linked, new_parties, fresh, validation.rejects(headers), scratch
     )
 
 
@@ -161,7 +180,7 @@ def documents(run: Run, companies: DataFrame, users: DataFrame) -> DataFrame:
     whole = F.col("inter_state") if "inter_state" in run.bills.columns else F.lit(True)
     lines = run.lines.groupBy("history_id").agg(views.document_lines(run.lines).alias("lines"))
     return (
-        run.bills.join(views.company_print(companies).drop("company_state"), "company_id")
+        run.bills.join(views.company_print(companies).drop("company_state"), "company_id", "left")
         .join(views.issuer_print(users), "user_id", "left")
         .join(lines, F.col("id") == F.col("history_id"))
         .withColumn("lines", F.transform("lines", lambda x: views.printed_line(x, whole)))
@@ -183,14 +202,20 @@ def append_run(
     """Append a run to the ledger: dimensions first, lines, then headers.
 
     A header therefore implies complete lines, and each batch owns its files, so
-    repeating a failed batch replaces what it left behind.
+    repeating a failed batch replaces what it left behind.  Bills and lines are worked out
+    once, into the scratch folder, and go to all sinks from there.
     """
-    ledger.append_dim(run.goods, folder, "goods", batch_id)
-    ledger.append_dim(run.clients, folder, "beneficiaries", batch_id)
+    run = replace(
+        run,
+        bills=materialise(run.bills, run.scratch, "bills"),
+        lines=materialise(run.lines, run.scratch, "linked"),
+    )
+    ledger.append_table(run.goods, folder, "goods", batch_id)
+    ledger.append_table(run.clients, folder, "beneficiaries", batch_id)
     lines = run.lines.select("company_id", "history_id", "line_no", "goods_id", "qty", "amount")
-    ledger.append_history_goods(lines, folder, batch_id)
+    ledger.append_table(lines, folder, "history_goods", batch_id)
     bills = run.bills.withColumnsRenamed({"transport_mode": "transport", "payment_mode": "payment"})
-    ledger.append_history(bills, folder, batch_id)
+    ledger.append_table(bills, folder, "history", batch_id)
     ledger.append_rejects(run.rejects, folder, batch_id)
     if companies is not None and users is not None:
         ledger.append_documents(documents(run, companies, users), folder, batch_id)

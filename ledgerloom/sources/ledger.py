@@ -93,24 +93,6 @@ def append_table(df: DataFrame, folder: str, name: str, batch_id: int) -> None:
     writer.parquet(f"{folder}/{name}/{BATCH}={batch_id}")
 
 
-def append_history(df: DataFrame, folder: str, batch_id: int) -> None:
-    append_table(df, folder, "history", batch_id)
-
-
-def append_history_goods(df: DataFrame, folder: str, batch_id: int) -> None:
-    append_table(df, folder, "history_goods", batch_id)
-
-
-def append_dim(df: DataFrame, folder: str, name: str, batch_id: int) -> None:
-    """New parties or goods."""
-    append_table(df, folder, name, batch_id)
-
-
-def append_registry(df: DataFrame, folder: str, name: str, batch_id: int) -> None:
-    """New companies or accounts."""
-    append_table(df, folder, name, batch_id)
-
-
 def append_documents(df: DataFrame, folder: str, batch_id: int) -> None:
     df.write.mode("overwrite").json(f"{folder}/documents/{BATCH}={batch_id}")
 

@@ -14,12 +14,11 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions.numeric import py_round
 from ledgerloom.functions.text import INVOICE, QUOTATION
+from ledgerloom.operators.ranking import IdRanges, id_ranges
 from ledgerloom.session import configure, size_shuffles
 
 # Bill ids are time-ordered: the day, then the order key.
 ID_DAY = 10**12
-# Rows with ids of one day fall into one bucket when ranks are computed.
-ID_BUCKET = ID_DAY
 # Bills from this day on play the arriving batch where a query needs "stored" and "new".
 CUTOFF = "1999-01-01"
 
@@ -57,11 +56,18 @@ class SampleLedger:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = configure(spark)
         self.sf_dir = sf_dir
+        self._ranges: IdRanges | None = None
         size_shuffles(spark, sf_dir)
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
+    def ranges(self) -> IdRanges:
+        """Ranges of bill ids with about equal numbers of bills, counted once."""
+        if self._ranges is None:
+            self._ranges = id_ranges(self.headers().select("id"), "id")
+        return self._ranges
+
     def places(self) -> DataFrame:
         """Nations with their regions: 25 rows at every scale."""
         nation, region = self.table("nation"), self.table("region")

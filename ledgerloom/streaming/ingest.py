@@ -14,7 +14,6 @@ from pyspark.sql import types as T
 
 from ledgerloom.functions.text import INVOICE, QUOTATION
 from ledgerloom.operators import numbering
-from ledgerloom.operators.ranking import DEFAULT_BUCKET
 from ledgerloom.plans import runs
 from ledgerloom.sources import ledger
 from ledgerloom.sources.ledger import BATCH
@@ -76,7 +75,6 @@ def ingest_batch(
     batch_id: int,
     companies: DataFrame,
     users: DataFrame | None = None,
-    id_bucket: int = DEFAULT_BUCKET,
 ) -> None:
     """Run one batch of documents against the ledger in ``folder`` and append it."""
     spark = submissions.sparkSession
@@ -90,7 +88,7 @@ def ingest_batch(
         clients=_other_batches(ledger.read_table(spark, folder, "beneficiaries"), own),
         goods=_other_batches(ledger.read_table(spark, folder, "goods"), own),
         seeds=seeds,
-        id_bucket=id_bucket,
+        stored_bills=_other_batches(ledger.read_table(spark, folder, "history"), own),
     )
     runs.append_run(run, folder, own, companies, users)
     written = ledger.read_table(spark, folder, "history").where(F.col(BATCH) == own)
@@ -106,7 +104,6 @@ def ingest_stream(
     checkpoint: str,
     companies: DataFrame,
     users: DataFrame | None = None,
-    id_bucket: int = DEFAULT_BUCKET,
     max_files: int | None = None,
 ):
     """Ingest the JSON documents that arrived in ``source`` since the last call."""
@@ -116,7 +113,7 @@ def ingest_stream(
         reader = reader.option("maxFilesPerTrigger", max_files)
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        ingest_batch(batch, kind, folder, batch_id, companies, users, id_bucket)
+        ingest_batch(batch, kind, folder, batch_id, companies, users)
 
     return (
         reader.json(source)
@@ -132,7 +129,6 @@ def number_stream(
     source: str,
     folder: str,
     checkpoint: str,
-    id_bucket: int = DEFAULT_BUCKET,
     max_files: int | None = None,
 ):
     """Number the bill headers that arrived in ``source`` since the last call."""
@@ -144,7 +140,7 @@ def number_stream(
         snapshots = f"{folder}/last_bills"
         seeds = last_bills(spark, snapshots, batch_id)
         target = f"{folder}/numbered/{BATCH}={batch_id}"
-        numbering.number_bills(batch, seeds, id_bucket).write.mode("overwrite").parquet(target)
+        numbering.number_bills(batch, seeds).write.mode("overwrite").parquet(target)
         _store_last_bills(spark.read.parquet(target), seeds, snapshots, batch_id)
 
     return (

@@ -127,13 +127,17 @@ def test_a_batch_that_failed_half_way_is_repaired(spark, monkeypatch):
             posts.frame(spark, INVOICE, rows), INVOICE, folder, number, posts.companies(spark)
         )
 
-    def lost(*args):
-        raise RuntimeError("executor lost")
+    append = ledger.append_table
+
+    def lost(df, folder, name, batch_id):
+        if name == "history":
+            raise RuntimeError("executor lost")
+        append(df, folder, name, batch_id)
 
     for folder in (broken, clean):
         batch(folder, 0, first)
     with monkeypatch.context() as patch:
-        patch.setattr(ledger, "append_history", lost)
+        patch.setattr(ledger, "append_table", lost)
         with pytest.raises(RuntimeError):
             batch(broken, 1, second)
     assert rows_of(broken, "history", spark, "id") == [(1,), (2,)]

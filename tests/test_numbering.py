@@ -7,11 +7,22 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerloom.operators import numbering
-from ledgerloom.operators.ranking import bucket_of, numbered
+from ledgerloom.operators import ranking
+from ledgerloom.operators.ranking import bucket_of, id_ranges, numbered
 
 SCHEMA = "id long, company_id long, type string, bill_timestamp timestamp"
 
 
+class Width:
+    """Ranges of a fixed width."""
+
+    def __init__(self, width):
+        self.width = width
+
+    def of(self, key):
+        return bucket_of(key, self.width)
+
+
 def make_bills(seed, n=600, start_id=0, start="1998-01-01"):
     """Time-ordered ids; company 0 has more than half of the bills."""
     rng = random.Random(seed)
@@ -50,8 +61,7 @@ def test_numbers_equal_the_sequential_rule(spark, seed, bucket):
     rows = make_bills(seed)
     bills = spark.createDataFrame(random.Random(1).sample(rows, len(rows)), SCHEMA)
     expected, _ = one_by_one(rows)
-    assert as_dict(numbering.number_bills(bills, id_bucket=bucket)) == expected
-    assert as_dict(numbering.number_bills(bills, id_bucket=bucket, in_order=True)) == expected
+    assert as_dict(numbering.number_bills(bills, ranges=Width(bucket))) == expected
 
 
 @pytest.mark.parametrize("seed", range(4))
@@ -70,12 +80,12 @@ def test_late_bills_take_the_next_number(spark, seed, bucket):
     ]
     expected, _ = one_by_one(rows)
     bills = spark.createDataFrame(rng.sample(rows, len(rows)), SCHEMA)
-    assert as_dict(numbering.number_bills(bills, id_bucket=bucket)) == expected
+    assert as_dict(numbering.number_bills(bills, ranges=Width(bucket))) == expected
 
     first, second = rows[:140], rows[140:]
-    done = numbering.number_bills(spark.createDataFrame(first, SCHEMA), id_bucket=bucket)
+    done = numbering.number_bills(spark.createDataFrame(first, SCHEMA), ranges=Width(bucket))
     more = numbering.number_bills(
-        spark.createDataFrame(second, SCHEMA), numbering.last_bill(done), bucket
+        spark.createDataFrame(second, SCHEMA), numbering.last_bill(done), Width(bucket)
     )
     assert {**as_dict(done), **as_dict(more)} == expected
 
@@ -83,15 +93,15 @@ def test_late_bills_take_the_next_number(spark, seed, bucket):
 def test_fiscal_years_continue_from_the_last_bill(spark):
     rows = make_bills(2, 300)
     whole = numbering.number_bills(
-        spark.createDataFrame(rows, SCHEMA), id_bucket=40, mode="fiscal_year"
+        spark.createDataFrame(rows, SCHEMA), ranges=Width(40), mode="fiscal_year"
     )
     done = numbering.number_bills(
-        spark.createDataFrame(rows[:120], SCHEMA), id_bucket=40, mode="fiscal_year"
+        spark.createDataFrame(rows[:120], SCHEMA), ranges=Width(40), mode="fiscal_year"
     )
     more = numbering.number_bills(
         spark.createDataFrame(rows[120:], SCHEMA),
         numbering.last_bill(done),
-        40,
+        Width(40),
         mode="fiscal_year",
     )
     assert {**as_dict(done), **as_dict(more)} == as_dict(whole)
@@ -102,9 +112,9 @@ def test_a_second_batch_continues_the_first(spark, seed):
     rows = make_bills(seed)
     first, second = rows[:250], rows[250:]
     numbers, _ = one_by_one(rows)
-    done = numbering.number_bills(spark.createDataFrame(first, SCHEMA), id_bucket=40)
+    done = numbering.number_bills(spark.createDataFrame(first, SCHEMA), ranges=Width(40))
     seeds = numbering.last_bill(done)
-    more = numbering.number_bills(spark.createDataFrame(second, SCHEMA), seeds, 40)
+    more = numbering.number_bills(spark.createDataFrame(second, SCHEMA), seeds, Width(40))
     assert {**as_dict(done), **as_dict(more)} == numbers
 
 
@@ -155,3 +165,39 @@ def test_ranks_inside_a_hot_group(spark, keys, descending):
         for rank, value in enumerate(sorted(members, reverse=descending), 1):
             expected[value] = rank
     assert {r.id: r.n for r in got} == expected
+
+
+def largest_range(df, ranges):
+    counts = df.groupBy(ranges.of(F.col("id")).alias("r")).count()
+    return counts.agg(F.max("count")).first()[0]
+
+
+@pytest.mark.parametrize("shape", ["dense", "sparse", "one_day"])
+def test_ranges_hold_about_equal_rows(spark, monkeypatch, shape):
+    """Gaps between ids and a day with nearly all of them leave no large range."""
+    monkeypatch.setattr(ranking, "ROWS_PER_RANGE", 50)
+    monkeypatch.setattr(ranking, "RANGES", 16)
+    monkeypatch.setattr(ranking, "RANGE_BITS", 4)
+    rng = random.Random(4)
+    ids = {
+        "dense": list(range(4000)),
+        "sparse": [rng.randrange(10**15) for _ in range(4000)],
+        "one_day": [77 * 10**12 + i for i in range(3900)] + [d * 10**12 for d in range(100)],
+    }[shape]
+    df = spark.createDataFrame([(i,) for i in sorted(set(ids))], "id long")
+    ranges = id_ranges(df, "id")
+    assert largest_range(df, ranges) <= 2 * 4000 // 16 + 1
+    rows = df.select("id", ranges.of(F.col("id")).alias("r")).orderBy("id").collect()
+    assert [r.r for r in rows] == sorted(r.r for r in rows)
+    got = numbered(df, [], ["id"], ranges.of(F.col("id")), "n").orderBy("id").collect()
+    assert [r.n for r in got] == list(range(1, len(rows) + 1))
+
+
+def test_keyless_bills_are_numbered(spark):
+    at = datetime.datetime(2001, 5, 1)
+    rows = [(1, None, "Invoice", at), (2, None, "Invoice", at), (3, 1, None, at), (4, 1, "Invoice", None)]
+    bills = spark.createDataFrame(rows, SCHEMA)
+    assert as_dict(numbering.number_bills(bills)) == {1: 1, 2: 2, 3: 1, 4: 1}
+    seeds = numbering.last_bill(numbering.number_bills(bills))
+    more = spark.createDataFrame([(5, None, "Invoice", at)], SCHEMA)
+    assert as_dict(numbering.number_bills(more, seeds)) == {5: 3}

@@ -165,14 +165,14 @@ def test_account_is_linked_to_its_company(spark):
 
 def test_accepted_registrations_are_appended(spark, sample):
     folder = shared_dir(spark, "test-registry")
-    ledger.append_registry(sample.companies(), folder, "companies", 0)
+    ledger.append_table(sample.companies(), folder, "companies", 0)
     stored = ledger.read_table(spark, folder, "companies").drop("batch_id")
     batch = spark.createDataFrame(
         [company(30), company(10), company(20, email="bad"), company(11, phno1=f"6{10:09d}")],
         COMPANY_REGISTRATION,
     )
     rows = registry.company_rows(registry.register_companies(batch, stored), stored)
-    ledger.append_registry(rows, folder, "companies", 1)
+    ledger.append_table(rows, folder, "companies", 1)
     got = ledger.read_table(spark, folder, "companies").where("batch_id = 1")
     highest = sample.companies().agg({"id": "max"}).first()[0]
     assert sorted((r.id, r.name, r.created_by) for r in got.collect()) == [
