@@ -102,10 +102,6 @@ class FMIndex:
         base = self.before[symbol]
         return base + both[: len(low)], base + both[len(low) :]
 
-    def shorten(self, low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Interval of the first ``window`` symbols of a longer pattern; its number too."""
-        return self.group_of[low]
-
 
 def matching_statistics(
     index: FMIndex, symbols: np.ndarray, starts: np.ndarray, lengths: np.ndarray, window: int
@@ -136,7 +132,7 @@ def matching_statistics(
         lost = np.flatnonzero(b <= a)
         if len(lost):
             a[lost], b[lost], grown[lost] = _again(
-                index, symbols, starts[lost] + place[lost], np.minimum(size[lost], window - 1)
+                index, symbols, starts[lost] + place[lost], size[lost]
             )
         long = np.flatnonzero(grown > window)
         if len(long):

@@ -374,7 +374,7 @@ def digest(docs: DataFrame) -> DataFrame:
 
 def sanitise(docs: DataFrame) -> DataFrame:
     """The documents with entities masked and disclosing terms generalised or removed."""
-    spotted = analysed(docs.select("text")).where(F.col("clean").isNotNull())
+    spotted = analysed(docs.select(F.lit(1).alias("one"), "text")).where(F.col("clean").isNotNull())
     clean = spotted.groupBy(F.col("key").alias("k")).agg(F.first("clean").alias("clean"))
     rows = packed(docs).withColumn("key", F.xxhash64(whole_text("row.text")))
     joined = rows.join(clean, F.col("key") == F.col("k"), "left")

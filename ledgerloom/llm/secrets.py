@@ -57,7 +57,8 @@ def entropy_runs(text: str, window: int, bits: float) -> list[tuple[int, int]]:
     """Joined stretches of windows whose entropy reaches ``bits``; counts are incremental."""
     if len(text) < window:
         return []
-    log = [0.0] + [n * math.log2(n) for n in range(1, window + 1)]
+    # For a moment the window has one character more.
+    log = [0.0] + [n * math.log2(n) for n in range(1, window + 2)]
     counts: dict[str, int] = {}
     weighted, found = 0.0, []
     for i, c in enumerate(text):
