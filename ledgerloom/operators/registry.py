@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import checks
 from ledgerloom.functions.text import blank_to_null, strip
 from ledgerloom.operators.ranking import id_ranges, numbered
-from ledgerloom.session import ensure_checkpoint_dir
+from ledgerloom.session import shared_dir
+from ledgerloom.sources.ledger import delete_path
 from ledgerloom.sources.schema import COMPANY_OPTIONAL, COMPANY_REQUIRED
 
 COMPANY_UNIQUE = ("phno1", "email", "gstin", "bnkAcno")
@@ -122,35 +124,111 @@ def _apply_rules(df: DataFrame, rules) -> DataFrame:
     return df.withColumn("error_message", message).withColumn("error_status", status)
 
 
+# Rounds go on as long as each leaves at most this share of the values open.
+SHRINKING = 0.5
+# Values of one group of conflicts that are handled in order by one task.
+GROUP_VALUES = 50_000
+VALUE = ["field", "value"]
+
+
+def _round(open_values: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Accept whoever comes first for all of its values; winners and what stays open."""
+    first = open_values.groupBy(*VALUE).agg(F.min("arrival").alias("first_arrival"))
+    winners = (
+        open_values.join(first, VALUE)
+        .groupBy("arrival")
+        .agg(F.bool_and(F.col("arrival") == F.col("first_arrival")).alias("wins"))
+        .where("wins")
+        .select("arrival")
+    )
+    taken = open_values.join(winners, "arrival", "left_semi").select(*VALUE).distinct()
+    # A winner's own values are taken too, so this drops winners and losers alike.
+    settled = open_values.join(taken, VALUE, "left_semi").select("arrival").distinct()
+    return winners, open_values.join(settled, "arrival", "left_anti")
+
+
+def _grouped(open_values: DataFrame, folder: str) -> DataFrame:
+    """Open values with the smallest arrival of their group of conflicts.
+
+    Labels go to the smallest neighbour and then to that one's label, so the rounds grow
+    with the logarithm of a chain's length.
+    """
+    spark = open_values.sparkSession
+    labels = open_values.select("arrival", F.col("arrival").alias("label")).distinct()
+    step = 0
+    while True:
+        near = (
+            open_values.join(labels, "arrival")
+            .groupBy(*VALUE)
+            .agg(F.min("label").alias("near"))
+        )
+        hooked = (
+            open_values.join(near, VALUE).groupBy("arrival").agg(F.min("near").alias("label"))
+        )
+        roots = hooked.select(F.col("arrival").alias("label"), F.col("label").alias("root"))
+        jumped = hooked.join(roots, "label").select("arrival", F.col("root").alias("label"))
+        path = f"{folder}/labels-{step}"
+        jumped.write.parquet(path)
+        moved = spark.read.parquet(path)
+        old = labels.withColumnRenamed("label", "old")
+        done = moved.join(old, "arrival").where(F.col("label") != F.col("old")).isEmpty()
+        if step > 0:
+            delete_path(spark, f"{folder}/labels-{step - 1}")
+        labels, step = moved, step + 1
+        if done:
+            return open_values.join(labels, "arrival")
+
+
+def _in_order(group: pd.DataFrame) -> pd.DataFrame:
+    """Registrations of one group, one after the other."""
+    held: set[tuple[str, str]] = set()
+    accepted = []
+    for arrival, rows in group.sort_values("arrival", kind="stable").groupby("arrival"):
+        mine = set(zip(rows["field"], rows["value"], strict=True))
+        if not mine & held:
+            held |= mine
+            accepted.append(arrival)
+    return pd.DataFrame({"arrival": pd.Series(accepted, dtype="int64")})
+
+
 def _settle(values: DataFrame) -> DataFrame:
     """Accepted arrivals when registrations are taken in order of arrival.
 
     A registration is accepted when no accepted earlier one holds any of its values.  Each
     round accepts every open registration that comes first for all its values and
-    refuses those that share a value with one of them, until none is open.  At least
-    the earliest open one is settled per round; unrelated conflicts settle together.
+    refuses those that share a value with one of them.  Once a round leaves most open, as
+    long chains do, groups of conflicts that fit into a task are handled in order there;
+    larger ones stay in the rounds.  Every round replaces the files of the one before.
     """
     spark = values.sparkSession
-    ensure_checkpoint_dir(spark)
-    key = ["field", "value"]
-    open_values = values.checkpoint()
-    accepted = open_values.select("arrival").limit(0)
-    while not open_values.isEmpty():
-        first = open_values.groupBy(*key).agg(F.min("arrival").alias("first_arrival"))
-        winners = (
-            open_values.join(first, key)
-            .groupBy("arrival")
-            .agg(F.bool_and(F.col("arrival") == F.col("first_arrival")).alias("wins"))
-            .where("wins")
-            .select("arrival")
-            .checkpoint()
-        )
-        taken = open_values.join(winners, "arrival", "left_semi").select(*key).distinct()
-        refused = open_values.join(taken, key, "left_semi").select("arrival").distinct()
-        # A winner's own values are taken too, so this drops winners and losers alike.
-        open_values = open_values.join(refused, "arrival", "left_anti").checkpoint()
-        accepted = accepted.unionByName(winners)
-    return accepted
+    folder = shared_dir(spark, "registrations")
+    values.select("arrival", *VALUE).write.parquet(f"{folder}/open-0")
+    step, grouped = 0, False
+    open_values = spark.read.parquet(f"{folder}/open-0")
+    n_open = open_values.count()
+    spark.createDataFrame([], "arrival long").write.parquet(f"{folder}/accepted/round=-1")
+    while n_open:
+        winners, left = _round(open_values)
+        winners.write.parquet(f"{folder}/accepted/round={2 * step}")
+        left.write.parquet(f"{folder}/open-{step + 1}")
+        open_values = spark.read.parquet(f"{folder}/open-{step + 1}")
+        before, n_open = n_open, open_values.count()
+        if n_open > SHRINKING * before and not grouped:
+            grouped = True
+            parted = _grouped(open_values, folder)
+            sizes = parted.groupBy("label").agg(F.count("*").alias("n"))
+            small = parted.join(sizes.where(F.col("n") <= GROUP_VALUES), "label")
+            done = small.select("label", "arrival", *VALUE).groupBy("label").applyInPandas(
+                _in_order, "arrival long"
+            )
+            done.write.parquet(f"{folder}/accepted/round={2 * step + 1}")
+            large = parted.join(sizes.where(F.col("n") > GROUP_VALUES), "label")
+            large.select("arrival", *VALUE).write.parquet(f"{folder}/large")
+            open_values = spark.read.parquet(f"{folder}/large")
+            n_open = open_values.count()
+        delete_path(spark, f"{folder}/open-{step}")
+        step += 1
+    return spark.read.parquet(f"{folder}/accepted").select("arrival")
 
 
 def register(

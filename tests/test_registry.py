@@ -194,3 +194,25 @@ def test_accepted_accounts(spark):
         (8, "alice", "a@x.co", None, "admin", None),
         (9, "bobby", None, "6000000001", "admin", None),
     ]
+
+
+def test_long_chains_settle_in_few_rounds(spark, monkeypatch):
+    """A thousand registrations, each sharing a value with the next one: every other one is
+    accepted, and the files written do not grow with the chain."""
+    rounds = []
+    one_round = registry._round
+    monkeypatch.setattr(registry, "_round", lambda df: rounds.append(1) or one_round(df))
+    rows = [(i, f"f{k % 2}", f"v{k}") for i in range(1000) for k in (i, i + 1)]
+    values = spark.createDataFrame(rows, "arrival long, field string, value string")
+    accepted = {r.arrival for r in registry._settle(values).collect()}
+    assert accepted == set(range(0, 1000, 2))
+    assert len(rounds) <= 3
+
+
+def test_large_groups_stay_in_the_rounds(spark, monkeypatch):
+    monkeypatch.setattr(registry, "GROUP_VALUES", 3)
+    rows = [(i, "f", f"v{k}") for i in range(12) for k in (i, i + 1)]
+    rows += [(100, "f", "x"), (101, "f", "x"), (101, "f", "y")]
+    values = spark.createDataFrame(rows, "arrival long, field string, value string")
+    accepted = {r.arrival for r in registry._settle(values).collect()}
+    assert accepted == {0, 2, 4, 6, 8, 10, 100}
