@@ -29,6 +29,8 @@ from ledgerloom.llm.common import packed, unpacked, whole_text, words, written
 WEIGHTS = (1, 2, 3)
 BLOCKS = 65_536
 ROWS_PER_BLOCK = 64
+# Up to so many sources their table is broadcast.
+FEW_SOURCES = 10_000
 # Documents among which the last ones of a source are chosen by their sizes.
 LAST_CHOICE = 256
 
@@ -141,20 +143,23 @@ def _fill(frame: pd.DataFrame) -> pd.DataFrame:
     return frame
 
 
-def mixed(
-    docs: DataFrame, seed: int = 17, n_shards: int = 16, most_epochs: int = 3
-) -> tuple[DataFrame, DataFrame]:
-    """Rows with ``copies`` and the shard of each, and the table of sources with targets.
-
-    Columns: row, size, source_size, target, copies, shards (array), lot.
-    """
-    spark = docs.sparkSession
-    rows = packed(docs).select(
+def _sized(docs: DataFrame, seed: int) -> DataFrame:
+    return packed(docs).select(
         "row",
         F.col("row.source").alias("source"),
         F.size(words(whole_text("row.text"))).cast("long").alias("size"),
         F.xxhash64(F.lit(seed), "row.doc_id").alias("lot"),
     )
+
+
+def mixed(
+    rows: DataFrame, seed: int = 17, n_shards: int = 16, most_epochs: int = 3
+) -> DataFrame:
+    """``rows`` (row, source, size, lot) with the copies of each and the shards they go to.
+
+    Columns: row, size, source_size, target, copies, shards (array), lot.
+    """
+    spark = rows.sparkSession
     narrow = written(rows.select("source", "size", "lot"), "mix-sizes")
     sources = (
         narrow.groupBy("source")
@@ -173,6 +178,9 @@ def mixed(
         ],
         "m_source string, sid int, source_size long, n_blocks long",
     )
+    # A source with a third of the rows should not be shuffled to one task for this.
+    if len(sources) <= FEW_SOURCES:
+        numbered = F.broadcast(numbered)
 
     def blocked(of: DataFrame) -> DataFrame:
         joined = of.join(numbered, F.col("source").eqNullSafe(F.col("m_source")))
@@ -192,7 +200,7 @@ def mixed(
     whole = drawn.where("part = 0").withColumn("extra", F.lit(0))
     schema = drawn.withColumn("extra", F.lit(0)).schema
     partly = drawn.where("part > 0").groupBy("sid", "block").applyInPandas(_fill, schema)
-    both = whole.unionByName(partly).select(
+    return whole.unionByName(partly).select(
         "row",
         "size",
         "source_size",
@@ -201,12 +209,11 @@ def mixed(
         "shards",
         "lot",
     )
-    return both, numbered
 
 
 def mix_documents(docs: DataFrame, seed: int = 17, n_shards: int = 16) -> DataFrame:
     """Every document as often as it was drawn, with its columns."""
-    drawn, _ = mixed(docs, seed, n_shards)
+    drawn = mixed(_sized(docs, seed), seed, n_shards)
     repeated = drawn.withColumn(
         "copy",
         F.explode(
@@ -219,7 +226,8 @@ def mix_documents(docs: DataFrame, seed: int = 17, n_shards: int = 16) -> DataFr
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    drawn, _ = mixed(docs.select("doc_id", "text", "source"))
+    rows = _sized(docs.select("doc_id", "text", "source"), 17)
+    drawn = mixed(rows.withColumn("row", F.struct("row.doc_id")))
     return drawn.select(
         F.col("row.doc_id").alias("doc_id"),
         "size",
