@@ -29,12 +29,12 @@ from pyspark.sql import functions as F
 from ledgerloom.llm.common import whole_text
 from ledgerloom.llm.vector import Words, chunks, mix
 
-PER_CLASS = 2000
+PER_CLASS = 1000
 WINDOW, STRIDE = 64, 48
 GRAMS = (4, 5)
 HIDDEN, ATTENTION, INPUTS = 8, 8, 6
-SLOTS = 1 << 21
-SHRINK = 4.0
+SLOTS = 1 << 20
+SHRINK = 10.0
 NO_WORDS = 0.01
 THRESHOLD = 0.7
 EPOCHS, BATCH, RATE = 8, 128, 0.01
@@ -59,7 +59,7 @@ class Ratios:
 
     @staticmethod
     def slot(key: np.ndarray) -> np.ndarray:
-        return (key >> np.uint64(43)).astype(np.int64)
+        return (key >> np.uint64(44)).astype(np.int64)
 
     def __getitem__(self, key: np.ndarray) -> np.ndarray:
         slot = self.slot(key)
@@ -236,19 +236,45 @@ def highest(value: np.ndarray, doc: np.ndarray) -> np.ndarray:
     return order[np.flatnonzero(np.diff(doc[order], prepend=-1))]
 
 
-def _ratios(keys: list[np.ndarray], label: np.ndarray) -> Ratios:
-    """From the distinct keys of each text: those in two texts or more."""
-    doc = np.repeat(np.arange(len(keys)), [len(k) for k in keys])
-    key = np.concatenate(keys) if keys else np.zeros(0, dtype=np.uint64)
-    unique, inverse, n = np.unique(key, return_inverse=True, return_counts=True)
-    toxic = np.bincount(inverse, weights=label[doc], minlength=len(unique))
-    share = label.mean() if len(label) else 0.5
-    share = min(max(share, 1e-3), 1 - 1e-3)
+class Tally:
+    """How many texts of a group hold each key; texts are added a chunk at a time."""
+
+    def __init__(self) -> None:
+        self.key, self.count = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
+
+    def add(self, keys: list[np.ndarray]) -> None:
+        if not keys:
+            return
+        fresh, n = np.unique(np.concatenate(keys), return_counts=True)
+        both = np.concatenate([self.key, fresh])
+        counts = np.concatenate([self.count, n])
+        self.key, place = np.unique(both, return_inverse=True)
+        self.count = np.bincount(place, weights=counts).astype(np.int64)
+
+    def of(self, keys: np.ndarray) -> np.ndarray:
+        if not len(self.key):
+            return np.zeros(len(keys), dtype=np.int64)
+        at = np.minimum(np.searchsorted(self.key, keys), len(self.key) - 1)
+        return np.where(self.key[at] == keys, self.count[at], 0)
+
+
+def _ratios(tallies: dict[tuple[int, int], Tally], halves: tuple[int, ...], share: float) -> Ratios:
+    """From the keys that two texts or more of these halves hold; ``share`` are toxic."""
+    keys = np.unique(np.concatenate([tallies[y, h].key for y in (0, 1) for h in halves]))
+    toxic = sum(tallies[1, h].of(keys) for h in halves)
+    clean = sum(tallies[0, h].of(keys) for h in halves)
     # Shrunk towards the share of toxic texts: few occurrences tell little.
-    value = np.log((toxic + SHRINK * share) / (n - toxic + SHRINK * (1 - share)))
+    value = np.log((toxic + SHRINK * share) / (clean + SHRINK * (1 - share)))
     value -= np.log(share / (1 - share))
-    kept = n >= 2
-    return Ratios(unique[kept], value[kept].astype(np.float32))
+    kept = toxic + clean >= 2
+    return Ratios(keys[kept], value[kept].astype(np.float32))
+
+
+def _parts(texts) -> Iterator[tuple[int, Words]]:
+    """The words of a hundred texts or fewer at a time, which bounds the arrays of n-grams."""
+    for low in range(0, len(texts), 100):
+        for at, w in chunks(pa.array(texts[low : low + 100], pa.string()), lower=True):
+            yield low + at, w
 
 
 def train(texts: list[str], labels: list[int], seed: int = 5) -> Model | None:
@@ -258,31 +284,40 @@ def train(texts: list[str], labels: list[int], seed: int = 5) -> Model | None:
     if len(set(labels)) < 2:
         return None
     rng = np.random.default_rng(seed)
-    parts, word_keys, gram_keys = [], [], []
-    for _, w in chunks(pa.array(texts, pa.string()), lower=True):
+    half = rng.permutation(len(label)) % 2
+    groups = [(y, h) for y in (0, 1) for h in (0, 1)]
+    of_word = {g: Tally() for g in groups}
+    of_gram = {g: Tally() for g in groups}
+    parts = []
+    for at, w in _parts(texts):
         parts.append(w)
         found = [byte_grams(w, n) for n in GRAMS]
-        for d in range(w.n_docs):
-            a, b = w.first[d], w.first[d + 1]
-            word_keys.append(np.unique(w.hash[a:b]))
-            gram_keys.append(
-                np.unique(
-                    np.concatenate(
-                        [k[slice(*np.searchsorted(i, [a, b]))] for k, i in found]
-                    )
-                )
-            )
-    of_words, of_grams = _ratios(word_keys, label), _ratios(gram_keys, label)
+        for y, h in groups:
+            words_, grams_ = [], []
+            for d in range(w.n_docs):
+                if (label[at + d], half[at + d]) != (y, h):
+                    continue
+                a, b = w.first[d], w.first[d + 1]
+                words_.append(np.unique(w.hash[a:b]))
+                mine = [k[slice(*np.searchsorted(i, [a, b]))] for k, i in found]
+                grams_.append(np.unique(np.concatenate(mine)))
+            of_word[y, h].add(words_)
+            of_gram[y, h].add(grams_)
     counts = np.concatenate([w.counts for w in parts])
     first = np.cumsum(counts) - counts
     # The network learns from inputs that a text had no part in: those of the other half.
-    half = rng.permutation(len(label)) % 2 == 1
-    by_half = []
-    for other in (half, ~half):
-        mine = np.flatnonzero(other)
-        ratios = [_ratios([k[i] for i in mine], label[mine]) for k in (word_keys, gram_keys)]
-        by_half.append(np.concatenate([features(w, *ratios) for w in parts]))
-    x = np.where(np.repeat(half, counts)[:, None], by_half[1], by_half[0])
+    x = np.zeros((int(counts.sum()), INPUTS), dtype=np.float32)
+    in_half = np.repeat(half, counts)
+    share = min(max(float(label.mean()), 1e-3), 1 - 1e-3)
+    for h in (0, 1):
+        ratios = [_ratios(t, (1 - h,), share) for t in (of_word, of_gram)]
+        at = 0
+        for w in parts:
+            mine = in_half[at : at + len(w)] == h
+            x[at : at + len(w)][mine] = features(w, *ratios)[mine]
+            at += len(w)
+    of_words, of_grams = (_ratios(t, (0, 1), share) for t in (of_word, of_gram))
+    del parts, of_word, of_gram
     doc, start = windows(counts, first)
     end = (first + counts)[doc]
     net = new_net(rng)
