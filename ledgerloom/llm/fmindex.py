@@ -59,41 +59,42 @@ class FMIndex:
 
     def __init__(self, text: np.ndarray, sigma: int, window: int) -> None:
         n = len(text)
-        rank = text.astype(np.int64)
-        saved: dict[int, np.ndarray] = {1: rank}
-        width = 1
+        rank, width = text.astype(np.int32), 1
+        # Ranks by as many symbols as the binary digits of the window ask for.
+        kept = {1: rank} if window & 1 else {}
         while width < DEPTH:
             rank = self._paired(rank, rank, width)
             width *= 2
-            saved[width] = rank
-        self.suffixes = np.argsort(rank, kind="stable")
-        self.bwt = WaveletMatrix(text[self.suffixes - 1].astype(np.int64), sigma)
-        self.before = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=sigma))])
+            if window & width:
+                kept[width] = rank
+        self.suffixes = np.argsort(rank).astype(np.int32)
+        del rank
         # Suffixes with the same first ``window`` symbols stand together: mark the groups.
         group, have = None, 0
-        for size in sorted(saved, reverse=True):
-            while have + size <= window:
-                group = saved[size] if group is None else self._paired(group, saved[size], have)
-                have += size
+        for size in sorted(kept, reverse=True):
+            group = kept[size] if group is None else self._paired(group, kept[size], have)
+            have += size
         ordered = group[self.suffixes]
+        del kept, group
         first = np.ones(n, dtype=bool)
         first[1:] = ordered[1:] != ordered[:-1]
         self.group_start = np.flatnonzero(first)
-        self.group_of = np.cumsum(first) - 1
+        self.group_of = (np.cumsum(first) - 1).astype(np.int32)
+        self.bwt = WaveletMatrix(text[self.suffixes - 1].astype(np.int32), sigma)
+        self.before = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=sigma))])
 
     @staticmethod
     def _paired(left: np.ndarray, right: np.ndarray, apart: int) -> np.ndarray:
         """Dense ranks of pairs of ranks that stand ``apart`` places from each other."""
         n = len(left)
-        second = np.zeros(n, dtype=np.int64)
-        second[: n - apart] = right[apart:] + 1
-        key = left * (int(right.max(initial=0)) + 2) + second
-        order = np.argsort(key, kind="stable")
+        key = left.astype(np.int64) * (int(right.max(initial=0)) + 2)
+        key[: n - apart] += right[apart:] + 1
+        order = np.argsort(key)
         key = key[order]
-        new = np.zeros(n, dtype=np.int64)
+        new = np.zeros(n, dtype=bool)
         new[1:] = key[1:] != key[:-1]
-        ranks = np.empty(n, dtype=np.int64)
-        ranks[order] = np.cumsum(new)
+        ranks = np.empty(n, dtype=np.int32)
+        ranks[order] = np.cumsum(new, dtype=np.int32)
         return ranks
 
     def extend(self, low: np.ndarray, high: np.ndarray, symbol: np.ndarray):

@@ -34,8 +34,8 @@ from ledgerloom.llm.vector import CHUNK, Words, mix
 
 WINDOW = 20
 GRAM = 5
-BLOCK_BYTES = 16 << 20
-BYTES_PER_SHARD = 16 << 20
+BLOCK_BYTES = 8 << 20
+BYTES_PER_SHARD = 4 << 20
 # Windows in a segment; a longer run of one anchor is cut, any cut will do.
 LONGEST = 64
 NO_ID = -(2**63)
@@ -49,14 +49,13 @@ class Block:
 
     def __init__(self, ids: list, lengths: np.ndarray, raw: np.ndarray) -> None:
         self.ids = np.array([NO_ID if i is None else i for i in ids], dtype=np.int64)
-        parts, at, words = [], 0, 0
+        at, words = 0, 0
         offsets = np.concatenate([[0], np.cumsum(lengths)])
         hashes, docs, starts, ends, first = [], [], [], [], [np.zeros(1, np.int64)]
         while at < len(lengths):
             upto = max(at + 1, int(np.searchsorted(offsets, offsets[at] + CHUNK, side="right")) - 1)
             mine = offsets[at : upto + 1]
             w = Words(raw[mine[0] : mine[-1]], mine - mine[0])
-            parts.append(w)
             hashes.append(w.hash)
             docs.append(w.doc + at)
             starts.append(w.starts + mine[0])
