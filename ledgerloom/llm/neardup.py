@@ -9,10 +9,11 @@ which is high enough for k ln k + 2k darts; while a coordinate is empty the heig
 Two texts agree in a coordinate with a probability that is their weighted Jaccard similarity.
 
 Bands of signatures give buckets.  Members of a bucket are compared with its centre, the one
-that shares most buckets, by their whole shingle sets; members that fail are compared with
-those others of the bucket that the triangle inequality leaves possible and that are not yet
-in their class.  Classes are the connected components of pairs with a similarity of at least
-``threshold``.  No pairs of a whole group are made, nothing is collected.
+that shares most buckets, by their whole shingle sets.  Members that fail, and those that the
+triangle inequality lets be like one of them, are compared again with centres of finer
+buckets, of three bands, unless the two are in one class already.  Classes are the connected
+components of pairs with a similarity of at least ``threshold``.  The work is linear in the
+size of a group, and nothing is collected.
 
 Exact copies (equal texts, null as empty) are one node from the start.  Rows without doc_id
 take part; a class is named after its smallest doc_id.  Repeated rows and ties fall into one
@@ -24,6 +25,7 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +39,8 @@ SHINGLE = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 24, 4
 COORDINATES = BANDS * ROWS
+# Three bands at a time, spread over all 2024 choices.
+TRIPLES = list(combinations(range(BANDS), 3))[::7]
 
 LOW48 = np.uint64(2**48 - 1)
 # Poisson(1): the number of darts in a cell of area one, by its distribution function.
@@ -178,37 +182,105 @@ def _compared(pairs: DataFrame, texts: DataFrame, name: str) -> DataFrame:
 
 
 def components(links: DataFrame, name: str = "classes") -> DataFrame:
-    """Connected components of links (a, b): node and its component's smallest node.
+    """Connected components of links (a, b): node and the name of its component.
 
-    Each round takes the smallest label among neighbours and then the label of that label,
-    until nothing changes; rounds are written, so that lineage stays short.
+    Each round joins every node to its smallest neighbour, follows those steps twice, and
+    goes on with the links between the joined nodes, which are far fewer; it ends when none
+    are left.  Rounds are written, so that lineage stays short.
     """
-    both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    both = written(both.distinct(), f"{name}-links")
-    labels = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m"))
-    labels = written(labels.select("node", F.least("node", "m").alias("label")), f"{name}-labels")
-    while True:
-        near = (
-            both.join(labels.select(F.col("node").alias("b"), F.col("label").alias("l")), "b")
-            .groupBy(F.col("a").alias("node"))
-            .agg(F.min("l").alias("l"))
+    different = links.select("a", "b").where(F.col("a") != F.col("b")).distinct()
+    edges = written(different, f"{name}-links")
+    labels = None
+    while not edges.isEmpty():
+        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        steps = both.groupBy(F.col("a").alias("node")).agg(
+            F.least(F.min("a"), F.min("b")).alias("to")
         )
-        hooked = labels.join(near, "node").select(
-            "node", F.col("label").alias("old"), F.least("label", "l").alias("label")
+        steps = written(steps, f"{name}-steps")
+        for _ in range(2):
+            after = steps.select(F.col("node").alias("to"), F.col("to").alias("then"))
+            steps = steps.join(after, "to").select("node", F.col("then").alias("to"))
+        steps = written(steps, f"{name}-steps")
+        if labels is None:
+            labels = steps.select("node", F.col("to").alias("label"))
+        else:
+            moved = steps.select(F.col("node").alias("label"), F.col("to"))
+            labels = labels.join(moved, "label", "left").select(
+                "node", F.coalesce("to", "label").alias("label")
+            )
+        labels = written(labels, f"{name}-labels")
+        to_a = steps.select(F.col("node").alias("a"), F.col("to").alias("ta"))
+        to_b = steps.select(F.col("node").alias("b"), F.col("to").alias("tb"))
+        edges = edges.join(to_a, "a").join(to_b, "b")
+        edges = edges.where(F.col("ta") != F.col("tb")).select(
+            F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b")
         )
-        roots = labels.select(F.col("node").alias("label"), F.col("label").alias("root"))
-        jumped = hooked.join(roots, "label").select(
-            "node", F.least("label", "root").alias("label"), "old"
+        edges = written(edges.distinct(), f"{name}-links")
+    if labels is None:
+        labels = edges.select(F.col("a").alias("node"), F.col("b").alias("label"))
+    return labels
+
+
+def _stars(members: DataFrame, key: str) -> DataFrame:
+    """Each member (a) of a key with the key's centre (b), the one with most fame."""
+    top = members.groupBy(key).agg(F.max(F.struct("fame", "node", "label")).alias("top"))
+    return (
+        members.join(top, key)
+        .select(
+            key,
+            F.col("node").alias("a"),
+            F.col("top.node").alias("b"),
+            "label",
+            F.col("top.label").alias("centre_label"),
         )
-        step = written(jumped, f"{name}-labels")
-        labels = step.select("node", "label")
-        if step.where(F.col("old") != F.col("label")).isEmpty():
-            return labels
+        .where(F.col("a") != F.col("b"))
+    )
 
 
-def _nodes_of(pairs: DataFrame) -> DataFrame:
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("node"))
-    return ends.distinct()
+def _second_chance(
+    spots: DataFrame, nodes: DataFrame, labels: DataFrame, radius: float
+) -> DataFrame:
+    """Members of a bucket that may be alike though not both like its centre, by finer keys.
+
+    A key is the hashes of three bands.  Two texts at the threshold share about a fifteenth
+    of the 289 keys, texts that share half of their words next to none, so the groups are
+    small and each of a pair's common keys has a good chance to compare it.
+
+    ``d`` is the distance from the centre.  Those outside the radius take part, and those
+    inside it where somebody is so near outside that the two could be alike.  Buckets and
+    keys whose members are all in one class already are left out.
+    """
+    known = spots.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    known = written(known, "distances")
+    nearest = (
+        known.where((F.col("d") > radius) & (F.col("d") <= 2 * radius))
+        .groupBy("bucket")
+        .agg(F.min("d").alias("nearest"))
+    )
+    taking_part = known.join(nearest, "bucket", "left").where(
+        (F.col("d") > radius) | (F.col("d") >= F.col("nearest") - radius - 1e-9)
+    )
+
+    def mixed_only(df: DataFrame, key: str) -> DataFrame:
+        several = df.groupBy(key).agg(
+            F.min("label").alias("lowest"), F.max("label").alias("highest")
+        )
+        return df.join(several.where("lowest != highest").select(key), key)
+
+    again = mixed_only(taking_part, "bucket").select("node", "label").distinct()
+    first, second, third = (F.array(*[F.lit(t[i]) for t in TRIPLES]) for i in range(3))
+    keys = F.transform(
+        F.sequence(F.lit(0), F.lit(len(TRIPLES) - 1)),
+        lambda t: F.xxhash64(
+            t,
+            F.get("bands", F.get(first, t)),
+            F.get("bands", F.get(second, t)),
+            F.get("bands", F.get(third, t)),
+        ),
+    )
+    keyed = again.join(nodes, "node").select("node", "label", F.explode(keys).alias("key"))
+    # Another centre in every key.
+    return mixed_only(keyed, "key").withColumn("fame", F.xxhash64("key", "node"))
 
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -228,7 +300,7 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     members = written(members.join(fame, "node").select("bucket", "node", "fame"), "buckets")
     centres = members.groupBy("bucket").agg(F.max(F.struct("fame", "node")).alias("top"))
     starred = members.join(centres, "bucket").select(
-        "bucket", "node", F.col("top.node").alias("centre")
+        "bucket", "node", "fame", F.col("top.node").alias("centre")
     )
     stars = (
         starred.where(F.col("node") != F.col("centre"))
@@ -240,39 +312,22 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         "node", F.unhex("node")
     )
     wanted = members.select("node").distinct()
-    texts = written(keyed.join(wanted, "node", "left_semi").dropDuplicates(["node"]).select("node", "t"), "bucket-texts")
+    shared_texts = keyed.join(wanted, "node", "left_semi").dropDuplicates(["node"])
+    texts = written(shared_texts.select("node", "t"), "bucket-texts")
     first = _compared(stars, texts, "star-similarities")
     close = F.col("similarity") >= threshold
     labels = components(first.where(close), "stars")
 
     # Members that are not like their centre may be like another member of the bucket.
-    far = 1 - threshold
     spots = (
         starred.where(F.col("node") != F.col("centre"))
         .join(first, (F.col("node") == F.col("a")) & (F.col("centre") == F.col("b")))
-        .select("bucket", "node", (1 - F.col("similarity")).alias("d"))
-        .join(labels, "node", "left")
-        .withColumn("label", F.coalesce("label", "node"))
-    )
-    spots = written(spots, "distances")
-    failing = spots.where(F.col("d") > far).select(
-        "bucket", F.col("node").alias("a"), F.col("d").alias("da"), F.col("label").alias("la")
-    )
-    others = spots.select(
-        "bucket", F.col("node").alias("b"), F.col("d").alias("db"), F.col("label").alias("lb")
-    )
-    more = (
-        failing.join(others, "bucket")
-        .where(
-            (F.col("la") != F.col("lb"))
-            & (F.abs(F.col("da") - F.col("db")) <= far + 1e-9)
-            & ((F.col("db") <= far) | (F.col("a") < F.col("b")))
-        )
-        .select("a", "b")
-        .distinct()
+        .select("bucket", "node", "fame", (1 - F.col("similarity")).alias("d"))
     )
-    second = _compared(more, texts, "other-similarities")
-    labels = components(first.where(close).unionByName(second.where(close)))
+    again = written(_second_chance(spots, nodes, labels, 1 - threshold), "second-buckets")
+    stars = _stars(again, "key").where(F.col("label") != F.col("centre_label"))
+    second = _compared(stars.select("a", "b").distinct(), texts, "second-similarities")
+    labels = components(first.where(close).unionByName(second.where(close)), "classes")
 
     by_node = sketches.groupBy("node").agg(
         F.min("doc_id").alias("smallest"), F.count("*").alias("copies")
