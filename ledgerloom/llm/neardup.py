@@ -11,9 +11,11 @@ Two texts agree in a coordinate with a probability that is their weighted Jaccar
 Bands of signatures give buckets.  Members of a bucket are compared with its centre, the one
 that shares most buckets, by their whole shingle sets.  Members that fail, and those that the
 triangle inequality lets be like one of them, are compared again with centres of finer
-buckets, of three bands, unless the two are in one class already.  Classes are the connected
-components of pairs with a similarity of at least ``threshold``.  The work is linear in the
-size of a group, and nothing is collected.
+buckets, of three bands, unless the two are in one class already.  What is in different
+classes even then is compared pair by pair, as far as a prefix filter leaves it possible:
+two texts at the threshold share one of their rarest shingles, at a place that leaves enough
+others.  Classes are the connected components of pairs with a similarity of at least
+``threshold``.
 
 Exact copies (equal texts, null as empty) are one node from the start.  Rows without doc_id
 take part; a class is named after its smallest doc_id.  Repeated rows and ties fall into one
@@ -41,6 +43,10 @@ BANDS, ROWS = 24, 4
 COORDINATES = BANDS * ROWS
 # Three bands at a time, spread over all 2024 choices.
 TRIPLES = list(combinations(range(BANDS), 3))[::7]
+# Shingles are ordered by the number of texts in their bin; any order gives the same pairs.
+BINS = 2**16
+# Members of one shingle that a task pairs with as many others.
+BLOCK = 500
 
 LOW48 = np.uint64(2**48 - 1)
 # Poisson(1): the number of darts in a cell of area one, by its distribution function.
@@ -237,21 +243,19 @@ def _stars(members: DataFrame, key: str) -> DataFrame:
     )
 
 
-def _second_chance(
-    spots: DataFrame, nodes: DataFrame, labels: DataFrame, radius: float
-) -> DataFrame:
-    """Members of a bucket that may be alike though not both like its centre, by finer keys.
+def _mixed_only(df: DataFrame, key: str) -> DataFrame:
+    several = df.groupBy(key).agg(F.min("label").alias("lowest"), F.max("label").alias("highest"))
+    return df.join(several.where("lowest != highest").select(key), key)
 
-    A key is the hashes of three bands.  Two texts at the threshold share about a fifteenth
-    of the 289 keys, texts that share half of their words next to none, so the groups are
-    small and each of a pair's common keys has a good chance to compare it.
+
+def _unresolved(spots: DataFrame, labels: DataFrame, radius: float, name: str) -> DataFrame:
+    """Nodes, with labels, of buckets whose members may be alike and are in several classes.
 
     ``d`` is the distance from the centre.  Those outside the radius take part, and those
-    inside it where somebody is so near outside that the two could be alike.  Buckets and
-    keys whose members are all in one class already are left out.
+    inside it where somebody is so near outside that the two could be alike.
     """
     known = spots.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    known = written(known, "distances")
+    known = written(known, name)
     nearest = (
         known.where((F.col("d") > radius) & (F.col("d") <= 2 * radius))
         .groupBy("bucket")
@@ -260,14 +264,17 @@ def _second_chance(
     taking_part = known.join(nearest, "bucket", "left").where(
         (F.col("d") > radius) | (F.col("d") >= F.col("nearest") - radius - 1e-9)
     )
+    return _mixed_only(taking_part, "bucket").select("node", "label").distinct()
 
-    def mixed_only(df: DataFrame, key: str) -> DataFrame:
-        several = df.groupBy(key).agg(
-            F.min("label").alias("lowest"), F.max("label").alias("highest")
-        )
-        return df.join(several.where("lowest != highest").select(key), key)
 
-    again = mixed_only(taking_part, "bucket").select("node", "label").distinct()
+def _second_chance(again: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Unresolved nodes by finer keys.
+
+    A key is the hashes of three bands.  Two texts at the threshold share about a fifteenth
+    of the 289 keys, texts that share half of their words next to none, so the groups are
+    small and each of a pair's common keys has a good chance to compare it.  Keys whose
+    members are all in one class already are left out.
+    """
     first, second, third = (F.array(*[F.lit(t[i]) for t in TRIPLES]) for i in range(3))
     keys = F.transform(
         F.sequence(F.lit(0), F.lit(len(TRIPLES) - 1)),
@@ -280,7 +287,98 @@ def _second_chance(
     )
     keyed = again.join(nodes, "node").select("node", "label", F.explode(keys).alias("key"))
     # Another centre in every key.
-    return mixed_only(keyed, "key").withColumn("fame", F.xxhash64("key", "node"))
+    return _mixed_only(keyed, "key").withColumn("fame", F.xxhash64("key", "node"))
+
+
+def _bins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Number of texts with a shingle of the bin, for the bins that occur."""
+    counts = np.zeros(BINS, dtype=np.int64)
+    for batch in batches:
+        for _, words in chunks(batch.column(0)):
+            counts += np.bincount((elements(words)[1] % BINS).astype(np.int64), minlength=BINS)
+    seen = np.flatnonzero(counts)
+    yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(counts[seen])], names=["bin", "n"])
+
+
+def _prefixes(counts: np.ndarray, threshold: float):
+    """The rarest shingles of a text, so many that one at least is common to any two alike."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start, words in chunks(batch.column(2)):
+                doc, unit = elements(words)
+                order = np.lexsort((unit, counts[(unit % BINS).astype(np.int64)], doc))
+                doc, unit = doc[order], unit[order]
+                size = np.bincount(doc, minlength=words.n_docs)
+                place = np.arange(len(doc)) - (np.cumsum(size) - size)[doc]
+                prefix = size - np.ceil(threshold * size - 1e-9).astype(np.int64) + 1
+                # What is alone in its bin is in no other text.
+                rare = counts[(unit % BINS).astype(np.int64)]
+                keep = np.flatnonzero((place < prefix[doc]) & (rare > 1))
+                at = pa.array(doc[keep] + start)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column(0).take(at),
+                        batch.column(1).take(at),
+                        pa.array(unit[keep].astype(np.int64)),
+                        pa.array(size[doc[keep]].astype(np.int64)),
+                        pa.array(place[keep].astype(np.int64)),
+                    ],
+                    names=["node", "label", "unit", "size", "place"],
+                )
+
+    return run
+
+
+def _possible(rest: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (a, b) of nodes in different classes that may be alike; none alike is left out.
+
+    The members of a frequent shingle are dealt to blocks, and each pair of blocks is a
+    group of its own.
+    """
+    mine = texts.join(rest, "node").select("node", "label", "t")
+    counts = np.zeros(BINS, dtype=np.int64)
+    counted = mine.select("t").mapInArrow(_bins, "bin long, n long").groupBy("bin")
+    for r in counted.agg(F.sum("n").alias("n")).collect():  # at most BINS rows
+        counts[r["bin"]] = r["n"]
+    prefixes = written(
+        mine.select("node", "label", "t").mapInArrow(
+            _prefixes(counts, threshold),
+            "node binary, label binary, unit long, size long, place long",
+        ),
+        "prefixes",
+    )
+    groups = prefixes.groupBy("unit").agg(
+        F.count("*").alias("n"), F.min("label").alias("lowest"), F.max("label").alias("highest")
+    )
+    groups = groups.where("lowest != highest").select(
+        "unit", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")
+    )
+    dealt = prefixes.join(groups, "unit").withColumn(
+        "block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    )
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+
+    def side(name: str, own: str, other: str) -> DataFrame:
+        return dealt.select(
+            "unit",
+            F.col("block").alias(own),
+            every.alias(other),
+            F.col("node").alias(name),
+            F.col("label").alias(f"label_{name}"),
+            F.col("size").alias(f"size_{name}"),
+            (F.col("size") - F.col("place")).alias(f"left_{name}"),
+        )
+
+    # At the first common shingle no more than the shorter rest can be common.
+    needed = (F.col("size_a") + F.col("size_b")) * (threshold / (1 + threshold)) - 1e-6
+    possible = (
+        (F.col("a") < F.col("b"))
+        & (F.col("label_a") != F.col("label_b"))
+        & (F.least("left_a", "left_b") >= needed)
+    )
+    paired = side("a", "i", "j").join(side("b", "j", "i"), ["unit", "i", "j"])
+    return paired.where(possible).select("a", "b").distinct()
 
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -324,10 +422,19 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         .join(first, (F.col("node") == F.col("a")) & (F.col("centre") == F.col("b")))
         .select("bucket", "node", "fame", (1 - F.col("similarity")).alias("d"))
     )
-    again = written(_second_chance(spots, nodes, labels, 1 - threshold), "second-buckets")
+    again = _unresolved(spots, labels, 1 - threshold, "distances")
+    again = written(_second_chance(again, nodes), "second-buckets")
     stars = _stars(again, "key").where(F.col("label") != F.col("centre_label"))
     second = _compared(stars.select("a", "b").distinct(), texts, "second-similarities")
-    labels = components(first.where(close).unionByName(second.where(close)), "classes")
+    alike = first.where(close).unionByName(second.where(close))
+    labels = components(alike, "second")
+
+    # What no centre has settled is compared pair by pair.
+    rest = written(_unresolved(spots, labels, 1 - threshold, "distances"), "unresolved")
+    third = _compared(_possible(rest, texts, threshold), texts, "third-similarities")
+    third = third.where(close)
+    if not third.isEmpty():
+        labels = components(alike.unionByName(third), "classes")
 
     by_node = sketches.groupBy("node").agg(
         F.min("doc_id").alias("smallest"), F.count("*").alias("copies")

@@ -144,6 +144,23 @@ def test_classes_of_chains_and_groups(spark):
     assert kept == sorted(set(expected.values()))
 
 
+def test_pairs_within_boilerplate(spark):
+    """Texts alike by 0.77 through boilerplate, each with one partner at 0.82."""
+    boilerplate = [f"b{i}" for i in range(178)]
+    rows = []
+    for pair in range(250):
+        common = [f"p{pair}_{k}" for k in range(6)]
+        for one in range(2):
+            own = [f"o{pair}_{one}_{k}" for k in range(20)]
+            rows.append((2 * pair + one, " ".join(boilerplate + common + own)))
+    first = pa.array([rows[0][1], rows[0][1]])
+    alike, unlike = neardup.similarities(first, pa.array([rows[1][1], rows[2][1]]))
+    assert unlike < 0.78 < neardup.THRESHOLD < alike
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r["doc_id"]: r["class_id"] for r in neardup.digest(docs).collect()}
+    assert got == {i: i - i % 2 for i, _ in rows}
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, 90), (90, 95), (7, 7)]
     df = spark.createDataFrame(links, "a long, b long")
