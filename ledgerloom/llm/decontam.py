@@ -3,10 +3,12 @@
 Words are lowered and parted at ASCII punctuation.  A seed is an n-gram of a test item that
 chance would rarely make: the product of its words' frequencies in the whole corpus is at most
 ``RARE``.  Frequencies of single words hardly move when items leak, so a leaked item keeps its
-seeds however often it was copied.  An item always has its rarest third as seeds, and an item
-shorter than a seed is looked up as a whole.  Every place of a text where a seed occurs gives
-a region, in which the whole item is aligned; a text holds an item if the best alignment
-reaches ``THRESHOLD`` of the score of the item with itself.
+seeds however often it was copied.  An item always has its rarest third as seeds, and the
+rarest of every ``PASSAGE`` words in a row; an item shorter than a seed is looked up as a
+whole.  Every place of a text where a seed occurs gives a region, in which the whole item is
+aligned; a text holds an item if the best alignment reaches ``THRESHOLD`` of the score of the
+item with itself, or the score of ``PASSAGE`` words in a row, however long the item is.  Of an
+item under ``SHORT`` words more than that share is asked.
 
 Test items go to the tasks in slices of at most ``SLICE_WORDS`` words (one longer item is a
 slice of its own); a larger benchmark takes several passes, so nothing unbounded is
@@ -33,6 +35,9 @@ from ledgerloom.llm.vector import Words, chunks, grams, inside
 SEED = 3
 RARE = 1e-7
 THRESHOLD = 0.5
+# So many words of an item in a row are a leak by themselves.
+PASSAGE = 13
+SHORT, SHORT_THRESHOLD, SHORT_WORDS = 8, 0.75, 5
 MATCH, MISMATCH, GAP = 2, -1, -1
 SLICE_WORDS = 1_000_000
 # Cells of the alignment tables a task holds at a time.
@@ -78,6 +83,14 @@ def align(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return best, end
 
 
+def needed(length: int) -> float:
+    """Score from which a text holds an item of so many words."""
+    own = MATCH * length
+    if length < SHORT:
+        return max(SHORT_THRESHOLD * own, min(own, MATCH * SHORT_WORDS))
+    return min(THRESHOLD * own, MATCH * PASSAGE)
+
+
 def _seeds(of_items: list[np.ndarray], rate: dict[int, float]) -> tuple[np.ndarray, ...]:
     """Seed hash, item number and place in the item, sorted by hash."""
     hashes, items, places = [], [], []
@@ -93,6 +106,10 @@ def _seeds(of_items: list[np.ndarray], rate: dict[int, float]) -> tuple[np.ndarr
         # A shorter item is one seed; its hash is that of so many words.
         keep = together <= RARE
         keep[np.argsort(together, kind="stable")[: -(-len(together) // 3)]] = True
+        wide = PASSAGE - n + 1
+        if len(together) > wide:
+            views = np.lib.stride_tricks.sliding_window_view(together, wide)
+            keep[views.argmin(axis=1) + np.arange(len(views))] = True
         chosen = np.flatnonzero(keep)
         hashes.append(grams(one, n)[chosen] ^ np.uint64(n))
         items.append(np.full(len(chosen), i))
@@ -213,7 +230,7 @@ def matches(w: Words, items: Items) -> list[tuple[int, int, float, int, int]]:
             b[k, : len(words_of)] = words_of
         score, end = align(a, b)
         share = score / (MATCH * length)
-        for k in np.flatnonzero(share >= THRESHOLD):
+        for k in np.flatnonzero(score >= needed(length)):
             back, left = align(a[k : k + 1, ::-1], b[k : k + 1, : end[k] + 1][:, ::-1])
             start = int(begin[k]) + int(end[k]) - int(left[0])
             key = (int(doc[group[k]]), int(item[group[k]]))

@@ -216,6 +216,27 @@ def test_leaks(spark, documents, pairs):
             assert (r["first_word"], r["end_word"]) == (60, 100)
 
 
+def test_passages_of_long_items(spark):
+    """A verbatim passage counts however long its item is; a few words of a short item do not."""
+    long = [f"q{k}" for k in range(500)]
+    middle = [f"m{k}" for k in range(59)]
+    short = [f"s{k}" for k in range(6)]
+    benchmark = spark.createDataFrame(
+        [(1, " ".join(long)), (2, " ".join(middle)), (3, " ".join(short))],
+        "item_id long, text string",
+    )
+    filler = ["some", "thing"] * 30
+    passages = [
+        long[200:400], long[487:], middle[10:39], middle[:13], short, short[:5],
+        long[300:312], middle[:9], short[:3],
+    ]
+    rows = [(i, " ".join(filler + p + filler)) for i, p in enumerate(passages)]
+    rows.append((9, " ".join(long[250:263] + filler)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {(r["doc_id"], r["item_id"]) for r in decontam.digest(docs, benchmark).collect()}
+    assert found == {(0, 1), (1, 1), (2, 2), (3, 2), (4, 3), (5, 3), (9, 1)}
+
+
 def test_benchmark_in_slices(spark, documents, monkeypatch):
     benchmark = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet")
     whole = {(r["doc_id"], r["item_id"]) for r in decontam.digest(documents, benchmark).collect()}
