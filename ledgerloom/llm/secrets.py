@@ -3,8 +3,8 @@
 Candidate strings are long runs of key characters with digits and letters in them.  Inside a
 candidate a window of fixed width slides over each run of a character class; its entropy
 follows from counts that change by one character in and one out.  Windows above the class
-threshold are joined to spans, unless the candidate is on the allow list or a base span
-already covers part of it.
+threshold are joined to spans; windows that touch a base span or an allowed string are left
+out, and the rest of the candidate is still searched.
 
 A null text is empty: no spans.  Rows are scanned one by one, so repeated rows give repeated
 results and extra columns do no harm.  The work is linear in the length of a text.
@@ -46,15 +46,34 @@ CLASSES = (
     CharacterClass("base64", re.compile(r"[A-Za-z0-9+/_=-]{20,}"), 20, 3.9),
 )
 # Strings that look random and are public: examples, alphabets, digests of nothing.
+NAMED = re.compile(r"example|sample|dummy|placeholder|test[_-]?key", re.IGNORECASE)
 ALLOWED = (
-    re.compile(r"example|sample|dummy|placeholder|test[_-]?key", re.IGNORECASE),
     re.compile(r"0123456789|abcdefghij|qwertyuiop", re.IGNORECASE),
     re.compile(r"d41d8cd98f00b204e9800998ecf8427e|e3b0c44298fc1c149afbf4c8996fb924"),
+    re.compile(r"wJalrXUtnFEMI/K7MDENG[/+]bPxRfiCYEXAMPLEKEY"),
 )
 
 
-def entropy_runs(text: str, window: int, bits: float) -> list[tuple[int, int]]:
-    """Joined stretches of windows whose entropy reaches ``bits``; counts are incremental."""
+def disjoint(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The same places as spans that do not overlap, left to right."""
+    found: list[tuple[int, int]] = []
+    for start, end in sorted(spans):
+        if found and start <= found[-1][1]:
+            found[-1] = (found[-1][0], max(end, found[-1][1]))
+        else:
+            found.append((start, end))
+    return found
+
+
+def entropy_runs(
+    text: str, window: int, bits: float, closed: list[tuple[int, int]] | None = None
+) -> list[tuple[int, int]]:
+    """Joined stretches of windows whose entropy reaches ``bits``; counts are incremental.
+
+    Windows that touch a place in ``closed``, which is ordered and disjoint, do not count.
+    """
+    closed = closed or []
+    k, free = 0, 0
     if len(text) < window:
         return []
     # For a moment the window has one character more.
@@ -70,6 +89,11 @@ def entropy_runs(text: str, window: int, bits: float) -> list[tuple[int, int]]:
             n = counts[out]
             counts[out] = n - 1
             weighted += log[n - 1] - log[n]
+        while k < len(closed) and closed[k][0] <= i:
+            free = closed[k][1]
+            k += 1
+        if i - window + 1 < free:
+            continue
         if i >= window - 1 and math.log2(window) - weighted / window >= bits - 1e-9:
             start = i - window + 1
             if found and start <= found[-1][1]:
@@ -93,14 +117,45 @@ def _mixed(candidate: str) -> bool:
     return any(c.isdigit() for c in candidate) and any(c.isalpha() for c in candidate)
 
 
+def allowed_spans(candidate: str) -> list[tuple[int, int]]:
+    """Public strings; a name such as ``example`` covers what / and = do not part from it."""
+    spans = [a.span() for allowed in ALLOWED for a in allowed.finditer(candidate)]
+    upto = 0
+    for m in NAMED.finditer(candidate):
+        if m.start() < upto:
+            continue
+        start = max(candidate.rfind("/", 0, m.start()), candidate.rfind("=", 0, m.start())) + 1
+        ends = [e for e in (candidate.find("/", m.end()), candidate.find("=", m.end())) if e >= 0]
+        upto = min(ends, default=len(candidate))
+        spans.append((start, upto))
+    return spans
+
+
 def entropy_spans(text: str, taken: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
     spans: list[tuple[str, int, int]] = []
+    # Both the base spans and the candidates run left to right.
+    blocked, k = disjoint([(s, e) for _, s, e in taken]), 0
     for m in CANDIDATE.finditer(text):
-        if not _mixed(m[0]) or any(a.search(m[0]) for a in ALLOWED):
+        while k < len(blocked) and blocked[k][1] <= m.start():
+            k += 1
+        if not _mixed(m[0]):
             continue
+        closed = allowed_spans(m[0])
+        j = k
+        while j < len(blocked) and blocked[j][0] < m.end():
+            closed.append((blocked[j][0] - m.start(), blocked[j][1] - m.start()))
+            j += 1
+        closed = disjoint(closed)
         for kind in CLASSES:
+            first = 0
             for run in kind.run.finditer(m[0]):
-                for start, end in entropy_runs(run[0], kind.window, kind.bits):
+                while first < len(closed) and closed[first][1] <= run.start():
+                    first += 1
+                inside, j = [], first
+                while j < len(closed) and closed[j][0] < run.end():
+                    inside.append((closed[j][0] - run.start(), closed[j][1] - run.start()))
+                    j += 1
+                for start, end in entropy_runs(run[0], kind.window, kind.bits, inside):
                     spans.append(
                         ("entropy", m.start() + run.start() + start, m.start() + run.start() + end)
                     )
@@ -110,15 +165,7 @@ def entropy_spans(text: str, taken: list[tuple[str, int, int]]) -> list[tuple[st
             found[-1] = ("entropy", found[-1][1], max(found[-1][2], span[2]))
         else:
             found.append(span)
-    # Both lists run left to right; a base span keeps what it covers.
-    result, k = [], 0
-    blocked = sorted((s, e) for _, s, e in taken)
-    for span in found:
-        while k < len(blocked) and blocked[k][1] <= span[1]:
-            k += 1
-        if not any(s < span[2] and e > span[1] for s, e in blocked[k : k + 3]):
-            result.append(span)
-    return result
+    return found
 
 
 def scan(text: str | None) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
