@@ -47,8 +47,10 @@ def to_fixed(value: Column) -> Column:
 
 # Amounts are summed in two whole numbers, thousands and units below a thousand.
 LIMB = 1000
-# Beyond this a double cannot be cut into 64-bit thousands; decimals take over exactly.
-LIMB_END = 9e18
+# Up to here 64-bit sums of both hold for as many rows as a document's array can have lines.
+LIMB_END = 4e12
+# Up to here a decimal sum holds for as many rows; a double has no digit below a million then.
+DECIMAL_END = 1e22
 
 
 def exact_sum(
@@ -57,27 +59,32 @@ def exact_sum(
     """Sum of a double column, rounded half-even to ``digits``, whatever the row order.
 
     Rows are added as whole thousands and as units of ten to the minus ``unit`` of the
-    rest, both in 64-bit integers; the two sums meet as decimals.  Values of 9e18 and more
-    are added as decimals in a third sum.  Nothing is added as doubles; a sum that has no
-    decimal of 38 digits is NULL.  With a ``window`` the sum is taken over it instead of a
-    group.
+    rest, both in 64-bit integers; the two sums meet as decimals.  Values of 4e12 and more
+    are added as decimals in a third sum.  Neither overflows with 2**31 rows.  Only from 1e22
+    on, where a total says no more than its size, are values added as doubles, so a sum is
+    never lost and never stops a job; infinite values and NaN stay what they are.  NULL values
+    are left out.  With a ``window`` the sum is taken over it instead of a group.
     """
-    def total_of(aggregate: Column) -> Column:
-        return aggregate if window is None else aggregate.over(window)
+    def total_of(part: Column) -> Column:
+        return F.sum(part) if window is None else F.sum(part).over(window)
 
-    plain = F.abs(value) < LIMB_END
+    size = F.abs(value)
+    plain = size < LIMB_END
     rest = value % LIMB
-    thousands = F.when(plain, F.rint((value - rest) / LIMB).cast("bigint"))
-    units = F.when(plain, F.rint(rest * 10.0**unit).cast("bigint"))
-    large = F.when(~plain, value.try_cast("decimal(38,6)"))
+    thousands = total_of(F.when(plain, F.rint((value - rest) / LIMB).cast("bigint")))
+    units = total_of(F.when(plain, F.rint(rest * 10.0**unit).cast("bigint")))
+    medium = ~plain & (size < DECIMAL_END)
+    large = total_of(F.when(medium, value.try_cast("decimal(28,6)")))
+    huge = total_of(F.when(size >= DECIMAL_END, value))
     step = F.lit(Decimal(1).scaleb(-unit))
-    whole = total_of(F.sum(thousands)).cast("decimal(19,0)") * F.lit(Decimal(LIMB))
-    parts = total_of(F.sum(units)).cast("decimal(19,0)") * step
-    small = F.coalesce((whole + parts).cast("decimal(38,6)"), F.lit(Decimal(0)))
-    more = F.coalesce(total_of(F.try_sum(large)), F.lit(Decimal(0)).cast("decimal(38,6)"))
-    added = total_of(F.count(units)) + total_of(F.count(large))
-    fits = (added == total_of(F.count(value))) & (total_of(F.count(value)) > 0)
-    return F.when(fits, F.bround(F.try_add(small, more), digits).cast("double"))
+    whole = thousands.cast("decimal(19,0)") * F.lit(Decimal(LIMB))
+    small = (whole + units.cast("decimal(19,0)") * step).cast("decimal(38,6)")
+    none = F.lit(Decimal(0)).cast("decimal(38,6)")
+    exact = F.when(
+        small.isNotNull() | large.isNotNull(), F.coalesce(small, none) + F.coalesce(large, none)
+    )
+    rounded = F.bround(exact, digits).cast("double")
+    return F.when(huge.isNull(), rounded).otherwise(huge + F.coalesce(rounded, F.lit(0.0)))
 
 
 def money_sum(value: Column) -> Column:

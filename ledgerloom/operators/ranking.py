@@ -29,6 +29,8 @@ class IdRanges:
     """Ranges of ids: 4096 equal stretches, some of them cut finer.
 
     ``of`` gives the first id of the range, counted from the lowest, so it grows with the id.
+    The widths of the finer ones are one array literal with an entry per stretch, so the
+    expression does not grow with their number.
     """
 
     lowest: int
@@ -38,12 +40,14 @@ class IdRanges:
     def of(self, key: Column) -> Column:
         # Ids outside the counted ones stay in order: they only widen the outer ranges.
         offset = F.greatest(key - F.lit(self.lowest), F.lit(0))
-        stretch = F.shiftright(offset, self.shift)
-        result = F.shiftleft(stretch, self.shift)
-        for prefix, shift in self.finer.items():
-            cut = F.shiftleft(F.shiftright(offset, shift), shift)
-            result = F.when(stretch == F.lit(prefix), cut).otherwise(result)
-        return result
+        if not self.finer:
+            return F.shiftleft(F.shiftright(offset, self.shift), self.shift)
+        last = max(self.finer)
+        listed = ",".join(str(self.finer.get(p, self.shift)) for p in range(last + 1))
+        shifts = F.split(F.lit(listed), ",").cast("array<int>")
+        stretch = F.least(F.shiftright(offset, self.shift), F.lit(last + 1)).cast("int")
+        shift = F.coalesce(F.get(shifts, stretch), F.lit(self.shift))
+        return F.call_function("shiftleft", F.call_function("shiftright", offset, shift), shift)
 
 
 def id_ranges(df: DataFrame, column: str) -> IdRanges:

@@ -6,8 +6,6 @@ import pytest
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 sys.path[:0] = [ROOT, os.path.join(ROOT, "tests")]
 
-SF_SMALL = "/root/testdata/sf0.001"
-
 
 @pytest.fixture(scope="session")
 def spark():
@@ -20,6 +18,8 @@ def spark():
 
 @pytest.fixture(scope="session")
 def sample(spark):
+    from compare import SF_SMALL
+
     from ledgerloom.sources.sample import SampleLedger
 
     return SampleLedger(spark, SF_SMALL)

@@ -6,11 +6,14 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerloom.operators import dims
+from ledgerloom.operators.ranking import IdRanges
 
 LINES = (
     "company_id long, history_id long, line_no long, user_id long, descp string, "
     "hsn_sac string, uom string, rate double, gst double"
 )
+# Eight bills a range; the second stretch is cut into single bills.
+RANGES = IdRanges(0, 3, {1: 0})
 PARTY = "id long, company_id long, user_id long, bname string, bphno1 string, sname string, sphno1 string"
 
 
@@ -50,15 +53,15 @@ def goods_dict(df):
 def test_goods_first_one_wins(spark, seed):
     rows = random_lines(seed, 120)
     lines = spark.createDataFrame(rows, LINES).repartition(5)
-    assert goods_dict(dims.goods_master(lines, 10)) == goods_one_by_one(rows)
+    assert goods_dict(dims.goods_master(lines, RANGES)) == goods_one_by_one(rows)
 
 
 @pytest.mark.parametrize("seed", range(3))
 def test_goods_of_a_second_batch(spark, seed):
     first, second = random_lines(seed, 60), random_lines(seed + 50, 60, start=60)
-    stored = dims.goods_master(spark.createDataFrame(first, LINES), 10).cache()
+    stored = dims.goods_master(spark.createDataFrame(first, LINES), RANGES).cache()
     fresh = dims.new_goods(spark.createDataFrame(second, LINES), stored)
-    added = dims.with_ids(fresh, ["first_bill", "first_line"], stored, 10)
+    added = dims.with_ids(fresh, ["first_bill", "first_line"], stored, RANGES)
     got = {**goods_dict(stored), **goods_dict(added)}
     assert got == goods_one_by_one(first + second)
     assert dims.new_goods(spark.createDataFrame(first, LINES), stored).isEmpty()
@@ -123,7 +126,7 @@ def test_parties_as_if_one_at_a_time(spark, seed):
 
     bills = spark.createDataFrame(first, PARTY)
     mentions = dims.party_mentions(bills, ATTRIBUTES)
-    stored = dims.client_master(mentions, 5).cache()
+    stored = dims.client_master(mentions, RANGES).cache()
     ids = dims.party_ids(mentions, None, stored)
     got = {r.id: (r.billed_to, r.shipped_to) for r in dims.with_parties(bills, ids).collect()}
     assert got == links
@@ -131,7 +134,7 @@ def test_parties_as_if_one_at_a_time(spark, seed):
     bills = spark.createDataFrame(second, PARTY)
     mentions = dims.party_mentions(bills, ATTRIBUTES)
     fresh = dims.with_ids(
-        dims.new_clients(mentions, stored), ["first_bill", "first_role"], stored, 5
+        dims.new_clients(mentions, stored), ["first_bill", "first_role"], stored, RANGES
     )
     ids = dims.party_ids(mentions, stored, fresh)
     got = {r.id: (r.billed_to, r.shipped_to) for r in dims.with_parties(bills, ids).collect()}

@@ -193,6 +193,17 @@ def test_ranges_hold_about_equal_rows(spark, monkeypatch, shape):
     assert [r.n for r in got] == list(range(1, len(rows) + 1))
 
 
+def test_thousands_of_crowded_stretches(spark):
+    ranges = ranking.IdRanges(-5, 10, {p: p % 10 for p in range(0, 4000, 2)})
+    df = spark.range(-5, 4_100_000, 97).withColumn("r", ranges.of(F.col("id")))
+    got = [(r.id, r.r) for r in df.collect()]
+    for value, start in got:
+        offset = value + 5
+        width = (offset >> 10) % 10 if (offset >> 10) % 2 == 0 and offset >> 10 < 4000 else 10
+        assert start == offset >> width << width
+    assert df.groupBy("r").count().agg(F.sum("count")).first()[0] == len(got)
+
+
 def test_keyless_bills_are_numbered(spark):
     at = datetime.datetime(2001, 5, 1)
     rows = [(1, None, "Invoice", at), (2, None, "Invoice", at), (3, 1, None, at), (4, 1, "Invoice", None)]

@@ -1,8 +1,7 @@
 """Every registered query against its SQL twin."""
 
 import pytest
-from compare import duck, duck_result, spark_result
-from conftest import SF_SMALL
+from compare import SF_SMALL, duck, duck_result, spark_result
 
 from __spark_entry__ import entry, oracle_sql, queries
 

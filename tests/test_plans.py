@@ -3,7 +3,7 @@
 import re
 
 import pytest
-from conftest import SF_SMALL
+from compare import SF_SMALL
 from pyspark.sql import functions as F
 
 from __spark_entry__ import queries

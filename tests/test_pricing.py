@@ -81,6 +81,15 @@ def test_absurd_tax_rate_does_not_stop_a_batch(spark):
     assert got[2].sum_gst == 1.8
 
 
+@pytest.mark.parametrize("each", [8e18, 3.9e12, -8e18, 5e25])
+def test_sums_of_large_lines_neither_stop_nor_vanish(spark, each):
+    rows = [(1, 1, each, 1.0, 18.0) for _ in range(1300)] + [(1, 2, 10.0, 1.0, 18.0)]
+    got = {r.history_id: r for r in pricing.sum_lines(priced(spark, rows)).collect()}
+    assert got[1].total_amount == pytest.approx(1300 * each, rel=1e-12)
+    assert got[2].total_amount == 10.0
+    assert got[1].total_qty == 1300.0
+
+
 def test_tax_is_split_one_way_only(spark, sample):
     invoices = sample.headers().where("type = 'Invoice'")
     totals = pricing.sum_lines(pricing.price_lines(sample.lines(invoices)))
