@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,14 +34,41 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write to the shared work folder and read back: cuts the lineage, survives executors."""
+def written(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """Write to the shared work folder and read back: cuts the lineage, survives executors.
+
+    ``by`` names a column with few values whose rows lie in folders of their own.
+    """
     spark = df.sparkSession
     path = shared_dir(spark, name)
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bitmap(rows: DataFrame, column: str, bits: int) -> np.ndarray:
+    """Which values of a hash, modulo ``bits``, occur; at most ``bits`` / 64 rows come back.
+
+    A filter of fixed size: it lets through what occurs, and by chance a little more.
+    """
+    place = F.col(column).bitwiseAND(F.lit(bits - 1))
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), (place % 64).cast("int"))
+    found = (
+        rows.select(F.shiftright(place, 6).alias("at"), one.alias("bit"))
+        .groupBy("at")
+        .agg(F.bit_or("bit").alias("bits"))
+        .toArrow()
+    )
+    result = np.zeros(bits // 64, dtype=np.uint64)
+    result[found["at"].to_numpy()] = found["bits"].to_numpy().view(np.uint64)
+    return result
+
+
+def hit(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """For each hash, whether its place in the bitmap is set."""
+    place = hashes & np.uint64(len(bits) * 64 - 1)
+    return (bits[place >> np.uint64(6)] >> (place & np.uint64(63))) & np.uint64(1) == 1
+
+
 def packed(docs: DataFrame) -> DataFrame:
     """One column ``row`` that holds all columns, so that no added name can clash."""
     return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from ledgerloom.llm import (
+    collocations,
     decontam,
+    lexical,
     mixing,
     neardup,
     pii,
@@ -13,6 +15,7 @@ from ledgerloom.llm import (
     sharding,
     substring,
     toxicity,
+    urlrules,
 )
 from ledgerloom.llm.common import table
 
@@ -30,6 +33,10 @@ def _decontaminated(spark, sf_dir):
     return decontam.digest(documents, benchmark)
 
 
+def _ranked(spark, sf_dir):
+    return lexical.digest(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_fm_substrings": _of_documents(substring.digest),
     "op2_gru_toxicity": _toxicity,
@@ -41,6 +48,14 @@ QUERIES = {
     "op8_disclosure_sanitiser": _of_documents(pii.digest),
     "op9_dart_minhash": _of_documents(neardup.digest),
     "op10_source_mix": _of_documents(mixing.digest),
+    "op11_term_pipeline": _ranked,
+    "op12_url_rules": urlrules.digest,
+    "op13_phrase_trie": _of_documents(collocations.digest),
 }
 
-ORACLES = {"op6_quality_rules": quality.oracle()}
+ORACLES = {
+    "op6_quality_rules": quality.oracle(),
+    "op11_term_pipeline": lexical.oracle(),
+    "op12_url_rules": urlrules.oracle(),
+    "op13_phrase_trie": collocations.oracle(),
+}

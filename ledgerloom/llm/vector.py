@@ -47,14 +47,24 @@ class Words:
 
     ``raw`` holds the bytes of all texts, ``starts`` and ``ends`` the words in it, ``doc``
     the number of each word's text; ``first`` says where the words of each text begin.
-    ``lower`` lowers A to Z; ``plain`` does too and takes punctuation out of the words.
+    ``lower`` lowers A to Z; ``plain`` does too and takes punctuation out of the words;
+    ``separators`` says for each byte whether it separates words, in place of white space.
     """
 
-    def __init__(self, raw: np.ndarray, offsets: np.ndarray, plain: bool = False, lower: bool = False) -> None:
+    def __init__(
+        self,
+        raw: np.ndarray,
+        offsets: np.ndarray,
+        plain: bool = False,
+        lower: bool = False,
+        separators: np.ndarray | None = None,
+    ) -> None:
         if plain or lower:
             raw = _LOWER[raw]
+        if separators is None:
+            separators = _PLAIN if plain else _SEPARATOR
         self.raw, self.n_docs = raw, len(offsets) - 1
-        inside = ~(_PLAIN if plain else _SEPARATOR)[raw]
+        inside = ~separators[raw]
         # A new text ends a word without a separator.
         edge = np.zeros(len(raw) + 1, dtype=bool)
         edge[offsets] = True
@@ -82,7 +92,10 @@ class Words:
 
 
 def chunks(
-    texts: pa.Array, plain: bool = False, lower: bool = False
+    texts: pa.Array,
+    plain: bool = False,
+    lower: bool = False,
+    separators: np.ndarray | None = None,
 ) -> Iterator[tuple[int, Words]]:
     """Cut a column of texts (null: empty) into chunks of words with their first row."""
     texts = texts.cast(pa.large_string()) if not pa.types.is_large_string(texts.type) else texts
@@ -98,7 +111,7 @@ def chunks(
         upto = int(np.searchsorted(offsets, offsets[at] + CHUNK, side="right")) - 1
         upto = min(max(upto, at + 1), at + 60_000, len(texts))
         mine = offsets[at : upto + 1]
-        yield at, Words(raw[mine[0] : mine[-1]], mine - mine[0], plain, lower)
+        yield at, Words(raw[mine[0] : mine[-1]], mine - mine[0], plain, lower, separators)
         at = upto
 
 
