@@ -6,10 +6,11 @@ bursts into two ranges, or, when it holds a single word, into a node whose conta
 next word.  When the trie is full, its largest subtrees leave it as sorted runs; at the end all
 do.  Runs are dealt by the first two words of their phrases and merged there.
 
-Words are counted first, then pairs of frequent words, then phrases of three to five words
-whose pairs are all frequent: the words of a frequent phrase, and its pairs, are frequent
-themselves.  Frequent ones are found again by a bitmap of fixed size, which may let through a
-few others and loses none; counts are exact.
+The words of a frequent phrase, and its pairs of words, are frequent themselves.  So words,
+then pairs of frequent words, are tallied by their hashes first, and only phrases without a
+rare word or pair enter the tries.  Hashes that are frequent are kept in a bitmap of fixed
+size; it, or two words with one hash, may let through a few others and lose none.  Counts come
+from the tries and are those of the phrases.
 
 Null texts are empty and null languages ``und``; empty texts add nothing; repeated rows count
 again; doc_id and other columns are not read.  An empty table gives an empty result.
@@ -18,7 +19,6 @@ again; doc_id and other columns are not read.  An empty table gives an empty res
 from __future__ import annotations
 
 import hashlib
-from collections import Counter
 from collections.abc import Iterator
 from decimal import Decimal
 
@@ -38,6 +38,10 @@ BITS = 1 << 24
 # Phrases in a container before it bursts, and in a trie before subtrees are spilled.
 BURST = 1 << 14
 FULL = 600_000
+# Hashes a task tallies before it hands them on.
+TALLIED = 1 << 21
+# Parts of a language that are ranked before all of it is.
+RANKED = 64
 # Words of a phrase by which its run is dealt to a partition.
 PREFIX = 2
 
@@ -47,22 +51,23 @@ _ENDS = _PIECE.copy()
 _ENDS[[9, 32]] = True
 
 
+def _joined(words: Words) -> np.ndarray:
+    """For each word but the last: whether the next one is in the same piece."""
+    breaks = np.concatenate([[0], np.cumsum(_PIECE[words.raw])])
+    same = breaks[words.starts[1:]] == breaks[words.ends[:-1]]
+    return same & (words.doc[1:] == words.doc[:-1])
+
+
 class Pieces:
     """Words of some texts with one space between those of a piece, for slicing phrases."""
 
-    def __init__(self, words: Words) -> None:
-        raw, n = words.raw, len(words)
-        # Words that the next one follows in the same piece.
-        breaks = np.concatenate([[0], np.cumsum(_PIECE[raw])])
-        self.joined = np.zeros(n, dtype=bool)
-        if n:
-            same = breaks[words.starts[1:]] == breaks[words.ends[:-1]]
-            self.joined[:-1] = same & (words.doc[1:] == words.doc[:-1])
-        kept = np.zeros(len(raw) + 1, dtype=np.int64)
-        np.add.at(kept, words.starts, 1)
-        np.add.at(kept, words.ends, -1)
-        keep = np.cumsum(kept[:-1]) > 0
-        gaps = words.starts[1:][self.joined[:-1]] - 1
+    def __init__(self, words: Words, joined: np.ndarray) -> None:
+        raw = words.raw
+        edges = np.zeros(len(raw) + 1, dtype=np.int8)
+        edges[words.starts] += 1
+        edges[words.ends] -= 1
+        keep = np.cumsum(edges[:-1], dtype=np.int8) > 0
+        gaps = words.starts[1:][joined] - 1
         keep[gaps] = True
         text = raw.copy()
         text[gaps] = 32
@@ -78,6 +83,11 @@ def _word_ids(phrases: list[bytes], depth: int) -> np.ndarray:
     return Words(raw, np.array([0, len(raw)]), separators=_ENDS).hash
 
 
+def _add(container: dict, phrases: np.ndarray, counts: np.ndarray) -> None:
+    for phrase, count in zip(phrases.tolist(), counts.tolist(), strict=True):
+        container[phrase] = container.get(phrase, 0) + count
+
+
 class Trie:
     """Counts of phrases.
 
@@ -87,16 +97,16 @@ class Trie:
 
     def __init__(self, depth: int = 0) -> None:
         self.depth = depth
-        self.own: Counter = Counter()
+        self.own: dict[bytes, int] = {}
         self.lows = np.zeros(1, dtype=np.uint64)
-        self.children: list = [Counter()]
+        self.children: list = [{}]
 
-    def add(self, ids: np.ndarray, phrases: np.ndarray) -> None:
-        """Count phrases of one length; ``ids`` has a row of word ids for each."""
+    def add(self, ids: np.ndarray, phrases: np.ndarray, counts: np.ndarray) -> None:
+        """Add counts of phrases of one length; ``ids`` has a row of word ids for each."""
         if not len(phrases):
             return
         if ids.shape[1] == self.depth:
-            self.own.update(phrases.tolist())
+            _add(self.own, phrases, counts)
             return
         order = np.argsort(ids[:, self.depth], kind="stable")
         where = np.searchsorted(self.lows, ids[order, self.depth], side="right") - 1
@@ -106,9 +116,9 @@ class Trie:
             mine, at = order[begin:end], int(where[begin])
             child = self.children[at]
             if isinstance(child, Trie):
-                child.add(ids[mine], phrases[mine])
+                child.add(ids[mine], phrases[mine], counts[mine])
             else:
-                child.update(phrases[mine].tolist())
+                _add(child, phrases[mine], counts[mine])
                 if len(child) > BURST:
                     full.append(at)
         for at in reversed(full):
@@ -122,7 +132,7 @@ class Trie:
         seen = np.unique(ids)
         if len(seen) > 1:
             middle = seen[len(seen) // 2]
-            low, high = Counter(), Counter()
+            low, high = {}, {}
             for phrase, right in zip(phrases, (ids >= middle).tolist(), strict=True):
                 (high if right else low)[phrase] = child[phrase]
             lows, children = [self.lows[at], middle], [low, high]
@@ -133,10 +143,10 @@ class Trie:
                 (node.own if ends else node.children[0])[phrase] = count
             lows, children = [seen[0]], [node]
             if self.lows[at] < seen[0]:
-                lows, children = [self.lows[at], *lows], [Counter(), *children]
+                lows, children = [self.lows[at], *lows], [{}, *children]
             after = np.append(self.lows, np.uint64(2**64 - 1))[at + 1]
             if seen[0] < after - np.uint64(1):
-                lows, children = [*lows, seen[0] + np.uint64(1)], [*children, Counter()]
+                lows, children = [*lows, seen[0] + np.uint64(1)], [*children, {}]
         self.lows = np.concatenate(
             [self.lows[:at], np.array(lows, dtype=np.uint64), self.lows[at + 1 :]]
         )
@@ -154,7 +164,7 @@ class Trie:
     def cut(self, at: int) -> list[tuple[bytes, int]]:
         """A subtree's phrases in order; it is empty afterwards."""
         child = self.children[at]
-        self.children[at] = Counter()
+        self.children[at] = {}
         return sorted(child.rows() if isinstance(child, Trie) else child.items())
 
 
@@ -196,8 +206,45 @@ def _by_language(batch: pa.RecordBatch) -> Iterator[tuple[str, pa.Array]]:
         yield one.as_py(), batch.column(1).filter(pc.equal(lang, one))
 
 
-def _runs(lengths: tuple[int, ...], words_seen=None, pairs_seen=None):
-    """Runs of phrases of the given lengths, and with lengths of one the words in all."""
+def _tallies(words_seen: np.ndarray | None = None):
+    """Hashes of words, or of pairs of words seen, and how often each occurs in a task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        for batch in batches:
+            for lang, texts in _by_language(batch):
+                for _, words in chunks(texts, lower=True, separators=_ENDS):
+                    keys = _keys(words, lang)
+                    if words_seen is not None and len(keys):
+                        ok = hit(words_seen, keys)
+                        keys = _pair_keys(keys)[_joined(words) & ok[:-1] & ok[1:]]
+                    held.append(np.unique(keys, return_counts=True))
+            if sum(len(k) for k, _ in held) > TALLIED:
+                held = [_combined(held)]
+                if len(held[0][0]) > TALLIED // 2:
+                    yield _tally(*held.pop())
+        if held:
+            yield _tally(*_combined(held))
+
+    return run
+
+
+def _combined(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    keys, counts = (np.concatenate(parts) for parts in zip(*held, strict=True))
+    order = np.argsort(keys)
+    keys, counts = keys[order], counts[order]
+    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else order
+    return keys[first], np.add.reduceat(counts, first) if len(keys) else counts
+
+
+def _tally(keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [pa.array(keys.view(np.int64)), pa.array(counts.astype(np.int64))], names=["h", "n"]
+    )
+
+
+def _runs(words_seen: np.ndarray, pairs_seen: np.ndarray):
+    """Runs of phrases without a rare word or pair, and the words in all of each chunk."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tries: dict[str, Trie] = {}
@@ -207,28 +254,8 @@ def _runs(lengths: tuple[int, ...], words_seen=None, pairs_seen=None):
                 for _, words in chunks(texts, lower=True, separators=_ENDS):
                     if not len(words):
                         continue
-                    pieces = Pieces(words)
-                    linked = pieces.joined[:-1]
-                    if words_seen is not None:
-                        keys = _keys(words, lang)
-                        ok = hit(words_seen, keys)
-                        linked = linked & ok[:-1] & ok[1:]
-                        if pairs_seen is not None:
-                            linked &= hit(pairs_seen, _pair_keys(keys))
-                    for n in lengths:
-                        size = max(0, len(words) - n + 1)
-                        whole = np.ones(size, dtype=bool)
-                        for k in range(n - 1):
-                            whole &= linked[k : k + size]
-                        at = np.flatnonzero(whole)
-                        spots = zip(
-                            pieces.starts[at].tolist(), pieces.ends[at + n - 1].tolist(), strict=True
-                        )
-                        phrases = np.empty(len(at), dtype=object)
-                        phrases[:] = [pieces.text[s:e] for s, e in spots]
-                        trie.add(words.hash[at[:, None] + np.arange(n)], phrases)
-                    if lengths == (1,):
-                        yield _run_total(lang, len(words))
+                    yield _run_total(lang, len(words))
+                    _count(trie, words, _keys(words, lang), words_seen, pairs_seen)
             if sum(sum(t.sizes()) for t in tries.values()) > FULL:
                 yield from _spilled(tries, FULL // 2)
         yield from _spilled(tries, 0)
@@ -236,6 +263,29 @@ def _runs(lengths: tuple[int, ...], words_seen=None, pairs_seen=None):
     return run
 
 
+def _count(
+    trie: Trie, words: Words, keys: np.ndarray, words_seen: np.ndarray, pairs_seen: np.ndarray
+) -> None:
+    joined = _joined(words)
+    pieces = Pieces(words, joined)
+    whole = hit(words_seen, keys)
+    linked = joined & whole[:-1] & whole[1:] & hit(pairs_seen, _pair_keys(keys))
+    named = keys
+    for n in range(1, LONGEST + 1):
+        if n > 1:
+            # Phrases of n words: one of n - 1, linked to the next word.
+            size = max(0, len(words) - n + 1)
+            whole = whole[:size] & linked[n - 2 : n - 2 + size]
+            named = mix(named[:size] * _STEP + keys[n - 1 : n - 1 + size])
+        at = np.flatnonzero(whole)
+        _, first, counts = np.unique(named[at], return_index=True, return_counts=True)
+        at = at[first]
+        spots = zip(pieces.starts[at].tolist(), pieces.ends[at + n - 1].tolist(), strict=True)
+        phrases = np.empty(len(at), dtype=object)
+        phrases[:] = [pieces.text[s:e] for s, e in spots]
+        trie.add(words.hash[at[:, None] + np.arange(n)], phrases, counts)
+
+
 def _run_total(lang: str, n: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
         [pa.array([lang]), pa.array([None], pa.string()), pa.array([n], pa.int64())],
@@ -243,38 +293,23 @@ def _run_total(lang: str, n: int) -> pa.RecordBatch:
     )
 
 
-def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Hash of each word or pair of words, with its language."""
-    for batch in batches:
-        for lang, phrases in _by_language(batch):
-            for _, words in chunks(phrases, separators=_ENDS):
-                keys = _keys(words, lang)
-                first = words.first[:-1]
-                if len(words) > words.n_docs:
-                    keys = _pair_keys(keys)
-                yield pa.RecordBatch.from_arrays([pa.array(keys[first].view(np.int64))], names=["h"])
+def _narrow(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("lang").cast("string").alias("lang"), "text")
 
 
-def _merged(docs: DataFrame, counter) -> DataFrame:
-    """Counts of all runs, merged where their prefix partitions are."""
-    runs = docs.select(F.col("lang").cast("string").alias("lang"), "text").mapInArrow(
-        counter, "lang string, phrase string, n long"
-    )
-    dealt = runs.withColumn("prefix", F.substring_index("phrase", " ", PREFIX))
-    dealt = dealt.repartition("lang", "prefix")
-    return dealt.groupBy("lang", "prefix", "phrase").agg(F.sum("n").alias("n")).drop("prefix")
+def _seen(docs: DataFrame, tally, least: int) -> np.ndarray:
+    """Bitmap of the hashes that occur often enough."""
+    # A task names a hash once, so that nothing is gained by adding before the exchange.
+    rows = _narrow(docs).mapInArrow(tally, "h long, n long").repartition("h")
+    often = rows.groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    return bitmap(often, "h", BITS)
 
 
-def _frequent(docs: DataFrame, counter, least: int, name: str) -> DataFrame:
-    """Phrases found often enough; rows without a phrase, the words in all, stay too."""
-    return written(
-        _merged(docs, counter).where((F.col("n") >= least) | F.col("phrase").isNull()), name
-    )
-
-
-def _seen(frequent: DataFrame) -> np.ndarray:
-    rows = frequent.where("phrase IS NOT NULL").select("lang", "phrase")
-    return bitmap(rows.mapInArrow(_hashes, "h long"), "h", BITS)
+def _merged(runs: DataFrame) -> DataFrame:
+    """Counts of all runs, merged where their prefix partitions are."""
+    prefix = F.xxhash64("lang", F.substring_index("phrase", " ", PREFIX))
+    dealt = runs.withColumn("prefix", prefix).repartition("prefix")
+    return dealt.groupBy("prefix", "lang", "phrase").agg(F.sum("n").alias("n")).drop("prefix")
 
 
 def _part(first: Column, count: Column) -> Column:
@@ -290,17 +325,18 @@ def score() -> Column:
 
 def collocations(docs: DataFrame, least: int = LEAST, top: int = TOP) -> DataFrame:
     """lang, rank, phrase, a, l, r, n and score of the ``top`` phrases of each language."""
-    single = _frequent(docs, _runs((1,)), least, "words")
-    totals = single.where("phrase IS NULL").select("lang", F.col("n").alias("total"))
-    single = single.where("phrase IS NOT NULL")
-    words_seen = _seen(single)
-    pairs = _frequent(docs, _runs((2,), words_seen), least, "pairs")
-    longer = tuple(range(3, LONGEST + 1))
-    longer = _frequent(docs, _runs(longer, words_seen, _seen(pairs)), least, "longer")
-    phrases = pairs.unionByName(longer).withColumnRenamed("n", "a")
-    phrases = phrases.withColumn("w", F.split("phrase", " ", -1))
+    words_seen = _seen(docs, _tallies(), least)
+    pairs_seen = _seen(docs, _tallies(words_seen), least)
+    runs = _narrow(docs).mapInArrow(
+        _runs(words_seen, pairs_seen), "lang string, phrase string, n long"
+    )
+    often = (F.col("n") >= least) | F.col("phrase").isNull()
+    found = written(_merged(runs).where(often), "phrases")
+    totals = found.where("phrase IS NULL").select("lang", F.col("n").alias("total"))
+    counts = found.where("phrase IS NOT NULL")
+    phrases = counts.withColumnRenamed("n", "a").withColumn("w", F.split("phrase", " ", -1))
     size = F.size("w")
-    counts = single.unionByName(pairs).unionByName(longer)
+    phrases = phrases.where(size > 1)
 
     # Places inside a longer phrase: where they begin and how many words they have.
     spans = F.flatten(
@@ -337,9 +373,13 @@ def collocations(docs: DataFrame, least: int = LEAST, top: int = TOP) -> DataFra
     best = scored.groupBy("lang", "phrase", "a", F.col("total").alias("n")).agg(
         F.min(F.struct("score", "k", "l", "r")).alias("cut")
     )
-    order = Window.partitionBy("lang").orderBy(F.desc("cut.score"), F.desc("a"), F.asc("phrase"))
+    order = [F.desc("cut.score"), F.desc("a"), F.asc("phrase")]
+    part = F.pmod(F.xxhash64("phrase"), F.lit(RANKED))
+    in_part = F.row_number().over(Window.partitionBy("lang", "part").orderBy(*order))
+    best = best.withColumn("part", part).withColumn("rank", in_part).where(F.col("rank") <= top)
+    in_all = F.row_number().over(Window.partitionBy("lang").orderBy(*order))
     return (
-        best.withColumn("rank", F.row_number().over(order))
+        best.withColumn("rank", in_all)
         .where(F.col("rank") <= top)
         .select(
             "lang",

@@ -192,11 +192,12 @@ def mined(docs, least, top):
 DOC = "lang string, text string"
 
 
-@pytest.mark.parametrize("burst, full", [(1 << 14, 600_000), (3, 40)])
-def test_phrases(spark, monkeypatch, burst, full):
+@pytest.mark.parametrize("burst, full, tallied", [(1 << 14, 600_000, 1 << 21), (3, 40, 10)])
+def test_phrases(spark, monkeypatch, burst, full, tallied):
     """Also with containers that burst at once and a trie that spills all the time."""
     monkeypatch.setattr(collocations, "BURST", burst)
     monkeypatch.setattr(collocations, "FULL", full)
+    monkeypatch.setattr(collocations, "TALLIED", tallied)
     rng = random.Random(2)
     stock = ["New York City", "aa  aa\taa aa aa aa", "é ü é", "of the of the", "x.y,z", "in\r\nvein"]
     words = "of the in a é Ünd New york city w1 w2".split()
@@ -229,7 +230,7 @@ def test_trie_counts_what_a_dictionary_counts(monkeypatch):
             ids[row] = Words(raw, np.array([0, len(raw)])).hash
         batch = np.empty(len(made), dtype=object)
         batch[:] = made
-        trie.add(ids, batch)
+        trie.add(ids, batch, np.ones(len(made), dtype=np.int64))
         expected.update(made)
         if rng.random() < 0.1:
             rows = trie.cut(rng.randrange(len(trie.children)))
