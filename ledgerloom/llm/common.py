@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.session import shared_dir
+from ledgerloom.sources.ledger import delete_path
 
 # A word is a run of anything but space and the control characters 9 to 13.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -42,7 +43,15 @@ def written(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     spark = df.sparkSession
     path = shared_dir(spark, name)
     (df.write.partitionBy(by) if by else df.write).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    result = spark.read.schema(df.schema).parquet(path)
+    result.scratch_path = path
+    return result
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete tables that ``written`` returned and that nothing is read from any more."""
+    for one in tables:
+        delete_path(one.sparkSession, one.scratch_path)
 
 
 def bitmap(rows: DataFrame, column: str, bits: int) -> np.ndarray:

@@ -10,9 +10,10 @@ Two texts agree in a coordinate with a probability that is their weighted Jaccar
 
 Bands of signatures give buckets.  Members of a bucket are compared with its centre, the one
 that shares most buckets, by their whole shingle sets.  Members that fail, and those that the
-triangle inequality lets be like one of them, are compared again with centres of finer
-buckets, of three bands, unless the two are in one class already.  What is in different
-classes even then is compared pair by pair, as far as a prefix filter leaves it possible:
+triangle inequality lets be like one of them, are compared with another centre of the bucket,
+unless the two are in one class already, and so on as long as such rounds settle a fair part.
+What is in different classes even then is compared pair by pair, as far as a prefix filter
+leaves it possible:
 two texts at the threshold share one of their rarest shingles, at a place that leaves enough
 others.  Classes are the connected components of pairs with a similarity of at least
 ``threshold``.
@@ -27,22 +28,21 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import packed, unpacked, whole_text, written
+from ledgerloom.llm.common import packed, release, unpacked, whole_text, written
 from ledgerloom.llm.vector import Words, chunks, grams, inside, mix
 
 SHINGLE = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 24, 4
 COORDINATES = BANDS * ROWS
-# Three bands at a time, spread over all 2024 choices.
-TRIPLES = list(combinations(range(BANDS), 3))[::7]
+# Rounds of other centres go on while one settles this share of the open texts.
+SETTLING = 0.05
 # Shingles are ordered by the number of texts in their bin; any order gives the same pairs.
 BINS = 2**16
 # Members of one shingle that a task pairs with as many others.
@@ -192,21 +192,23 @@ def components(links: DataFrame, name: str = "classes") -> DataFrame:
 
     Each round joins every node to its smallest neighbour, follows those steps twice, and
     goes on with the links between the joined nodes, which are far fewer; it ends when none
-    are left.  Rounds are written, so that lineage stays short.
+    are left.  Rounds are written, so that lineage stays short, and replace the ones before.
     """
     different = links.select("a", "b").where(F.col("a") != F.col("b")).distinct()
     edges = written(different, f"{name}-links")
     labels = None
     while not edges.isEmpty():
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        steps = both.groupBy(F.col("a").alias("node")).agg(
+        near = both.groupBy(F.col("a").alias("node")).agg(
             F.least(F.min("a"), F.min("b")).alias("to")
         )
-        steps = written(steps, f"{name}-steps")
+        near = written(near, f"{name}-steps")
+        steps = near
         for _ in range(2):
             after = steps.select(F.col("node").alias("to"), F.col("to").alias("then"))
             steps = steps.join(after, "to").select("node", F.col("then").alias("to"))
         steps = written(steps, f"{name}-steps")
+        before, old = edges, labels
         if labels is None:
             labels = steps.select("node", F.col("to").alias("label"))
         else:
@@ -222,72 +224,70 @@ def components(links: DataFrame, name: str = "classes") -> DataFrame:
             F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b")
         )
         edges = written(edges.distinct(), f"{name}-links")
+        release(before, near, steps, *([old] if old is not None else []))
     if labels is None:
-        labels = edges.select(F.col("a").alias("node"), F.col("b").alias("label"))
+        empty = edges.select(F.col("a").alias("node"), F.col("b").alias("label"))
+        labels = written(empty, f"{name}-labels")
+    release(edges)
     return labels
 
 
-def _stars(members: DataFrame, key: str) -> DataFrame:
-    """Each member (a) of a key with the key's centre (b), the one with most fame."""
-    top = members.groupBy(key).agg(F.max(F.struct("fame", "node", "label")).alias("top"))
-    return (
-        members.join(top, key)
-        .select(
-            key,
-            F.col("node").alias("a"),
-            F.col("top.node").alias("b"),
-            "label",
-            F.col("top.label").alias("centre_label"),
-        )
-        .where(F.col("a") != F.col("b"))
-    )
-
+def _relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """Labels after more links (a, b); the old ones are released.
 
-def _mixed_only(df: DataFrame, key: str) -> DataFrame:
-    several = df.groupBy(key).agg(F.min("label").alias("lowest"), F.max("label").alias("highest"))
-    return df.join(several.where("lowest != highest").select(key), key)
+    A node without label is its own.
+    """
+    def side(name: str) -> DataFrame:
+        return labels.select(F.col("node").alias(name), F.col("label").alias(f"of_{name}"))
+
+    between = (
+        links.select("a", "b")
+        .join(side("a"), "a", "left")
+        .join(side("b"), "b", "left")
+        .select(F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b"))
+    )
+    moved = components(between, "relabelled")
+    to = moved.select(F.col("node").alias("label"), F.col("label").alias("to"))
+    kept = labels.join(to, "label", "left").select("node", F.coalesce("to", "label").alias("label"))
+    # Names of classes that had one node and so no label.
+    new = moved.join(labels.select("node"), "node", "left_anti")
+    result = written(kept.unionByName(new), "labels")
+    release(moved, labels)
+    return result
 
 
-def _unresolved(spots: DataFrame, labels: DataFrame, radius: float, name: str) -> DataFrame:
-    """Nodes, with labels, of buckets whose members may be alike and are in several classes.
+def _unresolved(spots: DataFrame, labels: DataFrame, radius: float) -> DataFrame:
+    """Members, with labels, of buckets whose members may be alike and are in several classes.
 
     ``d`` is the distance from the centre.  Those outside the radius take part, and those
     inside it where somebody is so near outside that the two could be alike.
     """
     known = spots.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    known = written(known, name)
-    nearest = (
-        known.where((F.col("d") > radius) & (F.col("d") <= 2 * radius))
-        .groupBy("bucket")
-        .agg(F.min("d").alias("nearest"))
-    )
-    taking_part = known.join(nearest, "bucket", "left").where(
+    known = written(known, "distances")
+    far = F.when((F.col("d") > radius) & (F.col("d") <= 2 * radius), F.col("d"))
+    nearest = known.groupBy("bucket").agg(F.min(far).alias("nearest"))
+    taking_part = known.join(nearest, "bucket").where(
         (F.col("d") > radius) | (F.col("d") >= F.col("nearest") - radius - 1e-9)
     )
-    return _mixed_only(taking_part, "bucket").select("node", "label").distinct()
-
+    several = taking_part.groupBy("bucket").agg(
+        F.min("label").alias("lowest"), F.max("label").alias("highest")
+    )
+    mixed = taking_part.join(several.where("lowest != highest"), "bucket")
+    result = written(mixed.select("bucket", "node", "label"), "unresolved")
+    release(known)
+    return result
 
-def _second_chance(again: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Unresolved nodes by finer keys.
 
-    A key is the hashes of three bands.  Two texts at the threshold share about a fifteenth
-    of the 289 keys, texts that share half of their words next to none, so the groups are
-    small and each of a pair's common keys has a good chance to compare it.  Keys whose
-    members are all in one class already are left out.
-    """
-    first, second, third = (F.array(*[F.lit(t[i]) for t in TRIPLES]) for i in range(3))
-    keys = F.transform(
-        F.sequence(F.lit(0), F.lit(len(TRIPLES) - 1)),
-        lambda t: F.xxhash64(
-            t,
-            F.get("bands", F.get(first, t)),
-            F.get("bands", F.get(second, t)),
-            F.get("bands", F.get(third, t)),
-        ),
+def _other_stars(unresolved: DataFrame, turn: int) -> DataFrame:
+    """Members (a) of buckets with another centre (b) of the bucket, where classes differ."""
+    drawn = F.struct(F.xxhash64(F.lit(turn), "node").alias("draw"), "node", "label")
+    tops = unresolved.groupBy("bucket").agg(F.max(drawn).alias("top"))
+    return (
+        unresolved.join(tops, "bucket")
+        .where(F.col("label") != F.col("top.label"))
+        .select(F.col("node").alias("a"), F.col("top.node").alias("b"))
+        .distinct()
     )
-    keyed = again.join(nodes, "node").select("node", "label", F.explode(keys).alias("key"))
-    # Another centre in every key.
-    return _mixed_only(keyed, "key").withColumn("fame", F.xxhash64("key", "node"))
 
 
 def _bins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -330,9 +330,11 @@ def _prefixes(counts: np.ndarray, threshold: float):
     return run
 
 
-def _possible(rest: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+def _possible(rest: DataFrame, texts: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
     """Pairs (a, b) of nodes in different classes that may be alike; none alike is left out.
 
+    The second table is what the pairs are read from, to be released after them.
+
     The members of a frequent shingle are dealt to blocks, and each pair of blocks is a
     group of its own.
     """
@@ -378,7 +380,7 @@ def _possible(rest: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
         & (F.least("left_a", "left_b") >= needed)
     )
     paired = side("a", "i", "j").join(side("b", "j", "i"), ["unit", "i", "j"])
-    return paired.where(possible).select("a", "b").distinct()
+    return paired.where(possible).select("a", "b").distinct(), prefixes
 
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -420,21 +422,31 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     spots = (
         starred.where(F.col("node") != F.col("centre"))
         .join(first, (F.col("node") == F.col("a")) & (F.col("centre") == F.col("b")))
-        .select("bucket", "node", "fame", (1 - F.col("similarity")).alias("d"))
+        .select("bucket", "node", (1 - F.col("similarity")).alias("d"))
     )
-    again = _unresolved(spots, labels, 1 - threshold, "distances")
-    again = written(_second_chance(again, nodes), "second-buckets")
-    stars = _stars(again, "key").where(F.col("label") != F.col("centre_label"))
-    second = _compared(stars.select("a", "b").distinct(), texts, "second-similarities")
-    alike = first.where(close).unionByName(second.where(close))
-    labels = components(alike, "second")
-
-    # What no centre has settled is compared pair by pair.
-    rest = written(_unresolved(spots, labels, 1 - threshold, "distances"), "unresolved")
-    third = _compared(_possible(rest, texts, threshold), texts, "third-similarities")
-    third = third.where(close)
-    if not third.isEmpty():
-        labels = components(alike.unionByName(third), "classes")
+    rest = _unresolved(spots, labels, 1 - threshold)
+    turn = 0
+    while not rest.isEmpty():
+        turn += 1
+        compared = _compared(_other_stars(rest, turn), texts, "more-similarities")
+        alike = compared.where(close)
+        settled, open_nodes = alike.count(), rest.select("node").distinct().count()
+        before = rest
+        if settled:
+            labels = _relabelled(labels, alike)
+            rest = _unresolved(spots, labels, 1 - threshold)
+            release(before)
+        release(compared)
+        if settled <= SETTLING * open_nodes:
+            break
+    if not rest.isEmpty():
+        # What no centre has settled is compared pair by pair.
+        nodes_left = rest.select("node", "label").distinct()
+        possible, prefixes = _possible(nodes_left, texts, threshold)
+        last_pairs = _compared(possible, texts, "third-similarities")
+        labels = _relabelled(labels, last_pairs.where(close))
+        release(last_pairs, prefixes)
+    release(rest, first, texts, members)
 
     by_node = sketches.groupBy("node").agg(
         F.min("doc_id").alias("smallest"), F.count("*").alias("copies")
@@ -450,7 +462,7 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     of_node = named.join(summed, "label").select(
         F.col("node").alias("n_node"), "class_id", "class_size", "first"
     )
-    return sketches.join(of_node, F.col("node") == F.col("n_node")).select(
+    result = sketches.join(of_node, F.col("node") == F.col("n_node")).select(
         "doc_id",
         "node",
         "class_id",
@@ -460,6 +472,9 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
             & (F.coalesce("doc_id", last) == F.col("first.smallest"))
         ).alias("keeper"),
     )
+    result = written(result, "classes")
+    release(sketches, labels, named)
+    return result
 
 
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
