@@ -8,7 +8,8 @@ rarest of every ``PASSAGE`` words in a row; an item shorter than a seed is looke
 whole.  Every place of a text where a seed occurs gives a region, in which the whole item is
 aligned; a text holds an item if the best alignment reaches ``THRESHOLD`` of the score of the
 item with itself, or the score of ``PASSAGE`` words in a row, however long the item is.  Of an
-item under ``SHORT`` words more than that share is asked.
+item under ``SHORT`` words more than that share is asked; one under ``SHORT_WORDS`` words is
+found only in texts with at most twice its words.
 
 Test items go to the tasks in slices of at most ``SLICE_WORDS`` words (one longer item is a
 slice of its own); a larger benchmark takes several passes, so nothing unbounded is
@@ -230,7 +231,11 @@ def matches(w: Words, items: Items) -> list[tuple[int, int, float, int, int]]:
             b[k, : len(words_of)] = words_of
         score, end = align(a, b)
         share = score / (MATCH * length)
-        for k in np.flatnonzero(score >= needed(length)):
+        enough = score >= needed(length)
+        if length < SHORT_WORDS:
+            # So few words stand in any text; only a text of about their length is the item.
+            enough &= w.counts[doc[group]] <= 2 * length
+        for k in np.flatnonzero(enough):
             back, left = align(a[k : k + 1, ::-1], b[k : k + 1, : end[k] + 1][:, ::-1])
             start = int(begin[k]) + int(end[k]) - int(left[0])
             key = (int(doc[group[k]]), int(item[group[k]]))

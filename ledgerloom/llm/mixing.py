@@ -21,7 +21,7 @@ from fractions import Fraction
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.common import packed, unpacked, whole_text, words, written
@@ -128,7 +128,7 @@ def nearest_subset(sizes: list[int], wanted: int) -> list[int]:
 
 def _fill(frame: pd.DataFrame) -> pd.DataFrame:
     """In the block where the target is reached: documents in hashed order, the last few
-    hundred chosen so that their sizes add up."""
+    hundred chosen so that their sizes add up.  Only hashes and sizes come here."""
     frame = frame.sort_values(["lot", "size"], kind="stable").reset_index(drop=True)
     extra = np.zeros(len(frame), dtype=np.int32)
     left, sizes = int(frame["part"].iloc[0]) if len(frame) else 0, frame["size"].tolist()
@@ -192,14 +192,36 @@ def mixed(
         [(s, b, c, p, w, float(goal[s])) for s, b, c, p, w in planned],
         "p_sid int, p_block long, copies int, part long, shards array<int>, target double",
     )
-    drawn = (
-        blocked(rows)
-        .join(plan, (F.col("sid") == F.col("p_sid")) & (F.col("block") == F.col("p_block")))
-        .drop("p_sid", "p_block", "source", "n_blocks")
+    here = (F.col("sid") == F.col("p_sid")) & (F.col("block") == F.col("p_block"))
+
+    def planned_rows(of: DataFrame) -> DataFrame:
+        return blocked(of).join(plan, here).drop("p_sid", "p_block", "source", "n_blocks")
+
+    drawn = planned_rows(rows)
+    last = planned_rows(narrow).where("part > 0").select("sid", "block", "lot", "size", "part")
+    chosen = last.groupBy("sid", "block").applyInPandas(
+        _fill, last.withColumn("extra", F.lit(0)).schema
     )
+    # Rows of one doc_id and size are equal here: so many of them are taken once more.
+    chosen = chosen.groupBy("sid", "lot", "size").agg(F.sum("extra").alias("more"))
+    chosen = chosen.where("more > 0").withColumnsRenamed(
+        {"sid": "c_sid", "lot": "c_lot", "size": "c_size"}
+    )
+    alike = Window.partitionBy("sid", "lot", "size").orderBy(F.xxhash64("row"))
     whole = drawn.where("part = 0").withColumn("extra", F.lit(0))
-    schema = drawn.withColumn("extra", F.lit(0)).schema
-    partly = drawn.where("part > 0").groupBy("sid", "block").applyInPandas(_fill, schema)
+    partly = (
+        drawn.where("part > 0")
+        .withColumn("nth", F.row_number().over(alike))
+        .join(
+            chosen,
+            (F.col("sid") == F.col("c_sid"))
+            & (F.col("lot") == F.col("c_lot"))
+            & (F.col("size") == F.col("c_size")),
+            "left",
+        )
+        .withColumn("extra", F.when(F.col("nth") <= F.col("more"), 1).otherwise(0))
+        .drop("nth", "c_sid", "c_lot", "c_size", "more")
+    )
     return whole.unionByName(partly).select(
         "row",
         "size",
@@ -211,8 +233,13 @@ def mixed(
     )
 
 
+def _place(copy: Column) -> Column:
+    """What the copies inside a shard are ordered by."""
+    return F.xxhash64("lot", "size", copy)
+
+
 def mix_documents(docs: DataFrame, seed: int = 17, n_shards: int = 16) -> DataFrame:
-    """Every document as often as it was drawn, with its columns."""
+    """Every document as often as it was drawn, with its columns, in order of shard and place."""
     drawn = mixed(_sized(docs, seed), seed, n_shards)
     repeated = drawn.withColumn(
         "copy",
@@ -222,7 +249,11 @@ def mix_documents(docs: DataFrame, seed: int = 17, n_shards: int = 16) -> DataFr
             )
         ),
     )
-    return unpacked(repeated, docs.columns)
+    placed = repeated.select(
+        "row", F.get("shards", F.col("copy") - 1).alias("shard"), _place(F.col("copy")).alias("place")
+    )
+    ordered = placed.repartitionByRange("shard", "place").sortWithinPartitions("shard", "place")
+    return unpacked(ordered, docs.columns)
 
 
 def digest(docs: DataFrame) -> DataFrame:
@@ -239,4 +270,9 @@ def digest(docs: DataFrame) -> DataFrame:
         .otherwise(F.array().cast("array<int>"))
         .cast("array<int>")
         .alias("shards"),
+        F.when(
+            F.col("copies") > 0, F.transform(F.sequence(F.lit(1), F.col("copies")), _place)
+        )
+        .otherwise(F.array().cast("array<long>"))
+        .alias("places"),
     )

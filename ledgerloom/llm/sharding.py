@@ -148,9 +148,7 @@ def sharded(
     tolerance: float = 0.01,
     group_tolerance: float = 0.05,
 ) -> DataFrame:
-    """``row`` (all columns of ``docs``), size, shard and slot; one exchange of the rows.
-
-    """
+    """``row`` (all columns of ``docs``), size, shard and slot; one exchange of the rows."""
     return placed(_keys(docs), n_shards, tolerance, group_tolerance)
 
 
@@ -159,31 +157,29 @@ def placed(
 ) -> DataFrame:
     """Shard and slot of rows with ``h``, ``id`` and ``size``; their ``row`` travels along.
 
-    Slots count inside bins of a shard: 4096 stretches of the hash, and stretches of doc_id
-    for a text with more than its share of rows, so no sort holds more than about a bin.
+    Slots count inside bins of a shard: 4096 stretches of the hash, and parts by a hash of
+    doc_id for a text with more than its share of rows, so no sort holds more than about a bin,
+    but for rows that repeat both text and doc_id.
     """
     narrow = written(keyed.select("h", "id", "size"), "shard-keys")
     total, n_rows = narrow.agg(F.sum("size"), F.count("*")).first()
     cuts = splitters(narrow, total, n_shards, tolerance, group_tolerance) if n_rows else []
     most = max(ROWS_PER_BIN, (n_rows or 0) // BINS)
-    # At most 4096 texts can have that many rows.
-    hot = (
-        narrow.groupBy("h")
-        .agg(F.count("*").alias("n"), F.min("id").alias("lo"), F.max("id").alias("hi"))
-        .where(F.col("n") > most)
-        .collect()
+    # Rows of a text beyond its share are parted by a hash of their doc_id.  At most 4096
+    # texts can have that many rows.
+    counted = narrow.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > most)
+    hot = written(
+        counted.select(F.col("h").alias("hot"), F.ceil(F.col("n") / most * 2).alias("parts")),
+        "hot-texts",
     )
 
     def binned(rows: DataFrame) -> DataFrame:
-        part = F.lit(0).cast("long")
-        for r in hot:
-            shift = max(0, (r["hi"] - r["lo"]).bit_length() - DIGIT)
-            part = F.when(F.col("h") == F.lit(r["h"]), F.shiftright("id", shift)).otherwise(part)
-        return rows.withColumns(
+        part = F.pmod(F.xxhash64("id"), F.col("parts"))
+        return rows.join(hot, F.col("h") == F.col("hot"), "left").withColumns(
             {
                 "shard": _shard_of(cuts).cast("int"),
                 "bin": F.shiftright("h", 64 - DIGIT),
-                "part": part,
+                "part": F.coalesce(part, F.lit(0).cast("long")),
             }
         )
 

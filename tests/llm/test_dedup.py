@@ -243,3 +243,14 @@ def test_benchmark_in_slices(spark, documents, monkeypatch):
     monkeypatch.setattr(decontam, "SLICE_WORDS", 200)
     parts = {(r["doc_id"], r["item_id"]) for r in decontam.digest(documents, benchmark).collect()}
     assert parts == whole and whole
+
+
+def test_items_of_a_few_words(spark):
+    """One to four words leak only as a whole text; a common word is no leak."""
+    docs = spark.createDataFrame(
+        [(1, "well yes of course we do"), (2, "Yes!"), (3, "a b c d"), (4, "x a b c d y z w v u t"), (5, "yes no")],
+        "doc_id long, text string",
+    )
+    items = spark.createDataFrame([(1, "yes"), (2, "a b c d")], "item_id long, text string")
+    clean = {r["doc_id"] for r in decontam.keep_clean(docs, items).collect()}
+    assert clean == {1, 4}

@@ -59,6 +59,18 @@ def test_shards_with_a_hot_text(spark, monkeypatch):
     assert "hot text" in split and len(split) == 1
 
 
+def test_shards_with_hundreds_of_hot_texts(spark, monkeypatch):
+    """Also a hot text with a null doc_id and with one far from the others."""
+    monkeypatch.setattr(sharding, "ROWS_PER_BIN", 4)
+    monkeypatch.setattr(sharding, "BINS", 100_000)
+    rows = [(i, f"text {i % 700}") for i in range(7000)]
+    rows += [(i, "hot") for i in range(8000, 11000)] + [(None, "hot"), (2**62, "hot")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found = sharding.digest(docs).collect()
+    check_shards(found)
+    assert sorted(str(r["doc_id"]) for r in found) == sorted(str(r[0]) for r in rows)
+
+
 @pytest.mark.parametrize("sizes", [[10, 10, 10], [1, 100, 1], [0, 5, 50], [7], [1, 1, 1, 1000]])
 def test_targets(sizes):
     weights = [mixing.WEIGHTS[i % 3] for i in range(len(sizes))]
@@ -98,7 +110,8 @@ def test_mix(documents, pairs):
     for r in rows:
         s = source[r["doc_id"]]
         assert r["size"] == len(words(texts[r["doc_id"]]))
-        assert 0 <= r["taken"] <= 3 * r["size"] and len(r["shards"]) == r["copies"]
+        assert 0 <= r["taken"] <= 3 * r["size"]
+        assert len(r["shards"]) == len(r["places"]) == r["copies"]
         sizes[s] += r["size"]
         each[s].append(r["size"])
         taken[s] += r["taken"]
@@ -117,6 +130,20 @@ def test_mix(documents, pairs):
     assert sorted(map(tuple, rows), key=str) == sorted(map(tuple, again), key=str)
 
 
+def test_mixed_documents_lie_in_order_of_their_places(spark, documents):
+    rows = mixing.digest(documents).collect()
+    places = sorted(
+        (shard, place, r["doc_id"]) for r in rows for shard, place in zip(r["shards"], r["places"])
+    )
+    written = mixing.mix_documents(documents).select("doc_id").collect()
+    assert [r["doc_id"] for r in written] == [p[2] for p in places]
+    # Inside a shard the order says nothing about the source.
+    source = {r["doc_id"]: r["source"] for r in documents.select("doc_id", "source").collect()}
+    changes = sum(source[a[2]] != source[b[2]] for a, b in zip(places, places[1:]) if a[0] == b[0])
+    sources = len({(p[0], source[p[2]]) for p in places})
+    assert changes > 1.5 * sources
+
+
 def test_pipeline(spark, documents, pairs):
     stages = [name for name, _ in corpus_pipeline.STAGES]
     assert stages == ["quality rules", "near duplicates", "decontamination", "mixing", "sharding"]
@@ -139,7 +166,7 @@ def test_entry_registers_everything():
     import __spark_entry__ as entry
 
     names = set(entry.queries())
-    for n in range(1, 11):
+    for n in range(1, 14):
         assert sum(name.startswith(f"op{n}_") for name in names) == 1
     assert "pipeline" in names and set(entry.oracle_sql()) <= names
     assert "corpus_pipeline" in sys.modules
