@@ -6,11 +6,11 @@ bursts into two ranges, or, when it holds a single word, into a node whose conta
 next word.  When the trie is full, its largest subtrees leave it as sorted runs; at the end all
 do.  Runs are dealt by the first two words of their phrases and merged there.
 
-The words of a frequent phrase, and its pairs of words, are frequent themselves.  So words,
-then pairs of frequent words, are tallied by their hashes first, and only phrases without a
-rare word or pair enter the tries.  Hashes that are frequent are kept in a bitmap of fixed
-size; it, or two words with one hash, may let through a few others and lose none.  Counts come
-from the tries and are those of the phrases.
+All parts of a frequent phrase are frequent themselves.  So words, then pairs of frequent
+words, then threes of frequent pairs are tallied by their hashes first, and only phrases
+without a rare part of up to three words enter the tries.  Hashes that are frequent are kept
+in bitmaps of fixed size; these, or two words with one hash, may let through a few others and
+lose none.  Counts come from the tries and are those of the phrases.
 
 Null texts are empty and null languages ``und``; empty texts add nothing; repeated rows count
 again; doc_id and other columns are not read.  An empty table gives an empty result.
@@ -40,6 +40,8 @@ BURST = 1 << 14
 FULL = 600_000
 # Hashes a task tallies before it hands them on.
 TALLIED = 1 << 21
+# Lengths that are tallied by hash.
+LEVELS = 3
 # Parts of a language that are ranked before all of it is.
 RANKED = 64
 # Words of a phrase by which its run is dealt to a partition.
@@ -196,8 +198,21 @@ def _keys(words: Words, lang: str) -> np.ndarray:
     return mix(words.hash ^ np.frombuffer(seed, dtype=np.uint64)[0])
 
 
-def _pair_keys(keys: np.ndarray) -> np.ndarray:
-    return mix(keys[:-1] * _STEP + keys[1:])
+def _levels(words: Words, lang: str, seen: list[np.ndarray], longest: int):
+    """For 1 to ``longest`` words: hash of the phrase from each place on, and whether it is one
+    whose parts, as far as there are bitmaps of their lengths, have all been seen."""
+    keys, joined = _keys(words, lang), _joined(words)
+    named, whole = keys, np.ones(len(words), dtype=bool)
+    for n in range(1, longest + 1):
+        if n > 1:
+            size = max(0, len(words) - n + 1)
+            whole = whole[:size] & whole[1 : size + 1]
+            if n == 2:
+                whole &= joined
+            named = mix(named[:size] * _STEP + keys[n - 1 : n - 1 + size])
+        if n <= len(seen):
+            whole = whole & hit(seen[n - 1], named)
+        yield n, named, whole
 
 
 def _by_language(batch: pa.RecordBatch) -> Iterator[tuple[str, pa.Array]]:
@@ -206,19 +221,17 @@ def _by_language(batch: pa.RecordBatch) -> Iterator[tuple[str, pa.Array]]:
         yield one.as_py(), batch.column(1).filter(pc.equal(lang, one))
 
 
-def _tallies(words_seen: np.ndarray | None = None):
-    """Hashes of words, or of pairs of words seen, and how often each occurs in a task."""
+def _tallies(seen: list[np.ndarray]):
+    """Hashes of phrases one word longer than those seen, and how often a task has each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
         for batch in batches:
             for lang, texts in _by_language(batch):
                 for _, words in chunks(texts, lower=True, separators=_ENDS):
-                    keys = _keys(words, lang)
-                    if words_seen is not None and len(keys):
-                        ok = hit(words_seen, keys)
-                        keys = _pair_keys(keys)[_joined(words) & ok[:-1] & ok[1:]]
-                    held.append(np.unique(keys, return_counts=True))
+                    if len(words):
+                        *_, (_, named, whole) = _levels(words, lang, seen, len(seen) + 1)
+                        held.append(np.unique(named[whole], return_counts=True))
             if sum(len(k) for k, _ in held) > TALLIED:
                 held = [_combined(held)]
                 if len(held[0][0]) > TALLIED // 2:
@@ -243,8 +256,8 @@ def _tally(keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
     )
 
 
-def _runs(words_seen: np.ndarray, pairs_seen: np.ndarray):
-    """Runs of phrases without a rare word or pair, and the words in all of each chunk."""
+def _runs(seen: list[np.ndarray]):
+    """Runs of phrases without a rare part, and the words in all of each chunk."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tries: dict[str, Trie] = {}
@@ -252,10 +265,9 @@ def _runs(words_seen: np.ndarray, pairs_seen: np.ndarray):
             for lang, texts in _by_language(batch):
                 trie = tries.setdefault(lang, Trie())
                 for _, words in chunks(texts, lower=True, separators=_ENDS):
-                    if not len(words):
-                        continue
-                    yield _run_total(lang, len(words))
-                    _count(trie, words, _keys(words, lang), words_seen, pairs_seen)
+                    if len(words):
+                        yield _run_total(lang, len(words))
+                        _count(trie, words, lang, seen)
             if sum(sum(t.sizes()) for t in tries.values()) > FULL:
                 yield from _spilled(tries, FULL // 2)
         yield from _spilled(tries, 0)
@@ -263,20 +275,9 @@ def _runs(words_seen: np.ndarray, pairs_seen: np.ndarray):
     return run
 
 
-def _count(
-    trie: Trie, words: Words, keys: np.ndarray, words_seen: np.ndarray, pairs_seen: np.ndarray
-) -> None:
-    joined = _joined(words)
-    pieces = Pieces(words, joined)
-    whole = hit(words_seen, keys)
-    linked = joined & whole[:-1] & whole[1:] & hit(pairs_seen, _pair_keys(keys))
-    named = keys
-    for n in range(1, LONGEST + 1):
-        if n > 1:
-            # Phrases of n words: one of n - 1, linked to the next word.
-            size = max(0, len(words) - n + 1)
-            whole = whole[:size] & linked[n - 2 : n - 2 + size]
-            named = mix(named[:size] * _STEP + keys[n - 1 : n - 1 + size])
+def _count(trie: Trie, words: Words, lang: str, seen: list[np.ndarray]) -> None:
+    pieces = Pieces(words, _joined(words))
+    for n, named, whole in _levels(words, lang, seen, LONGEST):
         at = np.flatnonzero(whole)
         _, first, counts = np.unique(named[at], return_index=True, return_counts=True)
         at = at[first]
@@ -325,11 +326,10 @@ def score() -> Column:
 
 def collocations(docs: DataFrame, least: int = LEAST, top: int = TOP) -> DataFrame:
     """lang, rank, phrase, a, l, r, n and score of the ``top`` phrases of each language."""
-    words_seen = _seen(docs, _tallies(), least)
-    pairs_seen = _seen(docs, _tallies(words_seen), least)
-    runs = _narrow(docs).mapInArrow(
-        _runs(words_seen, pairs_seen), "lang string, phrase string, n long"
-    )
+    seen: list[np.ndarray] = []
+    for _ in range(LEVELS):
+        seen.append(_seen(docs, _tallies(list(seen)), least))
+    runs = _narrow(docs).mapInArrow(_runs(seen), "lang string, phrase string, n long")
     often = (F.col("n") >= least) | F.col("phrase").isNull()
     found = written(_merged(runs).where(often), "phrases")
     totals = found.where("phrase IS NULL").select("lang", F.col("n").alias("total"))
