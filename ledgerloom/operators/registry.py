@@ -147,6 +147,71 @@ def _round(open_values: DataFrame) -> tuple[DataFrame, DataFrame]:
     return winners, open_values.join(settled, "arrival", "left_anti")
 
 
+def _followed(links: DataFrame, folder: str) -> DataFrame:
+    """Links (node, to, odd) followed to where no link goes on; ``odd`` tells their number.
+
+    Each round joins a link with the one it leads to, so rounds are as many as the logarithm
+    of the longest path.
+    """
+    spark = links.sparkSession
+    links.write.parquet(f"{folder}/followed-0")
+    step = 0
+    while True:
+        links = spark.read.parquet(f"{folder}/followed-{step}")
+        after = links.select(
+            F.col("node").alias("to"), F.col("to").alias("then"), F.col("odd").alias("then_odd")
+        )
+        if links.join(after, "to", "left_semi").isEmpty():
+            return links
+        further = links.join(after, "to", "left").select(
+            "node",
+            F.coalesce("then", "to").alias("to"),
+            (F.col("odd") != F.coalesce("then_odd", F.lit(False))).alias("odd"),
+        )
+        further.write.parquet(f"{folder}/followed-{step + 1}")
+        delete_path(spark, f"{folder}/followed-{step}")
+        step += 1
+
+
+def _chained_round(open_values: DataFrame, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Like ``_round``, and settles whole chains at once.
+
+    Whoever comes first for all its values is accepted.  Whoever has a single open
+    registration before it is accepted exactly when that one is refused; such links are
+    composed along their paths.  Those with several before them wait for the next round.
+    """
+    first = open_values.groupBy(*VALUE).agg(F.min("arrival").alias("first"))
+    behind = open_values.join(first, VALUE).where(F.col("arrival") > F.col("first"))
+    second = behind.groupBy(*VALUE).agg(F.min("arrival").alias("second"))
+    waiting = (
+        behind.join(second, VALUE)
+        .groupBy("arrival")
+        .agg(
+            F.min("first").alias("to"),
+            (
+                (F.min("first") == F.max("first"))
+                & F.bool_and(F.col("arrival") == F.col("second"))
+            ).alias("single"),
+        )
+    )
+    waiting.write.parquet(f"{folder}/waiting")
+    waiting = open_values.sparkSession.read.parquet(f"{folder}/waiting")
+    links = waiting.where("single").select(
+        F.col("arrival").alias("node"), "to", F.lit(True).alias("odd")
+    )
+    ends = _followed(links, folder)
+    sources = open_values.select("arrival").distinct().join(waiting, "arrival", "left_anti")
+    even = (
+        ends.where("NOT odd")
+        .join(waiting.select(F.col("arrival").alias("to")), "to", "left_anti")
+        .select(F.col("node").alias("arrival"))
+    )
+    winners = sources.unionByName(even)
+    taken = open_values.join(winners, "arrival", "left_semi").select(*VALUE).distinct()
+    settled = open_values.join(taken, VALUE, "left_semi").select("arrival").distinct()
+    return winners, open_values.join(settled, "arrival", "left_anti")
+
+
 def _grouped(open_values: DataFrame, folder: str) -> DataFrame:
     """Open values with the smallest arrival of their group of conflicts.
 
@@ -198,7 +263,8 @@ def _settle(values: DataFrame) -> DataFrame:
     round accepts every open registration that comes first for all its values and
     refuses those that share a value with one of them.  Once a round leaves most open, as
     long chains do, groups of conflicts that fit into a task are handled in order there;
-    larger ones stay in the rounds.  Every round replaces the files of the one before.
+    larger ones go through rounds that settle whole chains.  Every round replaces the files of
+    the one before.
     """
     spark = values.sparkSession
     folder = shared_dir(spark, "registrations")
@@ -208,7 +274,10 @@ def _settle(values: DataFrame) -> DataFrame:
     n_open = open_values.count()
     spark.createDataFrame([], "arrival long").write.parquet(f"{folder}/accepted/round=-1")
     while n_open:
-        winners, left = _round(open_values)
+        if grouped:
+            winners, left = _chained_round(open_values, f"{folder}/round-{step}")
+        else:
+            winners, left = _round(open_values)
         winners.write.parquet(f"{folder}/accepted/round={2 * step}")
         left.write.parquet(f"{folder}/open-{step + 1}")
         open_values = spark.read.parquet(f"{folder}/open-{step + 1}")
@@ -227,6 +296,7 @@ def _settle(values: DataFrame) -> DataFrame:
             open_values = spark.read.parquet(f"{folder}/large")
             n_open = open_values.count()
         delete_path(spark, f"{folder}/open-{step}")
+        delete_path(spark, f"{folder}/round-{step}")
         step += 1
     return spark.read.parquet(f"{folder}/accepted").select("arrival")
 
@@ -238,10 +308,15 @@ def register(
 
     A refused registration holds none of its values, so a later one may still use them.
     """
+    return register_against(batch, stored_values(stored, fields), fields, rules)
+
+
+def register_against(
+    batch: DataFrame, held: DataFrame, fields: tuple[str, ...], rules
+) -> DataFrame:
+    """``register`` with the values (field, value) the store holds."""
     values = unique_values(batch, fields)
-    in_store = values.join(
-        stored_values(stored, fields), ["field", "value"], "left_semi"
-    ).select("arrival", "field")
+    in_store = values.join(held, ["field", "value"], "left_semi").select("arrival", "field")
     eligible = _apply_rules(_with_taken(batch, in_store, fields), rules).where(
         F.col("error_message").isNull()
     )

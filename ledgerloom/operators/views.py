@@ -218,6 +218,7 @@ def inventory_goods(
         null_to_blank(F.col("uom")).alias("uom"),
         text.inr(F.col("rate")).alias("rate_text"),
         text.percent(F.col("gst")).alias("gst_text"),
+        "added_at",
         F.col("added_by_name").alias("added_by"),
     )
 

@@ -624,8 +624,9 @@ WHERE type <> 'Invoice'""")
 ORACLES["inventory_goods"] = query(["bills", "lines", "first_goods", "goods", "users"], f"""
 SELECT g.company_id, g.id,
   row_number() OVER (PARTITION BY g.company_id ORDER BY g.id DESC) AS s_no, descp, hsn_sac, uom,
-  {inr('rate')} AS rate_text, CAST(gst AS VARCHAR) || '%' AS gst_text, u.username AS added_by
-FROM goods g JOIN users u ON g.added_by = u.id""")
+  {inr('rate')} AS rate_text, CAST(gst AS VARCHAR) || '%' AS gst_text, b.ts AS added_at,
+  u.username AS added_by
+FROM goods g JOIN users u ON g.added_by = u.id JOIN bills b ON b.id = g.first_bill""")
 
 ORACLES["inventory_clients"] = query(["places", "clients", "users"], f"""
 SELECT c.company_id, c.id,
@@ -849,6 +850,18 @@ ORACLES["account_registry"] = _appended(
     "account_registrations", "account_posts",
     "username, email, phno, 'admin' AS type, CAST(NULL AS BIGINT) AS company_id")
 
+ORACLES["registration_run"] = ORACLES["company_registry"]
+ORACLES["registration_rejects"] = " UNION ALL ".join(
+    f"""(SELECT '{kind}' AS kind, arrival, error_message, error_status
+FROM ({ORACLES[f"{kind}_registrations"]}) WHERE error_message IS NOT NULL)"""
+    for kind in ("company", "account")
+)
+ORACLES["accounts_after_runs"] = f"""
+SELECT u.id, u.username, coalesce(c.id, u.company_id) AS company_id
+FROM (SELECT id, username, company_id FROM ({query(["users"], "SELECT * FROM users")})
+  UNION ALL SELECT id, username, company_id FROM ({ORACLES["account_registry"]})) u
+LEFT JOIN ({ORACLES["company_registry"]}) c ON c.created_by = u.id"""
+
 ORACLES["company_terms_effective"] = query(["places", "companies"], f"""
 SELECT id, coalesce(terms, custTerms) AS custTerms, 'NET 30' AS default_terms
 FROM companies LEFT JOIN (
@@ -856,6 +869,9 @@ FROM companies LEFT JOIN (
     ELSE 'NET ' || (c_custkey % 60 + 1) END, c_custkey) AS terms
   FROM customer WHERE c_custkey % 23 <> 0 GROUP BY 1) u ON u.cid = id""")
 
+ORACLES["terms_after_runs"] = f"""
+SELECT id, custTerms FROM ({ORACLES["company_terms_effective"]})"""
+
 ORACLES["account_company_link"] = query(["users"], """
 SELECT id, username, type, id AS company_id FROM users""")
 

@@ -14,7 +14,7 @@ from ledgerloom.functions.numeric import exact_sum
 from ledgerloom.functions.sql import register_sql_functions
 from ledgerloom.functions.text import INVOICE, QUOTATION
 from ledgerloom.operators import dims, numbering, overlay, pricing, registry, validation, views
-from ledgerloom.plans import runs
+from ledgerloom.plans import registrations, runs
 from ledgerloom.session import shared_dir
 from ledgerloom.sources import ledger
 from ledgerloom.sources.sample import CUTOFF, SampleLedger
@@ -416,7 +416,10 @@ def all_bills_union(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def inventory_goods(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = SampleLedger(spark, sf_dir)
-    return views.inventory_goods(_goods_master(m), m.users())
+    added = m.headers().select(
+        F.col("id").alias("first_bill"), F.col("bill_timestamp").alias("added_at")
+    )
+    return views.inventory_goods(_goods_master(m).join(added, "first_bill"), m.users())
 
 
 def inventory_clients(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -764,6 +767,67 @@ def account_company_link(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_REGISTERED: dict[tuple[str, str], str] = {}
+
+
+def _registered(spark: SparkSession, sf_dir: str) -> str:
+    """A ledger after two batches of accounts, two of companies and two of terms.
+
+    It is built once for a session and input.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key in _REGISTERED and ledger.path_exists(spark, _REGISTERED[key]):
+        return _REGISTERED[key]
+    m = SampleLedger(spark, sf_dir)
+    folder = shared_dir(spark, "registry")
+    registrations.store_registry(m.users(), "account", folder)
+    registrations.store_registry(m.companies(), "company", folder)
+    batch = 0
+    for kind, posted in (
+        ("account", m.account_registrations()),
+        ("company", m.company_registrations()),
+    ):
+        cut = posted.agg(F.max("arrival")).scalar() / 2
+        for half in (F.col("arrival") <= cut, F.col("arrival") > cut):
+            batch += 1
+            registrations.register_batch(posted.where(half), kind, folder, batch)
+    changes = m.terms_updates()
+    cut = changes.agg(F.max("seq")).scalar() / 2
+    for half in (F.col("seq") <= cut, F.col("seq") > cut):
+        batch += 1
+        registrations.set_terms(changes.where(half), folder, batch)
+    _REGISTERED[key] = folder
+    return folder
+
+
+def registration_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Companies that two batches added, read back."""
+    stored = ledger.read_table(spark, _registered(spark, sf_dir), "companies")
+    return stored.where(F.col(ledger.BATCH) > 0).select(
+        "id", "name", "phno1", "email", "gstin", "bnkAcno", "created_by"
+    )
+
+
+def registration_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the batches refused, read back."""
+    return registrations.rejects(spark, _registered(spark, sf_dir)).select(
+        "kind", "arrival", "error_message", "error_status"
+    )
+
+
+def accounts_after_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored and new accounts with the company each one registered."""
+    return registrations.accounts(spark, _registered(spark, sf_dir)).select(
+        "id", "username", "company_id"
+    )
+
+
+def terms_after_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Terms of the stored companies after changes in two batches."""
+    stored = registrations.companies(spark, _registered(spark, sf_dir))
+    return stored.where(F.col(ledger.BATCH) == 0).select("id", "custTerms")
+
+
 # --- whole runs -------------------------------------------------------------------------
 
 
@@ -1011,6 +1075,10 @@ QUERIES = {
         account_registrations,
         company_registry,
         account_registry,
+        registration_run,
+        registration_rejects,
+        accounts_after_runs,
+        terms_after_runs,
         company_terms_effective,
         account_company_link,
         invoice_run,

@@ -199,17 +199,19 @@ def append_run(
     companies: DataFrame | None = None,
     users: DataFrame | None = None,
 ) -> None:
-    """Append a run to the ledger: dimensions first, lines, then headers.
+    """Append a run to the ledger: dimensions first, lines, then headers, sinks, the marker.
 
-    A header therefore implies complete lines, and each batch owns its files, so
-    repeating a failed batch replaces what it left behind.  Bills and lines are worked out
-    once, into the scratch folder, and go to all sinks from there.
+    Readers see the batch only when its marker is written, after everything else, and each
+    batch owns its files, so repeating a failed batch replaces what it left behind.  Bills and
+    lines are worked out once, into the scratch folder, and go to all sinks from there.
     """
     run = replace(
         run,
         bills=materialise(run.bills, run.scratch, "bills"),
         lines=materialise(run.lines, run.scratch, "linked"),
     )
+    spark = run.bills.sparkSession
+    ledger.begin_batch(spark, folder, batch_id)
     ledger.append_table(run.goods, folder, "goods", batch_id)
     ledger.append_table(run.clients, folder, "beneficiaries", batch_id)
     lines = run.lines.select("company_id", "history_id", "line_no", "goods_id", "qty", "amount")
@@ -219,3 +221,4 @@ def append_run(
     ledger.append_rejects(run.rejects, folder, batch_id)
     if companies is not None and users is not None:
         ledger.append_documents(documents(run, companies, users), folder, batch_id)
+    ledger.publish_batch(spark, folder, batch_id)

@@ -14,6 +14,7 @@ from ledgerloom.sources.schema import (
     INVOICE_SUBMISSION,
     LEDGER_TABLES,
     QUOTATION_SUBMISSION,
+    UPDATE,
 )
 
 # Every appended table carries the batch that wrote it, so a repeated batch replaces
@@ -56,13 +57,64 @@ def batch_ids(spark: SparkSession, path: str) -> list[int]:
     return sorted(int(n.split("=")[1]) for n in names if n.startswith(f"{BATCH}="))
 
 
-def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """One ledger table with its batch column; empty while nothing has been appended."""
-    schema = T.StructType(LEDGER_TABLES[name].fields + [T.StructField(BATCH, T.LongType())])
+# --- publication ------------------------------------------------------------------
+
+
+def _marker(folder: str, batch_id: int, state: str) -> str:
+    return f"{folder}/_batches/{batch_id}.{state}"
+
+
+def begin_batch(spark: SparkSession, folder: str, batch_id: int) -> None:
+    """From here until it is published, readers leave the batch out."""
+    files, begun = _file_system(spark, _marker(folder, batch_id, "begun"))
+    files.create(begun, True).close()
+    delete_path(spark, _marker(folder, batch_id, "published"))
+
+
+def publish_batch(spark: SparkSession, folder: str, batch_id: int) -> None:
+    """Make a whole batch visible, by one empty file."""
+    files, published = _file_system(spark, _marker(folder, batch_id, "published"))
+    files.create(published, True).close()
+
+
+def published(df: DataFrame, folder: str, path: str) -> DataFrame:
+    """Rows of a table below ``path`` whose batches are whole.
+
+    The table's batches are listed before the markers, and no others are read: a batch that
+    begins in between is either not listed or has its first marker.  Batches that were never
+    begun, written table by table, are visible.
+    """
+    spark = df.sparkSession
+    if not path_exists(spark, f"{folder}/_batches"):
+        return df
+    listed = batch_ids(spark, path)
+    files, markers = _file_system(spark, f"{folder}/_batches")
+    names = {status.getPath().getName() for status in files.listStatus(markers)}
+    whole = [k for k in listed if f"{k}.begun" not in names or f"{k}.published" in names]
+    return df.where(F.col(BATCH).isin(whole))
+
+
+def read_rows(
+    spark: SparkSession, folder: str, name: str, fields: list[T.StructField]
+) -> DataFrame:
+    """Published rows of a table of the ledger's folder, with their batch."""
+    schema = T.StructType([*fields, T.StructField(BATCH, T.LongType())])
     path = f"{folder}/{name}"
     if not path_exists(spark, path):
         return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(path)
+    return published(spark.read.schema(schema).parquet(path), folder, path)
+
+
+def read_before(
+    spark: SparkSession, folder: str, name: str, fields: list[T.StructField], batch_id: int
+) -> DataFrame:
+    """What batches before this one stored; a repeated batch does not see itself."""
+    return read_rows(spark, folder, name, fields).where(F.col(BATCH) < batch_id)
+
+
+def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """Published rows of a ledger table with its batch column; empty while there are none."""
+    return read_rows(spark, folder, name, LEDGER_TABLES[name].fields)
 
 
 def load_model(spark: SparkSession, folder: str) -> Ledger:
@@ -101,6 +153,17 @@ def append_rejects(df: DataFrame, folder: str, batch_id: int) -> None:
     df.write.mode("overwrite").parquet(f"{folder}/rejects/{BATCH}={batch_id}")
 
 
+def append_updates(df: DataFrame, folder: str, batch_id: int) -> None:
+    """Log changes of single values: entity, key, field, value and their order in the batch."""
+    df.select(*[F.col(f.name).cast(f.dataType) for f in UPDATE]).write.mode("overwrite").parquet(
+        f"{folder}/updates/{BATCH}={batch_id}"
+    )
+
+
+def read_updates(spark: SparkSession, folder: str) -> DataFrame:
+    return read_rows(spark, folder, "updates", UPDATE.fields)
+
+
 def save_bucketed(df: DataFrame, table: str, path: str, key: str, buckets: int) -> DataFrame:
     """Save a table bucketed and sorted by ``key``.
 

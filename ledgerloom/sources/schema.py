@@ -140,3 +140,13 @@ COMPANY_REGISTRATION = T.StructType(
 ACCOUNT_REGISTRATION = T.StructType(
     [T.StructField("arrival", LONG)] + _texts(("username", "email", "phno"))
 )
+# A change of one value of a stored row.
+UPDATE = T.StructType(
+    [
+        T.StructField("entity", STRING),
+        T.StructField("key", LONG),
+        T.StructField("field", STRING),
+        T.StructField("value", STRING),
+        T.StructField("seq", LONG),
+    ]
+)

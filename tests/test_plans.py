@@ -22,6 +22,10 @@ EAGER = {
     "account_registrations",
     "company_registry",
     "account_registry",
+    "registration_run",
+    "registration_rejects",
+    "accounts_after_runs",
+    "terms_after_runs",
 }
 
 
