@@ -28,18 +28,30 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(_BASE))
-_powers: dict[str, np.ndarray] = {}
 
 
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse, kept from call to call."""
-    if "up" not in _powers or len(_powers["up"]) < n:
-        size = max(n, CHUNK + 1)
-        for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 2**64))):
-            steps = np.full(size, base, dtype=np.uint64)
-            steps[0] = 1
-            _powers[name] = np.cumprod(steps, dtype=np.uint64)
-    return _powers["up"][:n], _powers["down"][:n]
+class _Powers:
+    """Powers of the base and of its inverse, kept from call to call.
+
+    Functions travel with what they use; these 32 MB stay behind and are made anew.
+    """
+
+    def __init__(self) -> None:
+        self.up = self.down = np.ones(0, dtype=np.uint64)
+
+    def __reduce__(self):
+        return _Powers, ()
+
+    def first(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.up) < n:
+            steps = np.full((2, max(n, CHUNK + 1)), _BASE, dtype=np.uint64)
+            steps[1] = pow(_BASE, -1, 2**64)
+            steps[:, 0] = 1
+            self.up, self.down = np.cumprod(steps, axis=1, dtype=np.uint64)
+        return self.up[:n], self.down[:n]
+
+
+_powers = _Powers()
 
 
 class Words:
@@ -79,7 +91,7 @@ class Words:
         self.first = np.searchsorted(self.starts, offsets)
         self.counts = np.diff(self.first)
         self.doc = np.repeat(np.arange(self.n_docs), self.counts)
-        up, down = _power(len(raw) + 1)
+        up, down = _powers.first(len(raw) + 1)
         sums = np.zeros(len(raw) + 1, dtype=np.uint64)
         np.cumsum(_BYTE[raw] * up[:-1], dtype=np.uint64, out=sums[1:])
         self.hash = mix((sums[self.ends] - sums[self.starts]) * down[self.starts])

@@ -254,3 +254,11 @@ def test_items_of_a_few_words(spark):
     items = spark.createDataFrame([(1, "yes"), (2, "a b c d")], "item_id long, text string")
     clean = {r["doc_id"] for r in decontam.keep_clean(docs, items).collect()}
     assert clean == {1, 4}
+
+
+def test_functions_travel_without_the_powers():
+    """The driver hashes words too; what it keeps for that is not sent to the executors."""
+    from pyspark import cloudpickle
+
+    list(vector.chunks(pa.array(["some words"])))
+    assert len(cloudpickle.dumps(vector.chunks)) < 100_000
