@@ -3,13 +3,15 @@
 The base kinds are found by regular expressions.  Every distinct value found is a protected
 entity.  A term is read as revealing an entity by the share of the entity's information it
 carries: pointwise mutual information of term and entity over documents, divided by the
-entity's own information content.  A term that stands in the entity's line in enough distinct
-lines and carries at least ``GENERALISE`` of its information is generalised, from ``REMOVE``
-on it is removed.  Everything is DataFrame operations; texts are sorted and joined by hash,
-and only texts that hold an entity are taken apart.
+entity's own information content.  A term that shares at least ``SUPPORT`` different texts with
+an entity, on whatever lines, and carries at least ``GENERALISE`` of its information is
+generalised, from ``REMOVE`` on it is removed: everywhere, also where the entity is not.
+Everything is DataFrame operations.  Texts are known by 128 bits of their content; pairs are
+made only of terms rare enough, and entities frequent enough, to pass both thresholds.
 
 A null text is empty: no spans.  Repeated rows and copies give the same result each; copies
-of a line count once as support.  Extra columns pass through or are ignored.
+of a text count as documents, but once as support.  Extra columns pass through or are ignored.
+An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -31,6 +33,8 @@ KINDS = (*PATTERNS, "term")
 # A text without these cannot hold the kind.
 SIGNS = {"email": "@", "ip": "[0-9]\\.[0-9]", "card": "[0-9][\\x20-]?[0-9]", "phone": "+"}
 EDGES = ".,;:!?\"'()[]{}<>*#$%&|"
+# Stands for an entity while the terms of its text are read; words that touch it are no terms.
+HOLE = "\ue000"
 
 SUPPORT = 3
 GENERALISE = 0.6
@@ -146,32 +150,116 @@ def _is_term(term: Column) -> Column:
     return F.length(term) >= 3
 
 
-def entity_words(found: DataFrame) -> DataFrame:
-    """Words of the lines that hold an entity: key, line hash, place, term, entities."""
-    texts = found.where(F.size("base") > 0).dropDuplicates(["key"])
-    lines = texts.select(
-        "key",
-        "base",
-        F.posexplode(F.split("t", "\n", -1)).alias("line_no", "line"),
+def _key(text: Column) -> Column:
+    return F.unhex(F.md5(text))
+
+
+def _information(n_all: Column, n: Column) -> Column:
+    return F.log2(n_all / n)
+
+
+def _term_hashes(text: Column) -> Column:
+    return F.array_distinct(F.transform(words(text), lambda w: F.xxhash64(_term(w))))
+
+
+def documents_of_terms(texts: DataFrame) -> DataFrame:
+    """Number of documents that hold each term, known by its hash."""
+    hashes = texts.select(F.explode(_term_hashes(F.col("t"))).alias("term_hash"))
+    return hashes.groupBy("term_hash").agg(F.count("*").alias("n_term"))
+
+
+def disclosures(found: DataFrame, occurring: DataFrame) -> DataFrame:
+    """Terms and the largest share of an entity's information each of them carries.
+
+    ``found`` has every document (``key``, ``base`` and, if there are spans, ``t``),
+    ``occurring`` the documents of each term.
+    """
+    texts = (
+        found.where(F.size("base") > 0)
+        .groupBy("key")
+        .agg(F.count("*").alias("copies"), F.first("base").alias("base"), F.first("t").alias("t"))
+    )
+    holding = texts.select(
+        "key", "copies", F.explode(F.array_distinct(F.transform("base", _entity))).alias("entity")
+    )
+    entities = (
+        holding.groupBy("entity")
+        .agg(F.count("*").alias("n_texts"), F.sum("copies").alias("n_entity"))
+        .where(F.col("n_texts") >= SUPPORT)
+    )
+    protected = (
+        holding.join(entities, "entity")
+        .groupBy("key")
+        .agg(F.collect_list(F.struct("entity", "n_entity")).alias("entities"))
+    )
+    holes = F.transform("base", lambda s: s.withField("value", F.lit(HOLE)))
+    terms = (
+        texts.join(protected, "key")
+        .select(
+            "key",
+            "copies",
+            "entities",
+            F.explode(
+                F.array_distinct(F.transform(words(_replaced(F.col("t"), holes)), _term))
+            ).alias("term"),
+        )
+        .where(_is_term(F.col("term")) & ~F.col("term").contains(HOLE))
+    )
+    total = found.agg(F.count("*").alias("n_all"))
+    known = (
+        terms.withColumn("term_hash", F.xxhash64("term"))
+        .join(occurring.where(F.col("n_term") >= SUPPORT), "term_hash")
+        .join(F.broadcast(total))  # one row
+    )
+    # No pair carries more than the term's own information.
+    own = _information(F.col("n_all"), F.col("n_term"))
+    enough = F.filter(
+        "entities",
+        lambda e: own
+        >= GENERALISE * _information(F.col("n_all"), e.getField("n_entity")) - 1e-9,
+    )
+    pairs = known.select(
+        "key", "copies", "term", "n_term", "n_all", F.explode(enough).alias("e")
+    ).select("key", "copies", "term", "n_term", "n_all", "e.entity", "e.n_entity")
+    joint = (
+        pairs.groupBy("term", "entity")
+        .agg(
+            F.count("*").alias("support"),
+            F.sum("copies").alias("n_joint"),
+            *[F.first(c).alias(c) for c in ("n_term", "n_entity", "n_all")],
+        )
+        .where(F.col("support") >= SUPPORT)
+    )
+    both = F.least("n_joint", "n_term", "n_entity").cast("double")
+    held = _information(F.col("n_all"), F.col("n_entity"))
+    pmi = F.log2(both * F.col("n_all") / (F.col("n_term") * F.col("n_entity")))
+    share = F.when(held > 0, pmi / held).otherwise(F.lit(0.0))
+    return (
+        joint.withColumn("share", share)
+        .where(F.col("share") >= GENERALISE)
+        .groupBy("term")
+        .agg(F.max("share").alias("share"))
+    )
+
+
+def term_spans(texts: DataFrame, strong: DataFrame) -> DataFrame:
+    """``k``, ``terms`` and, if nothing else is protected there, ``plain`` of texts with terms.
+
+    ``texts`` has ``key`` and ``t``; ``strong`` names the terms of each: key, term, share.
+    """
+    hit = texts.join(strong.select("key").distinct(), "key").dropDuplicates(["key"])
+    based = base_spans(hit, "t")
+    lines = based.select(
+        "key", F.posexplode(F.split("t", "\n", -1)).alias("line_no", "line")
     ).withColumn("width", F.length("line") + 1)
     in_text = Window.partitionBy("key").orderBy("line_no")
     placed = lines.withColumn(
         "line_start", (F.sum("width").over(in_text) - F.col("width")).cast("int")
     )
-    held = placed.withColumn(
-        "held",
-        F.filter(
-            "base",
-            lambda s: (s.getField("start") >= F.col("line_start"))
-            & (s.getField("start") < F.col("line_start") + F.col("width")),
-        ),
-    ).where(F.size("held") > 0)
-    cut = held.select(
+    cut = placed.select(
         "key",
         "line_no",
         "line_start",
-        "held",
-        F.xxhash64("line").alias("line_hash"),
         F.posexplode(
             F.arrays_zip(
                 F.transform(F.split("line", WORD, -1), lambda x: F.length(x)).alias("gap"),
@@ -184,71 +272,35 @@ def entity_words(found: DataFrame) -> DataFrame:
     ends = F.sum(F.col("piece.gap") + length).over(in_line)
     word = F.col("piece.word")
     left = F.length(word) - F.length(F.ltrim(word, F.lit(EDGES)))
-    spots = cut.withColumn("from", (F.col("line_start") + ends - length).cast("int"))
-    spots = spots.select(
-        "key",
-        "line_hash",
-        "held",
-        _term(word).alias("term"),
-        (F.col("from") + left).cast("int").alias("start"),
-    ).where(_is_term(F.col("term")))
-    spots = spots.withColumn("end", F.col("start") + F.length("term"))
-    outside = F.forall(
-        "held",
-        lambda s: (s.getField("end") <= F.col("start")) | (s.getField("start") >= F.col("end")),
-    )
-    return spots.where(outside).select(
-        "key",
-        "line_hash",
-        "term",
-        "start",
-        "end",
-        F.explode(F.array_distinct(F.transform("held", _entity))).alias("entity"),
-    )
-
-
-def disclosures(found: DataFrame, spots: DataFrame, texts: DataFrame) -> DataFrame:
-    """Terms and entities with the share of the entity's information the term carries.
-
-    ``found`` has every document (column ``key`` and ``base``), ``texts`` a column ``t``.
-    """
-    copies = found.groupBy("key").agg(F.count("*").alias("copies"))
-    pairs = spots.groupBy("term", "entity", "key").agg(
-        F.collect_set("line_hash").alias("lines")
-    )
-    joint = (
-        pairs.join(copies, "key")
-        .withColumn("line_hash", F.explode("lines"))
-        .groupBy("term", "entity", "line_hash")
-        .agg(F.sum("copies").alias("n"))
-        .groupBy("term", "entity")
-        .agg(F.count("*").alias("support"), F.sum("n").alias("n_joint"))
-        .where(F.col("support") >= SUPPORT)
-    )
-    entities = (
-        found.where(F.size("base") > 0)
-        .select(F.explode(F.array_distinct(F.transform("base", _entity))).alias("entity"))
-        .groupBy("entity")
-        .agg(F.count("*").alias("n_entity"))
+    start = F.col("line_start") + ends - length + left
+    spots = cut.select("key", _term(word).alias("term"), start.cast("int").alias("start"))
+    spans = (
+        spots.join(strong, ["key", "term"])
+        .groupBy("key")
+        .agg(
+            F.collect_list(
+                F.struct(
+                    F.lit(len(PATTERNS)).alias("kind"),
+                    "start",
+                    (F.col("start") + F.length("term")).alias("end"),
+                    F.when(F.col("share") >= REMOVE, F.lit("")).otherwise("<TERM>").alias("value"),
+                )
+            ).alias("spans")
+        )
     )
-    occurring = (
-        texts.select(F.explode(words(F.col("t"))).alias("w"))
-        .select(F.xxhash64(_term(F.col("w"))).alias("term_hash"))
-        .groupBy("term_hash")
-        .agg(F.count("*").alias("n_term"))
+    outside = F.filter(
+        "spans",
+        lambda s: F.forall(
+            "base",
+            lambda b: (b.getField("end") <= s.getField("start"))
+            | (b.getField("start") >= s.getField("end")),
+        ),
     )
-    total = found.agg(F.count("*").alias("n_all"))
-    joined = (
-        joint.withColumn("term_hash", F.xxhash64("term"))
-        .join(occurring, "term_hash")
-        .join(entities, "entity")
-        .join(F.broadcast(total))  # one row
+    return based.join(spans, "key").select(
+        F.col("key").alias("k"),
+        outside.alias("terms"),
+        F.when(F.size("base") == 0, F.col("t")).alias("plain"),
     )
-    both = F.least("n_joint", "n_term", "n_entity").cast("double")
-    own = F.log2(F.col("n_all") / F.col("n_entity"))
-    pmi = F.log2(both * F.col("n_all") / (F.col("n_term") * F.col("n_entity")))
-    share = F.when(own > 0, pmi / own).otherwise(F.lit(0.0))
-    return joined.select("term", "entity", "support", share.alias("share"))
 
 
 def _kinds(spans: Column) -> Column:
@@ -306,17 +358,17 @@ def _replaced(text: Column, spans: Column) -> Column:
 def analysed(docs: DataFrame) -> DataFrame:
     """``row`` (without text), ``base``, ``terms`` and the sanitised text if it changed.
 
-    The spans are computed once and written to the shared folder; only texts with an entity
-    are kept there.
+    Base spans, strong terms and the texts these occur in are written to the shared folder
+    once; only texts with an entity are kept there.
     """
     light = [c for c in docs.columns if c.lower() != "text"]
+    texts = docs.select(whole_text().alias("t")).withColumn("key", _key(F.col("t")))
     keyed = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in light]).alias("row"),
         whole_text().alias("t"),
-    ).withColumn("key", F.xxhash64("t"))
-    spotted = base_spans(keyed, "t")
+    ).withColumn("key", _key(F.col("t")))
     found = written(
-        spotted.select(
+        base_spans(keyed, "t").select(
             "row",
             "key",
             "base",
@@ -324,26 +376,20 @@ def analysed(docs: DataFrame) -> DataFrame:
         ),
         "pii-spans",
     )
-    spots = entity_words(found)
-    strong = disclosures(found, spots, docs.select(whole_text().alias("t"))).where(
-        F.col("share") >= GENERALISE
+    strong = written(
+        disclosures(found, documents_of_terms(texts)).withColumn(
+            "term_hash", F.xxhash64("term")
+        ),
+        "pii-terms",
     )
-    named = (
-        spots.join(strong, ["term", "entity"])
-        .groupBy("key", "start", "end")
-        .agg(F.max("share").alias("share"))
-        .select(
-            "key",
-            F.struct(
-                F.lit(len(PATTERNS)).alias("kind"),
-                "start",
-                "end",
-                F.when(F.col("share") >= REMOVE, F.lit("")).otherwise(F.lit("<TERM>")).alias("value"),
-            ).alias("span"),
-        )
-        .groupBy(F.col("key").alias("k"))
-        .agg(F.collect_list("span").alias("terms"))
+    hits = written(
+        texts.select("key", F.explode(_term_hashes(F.col("t"))).alias("term_hash"))
+        .join(strong, "term_hash")
+        .select("key", "term", "share")
+        .distinct(),
+        "pii-hits",
     )
+    named = term_spans(texts, hits)
     joined = found.join(named, F.col("key") == F.col("k"), "left").withColumn(
         "terms", F.coalesce("terms", F.array().cast(SPAN))
     )
@@ -351,8 +397,9 @@ def analysed(docs: DataFrame) -> DataFrame:
     masks = F.transform(
         "base", lambda s: s.withField("value", F.get(names, s.getField("kind")))
     )
+    whole = F.coalesce("t", "plain")
     return joined.withColumn(
-        "clean", F.when(F.col("t").isNotNull(), _replaced(F.col("t"), F.concat(masks, "terms")))
+        "clean", F.when(whole.isNotNull(), _replaced(whole, F.concat(masks, "terms")))
     )
 
 
@@ -376,7 +423,7 @@ def sanitise(docs: DataFrame) -> DataFrame:
     """The documents with entities masked and disclosing terms generalised or removed."""
     spotted = analysed(docs.select(F.lit(1).alias("one"), "text")).where(F.col("clean").isNotNull())
     clean = spotted.groupBy(F.col("key").alias("k")).agg(F.first("clean").alias("clean"))
-    rows = packed(docs).withColumn("key", F.xxhash64(whole_text("row.text")))
+    rows = packed(docs).withColumn("key", _key(whole_text("row.text")))
     joined = rows.join(clean, F.col("key") == F.col("k"), "left")
     text = F.coalesce("clean", F.col("row.text"))
     return unpacked(

@@ -3,6 +3,8 @@
 import collections
 import math
 import os
+import random
+import re
 
 import duckdb
 import pytest
@@ -125,6 +127,81 @@ def test_disclosing_terms(spark):
     assert clean[10] == dict(rows)[10]
 
 
+def shares(rows):
+    """Terms with their largest share of an entity's information, one pair at a time."""
+    edges = ".,;:!?\"'()[]{}<>*#$%&|"
+    documents, joint, texts_of = collections.Counter(), collections.Counter(), {}
+    entities = collections.Counter()
+    for _, text in rows:
+        spans = [(a, b) for _, a, b in personal(text)]
+        named = {text[a:b].lower() for a, b in spans}
+        terms = {}
+        for m in re.finditer(r"[^\x20\x09-\x0D]+", text):
+            a = m.start() + len(m[0]) - len(m[0].lstrip(edges))
+            term = m[0].strip(edges).lower()
+            outside = all(y <= m.start() or x >= m.end() for x, y in spans)
+            terms[term] = terms.get(term, False) or outside and len(term) >= 3
+        documents.update(terms)
+        entities.update(named)
+        for pair in ((t, e) for t, ok in terms.items() if ok for e in named):
+            joint[pair] += 1
+            texts_of.setdefault(pair, set()).add(text)
+    result = {}
+    for (term, entity), n in joint.items():
+        own = math.log2(len(rows) / entities[entity])
+        if len(texts_of[term, entity]) >= pii.SUPPORT and own > 0:
+            pmi = math.log2(n * len(rows) / (documents[term] * entities[entity]))
+            result[term] = max(result.get(term, 0), pmi / own)
+    return {t: s for t, s in result.items() if s >= pii.GENERALISE}
+
+
+def test_terms_on_other_lines_and_in_other_documents(spark):
+    """A name discloses from another line, and is masked where the address is not."""
+    told = [f"Name: Zorblax Quine\nMail: zed@site.org wrote note{i} today" for i in range(8)]
+    later = ["Yesterday (Zorblax) wrote again", "nothing of Quine, but zorblax. and more"]
+    rng = random.Random(5)
+    common = [
+        f"Name: person{i}\nMail: box{i}@host{i % 40}.net wrote {rng.choice('abcdefgh')}xyz today again"
+        for i in range(300)
+    ]
+    copies = ["Name: Only Copies\nMail: one@copy.org wrote today"] * 5
+    rows = list(enumerate(told + later + common + copies))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    strong = shares(rows)
+    assert set(strong) == {"zorblax", "quine"}
+    clean = {r["doc_id"]: r["text"] for r in pii.sanitise(docs).collect()}
+    for i, text in enumerate(told + later):
+        assert "zorblax" not in clean[i].lower() and "quine" not in clean[i].lower()
+        assert "wrote" in clean[i] or "more" in clean[i]
+        assert ("<EMAIL>" in clean[i]) == ("@" in text)
+    found = {r["doc_id"]: r["spans"] for r in pii.digest(docs).collect()}
+    for i, text in rows:
+        marked = [s.split(":") for s in found[i].split(",") if s.startswith("term")]
+        wanted = sorted(m.span() for t in strong for m in re.finditer(rf"(?i)\b{t}\b", text))
+        assert sorted((int(a), int(b)) for _, a, b in marked) == wanted
+
+
+def test_terms_against_brute_force(spark, pairs):
+    """Planted entities in real texts: exactly the terms of the one-by-one count are marked."""
+    rng = random.Random(8)
+    rows = []
+    for i, text in pairs:
+        if i % 11 == 0:
+            text = f"{text or ''}\nask k{i % 3}@corp.example about project{i % 3} or desk{i % 4}"
+        rows.append((i, text or ""))
+    rows += [(10**6 + k, rng.choice(rows)[1]) for k in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    strong = shares(rows)
+    assert {"project0", "project1", "project2"} <= set(strong)
+    texts, marked = dict(rows), set()
+    for r in pii.digest(docs).collect():
+        for s in r["spans"].split(","):
+            if s.startswith("term"):
+                _, a, b = s.split(":")
+                marked.add(texts[r["doc_id"]][int(a):int(b)].lower())
+    assert marked == set(strong)
+
+
 def test_personal_data_stays_in_the_engine(documents):
     plan = pii.digest(documents)._jdf.queryExecution().executedPlan().toString()
     assert not [w for w in ("Python", "Pandas", "Arrow", "Cartesian") if w in plan]
