@@ -243,23 +243,34 @@ def disclosures(found: DataFrame, occurring: DataFrame) -> DataFrame:
 
 
 def term_spans(texts: DataFrame, strong: DataFrame) -> DataFrame:
-    """``k``, ``terms`` and, if nothing else is protected there, ``plain`` of texts with terms.
+    """``key``, ``t``, ``base`` and ``terms`` of texts that hold strong terms.
 
     ``texts`` has ``key`` and ``t``; ``strong`` names the terms of each: key, term, share.
+    Words are looked up among the terms of their own line, so that only spans are exchanged.
     """
-    hit = texts.join(strong.select("key").distinct(), "key").dropDuplicates(["key"])
-    based = base_spans(hit, "t")
-    lines = based.select(
-        "key", F.posexplode(F.split("t", "\n", -1)).alias("line_no", "line")
+    named = strong.groupBy("key").agg(
+        F.collect_list("term").alias("names"),
+        F.collect_list(F.when(F.col("share") >= REMOVE, F.col("term"))).alias("gone"),
+    )
+    hit = texts.join(named, "key").dropDuplicates(["key"])
+    lines = hit.select(
+        "key", "names", "gone", F.posexplode(F.split("t", "\n", -1)).alias("line_no", "line")
     ).withColumn("width", F.length("line") + 1)
     in_text = Window.partitionBy("key").orderBy("line_no")
-    placed = lines.withColumn(
-        "line_start", (F.sum("width").over(in_text) - F.col("width")).cast("int")
+    placed = (
+        lines.withColumn(
+            "line_start", (F.sum("width").over(in_text) - F.col("width")).cast("int")
+        )
+        .withColumn("names", F.array_intersect(F.transform(words(F.col("line")), _term), "names"))
+        .where(F.size("names") > 0)
+        .withColumn("gone", F.array_intersect("names", "gone"))
     )
     cut = placed.select(
         "key",
         "line_no",
         "line_start",
+        "names",
+        "gone",
         F.posexplode(
             F.arrays_zip(
                 F.transform(F.split("line", WORD, -1), lambda x: F.length(x)).alias("gap"),
@@ -272,10 +283,10 @@ def term_spans(texts: DataFrame, strong: DataFrame) -> DataFrame:
     ends = F.sum(F.col("piece.gap") + length).over(in_line)
     word = F.col("piece.word")
     left = F.length(word) - F.length(F.ltrim(word, F.lit(EDGES)))
-    start = F.col("line_start") + ends - length + left
-    spots = cut.select("key", _term(word).alias("term"), start.cast("int").alias("start"))
+    start = (F.col("line_start") + ends - length + left).cast("int")
+    spots = cut.select("key", "names", "gone", _term(word).alias("term"), start.alias("start"))
     spans = (
-        spots.join(strong, ["key", "term"])
+        spots.where(F.array_contains("names", F.col("term")))
         .groupBy("key")
         .agg(
             F.collect_list(
@@ -283,7 +294,9 @@ def term_spans(texts: DataFrame, strong: DataFrame) -> DataFrame:
                     F.lit(len(PATTERNS)).alias("kind"),
                     "start",
                     (F.col("start") + F.length("term")).alias("end"),
-                    F.when(F.col("share") >= REMOVE, F.lit("")).otherwise("<TERM>").alias("value"),
+                    F.when(F.array_contains("gone", F.col("term")), "")
+                    .otherwise("<TERM>")
+                    .alias("value"),
                 )
             ).alias("spans")
         )
@@ -296,11 +309,8 @@ def term_spans(texts: DataFrame, strong: DataFrame) -> DataFrame:
             | (b.getField("start") >= s.getField("end")),
         ),
     )
-    return based.join(spans, "key").select(
-        F.col("key").alias("k"),
-        outside.alias("terms"),
-        F.when(F.size("base") == 0, F.col("t")).alias("plain"),
-    )
+    both = hit.select("key", "t").join(spans, "key")
+    return base_spans(both, "t").select("key", "t", "base", outside.alias("terms"))
 
 
 def _kinds(spans: Column) -> Column:
@@ -355,8 +365,17 @@ def _replaced(text: Column, spans: Column) -> Column:
     )
 
 
-def analysed(docs: DataFrame) -> DataFrame:
-    """``row`` (without text), ``base``, ``terms`` and the sanitised text if it changed.
+def _masked(text: str, *terms: str) -> Column:
+    names = F.array(*[F.lit(f"<{k.upper()}>") for k in PATTERNS])
+    masks = F.transform(
+        "base", lambda s: s.withField("value", F.get(names, s.getField("kind")))
+    )
+    return _replaced(F.col(text), F.concat(masks, *terms))
+
+
+def analysed(docs: DataFrame, made=lambda text: text) -> DataFrame:
+    """``row`` (without text), ``base``, ``terms`` and ``made`` of the sanitised text, null if
+    that is the text itself.
 
     Base spans, strong terms and the texts these occur in are written to the shared folder
     once; only texts with an entity are kept there.
@@ -389,22 +408,23 @@ def analysed(docs: DataFrame) -> DataFrame:
         .distinct(),
         "pii-hits",
     )
-    named = term_spans(texts, hits)
-    joined = found.join(named, F.col("key") == F.col("k"), "left").withColumn(
-        "terms", F.coalesce("terms", F.array().cast(SPAN))
+    named = term_spans(texts, hits).select(
+        F.col("key").alias("k"), "terms", made(_masked("t", "terms")).alias("cleaned")
     )
-    names = F.array(*[F.lit(f"<{k.upper()}>") for k in PATTERNS])
-    masks = F.transform(
-        "base", lambda s: s.withField("value", F.get(names, s.getField("kind")))
+    masked = found.select(
+        "row", "key", "base", F.when(F.col("t").isNotNull(), made(_masked("t"))).alias("masked")
     )
-    whole = F.coalesce("t", "plain")
-    return joined.withColumn(
-        "clean", F.when(whole.isNotNull(), _replaced(whole, F.concat(masks, "terms")))
+    return masked.join(named, F.col("key") == F.col("k"), "left").select(
+        "row",
+        "key",
+        "base",
+        F.coalesce("terms", F.array().cast(SPAN)).alias("terms"),
+        F.coalesce("cleaned", "masked").alias("clean"),
     )
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    found = analysed(docs.select("doc_id", "text"))
+    found = analysed(docs.select("doc_id", "text"), lambda text: F.sha2(text.cast("binary"), 256))
 
     def count(number: int) -> Column:
         return F.size(F.filter("base", lambda s: s.getField("kind") == number)).cast("long")
@@ -415,7 +435,7 @@ def digest(docs: DataFrame) -> DataFrame:
         F.sha2(_kinds(F.col("base")).cast("binary"), 256).alias("base_sha256"),
         _kinds(F.concat("base", "terms")).alias("spans"),
         F.size("terms").cast("long").alias("n_terms"),
-        F.sha2(F.col("clean").cast("binary"), 256).alias("sanitised_sha256"),
+        F.col("clean").alias("sanitised_sha256"),
     )
 
 
