@@ -29,3 +29,34 @@ FUNCTIONS = {
 def register_sql_functions(spark: SparkSession) -> None:
     for signature, body in FUNCTIONS.items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {signature} RETURN {body}")
+
+
+# Reports over the ledger's bills as tables: a query names a company and gets its rows, and
+# the company reaches the scan below.
+TABLE_FUNCTIONS = {
+    "tenant_bills(of_company BIGINT) "
+    "RETURNS TABLE (id BIGINT, type STRING, bill_num BIGINT, bill_timestamp TIMESTAMP)": (
+        "SELECT id, type, bill_num, bill_timestamp FROM {bills} WHERE company_id = of_company"
+    ),
+    "newest_bills(of_company BIGINT, up_to INT) "
+    "RETURNS TABLE (id BIGINT, type STRING, bill_num BIGINT, place INT)": (
+        "SELECT id, type, bill_num, place FROM ("
+        "SELECT *, row_number() OVER (PARTITION BY type ORDER BY id DESC) AS place "
+        "FROM {bills} WHERE company_id = of_company) WHERE place <= up_to"
+    ),
+    "next_number(of_company BIGINT, of_type STRING, on_day DATE) "
+    "RETURNS TABLE (next_num BIGINT)": (
+        "SELECT CASE WHEN newest IS NULL THEN 1 "
+        "WHEN month(on_day) > 3 AND month(newest.bill_timestamp) < 4 THEN 1 "
+        "ELSE newest.bill_num + 1 END FROM ("
+        "SELECT max_by(struct(bill_num, bill_timestamp), id) AS newest "
+        "FROM {bills} WHERE company_id = of_company AND type = of_type)"
+    ),
+}
+
+
+def register_table_functions(spark: SparkSession, bills: str) -> None:
+    """Register the functions over a table or view of numbered bills."""
+    for signature, body in TABLE_FUNCTIONS.items():
+        query = body.format(bills=bills)
+        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {signature} RETURN {query}")

@@ -16,7 +16,7 @@ from ledgerloom.functions.text import (
     strip,
     strip_all,
 )
-from ledgerloom.sources.schema import GOODS_FIELDS, INVOICE_INFO_FIELDS, PARTY_FIELDS
+from ledgerloom.sources.schema import GOODS_FIELDS, INVOICE_INFO_FIELDS, PARTY_FIELDS, RESCUED
 
 # Smallest accepted numbers of a line, and the refusal texts.
 LINE_MINIMA = {"qty": 0.001, "rate": 0.01, "gst": 0.0}
@@ -35,6 +35,7 @@ REFUSED = 403
 # Refusals of this library: what arrives without a key cannot be stored, and a submission
 # is handled once.
 NO_KEY = "submission_id, company_id or bill_date not provided"
+UNREADABLE = "Record could not be read"
 REPEATED = "Submission already handled"
 CONFLICT = 409
 
@@ -162,6 +163,17 @@ def validate(df: DataFrame, kind: str) -> DataFrame:
     return flagged.withColumn("error_message", message).withColumn("error_status", status)
 
 
+def refuse_unreadable(validated: DataFrame) -> DataFrame:
+    """Refuse records that were not read whole; their text goes along."""
+    torn = F.col(RESCUED).isNotNull()
+    return validated.withColumns(
+        {
+            "error_message": F.when(torn, F.lit(UNREADABLE)).otherwise(F.col("error_message")),
+            "error_status": F.when(torn, F.lit(REFUSED)).otherwise(F.col("error_status")),
+        }
+    )
+
+
 def refuse_repeated(
     validated: DataFrame, row: str, stored_ids: DataFrame | None = None
 ) -> DataFrame:
@@ -209,8 +221,9 @@ def accepted(validated: DataFrame) -> DataFrame:
 
 
 def rejects(validated: DataFrame) -> DataFrame:
+    text = [RESCUED] if RESCUED in validated.columns else []
     return validated.where(F.col("error_message").isNotNull()).select(
-        "submission_id", "company_id", "error_message", "error_status"
+        "submission_id", "company_id", "error_message", "error_status", *text
     )
 
 

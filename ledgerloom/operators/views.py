@@ -182,7 +182,12 @@ def document_lookup(requests: DataFrame, bills: DataFrame) -> DataFrame:
 
     A bill of another company is not found.
     """
-    found = with_label(bills).select("id", "company_id", "bill_label")
+    return document_answers(requests, with_label(bills))
+
+
+def document_answers(requests: DataFrame, labelled: DataFrame) -> DataFrame:
+    """The same from labels that are stored."""
+    found = labelled.select("id", "company_id", "bill_label")
     return requests.join(found, ["id", "company_id"], "left").select(
         *requests.columns,
         F.when(F.col("bill_label").isNull(), F.lit(404)).otherwise(F.lit(200)).alias("status"),

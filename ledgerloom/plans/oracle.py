@@ -995,6 +995,15 @@ FROM run_lines l JOIN run_goods g USING (company_id, descp) JOIN bills f ON f.id
 ORACLES["rejects_sink"] = query([*_POSTED, "invoice_errors"], """
 SELECT id AS submission_id, company_id, error_message, 403 AS error_status
 FROM invoice_errors WHERE error_message IS NOT NULL""")
+ORACLES["form_rejects"] = ORACLES["rejects_sink"]
+ORACLES["document_lookup_indexed"] = ORACLES["document_lookup"]
+ORACLES["table_functions"] = query(["bills", "numbers"], f"""
+SELECT 'scan' AS source, id, type, bill_num FROM numbers WHERE company_id = 0
+UNION ALL SELECT * FROM (SELECT 'newest', id, type, bill_num FROM numbers WHERE company_id = 0
+  QUALIFY row_number() OVER (PARTITION BY type ORDER BY id DESC) <= 5)
+UNION ALL SELECT 'next', NULL, type,
+  CASE WHEN type = 'Invoice' AND month(ts) < 4 THEN 1 ELSE bill_num + 1 END
+FROM ({_LAST}) WHERE company_id = 0""")
 ORACLES["documents_sink"] = _WHOLE_RUN + f"""
 SELECT i.id, {issue_label('n.type', 'i.ts', 'n.bill_num')} AS issue_label,
   {address('i.')} AS buyer_addr, {join_blank(', ', 'i.bphno1', 'i.bphno2')} AS buyer_phno,

@@ -11,13 +11,13 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions import checks, text
 from ledgerloom.functions.numeric import exact_sum
-from ledgerloom.functions.sql import register_sql_functions
+from ledgerloom.functions.sql import register_sql_functions, register_table_functions
 from ledgerloom.functions.text import INVOICE, QUOTATION
 from ledgerloom.operators import dims, numbering, overlay, pricing, registry, validation, views
 from ledgerloom.plans import registrations, runs
 from ledgerloom.session import shared_dir
 from ledgerloom.sources import ledger
-from ledgerloom.sources.sample import CUTOFF, SampleLedger
+from ledgerloom.sources.sample import CUTOFF, ID_DAY, SampleLedger
 from ledgerloom.sources.schema import PARTY_FIELDS
 from ledgerloom.streaming import ingest
 
@@ -107,6 +107,16 @@ def document_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.document_lookup(m.document_requests(), _numbered(m))
 
 
+def document_lookup_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same requests answered from the stored index, without numbering the ledger."""
+    m = SampleLedger(spark, sf_dir)
+    folder = shared_dir(spark, "document-index")
+    year = 366 * ID_DAY
+    ledger.append_document_index(views.with_label(_numbered(m)), folder, 0, year)
+    requests = m.document_requests()
+    return views.document_answers(requests, ledger.indexed_documents(requests, folder, year))
+
+
 def bill_document_flat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All that is printed on every bill; lines reduced to a count and a text.
 
@@ -584,6 +594,19 @@ def bill_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def table_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tenant scan, newest bills and next number of the largest company, as SQL functions."""
+    _stored_history(spark, SampleLedger(spark, sf_dir)).createOrReplaceTempView("stored_bills")
+    register_table_functions(spark, "stored_bills")
+    return spark.sql(f"""
+        SELECT 'scan' AS source, id, type, bill_num FROM tenant_bills({HOT_COMPANY})
+        UNION ALL SELECT 'newest', id, type, bill_num FROM newest_bills({HOT_COMPANY}, 5)
+        UNION ALL SELECT 'next', NULL, 'Invoice', next_num
+          FROM next_number({HOT_COMPANY}, 'Invoice', DATE'{AUTUMN}')
+        UNION ALL SELECT 'next', NULL, 'Quotation', next_num
+          FROM next_number({HOT_COMPANY}, 'Quotation', DATE'{WINTER}')""")
+
+
 def sql_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The helpers registered as SQL functions, over all bills and clients."""
     m = SampleLedger(spark, sf_dir)
@@ -964,6 +987,37 @@ def rejects_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _form_bodies(posted: DataFrame) -> DataFrame:
+    """Documents as url-encoded forms, repeated fields once for each value."""
+
+    def pairs(name: str) -> Column:
+        encoded = F.transform(
+            name, lambda v: F.concat(F.lit(f"{name}="), F.url_encode(F.coalesce(v, F.lit(""))))
+        )
+        return F.when(F.size(name) > 0, F.array_join(encoded, "&"))
+
+    flags = [name for name, kind in posted.dtypes if kind == "boolean"]
+    single = {
+        name: F.when(F.col(name).isNotNull(), F.array(F.col(name).cast("string")))
+        for name, kind in posted.dtypes
+        if name not in flags and not kind.startswith("array")
+    }
+    fields = [
+        F.when(F.col(name), F.lit(f"{name}=on")) if name in flags else pairs(name)
+        for name in posted.columns
+    ]
+    return posted.withColumns(single).select(F.concat_ws("&", *fields).alias("value"))
+
+
+def form_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Refused invoices among those posted as url-encoded forms."""
+    folder = shared_dir(spark, "forms")
+    posted = SampleLedger(spark, sf_dir).submissions(INVOICE).drop("order_key")
+    _form_bodies(posted).write.text(folder)
+    read = ledger.read_submissions(spark, folder, INVOICE, "form")
+    return validation.rejects(runs.checked_submissions(read, INVOICE)).drop("rescued")
+
+
 def documents_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Printed documents of two batches, read back from their JSON files."""
     folder, _ = _two_batches(spark, SampleLedger(spark, sf_dir))
@@ -1032,6 +1086,7 @@ QUERIES = {
         tenant_history,
         entity_lookup,
         document_lookup,
+        document_lookup_indexed,
         bill_document_flat,
         dq_missing_fields,
         dq_line_rejects,
@@ -1062,6 +1117,7 @@ QUERIES = {
         bill_numbers_fiscal_year,
         bill_labels,
         sql_functions,
+        table_functions,
         bill_amount_text,
         bill_amount_words,
         goods_master,
@@ -1087,6 +1143,7 @@ QUERIES = {
         invoice_run_incremental,
         ledger_lines,
         rejects_sink,
+        form_rejects,
         documents_sink,
         stream_ingest_bills,
         stream_bill_numbers,

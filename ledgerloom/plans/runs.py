@@ -13,7 +13,7 @@ from ledgerloom.operators import dims, numbering, pricing, validation, views
 from ledgerloom.operators.ranking import id_ranges
 from ledgerloom.session import shared_dir
 from ledgerloom.sources import ledger
-from ledgerloom.sources.schema import PARTY_FIELDS
+from ledgerloom.sources.schema import PARTY_FIELDS, RESCUED
 
 
 # Repeated fields a run needs after validation; numbers are kept parsed.
@@ -68,6 +68,9 @@ def checked_submissions(submissions: DataFrame, kind: str) -> DataFrame:
         "error_message",
         "error_status",
     ]
+    if RESCUED in submissions.columns:
+        keep.append(RESCUED)
+        checked = validation.refuse_unreadable(checked)
     return checked.select(*keep)
 
 
@@ -126,6 +129,7 @@ def run_batch(
     headers = materialise(documents_.drop(*LINE_ARRAYS, "_row"), scratch, "headers")
     valid = (
         validation.accepted(headers)
+        .drop(RESCUED)
         .withColumn("type", F.lit(kind))
         .withColumn("bill_timestamp", F.col("bill_date").cast("timestamp"))
         .withColumn("eta", text.eta_text(F.col("eta")))
@@ -198,9 +202,12 @@ def append_run(
     batch_id: int,
     companies: DataFrame | None = None,
     users: DataFrame | None = None,
+    stretch: int | None = None,
 ) -> None:
     """Append a run to the ledger: dimensions first, lines, then headers, sinks, the marker.
 
+    With a ``stretch``, the number of ids in a folder, an index of documents is kept as well.
+
     Readers see the batch only when its marker is written, after everything else, and each
     batch owns its files, so repeating a failed batch replaces what it left behind.  Bills and
     lines are worked out once, into the scratch folder, and go to all sinks from there.
@@ -219,6 +226,8 @@ def append_run(
     bills = run.bills.withColumnsRenamed({"transport_mode": "transport", "payment_mode": "payment"})
     ledger.append_table(bills, folder, "history", batch_id)
     ledger.append_rejects(run.rejects, folder, batch_id)
+    if stretch:
+        ledger.append_document_index(run.bills, folder, batch_id, stretch)
     if companies is not None and users is not None:
         ledger.append_documents(documents(run, companies, users), folder, batch_id)
     ledger.publish_batch(spark, folder, batch_id)

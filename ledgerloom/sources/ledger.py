@@ -4,16 +4,18 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerloom.sources.schema import (
     ACCOUNT_REGISTRATION,
     COMPANY_REGISTRATION,
+    DOCUMENT_INDEX,
     INVOICE_SUBMISSION,
     LEDGER_TABLES,
     QUOTATION_SUBMISSION,
+    RESCUED,
     UPDATE,
 )
 
@@ -121,9 +123,69 @@ def load_model(spark: SparkSession, folder: str) -> Ledger:
     return Ledger(**{name: read_table(spark, folder, name) for name in LEDGER_TABLES})
 
 
+def submission_schema(kind: str) -> T.StructType:
+    return INVOICE_SUBMISSION if kind == "Invoice" else QUOTATION_SUBMISSION
+
+
+def json_submissions(reader, kind: str):
+    """Set up a batch or stream reader: records that cannot be read whole keep their text."""
+    schema = T.StructType(
+        [*submission_schema(kind).fields, T.StructField(RESCUED, T.StringType())]
+    )
+    return reader.format("json").schema(schema).option("columnNameOfCorruptRecord", RESCUED)
+
+
 def read_submissions(spark: SparkSession, path: str, kind: str, fmt: str = "json") -> DataFrame:
-    schema = INVOICE_SUBMISSION if kind == "Invoice" else QUOTATION_SUBMISSION
-    return spark.read.schema(schema).format(fmt).load(path)
+    """Posted documents, from JSON records, url-encoded forms (``form``), or a table format."""
+    if fmt == "json":
+        return json_submissions(spark.read, kind).load(path)
+    if fmt == "form":
+        return form_submissions(spark.read.text(path), kind)
+    return spark.read.schema(submission_schema(kind)).format(fmt).load(path)
+
+
+def form_submissions(posts: DataFrame, kind: str, body: str = "value") -> DataFrame:
+    """Documents from url-encoded form bodies, one a row.
+
+    A repeated field is an array in the order posted; of a field that is read once the first
+    value counts, and a field that is not posted is NULL.  A ticked box is posted, whatever its
+    value.  A body that cannot be decoded, or whose keys are not of their type, is kept in
+    ``rescued``.
+    """
+    pairs = F.transform(
+        F.filter(F.split(body, "&"), lambda p: p != ""),
+        lambda p: F.struct(
+            F.try_url_decode(F.substring_index(p, "=", 1)).alias("name"),
+            F.try_url_decode(F.regexp_replace(p, "^[^=]*=?", "")).alias("value"),
+        ),
+    )
+
+    def posted(name: str) -> Column:
+        named = F.filter("_pairs", lambda p: p["name"] == name)
+        return F.transform(named, lambda p: p["value"])
+
+    def field(f: T.StructField) -> Column:
+        values = F.col(f"_{f.name}")
+        if isinstance(f.dataType, T.ArrayType):
+            return F.when(F.size(values) > 0, values)
+        if isinstance(f.dataType, T.BooleanType):
+            return F.size(values) > 0
+        return F.get(values, 0).try_cast(f.dataType)
+
+    fields = submission_schema(kind).fields
+    torn = F.exists("_pairs", lambda p: p["name"].isNull() | p["value"].isNull())
+    for f in fields:
+        if isinstance(f.dataType, (T.LongType, T.DateType)):
+            first = F.get(F.col(f"_{f.name}"), 0)
+            torn = torn | (first.isNotNull() & first.try_cast(f.dataType).isNull())
+    return (
+        posts.withColumn("_pairs", pairs)
+        .withColumns({f"_{f.name}": posted(f.name) for f in fields})
+        .select(
+            *[field(f).alias(f.name) for f in fields],
+            F.when(F.coalesce(torn, F.lit(True)), F.col(body)).alias(RESCUED),
+        )
+    )
 
 
 def read_registrations(spark: SparkSession, path: str, kind: str, fmt: str = "json") -> DataFrame:
@@ -150,7 +212,62 @@ def append_documents(df: DataFrame, folder: str, batch_id: int) -> None:
 
 
 def append_rejects(df: DataFrame, folder: str, batch_id: int) -> None:
-    df.write.mode("overwrite").parquet(f"{folder}/rejects/{BATCH}={batch_id}")
+    text = F.col(RESCUED) if RESCUED in df.columns else F.lit(None).cast("string")
+    df.withColumn(RESCUED, text).write.mode("overwrite").parquet(
+        f"{folder}/rejects/{BATCH}={batch_id}"
+    )
+
+
+# --- documents by id ----------------------------------------------------------------
+
+# Ids in a folder of the index, and the most folders that are named to the scan.
+STRETCH = 1 << 20
+NAMED_STRETCHES = 1000
+
+
+def _stretch(stretch: int) -> Column:
+    return F.call_function("div", F.col("id"), F.lit(stretch).cast("long"))
+
+
+def append_document_index(
+    bills: DataFrame, folder: str, batch_id: int, stretch: int = STRETCH
+) -> None:
+    """Labels of bills for lookups by id.
+
+    A folder holds a stretch of ids, sorted, so that a lookup opens the folders of the ids it
+    asks for and reads the row groups that may hold them.
+    """
+    (
+        bills.select("id", "company_id", "bill_label", _stretch(stretch).alias("stretch"))
+        .repartitionByRange("id")
+        .sortWithinPartitions("stretch", "id")
+        .write.mode("overwrite")
+        .option("parquet.bloom.filter.enabled#id", "true")
+        .partitionBy("stretch")
+        .parquet(f"{folder}/document_index/{BATCH}={batch_id}")
+    )
+
+
+def indexed_documents(
+    requests: DataFrame, folder: str, stretch: int = STRETCH
+) -> DataFrame:
+    """Index entries that requests (column ``id``) may ask for.
+
+    The folders asked for are named to the scan while they are few; beyond that the whole
+    index is read, with the same answers.
+    """
+    spark = requests.sparkSession
+    index = read_rows(spark, folder, "document_index", DOCUMENT_INDEX.fields)
+    asked = (
+        requests.where("id IS NOT NULL")
+        .select(_stretch(stretch).alias("stretch"))
+        .distinct()
+        .limit(NAMED_STRETCHES + 1)
+        .collect()
+    )
+    if len(asked) <= NAMED_STRETCHES:
+        index = index.where(F.col("stretch").isin([r["stretch"] for r in asked]))
+    return index.drop("stretch", BATCH)
 
 
 def append_updates(df: DataFrame, folder: str, batch_id: int) -> None:

@@ -132,6 +132,8 @@ INVOICE_SUBMISSION = T.StructType(
 QUOTATION_SUBMISSION = T.StructType(
     _DOCUMENT + _texts(("qname", "phno1", "eta", "total_amount")) + _LINES
 )
+# The text of a record that could not be read whole, carried to the rejects.
+RESCUED = "rescued"
 COMPANY_REGISTRATION = T.StructType(
     [T.StructField("arrival", LONG)]
     + _texts(COMPANY_REQUIRED + COMPANY_OPTIONAL)
@@ -140,6 +142,10 @@ COMPANY_REGISTRATION = T.StructType(
 ACCOUNT_REGISTRATION = T.StructType(
     [T.StructField("arrival", LONG)] + _texts(("username", "email", "phno"))
 )
+# Where the printed document of a bill is found.
+DOCUMENT_INDEX = _struct(
+    key=("id company_id", LONG), label=("bill_label", STRING), place=("stretch", LONG)
+)
 # A change of one value of a stored row.
 UPDATE = T.StructType(
     [

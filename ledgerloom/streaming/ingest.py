@@ -17,7 +17,6 @@ from ledgerloom.operators import numbering
 from ledgerloom.plans import runs
 from ledgerloom.sources import ledger
 from ledgerloom.sources.ledger import BATCH
-from ledgerloom.sources.schema import INVOICE_SUBMISSION, QUOTATION_SUBMISSION
 
 # Streams of different kinds number their batches in ranges of their own.
 KIND_RANGE = 10**12
@@ -107,8 +106,7 @@ def ingest_stream(
     max_files: int | None = None,
 ):
     """Ingest the JSON documents that arrived in ``source`` since the last call."""
-    schema = INVOICE_SUBMISSION if kind == INVOICE else QUOTATION_SUBMISSION
-    reader = spark.readStream.schema(schema)
+    reader = ledger.json_submissions(spark.readStream, kind)
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
 
@@ -116,7 +114,7 @@ def ingest_stream(
         ingest_batch(batch, kind, folder, batch_id, companies, users)
 
     return (
-        reader.json(source)
+        reader.load(source)
         .writeStream.foreachBatch(handle)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
