@@ -49,8 +49,11 @@ TABLE_FUNCTIONS = {
         "SELECT CASE WHEN newest IS NULL THEN 1 "
         "WHEN month(on_day) > 3 AND month(newest.bill_timestamp) < 4 THEN 1 "
         "ELSE newest.bill_num + 1 END FROM ("
-        "SELECT max_by(struct(bill_num, bill_timestamp), id) AS newest "
-        "FROM {bills} WHERE company_id = of_company AND type = of_type)"
+        "SELECT type, max_by(CASE WHEN id IS NOT NULL THEN struct(bill_num, bill_timestamp) END, id) "
+        "AS newest FROM (SELECT type, id, bill_num, bill_timestamp FROM {bills} "
+        "WHERE company_id = of_company AND type = of_type "
+        # A series without bills is there too.
+        "UNION ALL SELECT of_type, NULL, NULL, NULL) GROUP BY type)"
     ),
 }
 
