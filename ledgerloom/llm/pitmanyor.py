@@ -1,24 +1,25 @@
-"""Language-model scores by a hierarchical Pitman-Yor process.
-
-A token follows the ending of the word before it: every ending class is a restaurant, all of
-them share the parent restaurant of single words, whose base is uniform over the words seen
-in training and one unseen word.  The customers of a restaurant are the training tokens in
-its context; each table sends one customer to the parent.  Seatings are sampled by Gibbs
-sweeps: all customers of a word in a restaurant stand up and are seated again one by one,
-given the other words and the parent.  From the 32nd customer of a word on they are seated in
-groups that grow by an eighth, with the expected number of new tables rounded at random.
-Random numbers are hashes of word, class, customer and sweep, so a sweep can be repeated
-anywhere and gives the same result.  Scores average the predictive probabilities of the last
-sweeps.
-
-Contexts are classes of word endings, not whole words, because the table of all pairs of
-words is about as large as the corpus.  The counts cover all training texts.
-
-How it runs: a task turns its texts into blocks of about ``BLOCK`` tokens, each with the
-sorted list of its pairs (word, class); a block sends its pairs, packed by range of the
-word's hash, to the range that counts them; the ranges sample, and send each block the
-probabilities of its own pairs.  Only totals per class reach the driver.  Words are told apart
-by 58 bits of their hash.
+"""Language-model scores by a hierarchical Pitman-Yor process over pairs of words.
+
+A token follows the word before it.  Every word that occurs as a context is a restaurant; the
+contexts whose words end alike share a parent restaurant, a class; all classes share the
+restaurant of single words, whose base is uniform over the words seen in training and one unseen
+word.  The customers of a word's restaurant are the training tokens after that word; each table
+sends one customer to the parent.  Seatings are sampled by Gibbs sweeps: all customers of a word
+in a restaurant stand up and are seated again one by one, given the other words and the parent.
+From the 32nd customer of a word on they are seated in groups that grow by an eighth, with the
+expected number of new tables rounded at random.  Random numbers are hashes of word, context,
+customer and sweep, so a sweep can be repeated anywhere and gives the same result.  Scores
+average the predictive probabilities of the sampled seatings.
+
+How it runs: a task turns its texts into blocks of about ``BLOCK`` tokens, numbers in the
+block's list of words.  A block asks the range of a pair's hash how often the pair occurs in
+training; the first block that asks owns the pair, and only its owner counts the pair's tables.
+Blocks send the tables of their pairs, added up by (word, class), to the range of the word's
+hash, with the word's own customers and tables as a context.  The ranges sample the parents and
+send each block the probabilities and totals it needs; blocks then seat the pairs again
+(``PAIR_SWEEPS`` times) and score.  A pair in several blocks gets the same tables in each.  Only
+totals per class reach the driver.  Words are told apart by 58 bits of their hash, pairs by
+20 bits more than it takes to number the bytes of the corpus, 62 at most.
 
 Null texts are empty texts: one end token.  A null doc_id belongs to the training part.
 Repeated rows are texts of their own; an empty table gives an empty result.
@@ -36,20 +37,24 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import whole_text, written
+from ledgerloom.llm.common import release, whole_text, written
 from ledgerloom.llm.vector import Words, chunks, mix
 
 CLASSES = 64
-BLOCK = 3_000_000
+BLOCK = 2_200_000
 BYTES_PER_RANGE = 16 << 20
 SWEEPS = 2  # in each of two rounds; the sweeps of the last round are averaged
+PAIR_SWEEPS = 2  # of the restaurants of single words, all averaged
 ONE_BY_ONE = 32
 CONCENTRATION = 1.0
 START = 0
 LOW = np.uint64(CLASSES - 1)
 END = np.uint64(0xE5D0000000000000) & ~LOW
 
-PIECES = "block long, part int, doc_ids array<long>, held array<boolean>, lengths binary, data binary"
+BLOCKS = "block long, doc_ids array<long>, held array<boolean>, lengths binary, data binary"
+# Messages between blocks and ranges; ``part`` is a range, or what a block keeps for itself.
+MESSAGE = "block long, part int, sweep int, data binary"
+PAIRS, TABLES = -1, -2
 
 
 def pack(*arrays: np.ndarray) -> bytes:
@@ -77,95 +82,274 @@ def held_out(doc_id, modulus: int = 5) -> bool:
     return doc_id is not None and zlib.crc32(str(doc_id).encode()) % modulus == 1
 
 
-def pairs_of(words: Words) -> np.ndarray:
-    """Every token, ends included, as the word's hash with the class of its context."""
+def planes(a: np.ndarray) -> np.ndarray:
+    """The bytes of numbers, all first bytes first; small numbers compress well that way."""
+    return a.view(np.uint8).reshape(-1, a.itemsize).T.ravel()
+
+
+def unplanes(raw: np.ndarray, kind) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(raw.reshape(size, -1).T).view(kind).ravel()
+
+
+def steps(a: np.ndarray) -> np.ndarray:
+    """Sorted numbers as planes of their differences."""
+    return planes(np.diff(a, prepend=a.dtype.type(0)))
+
+
+def unsteps(raw: np.ndarray, kind) -> np.ndarray:
+    return np.cumsum(unplanes(raw, kind), dtype=kind)
+
+
+def tokens_of(words: Words) -> np.ndarray:
+    """Every token, ends included, as the word's hash with the class of its own ending."""
     n, docs = len(words), words.n_docs
     last = words.raw[words.ends - 1].astype(np.uint64)
     before = words.raw[np.maximum(words.ends - 2, 0)].astype(np.uint64)
     before = np.where(words.ends - words.starts > 1, before, np.uint64(0))
     ending = mix(last * np.uint64(256) + before) % np.uint64(CLASSES - 1) + np.uint64(1)
-    # Each text gets one place more, for its end.
-    place = np.arange(n) + words.doc
-    ends = words.first[1:] + np.arange(docs)
     token = np.empty(n + docs, dtype=np.uint64)
-    token[place] = words.hash & ~LOW
-    token[ends] = END
-    context = np.empty(n + docs, dtype=np.uint64)
-    context[words.first[:-1] + np.arange(docs)] = START
-    context[place + 1] = ending
-    return token | context
-
-
-def _split(n_ranges: int):
-    """Tasks: texts to blocks.  Part -1 has the tokens of a block, part p its pairs there."""
-    bits = np.uint64(64 - (n_ranges.bit_length() - 1))
-
-    def flush(block: int, ids: list, lengths: list, tokens: list) -> Iterator[tuple]:
-        key, inverse = np.unique(np.concatenate(tokens), return_inverse=True)
-        held = [held_out(i) for i in ids]
-        sizes = np.concatenate(lengths)
-        train = np.repeat(~np.array(held, dtype=bool), sizes)
-        counts = np.bincount(inverse[train], minlength=len(key)).astype(np.int32)
-        word = np.ones(len(key), dtype=bool)
-        word[1:] = (key[1:] & ~LOW) != (key[:-1] & ~LOW)
-        data = pack(inverse.astype(np.int32), np.packbits(word), np.array([len(key)]))
-        yield block, -1, ids, held, sizes.astype(np.int64).tobytes(), data
-        parts = (key >> bits).astype(np.int64) if n_ranges > 1 else np.zeros(len(key), np.int64)
-        edges = np.searchsorted(parts, np.arange(n_ranges + 1))
-        for p in range(n_ranges):
-            a, b = edges[p], edges[p + 1]
-            if a < b:
-                yield block, p, None, None, None, pack(key[a:b], counts[a:b])
+    # Each text gets one place more, for its end.
+    token[np.arange(n) + words.doc] = words.hash & ~LOW | ending
+    token[words.first[1:] + np.arange(docs)] = END | np.uint64(START)
+    return token
+
+
+class Block:
+    """The tokens of some texts and the pairs they form, by number of the word.
+
+    The end of the text before stands for the start of a text.  ``pair`` is sorted by word and
+    then context; ``place`` says which pair each token is, ``parent`` which key of the parent
+    restaurants each pair has.
+    """
+
+    def __init__(self, docs: dict) -> None:
+        token, words = unpack(docs["data"], np.uint8, np.uint8)
+        token = unplanes(token, np.int32)
+        self.words = unsteps(words, np.uint64)
+        self.lengths = np.frombuffer(docs["lengths"], np.int64)
+        n = len(self.words)
+        before = np.empty_like(token)
+        before[0] = np.searchsorted(self.words, END)
+        before[1:] = token[:-1]
+        pair, self.place = np.unique(token.astype(np.int64) * n + before, return_inverse=True)
+        self.word, self.context = np.divmod(pair, n)
+        train = np.repeat(~np.array(docs["held"], dtype=bool), self.lengths)
+        self.count = np.bincount(self.place[train], minlength=len(pair)).astype(np.int32)
+        self.seen = np.bincount(token[train], minlength=n).astype(np.int32)
+        self.token = token
+        key = self.words[self.word] & ~LOW | self.words[self.context] & LOW
+        self.key, self.parent = np.unique(key, return_inverse=True)
+
+    def hashes(self) -> np.ndarray:
+        words = self.words & ~LOW
+        return mix(words[self.word] + mix(words)[self.context])
+
+    def parts(self, hashes: np.ndarray, n_ranges: int) -> Iterator[tuple[int, int, int]]:
+        """The ranges that sorted hashes fall into, with the stretch of each."""
+        shift = np.uint64(64 - (n_ranges.bit_length() - 1))
+        found, first = np.unique((hashes >> shift).astype(np.int64), return_index=True)
+        yield from zip(found.tolist(), first.tolist(), [*first[1:].tolist(), len(hashes)], strict=True)
+
+    def shares(self, tables: np.ndarray, own: np.ndarray, n_ranges: int) -> Iterator[tuple]:
+        """To the parents: tables of the block's own pairs, by key and by context."""
+        mine = np.where(own, tables, 0)
+        by_key = np.bincount(self.parent, mine, len(self.key)).astype(np.int32)
+        opened = np.bincount(self.context, mine, len(self.words)).astype(np.int32)
+        words = {p: slice(a, b) for p, a, b in self.parts(self.words, n_ranges)}
+        for p, a, b in self.parts(self.key, n_ranges):
+            w = words[p]
+            yield p, pack(
+                steps(self.key[a:b]),
+                planes(by_key[a:b]),
+                planes(self.seen[w]),
+                planes(opened[w]),
+            )
+
+
+def _messages(rows: list[tuple]) -> pa.Table:
+    blocks, parts, sweeps, data = zip(*rows, strict=True) if rows else ([], [], [], [])
+    return pa.table(
+        {
+            "block": pa.array(blocks, pa.int64()),
+            "part": pa.array(parts, pa.int32()),
+            "sweep": pa.array(sweeps, pa.int32()),
+            "data": pa.array(data, pa.binary()),
+        }
+    )
+
+
+def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Tasks: texts to blocks."""
+    block = TaskContext.get().partitionId() << 32
+    ids, lengths, tokens, size = [], [], [], 0
+
+    def flush() -> pa.RecordBatch:
+        token = np.concatenate(tokens)
+        _, first, inverse = np.unique(token & ~LOW, return_index=True, return_inverse=True)
+        data = pack(planes(inverse.astype(np.int32)), steps(token[first]))
+        columns = {
+            "block": pa.array([block], pa.int64()),
+            "doc_ids": pa.array([ids], pa.list_(pa.int64())),
+            "held": pa.array([[held_out(i) for i in ids]], pa.list_(pa.bool_())),
+            "lengths": pa.array([np.concatenate(lengths).astype(np.int64).tobytes()], pa.binary()),
+            "data": pa.array([data], pa.binary()),
+        }
+        return pa.RecordBatch.from_pydict(columns)
+
+    for batch in batches:
+        for start, words in chunks(batch.column(1), lower=True):
+            ids += batch.column(0).slice(start, words.n_docs).to_pylist()
+            lengths.append(words.counts + 1)
+            tokens.append(tokens_of(words))
+            size += len(tokens[-1])
+            if size >= BLOCK:
+                yield flush()
+                block, ids, lengths, tokens, size = block + 1, [], [], [], 0
+    if ids:
+        yield flush()
+
+
+def _ask(n_ranges: int, bits: int):
+    """Blocks: the pairs they hold, with their counts, to the ranges of the pairs' hashes."""
+    low = np.uint64(64 - bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = TaskContext.get().partitionId() << 32
-        ids, lengths, tokens, size = [], [], [], 0
-        schema = pa.schema(
-            [
-                ("block", pa.int64()),
-                ("part", pa.int32()),
-                ("doc_ids", pa.list_(pa.int64())),
-                ("held", pa.list_(pa.bool_())),
-                ("lengths", pa.binary()),
-                ("data", pa.binary()),
-            ]
+        for batch in batches:
+            for row in batch.to_pylist():
+                b = Block(row)
+                hashes = b.hashes()
+                order = np.argsort(hashes, kind="stable")
+                hashes, count = hashes[order], b.count[order]
+                rows = [
+                    (row["block"], p, 0, pack(steps(hashes[i:j] >> low), planes(count[i:j])))
+                    for p, i, j in b.parts(hashes, n_ranges)
+                ]
+                yield from _messages(rows).to_batches()
+
+    return run
+
+
+def _merge(table: pa.Table) -> pa.Table:
+    """A range of pairs: to each block that asked, the sums of its pairs and which it owns."""
+    table = table.sort_by("block")
+    keys, counts = [], []
+    for cell in table.column("data"):
+        k, c = unpack(cell.as_py(), np.uint8, np.uint8)
+        keys.append(unsteps(k, np.uint64))
+        counts.append(unplanes(c, np.int32))
+    key, first, inverse = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
+    total = np.bincount(inverse, np.concatenate(counts), len(key)).astype(np.int64)
+    own = np.zeros(len(inverse), dtype=bool)
+    own[first] = True
+    at, rows = 0, []
+    for block, part, k in zip(table["block"].to_pylist(), table["part"].to_pylist(), keys, strict=True):
+        mine = slice(at, at + len(k))
+        rows.append((block, part, 0, pack(planes(total[inverse[mine]]), np.packbits(own[mine]))))
+        at += len(k)
+    return _messages(rows)
+
+
+def _parts(messages: list[dict], *types) -> list[np.ndarray]:
+    """What the ranges sent, put together in their order."""
+    cells = [unpack(m["data"], *types) for m in sorted(messages, key=lambda m: m["part"])]
+    return [np.concatenate(arrays) for arrays in zip(*cells, strict=True)]
+
+
+def _open(n_ranges: int):
+    """Blocks: one table for every pair; keep its count and who owns it."""
+
+    def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
+        row = docs.to_pylist()[0]
+        b = Block(row)
+        cells = []
+        for m in sorted(answers.to_pylist(), key=lambda m: m["part"]):
+            total, bits = unpack(m["data"], np.uint8, np.uint8)
+            total = unplanes(total, np.int64)
+            cells.append((total, np.unpackbits(bits, count=len(total)).astype(bool)))
+        order = np.argsort(b.hashes(), kind="stable")
+        count, own = np.empty(len(order), np.int64), np.empty(len(order), bool)
+        count[order] = np.concatenate([c for c, _ in cells])
+        own[order] = np.concatenate([o for _, o in cells])
+        kept = pack(planes(count), np.packbits(own))
+        shares = b.shares((count > 0).astype(np.float64), own, n_ranges)
+        ones, twos = (int((own & (count == k)).sum()) for k in (1, 2))
+        result = _messages([(row["block"], PAIRS, 0, kept), *((row["block"], p, 0, d) for p, d in shares)])
+        # How many pairs occur once and twice, for the discount, in the block's own row.
+        return result.append_column("ones", pa.array([ones] + [0] * (len(result) - 1))).append_column(
+            "twos", pa.array([twos] + [0] * (len(result) - 1))
         )
 
-        def batch_of(rows):
-            for row in rows:
-                columns = [pa.array([v], t) for v, t in zip(row, schema.types, strict=True)]
-                yield pa.RecordBatch.from_arrays(columns, schema=schema)
+    return run
 
-        for batch in batches:
-            for start, words in chunks(batch.column(1), lower=True):
-                ids += batch.column(0).slice(start, words.n_docs).to_pylist()
-                lengths.append(words.counts + 1)
-                tokens.append(pairs_of(words))
-                size += len(tokens[-1])
-                if size >= BLOCK:
-                    yield from batch_of(flush(block, ids, lengths, tokens))
-                    block, ids, lengths, tokens, size = block + 1, [], [], [], 0
-        if ids:
-            yield from batch_of(flush(block, ids, lengths, tokens))
+
+def _kept(messages: list[dict]) -> tuple[np.ndarray, np.ndarray]:
+    (data,) = [m["data"] for m in messages if m["part"] == PAIRS]
+    count, own = unpack(data, np.uint8, np.uint8)
+    count = unplanes(count, np.int64)
+    return count, np.unpackbits(own, count=len(count)).astype(bool)
+
+
+def _from_parents(messages: list[dict], sweep: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Probability of each key, and of each word the customers and tables as a context."""
+    mine = [m for m in messages if m["sweep"] == sweep and m["part"] >= 0]
+    base, seen, opened = _parts(mine, np.float32, np.int64, np.int64)
+    return base.astype(np.float64), seen, opened
+
+
+def _reseat(n_ranges: int, discount: float, sweep: int):
+    """Blocks: seat the customers of every pair again; new shares to the parents."""
+
+    def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
+        row, messages = docs.to_pylist()[0], answers.to_pylist()
+        b = Block(row)
+        count, own = _kept(messages)
+        base, _, opened = _from_parents(messages, sweep - 1)
+        weight = (CONCENTRATION + discount * opened[b.context]) * base[b.parent]
+        key = mix(b.hashes() + np.uint64((1 << 40) + sweep))
+        tables = seat(count, weight, discount, key)
+        kept = pack(planes(tables.astype(np.int32)))
+        shares = b.shares(tables, own, n_ranges)
+        return _messages(
+            [(row["block"], TABLES, sweep, kept), *((row["block"], p, sweep, d) for p, d in shares)]
+        )
 
     return run
 
 
+def pair_probability(count, tables, seen, opened, base, discount: float) -> np.ndarray:
+    """Predictive probability of pairs; ``seen`` and ``opened`` are those of their contexts."""
+    n = CONCENTRATION + seen
+    return (np.maximum(count - discount * tables, 0) + (CONCENTRATION + discount * opened) * base) / n
+
+
 def _count(table: pa.Table) -> pa.Table:
-    """A range: sum the counts of its pairs over the blocks; keep who asked for which."""
-    blocks = table.column("block").to_numpy()
-    order = np.argsort(blocks, kind="stable")
-    cells = table.column("data")
-    keys, counts, sizes = [], [], []
-    for i in order:
-        k, c = unpack(cells[int(i)].as_py(), np.uint64, np.int32)
+    """A range of words: add up the tables of its keys; keep which block asked for which."""
+    table = table.sort_by("block")
+    keys, counts, words, seen, opened = [], [], [], [], []
+    for cell in table.column("data"):
+        k, c, n, t = unpack(cell.as_py(), np.uint8, np.uint8, np.uint8, np.uint8)
+        k = unsteps(k, np.uint64)
         keys.append(k)
-        counts.append(c)
-        sizes.append(len(k))
+        counts.append(unplanes(c, np.int32))
+        words.append(np.unique(k & ~LOW))
+        seen.append(unplanes(n, np.int32))
+        opened.append(unplanes(t, np.int32))
     key, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-    total = np.zeros(len(key), dtype=np.int64)
-    np.add.at(total, inverse, np.concatenate(counts))
-    data = pack(key, total, inverse.astype(np.int32), blocks[order], np.array(sizes, np.int64))
+    word, place = np.unique(np.concatenate(words), return_inverse=True)
+
+    def added(to: np.ndarray, values: list[np.ndarray], size: int) -> np.ndarray:
+        return np.bincount(to, np.concatenate(values), size).astype(np.int64)
+
+    data = pack(
+        key,
+        added(inverse, counts, len(key)),
+        inverse.astype(np.int32),
+        table.column("block").to_numpy(),
+        np.array([len(k) for k in keys], np.int64),
+        added(place, seen, len(word)),
+        added(place, opened, len(word)),
+    )
     part = table.column("part")[0].as_py()
     return pa.table({"part": pa.array([part], pa.int32()), "data": pa.array([data], pa.binary())})
 
@@ -219,18 +403,21 @@ def seat(customers: np.ndarray, weight: np.ndarray, discount: float, key: np.nda
 
 
 class Range:
-    """The pairs of one range of words, and the sampling of their tables."""
+    """The keys (word, class) of one range of words, and the sampling of their tables.
+
+    ``count`` is the customers of a key, ``total`` the training tokens of a word, ``opened``
+    the tables of the restaurant whose context it is.
+    """
 
     def __init__(self, data: bytes) -> None:
-        self.key, self.count, self.asked, self.blocks, self.sizes = unpack(
-            data, np.uint64, np.int64, np.int32, np.int64, np.int64
+        self.key, self.count, self.asked, self.blocks, self.sizes, self.total, self.opened = unpack(
+            data, np.uint64, np.int64, np.int32, np.int64, np.int64, np.int64, np.int64
         )
         new = np.ones(len(self.key), dtype=bool)
         new[1:] = (self.key[1:] & ~LOW) != (self.key[:-1] & ~LOW)
         self.word = np.cumsum(new) - 1
         self.first = np.flatnonzero(new)
         self.context = (self.key & LOW).astype(np.int64)
-        self.total = np.add.reduceat(self.count, self.first)
 
     def parent(self, tables: np.ndarray) -> np.ndarray:
         return np.add.reduceat(tables, self.first)
@@ -316,6 +503,10 @@ def _totals(sums: np.ndarray, customers: np.ndarray) -> Totals:
     return Totals(customers, sums[:CLASSES], sums[CLASSES], sums[CLASSES + 1])
 
 
+def _discount(once: float, twice: float) -> float:
+    return min(0.95, max(0.05, once / (once + 2 * twice))) if once else 0.5
+
+
 def train(ranges: DataFrame) -> tuple[Model, list[Totals]]:
     """The model and the totals of each averaged sweep."""
     sums = _summed(ranges, _first_sums)
@@ -324,12 +515,9 @@ def train(ranges: DataFrame) -> tuple[Model, list[Totals]]:
     customers = sums[CLASSES + 2 : 2 * CLASSES + 2]
     n_tokens, one, two, root_one, root_two = sums[2 * CLASSES + 2 :]
 
-    def discount(n1: float, n2: float) -> float:
-        return min(0.95, max(0.05, n1 / (n1 + 2 * n2))) if n1 else 0.5
-
     first = _totals(sums, customers)
     model = Model(
-        int(first.root_tables), int(n_tokens), discount(one, two), discount(root_one, root_two), (first,)
+        int(first.root_tables), int(n_tokens), _discount(one, two), _discount(root_one, root_two), (first,)
     )
 
     def after(m: Model):
@@ -346,8 +534,8 @@ def train(ranges: DataFrame) -> tuple[Model, list[Totals]]:
     return model, after(model)
 
 
-def _answer(model: Model, samples: list[Totals]):
-    """Ranges: the averaged probabilities, to each block those of its own pairs."""
+def _answer(model: Model, samples: list[Totals], sweep: int):
+    """Ranges: to each block the averaged probabilities of its keys, its words' totals."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -358,22 +546,14 @@ def _answer(model: Model, samples: list[Totals]):
                     if number == last:
                         mean += probability(r, tables, root, model, samples[turn]) / SWEEPS
                         turn += 1
-                log = np.log10(mean).astype(np.float32)
-                seen = r.total[r.word].astype(np.int64)
+                mean = mean.astype(np.float32)
                 at = 0
                 for block, size in zip(r.blocks.tolist(), r.sizes.tolist(), strict=True):
                     mine = r.asked[at : at + size]
                     at += size
-                    first = np.ones(size, dtype=bool)
-                    first[1:] = r.word[mine[1:]] != r.word[mine[:-1]]
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array([block], pa.int64()),
-                            pa.array([part.as_py()], pa.int32()),
-                            pa.array([pack(log[mine], seen[mine[first]])], pa.binary()),
-                        ],
-                        names=["block", "part", "data"],
-                    )
+                    word = np.unique(r.word[mine])
+                    data = pack(mean[mine], r.total[word], r.opened[word])
+                    yield from _messages([(block, part.as_py(), sweep, data)]).to_batches()
 
     return run
 
@@ -384,57 +564,92 @@ SCORED = (
 )
 
 
-def _score(model: Model):
+def _score(model: Model, discount: float):
     denominator = model.n_tokens + 0.5 * (model.n_words + 1)
 
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
-        order = np.argsort(answers.column("part").to_numpy(), kind="stable")
-        log, seen = [], []
-        for i in order:
-            a, b = unpack(answers.column("data")[int(i)].as_py(), np.float32, np.int64)
-            log.append(a)
-            seen.append(b)
-        log, seen = np.concatenate(log).astype(np.float64), np.concatenate(seen)
-        token, bits, size = unpack(docs.column("data")[0].as_py(), np.int32, np.uint8, np.int64)
-        word = np.cumsum(np.unpackbits(bits, count=int(size[0]))) - 1
-        lengths = np.frombuffer(docs.column("lengths")[0].as_py(), np.int64)
-        starts = np.cumsum(lengths) - lengths
-        count = seen[word][token]
-        base = np.log10((np.arange(0) if not len(count) else count + 0.5) / denominator)
-        ids = docs.column("doc_ids")[0].as_py()
+        row, messages = docs.to_pylist()[0], answers.to_pylist()
+        b = Block(row)
+        count, _ = _kept(messages)
+        mean = np.zeros(len(count))
+        for m in messages:
+            if m["part"] == TABLES:
+                tables = unplanes(*unpack(m["data"], np.uint8), np.int32)
+                base, seen, opened = _from_parents(messages, m["sweep"])
+                mean += pair_probability(
+                    count, tables, seen[b.context], opened[b.context], base[b.parent], discount
+                ) / PAIR_SWEEPS
+        starts = np.cumsum(b.lengths) - b.lengths
+        known = seen[b.token]
+        ids = row["doc_ids"]
         return pa.table(
             {
                 "doc_id": pa.array(ids, pa.int64()),
-                "held_out": pa.array(docs.column("held")[0].as_py(), pa.bool_()),
-                "n_tokens": pa.array(lengths),
-                "n_known": pa.array(np.add.reduceat((count > 0).astype(np.int64), starts)),
+                "held_out": pa.array(row["held"], pa.bool_()),
+                "n_tokens": pa.array(b.lengths),
+                "n_known": pa.array(np.add.reduceat((known > 0).astype(np.int64), starts)),
                 "train_tokens": pa.array(np.full(len(ids), model.n_tokens)),
-                "base_score": pa.array(np.add.reduceat(base, starts)),
-                "score": pa.array(np.add.reduceat(log[token], starts)),
+                "base_score": pa.array(
+                    np.add.reduceat(np.log10((known + 0.5) / denominator), starts)
+                ),
+                "score": pa.array(np.add.reduceat(np.log10(mean)[b.place], starts)),
             }
         )
 
     return run
 
 
+def _to_blocks(blocks: DataFrame, messages: DataFrame, function, schema: str) -> DataFrame:
+    """Bring each block together with what was sent to it."""
+    return blocks.groupBy("block").cogroup(messages.groupBy("block")).applyInArrow(function, schema)
+
+
+def _parents(shares: DataFrame, sweep: int) -> tuple[Model, DataFrame]:
+    """Sample the parent restaurants given the tables of the blocks' pairs."""
+    ranges = written(
+        shares.groupBy("part").applyInArrow(_count, "part int, data binary"), "lm-ranges"
+    )
+    model, samples = train(ranges)
+    answers = written(
+        ranges.select("part", "data").mapInArrow(_answer(model, samples, sweep), MESSAGE), "lm-answers"
+    )
+    release(ranges)
+    return model, answers
+
+
 def scored(docs: DataFrame) -> DataFrame:
     """The contract's columns, one row per row of ``docs``."""
     narrow = docs.select(F.col("doc_id").cast("long"), whole_text().alias("text"))
     n_bytes = narrow.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_ranges = 1 << max(4, (n_bytes // BYTES_PER_RANGE).bit_length())
-    pieces = written(narrow.mapInArrow(_split(n_ranges), PIECES), "lm-blocks")
-    pairs = pieces.where("part >= 0").select("block", "part", "data")
-    ranges = written(
-        pairs.groupBy("part").applyInArrow(_count, "part int, data binary"), "lm-ranges"
-    )
-    model, samples = train(ranges)
-    answers = ranges.select("part", "data").mapInArrow(
-        _answer(model, samples), "block long, part int, data binary"
-    )
-    blocks = pieces.where("part = -1").drop("part")
-    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(
-        _score(model), SCORED
+    bits = min(62, 20 + n_bytes.bit_length())
+    blocks = written(narrow.mapInArrow(_split, BLOCKS), "lm-blocks")
+    asked = blocks.mapInArrow(_ask(n_ranges, bits), MESSAGE)
+    opened = written(
+        _to_blocks(
+            blocks,
+            asked.groupBy("part").applyInArrow(_merge, MESSAGE),
+            _open(n_ranges),
+            f"{MESSAGE}, ones long, twos long",
+        ),
+        "lm-pairs",
     )
+    once, twice = opened.where(F.col("part") == PAIRS).agg(F.sum("ones"), F.sum("twos")).first()
+    discount = _discount(once or 0, twice or 0)
+    messages = opened.drop("ones", "twos")
+    kept = messages.where(F.col("part") == PAIRS)
+    model, answers = _parents(messages.where("part >= 0"), 0)
+    known = kept
+    for sweep in range(1, PAIR_SWEEPS + 1):
+        seated = written(
+            _to_blocks(
+                blocks, kept.unionAll(answers), _reseat(n_ranges, discount, sweep), MESSAGE
+            ),
+            "lm-tables",
+        )
+        model, answers = _parents(seated.where("part >= 0"), sweep)
+        known = known.unionAll(seated.where(F.col("part") == TABLES)).unionAll(answers)
+    return _to_blocks(blocks, known, _score(model, discount), SCORED)
 
 
 def digest(docs: DataFrame) -> DataFrame:
