@@ -30,6 +30,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +38,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import release, whole_text, written
+from ledgerloom.llm.common import release, shuffles_removed, whole_text, written
 from ledgerloom.llm.vector import Words, chunks, mix
 
 CLASSES = 64
@@ -138,8 +139,14 @@ class Block:
         self.count = np.bincount(self.place[train], minlength=len(pair)).astype(np.int32)
         self.seen = np.bincount(token[train], minlength=n).astype(np.int32)
         self.token = token
+
+    @cached_property
+    def _keys(self) -> tuple[np.ndarray, np.ndarray]:
         key = self.words[self.word] & ~LOW | self.words[self.context] & LOW
-        self.key, self.parent = np.unique(key, return_inverse=True)
+        return np.unique(key, return_inverse=True)
+
+    key = property(lambda self: self._keys[0])
+    parent = property(lambda self: self._keys[1])
 
     def hashes(self) -> np.ndarray:
         words = self.words & ~LOW
@@ -380,9 +387,12 @@ def _uniform(key: np.ndarray, step: int) -> np.ndarray:
 
 def seat(customers: np.ndarray, weight: np.ndarray, discount: float, key: np.ndarray) -> np.ndarray:
     """Tables that the customers of each word take; ``weight`` is that of a new table."""
-    order = np.argsort(-customers, kind="stable")
+    result = (customers > 0).astype(np.float64)
+    # The first customer takes a table; most words have no second one.
+    more = np.flatnonzero(customers > 1)
+    order = more[np.argsort(-customers[more], kind="stable")]
     c, a, k = customers[order], weight[order], key[order]
-    tables = (c > 0).astype(np.float64)
+    tables = np.ones(len(order))
     done = 1
     while True:
         n = int(np.searchsorted(-c, -done, side="left"))  # words with more customers
@@ -397,7 +407,6 @@ def seat(customers: np.ndarray, weight: np.ndarray, discount: float, key: np.nda
             group = np.minimum(done // 8, c[:n] - done)
             tables[:n] = np.minimum(tables[:n] + np.floor(group * p + draw), c[:n])
             done += done // 8
-    result = np.empty_like(tables)
     result[order] = tables
     return result
 
@@ -619,6 +628,12 @@ def _parents(shares: DataFrame, sweep: int) -> tuple[Model, DataFrame]:
 
 def scored(docs: DataFrame) -> DataFrame:
     """The contract's columns, one row per row of ``docs``."""
+    with shuffles_removed(docs.sparkSession):
+        return _to_blocks(*_sampled(docs), SCORED)
+
+
+def _sampled(docs: DataFrame) -> tuple:
+    """Blocks, all that is sent to them for their scores, and the function that scores."""
     narrow = docs.select(F.col("doc_id").cast("long"), whole_text().alias("text"))
     n_bytes = narrow.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_ranges = 1 << max(4, (n_bytes // BYTES_PER_RANGE).bit_length())
@@ -649,7 +664,7 @@ def scored(docs: DataFrame) -> DataFrame:
         )
         model, answers = _parents(seated.where("part >= 0"), sweep)
         known = known.unionAll(seated.where(F.col("part") == TABLES)).unionAll(answers)
-    return _to_blocks(blocks, known, _score(model, discount), SCORED)
+    return blocks, known, _score(model, discount)
 
 
 def digest(docs: DataFrame) -> DataFrame:
