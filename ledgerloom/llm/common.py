@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
-from contextlib import contextmanager
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -50,16 +48,12 @@ def written(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     return result
 
 
-@contextmanager
-def shuffles_removed(spark: SparkSession) -> Iterator[None]:
-    """Jobs in here remove their shuffle files when they end, not when the driver collects garbage."""
-    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(name, "false")
-    spark.conf.set(name, "true")
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)
+def drop_shuffles(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files of jobs that have ended, on all executors.
+
+    It does so for what the driver's garbage collection finds unused, by itself every half hour.
+    """
+    spark._jvm.System.gc()
 
 
 def release(*tables: DataFrame) -> None:

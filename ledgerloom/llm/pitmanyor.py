@@ -38,7 +38,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import release, shuffles_removed, whole_text, written
+from ledgerloom.llm.common import drop_shuffles, release, whole_text, written
 from ledgerloom.llm.vector import Words, chunks, mix
 
 CLASSES = 64
@@ -608,18 +608,29 @@ def _score(model: Model, discount: float):
     return run
 
 
+def _stored(df: DataFrame, name: str) -> DataFrame:
+    result = written(df, name)
+    drop_shuffles(result.sparkSession)
+    return result
+
+
 def _to_blocks(blocks: DataFrame, messages: DataFrame, function, schema: str) -> DataFrame:
     """Bring each block together with what was sent to it."""
     return blocks.groupBy("block").cogroup(messages.groupBy("block")).applyInArrow(function, schema)
 
 
+def _own_part(messages: DataFrame, part: int) -> DataFrame:
+    """What blocks keep for themselves, in a table of its own, so that the rest can go."""
+    return _stored(messages.where(F.col("part") == part), "lm-kept")
+
+
 def _parents(shares: DataFrame, sweep: int) -> tuple[Model, DataFrame]:
     """Sample the parent restaurants given the tables of the blocks' pairs."""
-    ranges = written(
+    ranges = _stored(
         shares.groupBy("part").applyInArrow(_count, "part int, data binary"), "lm-ranges"
     )
     model, samples = train(ranges)
-    answers = written(
+    answers = _stored(
         ranges.select("part", "data").mapInArrow(_answer(model, samples, sweep), MESSAGE), "lm-answers"
     )
     release(ranges)
@@ -628,19 +639,13 @@ def _parents(shares: DataFrame, sweep: int) -> tuple[Model, DataFrame]:
 
 def scored(docs: DataFrame) -> DataFrame:
     """The contract's columns, one row per row of ``docs``."""
-    with shuffles_removed(docs.sparkSession):
-        return _to_blocks(*_sampled(docs), SCORED)
-
-
-def _sampled(docs: DataFrame) -> tuple:
-    """Blocks, all that is sent to them for their scores, and the function that scores."""
     narrow = docs.select(F.col("doc_id").cast("long"), whole_text().alias("text"))
     n_bytes = narrow.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_ranges = 1 << max(4, (n_bytes // BYTES_PER_RANGE).bit_length())
     bits = min(62, 20 + n_bytes.bit_length())
-    blocks = written(narrow.mapInArrow(_split, BLOCKS), "lm-blocks")
+    blocks = _stored(narrow.mapInArrow(_split, BLOCKS), "lm-blocks")
     asked = blocks.mapInArrow(_ask(n_ranges, bits), MESSAGE)
-    opened = written(
+    opened = _stored(
         _to_blocks(
             blocks,
             asked.groupBy("part").applyInArrow(_merge, MESSAGE),
@@ -651,20 +656,23 @@ def _sampled(docs: DataFrame) -> tuple:
     )
     once, twice = opened.where(F.col("part") == PAIRS).agg(F.sum("ones"), F.sum("twos")).first()
     discount = _discount(once or 0, twice or 0)
-    messages = opened.drop("ones", "twos")
-    kept = messages.where(F.col("part") == PAIRS)
-    model, answers = _parents(messages.where("part >= 0"), 0)
+    model, answers = _parents(opened.where("part >= 0"), 0)
+    kept = _own_part(opened.drop("ones", "twos"), PAIRS)
+    release(opened)
     known = kept
     for sweep in range(1, PAIR_SWEEPS + 1):
-        seated = written(
+        seated = _stored(
             _to_blocks(
                 blocks, kept.unionAll(answers), _reseat(n_ranges, discount, sweep), MESSAGE
             ),
             "lm-tables",
         )
+        if sweep == 1:
+            release(answers)  # later ones are averaged
         model, answers = _parents(seated.where("part >= 0"), sweep)
-        known = known.unionAll(seated.where(F.col("part") == TABLES)).unionAll(answers)
-    return blocks, known, _score(model, discount)
+        known = known.unionAll(_own_part(seated, TABLES)).unionAll(answers)
+        release(seated)
+    return _to_blocks(blocks, known, _score(model, discount), SCORED)
 
 
 def digest(docs: DataFrame) -> DataFrame:
