@@ -259,7 +259,10 @@ def _merge(table: pa.Table) -> pa.Table:
 
 def _parts(messages: list[dict], *types) -> list[np.ndarray]:
     """What the ranges sent, put together in their order."""
-    cells = [unpack(m["data"], *types) for m in sorted(messages, key=lambda m: m["part"])]
+    cells = [
+        [unplanes(a, t) for a, t in zip(unpack(m["data"], *[np.uint8] * len(types)), types, strict=True)]
+        for m in sorted(messages, key=lambda m: m["part"])
+    ]
     return [np.concatenate(arrays) for arrays in zip(*cells, strict=True)]
 
 
@@ -561,7 +564,7 @@ def _answer(model: Model, samples: list[Totals], sweep: int):
                     mine = r.asked[at : at + size]
                     at += size
                     word = np.unique(r.word[mine])
-                    data = pack(mean[mine], r.total[word], r.opened[word])
+                    data = pack(*map(planes, (mean[mine], r.total[word], r.opened[word])))
                     yield from _messages([(block, part.as_py(), sweep, data)]).to_batches()
 
     return run
