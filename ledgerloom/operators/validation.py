@@ -141,7 +141,11 @@ def contact_checks(df: DataFrame, kind: str) -> DataFrame:
 
 
 def validate(df: DataFrame, kind: str) -> DataFrame:
-    """Strip all fields and add ``error_message`` / ``error_status`` of the first failure."""
+    """Strip all fields and add ``error_message`` / ``error_status`` of the first failure.
+
+    The message is generated, as a filter on it would else be pushed below the rules and repeat
+    there every step that leads to them.
+    """
     flagged = contact_checks(
         line_checks(stripped(df.withColumn("missing", missing_fields(kind)), kind)), kind
     )
@@ -160,7 +164,9 @@ def validate(df: DataFrame, kind: str) -> DataFrame:
             (F.col("bad_eta"), BAD_ETA, REFUSED),
         ]
     )
-    return flagged.withColumn("error_message", message).withColumn("error_status", status)
+    return flagged.withColumn("error_status", status).withColumn(
+        "error_message", F.explode(F.array(message))
+    )
 
 
 def refuse_unreadable(validated: DataFrame) -> DataFrame:

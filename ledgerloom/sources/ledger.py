@@ -152,35 +152,44 @@ def form_submissions(posts: DataFrame, kind: str, body: str = "value") -> DataFr
     value.  A body that cannot be decoded, or whose keys are not of their type, is kept in
     ``rescued``.
     """
-    pairs = F.transform(
-        F.filter(F.split(body, "&"), lambda p: p != ""),
-        lambda p: F.struct(
-            F.try_url_decode(F.substring_index(p, "=", 1)).alias("name"),
-            F.try_url_decode(F.regexp_replace(p, "^[^=]*=?", "")).alias("value"),
-        ),
-    )
+    def decoded(part: Column) -> Column:
+        coded = F.contains(part, F.lit("%")) | F.contains(part, F.lit("+"))
+        return F.when(coded, F.try_url_decode(part)).otherwise(part)
+
+    def pair(p: Column) -> Column:
+        name = F.substring_index(p, "=", 1)
+        value = F.substr(p, F.length(name) + 2)
+        return F.struct(decoded(name).alias("name"), decoded(value).alias("value"))
+
+    pairs = F.transform(F.filter(F.split(body, "&"), lambda p: p != ""), pair)
 
-    def posted(name: str) -> Column:
-        named = F.filter("_pairs", lambda p: p["name"] == name)
-        return F.transform(named, lambda p: p["value"])
+    def posted(f: T.StructField) -> Column:
+        if isinstance(f.dataType, T.ArrayType):
+            named = F.filter("_pairs", lambda p: p["name"] == f.name)
+            return F.transform(named, lambda p: p["value"])
+        place = F.array_position("_names", f.name)
+        if isinstance(f.dataType, T.BooleanType):
+            return place > 0
+        return F.get("_values", place.cast("int") - 1)
 
     def field(f: T.StructField) -> Column:
-        values = F.col(f"_{f.name}")
+        value = F.col(f"_{f.name}")
         if isinstance(f.dataType, T.ArrayType):
-            return F.when(F.size(values) > 0, values)
+            return F.when(F.size(value) > 0, value)
         if isinstance(f.dataType, T.BooleanType):
-            return F.size(values) > 0
-        return F.get(values, 0).try_cast(f.dataType)
+            return value
+        return value.try_cast(f.dataType)
 
     fields = submission_schema(kind).fields
     torn = F.exists("_pairs", lambda p: p["name"].isNull() | p["value"].isNull())
     for f in fields:
         if isinstance(f.dataType, (T.LongType, T.DateType)):
-            first = F.get(F.col(f"_{f.name}"), 0)
+            first = F.col(f"_{f.name}")
             torn = torn | (first.isNotNull() & first.try_cast(f.dataType).isNull())
     return (
         posts.withColumn("_pairs", pairs)
-        .withColumns({f"_{f.name}": posted(f.name) for f in fields})
+        .withColumns({"_names": F.col("_pairs.name"), "_values": F.col("_pairs.value")})
+        .withColumns({f"_{f.name}": posted(f) for f in fields})
         .select(
             *[field(f).alias(f.name) for f in fields],
             F.when(F.coalesce(torn, F.lit(True)), F.col(body)).alias(RESCUED),

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions.sql import register_table_functions
 from ledgerloom.functions.text import INVOICE
-from ledgerloom.operators import views
+from ledgerloom.operators import validation, views
 from ledgerloom.plans import runs
 from ledgerloom.session import shared_dir
 from ledgerloom.sources import ledger
@@ -115,3 +115,14 @@ def test_filters_go_through_table_functions(spark):
     assert [tuple(r) for r in newest] == [(19, 1), (17, 2)]
     number = "SELECT next_num FROM next_number({}, 'Invoice', DATE'2024-{}-01')"
     assert [spark.sql(number.format(*a)).first()[0] for a in ((1, "03"), (1, "04"), (5, "04"))] == [11, 1, 1]
+
+
+def test_form_is_read_once_however_many_rules_follow(spark):
+    posts = spark.createDataFrame([("submission_id=1&descp=a%20b&descp=c+d&bname=&bname=x",)], "value string")
+    documents = ledger.form_submissions(posts, INVOICE)
+    row = documents.first()
+    assert (row["descp"], row["bname"], row["same_info"]) == (["a b", "c d"], "", False)
+    refused = validation.rejects(runs.checked_submissions(documents, INVOICE))
+    plan = refused._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == 1
+    assert refused.count() == 1
