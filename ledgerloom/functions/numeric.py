@@ -17,6 +17,8 @@ NUMBER_PATTERN = (
     r"([eE][+-]?[0-9]+(_[0-9]+)*)?$"
 )
 NAN_PATTERN = r"(?i)^[+-]?nan$"
+# Most numbers: a few digits, and a fraction perhaps.
+PLAIN_PATTERN = r"\A[0-9]{1,15}(\.[0-9]{0,%d})?\z"
 
 
 def py_round(value: Column, digits: int = 2) -> Column:
@@ -96,8 +98,10 @@ def parse_number(text: Column) -> Column:
     """Number a form field holds, NaN for ``nan``, NULL when it is not a finite number."""
     plain = F.regexp_replace(text, "_", "").try_cast("double")
     finite = F.when(F.abs(plain) < float("inf"), plain)
-    return F.when(text.rlike(NUMBER_PATTERN), finite).when(
-        text.rlike(NAN_PATTERN), F.lit(float("nan"))
+    return (
+        F.when(text.rlike(PLAIN_PATTERN % 15), text.try_cast("double"))
+        .when(text.rlike(NUMBER_PATTERN), finite)
+        .when(text.rlike(NAN_PATTERN), F.lit(float("nan")))
     )
 
 
@@ -122,5 +126,8 @@ def within_step(text: Column, digits: int, maximum: float | None = None) -> Colu
     """True when a posted number has at most ``digits`` decimals and does not exceed
     ``maximum``; NULL for what is no number."""
     number = parse_number(text)
-    fits = F.when(number.isNotNull() & ~F.isnan(number), decimals_of(text) <= digits)
+    fits = (
+        F.when(text.rlike(PLAIN_PATTERN % digits), F.lit(True))
+        .when(number.isNotNull() & ~F.isnan(number), decimals_of(text) <= digits)
+    )
     return fits if maximum is None else fits & (number <= F.lit(float(maximum)))

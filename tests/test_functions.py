@@ -286,3 +286,18 @@ def test_sql_functions(spark):
         "₹1,234.50", None, True, False, True, False,
         "INV-99/100-04-000001", "EST--1/0-01-1234567",
     )
+
+
+def test_plain_numbers_take_the_short_path_with_the_same_outcome(spark):
+    texts = ["7", "12.", "0.25", "0.250", "0.255", "1_0.5", "1e2", "25e-3", "nan", "", "x", "9" * 400, "١", "5\n"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    t = F.col("t")
+    out = rows.select(numeric.parse_number(t), numeric.within_step(t, 2), numeric.within_step(t, 2, 10.0))
+    assert [tuple(r)[1:] for r in out.collect()] == [
+        (True, True), (True, False), (True, True), (True, True), (False, False), (True, False),
+        (True, False), (False, False), (None, False), (None, None), (None, None), (None, None),
+        (None, None), (True, True),
+    ]
+    assert [r[0] for r in out.collect()][:8] == [7.0, 12.0, 0.25, 0.25, 0.255, 10.5, 100.0, 0.025]
+    plan = rows.select(numeric.within_step(t, 3))._jdf.queryExecution().optimizedPlan().toString()
+    assert "{0,3}" in plan
