@@ -7,6 +7,7 @@ from compare import SF_SMALL
 from pyspark.sql import functions as F
 
 from __spark_entry__ import queries
+from ledgerloom import session
 from ledgerloom.functions.text import INVOICE
 from ledgerloom.operators import dims, numbering, pricing, views
 from ledgerloom.session import shared_dir
@@ -176,3 +177,9 @@ def test_stored_dimensions_are_not_shuffled_for_a_small_batch(spark, tmp_path):
 def test_kind_constant_is_the_stored_value(sample):
     kinds = {r.type for r in sample.headers().select("type").distinct().collect()}
     assert kinds == {INVOICE, "Quotation"}
+
+
+def test_partitions_grow_with_the_input():
+    gib = 1024**3
+    assert [session.wanted_partitions(n * gib) for n in (0, 1, 6, 320, 100 * 1024)] == [0, 32, 192, 10_000, 51_200]
+    assert session.RUNTIME_CONF["spark.sql.adaptive.advisoryPartitionSizeInBytes"] == "16m"
