@@ -128,6 +128,8 @@ def _apply_rules(df: DataFrame, rules) -> DataFrame:
 SHRINKING = 0.5
 # Values of one group of conflicts that are handled in order by one task.
 GROUP_VALUES = 50_000
+# Rounds are many, and what each of them broadcast would go through the driver.
+JOIN = "merge"
 VALUE = ["field", "value"]
 
 
@@ -135,16 +137,16 @@ def _round(open_values: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Accept whoever comes first for all of its values; winners and what stays open."""
     first = open_values.groupBy(*VALUE).agg(F.min("arrival").alias("first_arrival"))
     winners = (
-        open_values.join(first, VALUE)
+        open_values.hint(JOIN).join(first, VALUE)
         .groupBy("arrival")
         .agg(F.bool_and(F.col("arrival") == F.col("first_arrival")).alias("wins"))
         .where("wins")
         .select("arrival")
     )
-    taken = open_values.join(winners, "arrival", "left_semi").select(*VALUE).distinct()
+    taken = open_values.hint(JOIN).join(winners, "arrival", "left_semi").select(*VALUE).distinct()
     # A winner's own values are taken too, so this drops winners and losers alike.
-    settled = open_values.join(taken, VALUE, "left_semi").select("arrival").distinct()
-    return winners, open_values.join(settled, "arrival", "left_anti")
+    settled = open_values.hint(JOIN).join(taken, VALUE, "left_semi").select("arrival").distinct()
+    return winners, open_values.hint(JOIN).join(settled, "arrival", "left_anti")
 
 
 def _followed(links: DataFrame, folder: str) -> DataFrame:
@@ -161,9 +163,9 @@ def _followed(links: DataFrame, folder: str) -> DataFrame:
         after = links.select(
             F.col("node").alias("to"), F.col("to").alias("then"), F.col("odd").alias("then_odd")
         )
-        if links.join(after, "to", "left_semi").isEmpty():
+        if links.hint(JOIN).join(after, "to", "left_semi").isEmpty():
             return links
-        further = links.join(after, "to", "left").select(
+        further = links.hint(JOIN).join(after, "to", "left").select(
             "node",
             F.coalesce("then", "to").alias("to"),
             (F.col("odd") != F.coalesce("then_odd", F.lit(False))).alias("odd"),
@@ -181,10 +183,10 @@ def _chained_round(open_values: DataFrame, folder: str) -> tuple[DataFrame, Data
     composed along their paths.  Those with several before them wait for the next round.
     """
     first = open_values.groupBy(*VALUE).agg(F.min("arrival").alias("first"))
-    behind = open_values.join(first, VALUE).where(F.col("arrival") > F.col("first"))
+    behind = open_values.hint(JOIN).join(first, VALUE).where(F.col("arrival") > F.col("first"))
     second = behind.groupBy(*VALUE).agg(F.min("arrival").alias("second"))
     waiting = (
-        behind.join(second, VALUE)
+        behind.hint(JOIN).join(second, VALUE)
         .groupBy("arrival")
         .agg(
             F.min("first").alias("to"),
@@ -200,16 +202,16 @@ def _chained_round(open_values: DataFrame, folder: str) -> tuple[DataFrame, Data
         F.col("arrival").alias("node"), "to", F.lit(True).alias("odd")
     )
     ends = _followed(links, folder)
-    sources = open_values.select("arrival").distinct().join(waiting, "arrival", "left_anti")
+    sources = open_values.select("arrival").distinct().hint(JOIN).join(waiting, "arrival", "left_anti")
     even = (
         ends.where("NOT odd")
-        .join(waiting.select(F.col("arrival").alias("to")), "to", "left_anti")
+        .hint(JOIN).join(waiting.select(F.col("arrival").alias("to")), "to", "left_anti")
         .select(F.col("node").alias("arrival"))
     )
     winners = sources.unionByName(even)
-    taken = open_values.join(winners, "arrival", "left_semi").select(*VALUE).distinct()
-    settled = open_values.join(taken, VALUE, "left_semi").select("arrival").distinct()
-    return winners, open_values.join(settled, "arrival", "left_anti")
+    taken = open_values.hint(JOIN).join(winners, "arrival", "left_semi").select(*VALUE).distinct()
+    settled = open_values.hint(JOIN).join(taken, VALUE, "left_semi").select("arrival").distinct()
+    return winners, open_values.hint(JOIN).join(settled, "arrival", "left_anti")
 
 
 def _grouped(open_values: DataFrame, folder: str) -> DataFrame:
@@ -223,25 +225,25 @@ def _grouped(open_values: DataFrame, folder: str) -> DataFrame:
     step = 0
     while True:
         near = (
-            open_values.join(labels, "arrival")
+            open_values.hint(JOIN).join(labels, "arrival")
             .groupBy(*VALUE)
             .agg(F.min("label").alias("near"))
         )
         hooked = (
-            open_values.join(near, VALUE).groupBy("arrival").agg(F.min("near").alias("label"))
+            open_values.hint(JOIN).join(near, VALUE).groupBy("arrival").agg(F.min("near").alias("label"))
         )
         roots = hooked.select(F.col("arrival").alias("label"), F.col("label").alias("root"))
-        jumped = hooked.join(roots, "label").select("arrival", F.col("root").alias("label"))
+        jumped = hooked.hint(JOIN).join(roots, "label").select("arrival", F.col("root").alias("label"))
         path = f"{folder}/labels-{step}"
         jumped.write.parquet(path)
         moved = spark.read.parquet(path)
         old = labels.withColumnRenamed("label", "old")
-        done = moved.join(old, "arrival").where(F.col("label") != F.col("old")).isEmpty()
+        done = moved.hint(JOIN).join(old, "arrival").where(F.col("label") != F.col("old")).isEmpty()
         if step > 0:
             delete_path(spark, f"{folder}/labels-{step - 1}")
         labels, step = moved, step + 1
         if done:
-            return open_values.join(labels, "arrival")
+            return open_values.hint(JOIN).join(labels, "arrival")
 
 
 def _in_order(group: pd.DataFrame) -> pd.DataFrame:

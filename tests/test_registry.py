@@ -216,3 +216,18 @@ def test_large_groups_stay_in_the_rounds(spark, monkeypatch):
     values = spark.createDataFrame(rows, "arrival long, field string, value string")
     accepted = {r.arrival for r in registry._settle(values).collect()}
     assert accepted == {0, 2, 4, 6, 8, 10, 100}
+
+
+def test_rounds_broadcast_nothing(spark, tmp_path):
+    rows = [(1, "phno", "a"), (2, "phno", "a"), (2, "email", "b"), (3, "email", "b")]
+    spark.createDataFrame(rows, "arrival long, field string, value string").write.parquet(str(tmp_path / "open"))
+    open_values = spark.read.parquet(str(tmp_path / "open"))
+    plain = registry._round(open_values)
+    chained = registry._chained_round(open_values, str(tmp_path / "round"))
+    grouped = registry._grouped(open_values, str(tmp_path))
+    for frame in (*plain, *chained, grouped):
+        frame.collect()
+        assert "Broadcast" not in frame._jdf.queryExecution().executedPlan().toString()
+    assert [r.arrival for r in plain[0].collect()] == [1]
+    assert sorted(r.arrival for r in chained[0].collect()) == [1, 3]
+    assert {r.label for r in grouped.collect()} == {1}
