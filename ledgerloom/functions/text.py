@@ -37,11 +37,13 @@ QUOTATION = "Quotation"
 def strip_sql(name: str) -> str:
     """SQL that removes leading and trailing whitespace of any kind, not only spaces.
 
-    Most values begin and end with a printable ASCII character and stay as they are.
+    Most values begin and end with a printable ASCII character and stay as they are; plain
+    comparisons find them, as BETWEEN would add a column for each of its values.
     """
     whitespace = "".join(f"\\u{ord(c):04x}" for c in WHITESPACE)
+    last = f"substring({name}, -1)"
     return (
-        f"CASE WHEN ascii({name}) BETWEEN 33 AND 127 AND ascii(right({name}, 1)) BETWEEN 33 AND 127 "
+        f"CASE WHEN {name} >= '!' AND {name} < '\\u0080' AND {last} >= '!' AND {last} < '\\u0080' "
         f"THEN {name} ELSE trim(BOTH '{whitespace}' FROM {name}) END"
     )
 

@@ -180,40 +180,58 @@ def refuse_unreadable(validated: DataFrame) -> DataFrame:
     )
 
 
-def refuse_repeated(
+def repeated_ids(
     validated: DataFrame, row: str, stored_ids: DataFrame | None = None
 ) -> DataFrame:
-    """Refuse documents without a key, all but one of those with the same id, and those
-    whose id is stored.
+    """Ids that occur twice, with the lowest ``row`` of each, and ids that are stored.
 
-    ``row`` numbers the rows; the lowest of a repeated id stays.  Only ids that occur twice
-    are joined, so the documents themselves are shuffled for them alone.
+    One row per id; of the documents only ids and row numbers are shuffled.
     """
-    twice = (
-        validated.groupBy(F.col("submission_id").alias("_id"))
-        .agg(F.count("*").alias("_times"), F.min(row).alias("_first"))
-        .where(F.col("_id").isNotNull() & (F.col("_times") > 1))
-        .drop("_times")
-    )
-    df = validated.join(twice, F.col("submission_id") == F.col("_id"), "left").drop("_id")
-    repeated = F.coalesce(F.col(row) != F.col("_first"), F.lit(False))
-    if stored_ids is not None:
+    arrived = validated.groupBy(F.col("submission_id").alias("_id")).agg(
+        F.count("*").alias("_times"), F.min(row).alias("_first")
+    ).where(F.col("_id").isNotNull())
+    if stored_ids is None:
+        arrived = arrived.withColumn("_known", F.lit(False))
+    else:
         known = stored_ids.select(F.col("id").alias("_id")).join(
-            validated.select(F.col("submission_id").alias("_id")).distinct(), "_id", "left_semi"
+            arrived.select("_id"), "_id", "left_semi"
         )
         known = known.distinct().withColumn("_known", F.lit(True))
-        df = df.join(known, F.col("submission_id") == F.col("_id"), "left").drop("_id")
-        repeated = repeated | F.coalesce("_known", F.lit(False))
+        arrived = arrived.join(known, "_id", "left").withColumn(
+            "_known", F.coalesce("_known", F.lit(False))
+        )
+    return arrived.where((F.col("_times") > 1) | F.col("_known")).drop("_times")
+
+
+def refuse_repeated(
+    validated: DataFrame,
+    row: str,
+    stored_ids: DataFrame | None = None,
+    repeated: DataFrame | None = None,
+) -> DataFrame:
+    """Refuse documents without a key, all but one of those with the same id, and those
+    whose id is stored.
+
+    ``row`` numbers the rows; the lowest of a repeated id stays.  ``repeated`` holds the
+    result of ``repeated_ids`` where it has been written: its size is known then, and the
+    documents are not shuffled for a few ids.
+    """
+    if repeated is None:
+        repeated = repeated_ids(validated, row, stored_ids)
+    df = validated.join(repeated, F.col("submission_id") == F.col("_id"), "left").drop("_id")
+    again = F.coalesce(F.col(row) != F.col("_first"), F.lit(False)) | F.coalesce(
+        "_known", F.lit(False)
+    )
     keyless = F.lit(False)
     for key in ("submission_id", "company_id", "bill_date"):
         keyless = keyless | F.col(key).isNull()
     message = (
-        F.when(keyless, F.lit(NO_KEY)).when(repeated, F.lit(REPEATED)).otherwise(
+        F.when(keyless, F.lit(NO_KEY)).when(again, F.lit(REPEATED)).otherwise(
             F.col("error_message")
         )
     )
     status = (
-        F.when(keyless, F.lit(REFUSED)).when(repeated, F.lit(CONFLICT)).otherwise(
+        F.when(keyless, F.lit(REFUSED)).when(again, F.lit(CONFLICT)).otherwise(
             F.col("error_status")
         )
     )

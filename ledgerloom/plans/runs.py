@@ -119,7 +119,10 @@ def run_batch(
         "_row", F.monotonically_increasing_id()
     )
     arrived = materialise(arrived, scratch, "submissions")
-    checked = validation.refuse_repeated(arrived, "_row", stored_bills)
+    repeated = materialise(
+        validation.repeated_ids(arrived, "_row", stored_bills), scratch, "repeated"
+    )
+    checked = validation.refuse_repeated(arrived, "_row", repeated=repeated)
     documents_ = checked.withColumn("id", F.col("submission_id"))
     priced = materialise(
         pricing.price_lines(validation.explode_lines(validation.accepted(documents_))),

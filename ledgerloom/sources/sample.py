@@ -336,7 +336,9 @@ class SampleLedger:
             damaged(F.col("gst").cast("string"), d7="-1", d21="150", d24="").alias("gst"),
         )
         lines = (
+            # Lines come from a join by part: they are shuffled as they are and posted after it.
             self.lines(headers, goods=True, line_no=True)
+            .repartition("history_id")
             .withColumn("order_key", F.col("history_id") % ID_DAY)
             .groupBy("history_id")
             .agg(F.array_sort(F.collect_list(line)).alias("lines"))

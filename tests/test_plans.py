@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 
 from __spark_entry__ import queries
 from ledgerloom import session
+from ledgerloom.functions import text
 from ledgerloom.functions.text import INVOICE
-from ledgerloom.operators import dims, numbering, pricing, views
+from ledgerloom.operators import dims, numbering, pricing, validation, views
+from ledgerloom.plans import runs
 from ledgerloom.session import shared_dir
 from ledgerloom.sources import ledger
 
@@ -185,6 +187,38 @@ def test_partitions_grow_with_the_input():
     assert session.RUNTIME_CONF["spark.sql.adaptive.advisoryPartitionSizeInBytes"] == "16m"
 
 
+def test_posted_documents_are_put_together_once(spark):
+    """What repeats documents or cuts them in batches reads them from where they were written."""
+    assert "lineitem" not in plan_of(queries()["run_accounting"](spark, SF_SMALL))
+
+
+def test_few_repeated_ids_do_not_shuffle_the_documents(spark):
+    rows = spark.range(3).selectExpr(
+        "id % 2 submission_id", "1L company_id", "DATE'2020-01-01' bill_date", "id row",
+        "CAST(NULL AS STRING) error_message", "CAST(NULL AS INT) error_status",
+    )
+    folder = shared_dir(spark, "repeated")
+    documents = runs.materialise(rows, folder, "documents")
+    stored = spark.createDataFrame([(1,)], "id long")
+    repeated = runs.materialise(
+        validation.repeated_ids(documents, "row", stored), folder, "repeated"
+    )
+    refused = validation.refuse_repeated(documents, "row", repeated=repeated)
+    assert "Exchange hashpartitioning" not in plan_of(refused)
+    plain = validation.refuse_repeated(documents, "row", stored)
+    assert sorted(map(tuple, refused.collect())) == sorted(map(tuple, plain.collect()))
+    assert {r["row"]: r["error_message"] for r in refused.collect()} == {
+        0: None, 1: validation.REPEATED, 2: validation.REPEATED
+    }
+
+
+def test_stripping_adds_no_columns(spark):
+    posted = spark.createDataFrame([(" a", "b\u3000", "", None)], "a string, b string, c string, d string")
+    stripped = posted.select(*[text.strip(c).alias(c) for c in posted.columns])
+    assert "_common_expr" not in plan_of(stripped)
+    assert tuple(stripped.first()) == ("a", "b", "", None)
+
+
 def test_printed_lines_meet_the_headers_last(no_broadcast):
     """Joins with parties shuffle headers only, and lines are shuffled before they are priced."""
     plan = plan_of(queries()["bill_document_flat"](no_broadcast, SF_SMALL))
