@@ -4,7 +4,8 @@ Texts are cut into pieces and words.  Each task counts phrases in a shallow trie
 ids: a container is a hash table of phrases for a range of word ids; one that grows too large
 bursts into two ranges, or, when it holds a single word, into a node whose containers go by the
 next word.  When the trie is full, its largest subtrees leave it as sorted runs; at the end all
-do.  Runs are dealt by the first two words of their phrases and merged there.
+do.  Runs are dealt by the first two words of their phrases and merged there.  There are as
+many tasks as run at a time, so that a trie is handed on once a core, not once a file.
 
 All parts of a frequent phrase are frequent themselves.  So words, then pairs of frequent
 words, then threes of frequent pairs are tallied by their hashes first, and only phrases
@@ -295,7 +296,13 @@ def _run_total(lang: str, n: int) -> pa.RecordBatch:
 
 
 def _narrow(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("lang").cast("string").alias("lang"), "text")
+    """What is read of a table, in no more tasks than run at a time.
+
+    Each task hands on every frequent phrase it has met, and there are more of these in more
+    text: with a task for each stretch of input, rows would grow as the product of both.
+    """
+    rows = docs.select(F.col("lang").cast("string").alias("lang"), "text")
+    return rows.coalesce(docs.sparkSession.sparkContext.defaultParallelism)
 
 
 def _seen(docs: DataFrame, tally, least: int) -> np.ndarray:

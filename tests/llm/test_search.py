@@ -216,6 +216,16 @@ def test_phrases_of_odd_rows(spark, odd, odd_rows):
     assert mined(odd.limit(0), 3, 50) == []
 
 
+def test_phrases_are_handed_on_once_a_core(spark):
+    cores = spark.sparkContext.defaultParallelism
+    docs = spark.range(40 * cores).selectExpr("'en' AS lang", "'one two three' AS text")
+    narrow = collocations._narrow(docs.repartition(10 * cores))
+    runs = narrow.mapInArrow(collocations._runs([]), "lang string, phrase string, n long")
+    rows = runs.where("phrase IS NOT NULL").groupBy("phrase").agg({"*": "count", "n": "sum"}).collect()
+    assert len(rows) == 6
+    assert all(r["sum(n)"] == 40 * cores and r["count(1)"] <= cores for r in rows)
+
+
 def test_trie_counts_what_a_dictionary_counts(monkeypatch):
     monkeypatch.setattr(collocations, "BURST", 4)
     rng = random.Random(1)
