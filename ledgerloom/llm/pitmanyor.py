@@ -30,7 +30,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import cached_property
+from functools import cached_property, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -46,6 +46,7 @@ BLOCK = 2_200_000
 BYTES_PER_RANGE = 16 << 20
 SWEEPS = 2  # in each of two rounds; the sweeps of the last round are averaged
 PAIR_SWEEPS = 2  # of the restaurants of single words, all averaged
+PARTS = 2  # of the blocks, scored one after the other
 ONE_BY_ONE = 32
 CONCENTRATION = 1.0
 START = 0
@@ -94,7 +95,7 @@ def unplanes(raw: np.ndarray, kind) -> np.ndarray:
 
 
 def steps(a: np.ndarray) -> np.ndarray:
-    """Sorted numbers as planes of their differences."""
+    """Numbers, most of them ascending, as planes of their differences."""
     return planes(np.diff(a, prepend=a.dtype.type(0)))
 
 
@@ -116,29 +117,53 @@ def tokens_of(words: Words) -> np.ndarray:
     return token
 
 
+def _firsts(a: np.ndarray) -> np.ndarray:
+    """Where each value of sorted numbers begins."""
+    return np.flatnonzero(np.append(True, a[1:] != a[:-1]))
+
+
 class Block:
     """The tokens of some texts and the pairs they form, by number of the word.
 
-    The end of the text before stands for the start of a text.  ``pair`` is sorted by word and
+    The end of the text before stands for the start of a text.  Pairs are sorted by word and
     then context; ``place`` says which pair each token is, ``parent`` which key of the parent
     restaurants each pair has.
     """
 
     def __init__(self, docs: dict) -> None:
-        token, words = unpack(docs["data"], np.uint8, np.uint8)
-        token = unplanes(token, np.int32)
+        ranked, words, frequent = unpack(docs["data"], np.uint8, np.uint8, np.uint8)
+        self.token = unsteps(frequent, np.int32)[unplanes(ranked, np.int32)]
         self.words = unsteps(words, np.uint64)
         self.lengths = np.frombuffer(docs["lengths"], np.int64)
         n = len(self.words)
-        before = np.empty_like(token)
-        before[0] = np.searchsorted(self.words, END)
-        before[1:] = token[:-1]
-        pair, self.place = np.unique(token.astype(np.int64) * n + before, return_inverse=True)
-        self.word, self.context = np.divmod(pair, n)
         train = np.repeat(~np.array(docs["held"], dtype=bool), self.lengths)
-        self.count = np.bincount(self.place[train], minlength=len(pair)).astype(np.int32)
-        self.seen = np.bincount(token[train], minlength=n).astype(np.int32)
-        self.token = token
+        self.seen = np.bincount(self.token[train], minlength=n).astype(np.int32)
+        # Sorted with a last bit for training tokens; that is faster and smaller than an order.
+        pair = self._pairs()
+        pair *= 2
+        pair += train
+        pair.sort()
+        first = _firsts(pair >> 1)
+        self.count = np.add.reduceat(pair & 1, first).astype(np.int32)
+        self.word, self.context = np.divmod(pair[first] >> 1, n)
+
+    def _pairs(self) -> np.ndarray:
+        """The number of each token's pair."""
+        pair = self.token.astype(np.int64)
+        pair *= len(self.words)
+        pair[0] += np.searchsorted(self.words, END)
+        pair[1:] += self.token[:-1]
+        return pair
+
+    @cached_property
+    def place(self) -> np.ndarray:
+        pair = self._pairs()
+        order = np.argsort(pair)
+        new = np.zeros(len(pair), dtype=np.int32)
+        new[_firsts(pair[order])[1:]] = 1
+        place = np.empty(len(pair), dtype=np.int32)
+        place[order] = np.cumsum(new, dtype=np.int32)
+        return place
 
     @cached_property
     def _keys(self) -> tuple[np.ndarray, np.ndarray]:
@@ -193,8 +218,14 @@ def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def flush() -> pa.RecordBatch:
         token = np.concatenate(tokens)
-        _, first, inverse = np.unique(token & ~LOW, return_index=True, return_inverse=True)
-        data = pack(planes(inverse.astype(np.int32)), steps(token[first]))
+        _, first, inverse, count = np.unique(
+            token & ~LOW, return_index=True, return_inverse=True, return_counts=True
+        )
+        # Tokens as ranks of their words by frequency: most are small numbers.
+        frequent = np.argsort(-count, kind="stable").astype(np.int32)
+        rank = np.empty_like(frequent)
+        rank[frequent] = np.arange(len(frequent), dtype=np.int32)
+        data = pack(planes(rank[inverse]), steps(token[first]), steps(frequent))
         columns = {
             "block": pa.array([block], pa.int64()),
             "doc_ids": pa.array([ids], pa.list_(pa.int64())),
@@ -662,7 +693,7 @@ def scored(docs: DataFrame) -> DataFrame:
     model, answers = _parents(opened.where("part >= 0"), 0)
     kept = _own_part(opened.drop("ones", "twos"), PAIRS)
     release(opened)
-    known = kept
+    known = [kept]
     for sweep in range(1, PAIR_SWEEPS + 1):
         seated = _stored(
             _to_blocks(
@@ -673,9 +704,17 @@ def scored(docs: DataFrame) -> DataFrame:
         if sweep == 1:
             release(answers)  # later ones are averaged
         model, answers = _parents(seated.where("part >= 0"), sweep)
-        known = known.unionAll(_own_part(seated, TABLES)).unionAll(answers)
+        known += [_own_part(seated, TABLES), answers]
         release(seated)
-    return _to_blocks(blocks, known, _score(model, discount), SCORED)
+    # Only a part of the blocks and of what was sent to them is in shuffle files at a time.
+    part = F.pmod(F.xxhash64("block"), F.lit(PARTS))
+    messages, score = reduce(DataFrame.unionAll, known), _score(model, discount)
+    scores = [
+        _stored(_to_blocks(blocks.where(part == i), messages.where(part == i), score, SCORED), "lm-scores")
+        for i in range(PARTS)
+    ]
+    release(blocks, *known)
+    return reduce(DataFrame.unionAll, scores)
 
 
 def digest(docs: DataFrame) -> DataFrame:

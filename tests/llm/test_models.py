@@ -1,5 +1,6 @@
 """The trained models: gradients, probabilities, held-out accuracy."""
 
+import tracemalloc
 from collections import Counter
 from types import SimpleNamespace
 from unittest import mock
@@ -166,6 +167,22 @@ TEXTS = [
 ]
 
 
+def test_a_block_takes_few_bytes_a_token():
+    rng = np.random.default_rng(0)
+    text = " ".join(f"w{x}" for x in rng.zipf(1.3, 200_000).clip(max=50_000))
+    (row,) = block_rows([text], next(i for i in range(9) if crc(i) % 5 != 1))
+    tracemalloc.start()
+    block = pitmanyor.Block(row)
+    most = tracemalloc.get_traced_memory()[1] / 200_001
+    tracemalloc.stop()
+    assert len(block.token) == block.count.sum() == 200_001
+    pair = block.token.astype(np.int64) * len(block.words)
+    pair += np.append(np.searchsorted(block.words, pitmanyor.END), block.token[:-1])
+    at = block.word * len(block.words) + block.context
+    assert np.array_equal(at[block.place], pair) and (np.diff(at) > 0).all()
+    assert most < 45
+
+
 def test_pairs_are_counted_once():
     """Counts of pairs over blocks against a plain count; every pair has one owner."""
     rows = block_rows(TEXTS[0]) + block_rows(TEXTS[1], 50)
