@@ -14,9 +14,13 @@ CLIENT_KEY = ["company_id", "name", "phno1"]
 GOODS_ATTRIBUTES = ["hsn_sac", "uom", "rate", "gst", "user_id"]
 
 
-def first_goods(lines: DataFrame) -> DataFrame:
-    """First line of each description per company, combined before any shuffle."""
-    first = F.min(F.struct("history_id", "line_no", *GOODS_ATTRIBUTES)).alias("_first")
+def first_goods(lines: DataFrame, by: bool = True) -> DataFrame:
+    """First line of each description per company, combined before any shuffle.
+
+    Without ``by`` the account that added a good is left out.
+    """
+    attributes = [a for a in GOODS_ATTRIBUTES if by or a != "user_id"]
+    first = F.min(F.struct("history_id", "line_no", *attributes)).alias("_first")
     return (
         lines.groupBy(*GOODS_KEY)
         .agg(first)
@@ -26,7 +30,7 @@ def first_goods(lines: DataFrame) -> DataFrame:
             blank_to_null(F.col("_first.uom")).alias("uom"),
             F.col("_first.rate").alias("rate"),
             F.col("_first.gst").alias("gst"),
-            F.col("_first.user_id").alias("added_by"),
+            *([F.col("_first.user_id").alias("added_by")] if by else []),
             F.col("_first.history_id").alias("first_bill"),
             F.col("_first.line_no").alias("first_line"),
         )

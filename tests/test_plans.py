@@ -1,6 +1,7 @@
 """What the physical plans look like."""
 
 import re
+import time
 
 import pytest
 from compare import SF_SMALL
@@ -224,3 +225,44 @@ def test_printed_lines_meet_the_headers_last(no_broadcast):
     plan = plan_of(queries()["bill_document_flat"](no_broadcast, SF_SMALL))
     assert re.search(r"SortMergeJoin \[([a-z_]+)", plan)[1] == "bill_id"
     assert not re.search(r"Exchange.*\n.*partial_collect_list", plan)
+
+
+@pytest.mark.parametrize("name", ["history_lines"])
+def test_lines_are_put_together_before_the_bills(no_broadcast, name):
+    """The joins that lead to lines and headers are over when the two meet."""
+    plan = plan_of(queries()[name](no_broadcast, SF_SMALL))
+    for table in ("lineitem", "part", "orders", "customer", "supplier"):
+        assert f"{table}.parquet" not in plan
+
+
+def test_shuffles_end_with_their_job(spark, tmp_path):
+    """Their files are removed, and a frame that is run again gets them again."""
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def files():
+        found = disk.getAllFiles()
+        return {found.apply(i).getName() for i in range(found.size())}
+
+    def left(before):
+        deadline = time.time() + 10
+        while files() - before and time.time() < deadline:
+            time.sleep(0.1)
+        return files() - before
+
+    before = files()
+    rows = spark.range(10_000).groupBy((F.col("id") % 1000).alias("k")).agg(F.max("id").alias("m"))
+    rows.write.parquet(str(tmp_path / "rows"))
+    assert not left(before)
+    twice = spark.read.parquet(str(tmp_path / "rows")).repartition(3, "k").groupBy("m").count()
+    assert len(twice.collect()) == len(twice.collect()) == 1000
+
+
+def test_written_lines_are_those_put_together(spark):
+    from ledgerloom.plans import queries as q
+    from ledgerloom.sources.sample import SampleLedger
+
+    m = SampleLedger(spark, SF_SMALL)
+    written = q._written_lines(spark, m)
+    lines = q._goods_lines(m, m.headers()).select(*written.columns)
+    assert written.count() == lines.count()
+    assert written.exceptAll(lines).isEmpty() and lines.exceptAll(written).isEmpty()
