@@ -148,9 +148,10 @@ def history_nested(
 
     Lines are nested before they meet the headers, so header texts are not repeated per
     line.  A bill without lines lists one entry with no values.  ``extra`` aggregates of
-    the lines are computed on the way.
+    the lines are computed on the way, after the shuffle: begun before it they would be of single
+    lines and only make these wider.
     """
-    nested = items.groupBy("history_id").agg(
+    nested = items.repartition("history_id").groupBy("history_id").agg(
         F.array_sort(F.collect_list(F.struct(*LINE_STRUCT))).alias("list_of_goods"), *extra
     )
     kinds = dict(items.dtypes)
