@@ -112,7 +112,7 @@ def run_batch(
 
     Every submission ends up in the bills or in the rejects, once.  The documents are read
     twice after validation, for their lines and for everything else; both are written
-    narrow, and all that follows is derived from those two.
+    narrow, and all that follows is derived from those two, so the documents are removed then.
     """
     scratch = shared_dir(submissions.sparkSession, "run")
     arrived = checked_submissions(submissions, kind).withColumn(
@@ -130,6 +130,7 @@ def run_batch(
         "lines",
     )
     headers = materialise(documents_.drop(*LINE_ARRAYS, "_row"), scratch, "headers")
+    ledger.delete_path(submissions.sparkSession, f"{scratch}/submissions")
     valid = (
         validation.accepted(headers)
         .drop(RESCUED)
@@ -185,7 +186,9 @@ def documents(run: Run, companies: DataFrame, users: DataFrame) -> DataFrame:
     Lines of a bill inside one state show both half taxes, all others the whole tax.
     """
     whole = F.col("inter_state") if "inter_state" in run.bills.columns else F.lit(True)
-    lines = run.lines.groupBy("history_id").agg(views.document_lines(run.lines).alias("lines"))
+    lines = run.lines.repartition("history_id").groupBy("history_id").agg(
+        views.document_lines(run.lines).alias("lines")
+    )
     return (
         run.bills.join(views.company_print(companies).drop("company_state"), "company_id", "left")
         .join(views.issuer_print(users), "user_id", "left")
@@ -206,14 +209,15 @@ def append_run(
     companies: DataFrame | None = None,
     users: DataFrame | None = None,
     stretch: int | None = None,
-) -> None:
+) -> Run:
     """Append a run to the ledger: dimensions first, lines, then headers, sinks, the marker.
 
     With a ``stretch``, the number of ids in a folder, an index of documents is kept as well.
 
     Readers see the batch only when its marker is written, after everything else, and each
     batch owns its files, so repeating a failed batch replaces what it left behind.  Bills and
-    lines are worked out once, into the scratch folder, and go to all sinks from there.
+    lines are worked out once, into the scratch folder, and go to all sinks from there; the run
+    that is returned reads them there as well.
     """
     run = replace(
         run,
@@ -234,3 +238,4 @@ def append_run(
     if companies is not None and users is not None:
         ledger.append_documents(documents(run, companies, users), folder, batch_id)
     ledger.publish_batch(spark, folder, batch_id)
+    return run

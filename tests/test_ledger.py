@@ -1,12 +1,16 @@
 """Batch runs, sinks and reads of a stored ledger."""
 
+import gzip
+from pathlib import Path
+
 import posts
 import pytest
+from compare import SF_SMALL
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.text import INVOICE, QUOTATION
 from ledgerloom.operators import views
-from ledgerloom.plans import runs
+from ledgerloom.plans import queries, runs
 from ledgerloom.session import shared_dir
 from ledgerloom.sources import ledger
 from ledgerloom.streaming import ingest
@@ -220,3 +224,17 @@ def test_run_on_an_empty_ledger(spark):
         (1, 1, 1), (2, 2, 1)
     ]
     assert run.goods.count() == 2 and run.clients.count() == 1
+
+
+def test_a_run_keeps_no_documents_beside_the_ledger(spark, tmp_path):
+    """The submissions are removed once lines and headers are written, what is printed is packed."""
+    folder, post = str(tmp_path / "ledger"), [posts.invoice(1), posts.invoice(2, bname="Bob", qty=["x"])]
+    run = runs.run_batch(posts.frame(spark, INVOICE, post), INVOICE, posts.companies(spark))
+    assert {p.name for p in Path(run.scratch).iterdir()} == {"repeated", "lines", "headers", "clients", "goods"}
+    stored = runs.append_run(run, folder, 0, posts.companies(spark), posts.users(spark))
+    assert [r.id for r in spark.read.json(f"{folder}/documents").collect()] == [1]
+    assert all("/bills/" in f for f in stored.bills.inputFiles())
+    assert sorted(map(str, stored.bills.collect())) == sorted(map(str, run.bills.collect()))
+    assert [r.submission_id for r in run.rejects.collect()] == [2]
+    runs.release(stored)
+    assert not Path(run.scratch).exists()
