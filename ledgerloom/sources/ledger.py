@@ -217,7 +217,10 @@ def append_table(df: DataFrame, folder: str, name: str, batch_id: int) -> None:
 
 
 def append_documents(df: DataFrame, folder: str, batch_id: int) -> None:
-    df.write.mode("overwrite").json(f"{folder}/documents/{BATCH}={batch_id}")
+    """Printed documents as packed JSON; their texts repeat, so unpacked they would be by far the
+    largest part of the ledger."""
+    writer = df.write.mode("overwrite").option("compression", "gzip")
+    writer.json(f"{folder}/documents/{BATCH}={batch_id}")
 
 
 def append_rejects(df: DataFrame, folder: str, batch_id: int) -> None:

@@ -232,6 +232,8 @@ def test_a_run_keeps_no_documents_beside_the_ledger(spark, tmp_path):
     run = runs.run_batch(posts.frame(spark, INVOICE, post), INVOICE, posts.companies(spark))
     assert {p.name for p in Path(run.scratch).iterdir()} == {"repeated", "lines", "headers", "clients", "goods"}
     stored = runs.append_run(run, folder, 0, posts.companies(spark), posts.users(spark))
+    printed = [p.name for p in Path(folder).glob("documents/*/part-*")]
+    assert printed and all(name.endswith(".json.gz") for name in printed)
     assert [r.id for r in spark.read.json(f"{folder}/documents").collect()] == [1]
     assert all("/bills/" in f for f in stored.bills.inputFiles())
     assert sorted(map(str, stored.bills.collect())) == sorted(map(str, run.bills.collect()))
